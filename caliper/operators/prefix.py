@@ -29,31 +29,52 @@ from pyspark.sql import functions as F
 
 # Rows per window partition we aim at; a few million rows sort comfortably in a task.
 DEFAULT_ROWS_PER_BUCKET = 2_000_000
-# Hard cap on split points kept in the plan (bounded literal / broadcast size).
+# Below this many rows per bucket, extra buckets cost more (a quantile job) than
+# the parallelism they buy.
+MIN_ROWS_PER_BUCKET = 200_000
+# Hard cap on split points kept in the plan (bounded literal size).
 MAX_BUCKETS = 4096
+# The per-(group, bucket) offsets table is broadcast only below this many rows.
+MAX_BROADCAST_OFFSETS = 1_000_000
 _BUCKET = "__bucket"
 
 
-def _split_points(df: DataFrame, key: str, rows_per_bucket: int, max_buckets: int):
-    """Return (n_rows, sorted distinct split points) from one aggregate job."""
-    grid = [i / max_buckets for i in range(1, max_buckets)]
-    row = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx(F.col(key), grid, 10 * max_buckets).alias("q"),
-    ).first()
-    n = int(row["n"] or 0)
-    wanted = min(max_buckets, max(1, math.ceil(n / max(rows_per_bucket, 1))))
-    if wanted <= 1 or not row["q"]:
+def _bucket_count(spark, n: int, rows_per_bucket: int, max_buckets: int) -> int:
+    need = math.ceil(n / max(rows_per_bucket, 1))
+    parallel = min(spark.sparkContext.defaultParallelism, n // MIN_ROWS_PER_BUCKET)
+    return int(min(max_buckets, max(1, need, parallel)))
+
+
+def _split_points(df: DataFrame, key: str, rows_per_bucket: int, max_buckets: int, n=None):
+    """Return (n_rows, sorted distinct split points).
+
+    Counting is cheap on the (checkpointed) distinct-key table; the quantile sketch
+    only runs when more than one bucket is wanted, and asks for just the ``B - 1``
+    cut points that bucket count needs (a bounded list)."""
+    n = df.count() if n is None else n
+    wanted = _bucket_count(df.sparkSession, n, rows_per_bucket, max_buckets)
+    if wanted <= 1:
         return n, []
-    step = max_buckets / wanted
-    picks = sorted({float(row["q"][min(len(row["q"]) - 1, int(round(i * step)) - 1)])
-                    for i in range(1, wanted)})
+    grid = [i / wanted for i in range(1, wanted)]
+    q = df.agg(F.percentile_approx(F.col(key), grid, max(10_000, 4 * wanted)).alias("q")).first()["q"]
+    picks = sorted({float(x) for x in (q or []) if x is not None})
     return n, [p for p in picks if not math.isnan(p) and not math.isinf(p)]
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a reused intermediate once to the session's checkpoint folder (a shared
+    folder on a cluster, see ``caliper.session``) and read it back: later passes
+    read the compact result instead of recomputing scan + shuffle, and lineage is
+    cut so a lost executor does not replay the whole upstream plan."""
+    from caliper.session import checkpoint_dir
+
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def add_bucket(df: DataFrame, key: str, rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
                max_buckets: int = MAX_BUCKETS, splits=None) -> DataFrame:
-    """Add an integer ``__bucket`` column, non-decreasing in ``key``."""
+    """Add a ``__bucket`` column, non-decreasing in ``key``."""
     if splits is None:
         _, splits = _split_points(df, key, rows_per_bucket, max_buckets)
     if not splits:
@@ -70,9 +91,30 @@ def running_sums(df: DataFrame, by, key: str, value_cols, descending: bool = Fal
     key comes before (and, if inclusive, equals) this row's key in the given order,
     and ``tot_<v>`` = group total.  Keys must be unique within a group."""
     by = list(by)
-    bucketed = add_bucket(df, key, rows_per_bucket, max_buckets, splits)
-    bucket_order = F.col(_BUCKET).desc() if descending else F.col(_BUCKET).asc()
+    n_groups = None
+    if splits is None:
+        df = materialize(df)
+        stats = df.agg(F.count(F.lit(1)).alias("n"),
+                       (F.count_distinct(*[F.col(b) for b in by]) if by else F.lit(1))
+                       .alias("g")).first()
+        n, n_groups = int(stats["n"]), int(stats["g"] or 0)
+        _, splits = _split_points(df, key, rows_per_bucket, max_buckets, n=n)
     key_order = F.col(key).desc() if descending else F.col(key).asc()
+    frame_end = Window.currentRow if inclusive else -1
+
+    if not splits:
+        # One bucket: the whole input is within one bucket's row budget, so a plain
+        # per-group window is bounded; no offsets and no join.
+        w_run = Window.partitionBy(*by).orderBy(key_order).rowsBetween(
+            Window.unboundedPreceding, frame_end)
+        w_all = Window.partitionBy(*by)
+        return df.select(
+            *df.columns,
+            *[F.coalesce(F.sum(v).over(w_run), F.lit(0)).alias(f"cum_{v}") for v in value_cols],
+            *[F.sum(v).over(w_all).alias(f"tot_{v}") for v in value_cols])
+
+    bucketed = add_bucket(df, key, splits=splits)
+    bucket_order = F.col(_BUCKET).desc() if descending else F.col(_BUCKET).asc()
 
     # (2) per-bucket totals: at most groups x B rows.
     totals = bucketed.groupBy(*by, _BUCKET).agg(
@@ -86,16 +128,17 @@ def running_sums(df: DataFrame, by, key: str, value_cols, descending: bool = Fal
           for v in value_cols],
         *[F.sum(f"__bt_{v}").over(w_group).alias(f"tot_{v}") for v in value_cols],
     )
+    # Size check: offsets has at most groups x (splits + 1) rows.
+    if n_groups is not None and n_groups * (len(splits) + 1) <= MAX_BROADCAST_OFFSETS:
+        offsets = F.broadcast(offsets)
 
     # (3) running sums inside each (group, bucket) partition, plus the offset.
-    frame_end = Window.currentRow if inclusive else -1
     w_in = (Window.partitionBy(*by, _BUCKET).orderBy(key_order)
             .rowsBetween(Window.unboundedPreceding, frame_end))
     joined = bucketed.join(offsets, on=[*by, _BUCKET], how="inner")
-    out = joined.select(
+    return joined.select(
         *[c for c in bucketed.columns if c != _BUCKET],
         *[(F.col(f"__off_{v}") + F.coalesce(F.sum(v).over(w_in), F.lit(0))).alias(f"cum_{v}")
           for v in value_cols],
         *[F.col(f"tot_{v}") for v in value_cols],
     )
-    return out

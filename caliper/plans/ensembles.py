@@ -1 +1,200 @@
-"""Plans (filled in below)."""
+"""Ensembles, family roll-ups and top-k on the driver tables.
+
+Recipes (shared with the SQL oracles):
+  * checkpoint scores: one row per order; six checkpoints from numeric expressions
+    over the order columns, architecture = checkpoint index % 3; one checkpoint is
+    null for status 'P' orders (skipped by the means).
+  * class scores: ``embeddings.embedding`` (64 values) are the logits; fold f in
+    0..4 scales them by (10 + f) / 10; class i is ``class_i`` of family
+    MODEL_FAMILIES[i % 11]; the truth family is MODEL_FAMILIES[label].
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from caliper.functions import rules
+from caliper.operators import ensemble
+from caliper.plans.registry import plan, rounded
+from caliper.plans.tables import table
+
+_CHECKPOINTS = [
+    ("c0", "arch0", "CAST(o_totalprice AS DOUBLE) / 600000.0"),
+    ("c1", "arch1", "CAST(o_custkey % 97 AS DOUBLE) / 97.0"),
+    ("c2", "arch2", "CAST(o_orderkey % 101 AS DOUBLE) / 101.0"),
+    ("c3", "arch0", "CASE WHEN o_orderstatus = 'P' THEN NULL "
+                    "ELSE CAST(o_orderkey % 89 AS DOUBLE) / 89.0 END"),
+    ("c4", "arch1", "CAST((o_orderkey * 7 + o_custkey) % 113 AS DOUBLE) / 113.0"),
+    ("c5", "arch2", "CAST(o_custkey % 13 AS DOUBLE) / 13.0"),
+]
+
+CHECKPOINT_SQL = "ck AS (" + "\n  UNION ALL ".join(
+    f"SELECT o_orderkey AS row_id, '{c}' AS checkpoint, '{a}' AS arch, {e} AS prob FROM orders"
+    for c, a, e in _CHECKPOINTS) + ")"
+
+
+def checkpoint_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Long (row_id, checkpoint, arch, prob): one generator over the orders scan."""
+    o = table(spark, d, "orders")
+    cells = F.array(*[F.struct(F.lit(c).alias("checkpoint"), F.lit(a).alias("arch"),
+                               F.expr(e).cast("double").alias("prob"))
+                      for c, a, e in _CHECKPOINTS])
+    return (o.select(F.col("o_orderkey").alias("row_id"), F.explode(cells).alias("__c"))
+            .select("row_id", "__c.checkpoint", "__c.arch", "__c.prob"))
+
+
+@plan("ensemble_scores", f"""
+WITH {CHECKPOINT_SQL},
+am AS (SELECT row_id, arch, avg(prob) AS arch_mean FROM ck GROUP BY row_id, arch),
+nn AS (SELECT row_id, arch, arch_mean,
+              (rank() OVER (PARTITION BY arch ORDER BY arch_mean)
+               + (count(*) OVER (PARTITION BY arch, arch_mean) - 1) / 2.0)
+              / count(*) OVER (PARTITION BY arch) AS arch_rank
+       FROM am WHERE arch_mean IS NOT NULL),
+rk AS (SELECT am.row_id, am.arch, am.arch_mean, nn.arch_rank FROM am LEFT JOIN nn
+       ON am.row_id = nn.row_id AND am.arch = nn.arch)
+SELECT row_id, round(avg(arch_mean), 6) AS prob_ensemble, round(avg(arch_rank), 6) AS rank_ensemble
+FROM rk GROUP BY row_id""")
+def ensemble_scores(spark, d):
+    """A23 + A24 + W1: two-level mean and mean per-architecture percentile rank."""
+    return rounded(ensemble.ensemble_scores(checkpoint_scores(spark, d)))
+
+
+@plan("architecture_pct_rank", f"""
+WITH {CHECKPOINT_SQL},
+am AS (SELECT row_id, arch, avg(prob) AS arch_mean FROM ck GROUP BY row_id, arch),
+nn AS (SELECT row_id, arch,
+              (rank() OVER (PARTITION BY arch ORDER BY arch_mean)
+               + (count(*) OVER (PARTITION BY arch, arch_mean) - 1) / 2.0)
+              / count(*) OVER (PARTITION BY arch) AS arch_rank
+       FROM am WHERE arch_mean IS NOT NULL)
+SELECT am.row_id, am.arch, round(am.arch_mean, 6) AS arch_mean, round(nn.arch_rank, 6) AS arch_rank
+FROM am LEFT JOIN nn ON am.row_id = nn.row_id AND am.arch = nn.arch""")
+def architecture_pct_rank(spark, d):
+    """W1 on its own: average-tie percentile rank of each architecture mean."""
+    am = ensemble.ensemble_mean(checkpoint_scores(spark, d))
+    return rounded(ensemble.pct_rank_avg(am, ["arch"], "arch_mean", out="arch_rank")
+                   .select("row_id", "arch", "arch_mean", "arch_rank"))
+
+
+@plan("checkpoint_matrix", f"""
+WITH {CHECKPOINT_SQL}
+SELECT row_id, {", ".join(f"round(max(prob) FILTER (WHERE checkpoint = '{c}'), 6) AS {c}"
+                          for c, _, _ in _CHECKPOINTS)}
+FROM ck GROUP BY row_id""")
+def checkpoint_matrix(spark, d):
+    """Wide matrix, one column per checkpoint of the (fixed) roster."""
+    return rounded(ensemble.wide_checkpoint_matrix(
+        checkpoint_scores(spark, d), [c for c, _, _ in _CHECKPOINTS]))
+
+
+# ---------------------------------------------------------------- class scores
+_FAMS = ", ".join(f"'{f}'" for f in rules.MODEL_FAMILIES)
+N_FOLDS = 5
+
+FOLD_SQL = f"""
+lx AS (SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS class_idx,
+              CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+lg AS (SELECT vec_id, label, f.range AS fold, class_idx,
+              x * (CAST(10 + f.range AS DOUBLE) / 10.0) AS logit
+       FROM lx, range({N_FOLDS}) f),
+mx AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY vec_id, fold)) AS e FROM lg),
+sm AS (SELECT *, e / sum(e) OVER (PARTITION BY vec_id, fold) AS p FROM mx),
+cp AS (SELECT vec_id, class_idx, avg(p) AS mean, stddev_samp(p) AS sd
+       FROM sm GROUP BY vec_id, class_idx),
+cf AS (SELECT cp.*, 'class_' || CAST(class_idx AS VARCHAR) AS class,
+              [{_FAMS}][class_idx % 11 + 1] AS family FROM cp)"""
+
+
+def fold_logits(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    return (e.select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(N_FOLDS - 1))).alias("fold"),
+                     "embedding")
+            .select("vec_id", "fold", F.transform(
+                "embedding", lambda x: x.cast("double")
+                * ((F.lit(10) + F.col("fold")).cast("double") / 10.0)).alias("logits")))
+
+
+def class_dim(spark: SparkSession) -> DataFrame:
+    fams = F.array(*[F.lit(f) for f in rules.MODEL_FAMILIES])
+    return ensemble.class_dim(
+        spark, 64, lambda i: F.concat(F.lit("class_"), i.cast("string")),
+        lambda i: F.element_at(fams, (i % 11) + 1))
+
+
+def class_scores(spark: SparkSession, d: str) -> DataFrame:
+    probs = ensemble.class_probabilities(fold_logits(spark, d), "vec_id", "fold", "logits")
+    return ensemble.map_class_to_family(probs, class_dim(spark))
+
+
+@plan("fold_mean_sd", f"""
+WITH {FOLD_SQL}
+SELECT vec_id, class_idx, round(mean, 6) AS mean, round(sd, 6) AS sd FROM cp""")
+def fold_mean_sd(spark, d):
+    """F21 + A20: softmax per fold, mean and sample sd across folds per class."""
+    probs = ensemble.class_probabilities(fold_logits(spark, d), "vec_id", "fold", "logits")
+    return rounded(probs)
+
+
+@plan("family_probability", f"""
+WITH {FOLD_SQL}
+SELECT vec_id, family, round(sum(mean), 6) AS prob FROM cf GROUP BY vec_id, family""")
+def family_probability(spark, d):
+    """J7 + A21: class -> family (broadcast class dim), summed per row."""
+    return rounded(ensemble.family_probability(class_scores(spark, d), "vec_id"))
+
+
+@plan("composite_probability", f"""
+WITH {FOLD_SQL},
+fp AS (SELECT vec_id, family, sum(mean) AS prob FROM cf GROUP BY vec_id, family)
+SELECT vec_id,
+  round(sum(CASE WHEN family IN ({", ".join(f"'{x}'" for x in rules.MALIGNANT_FAMILIES)})
+                 THEN prob ELSE 0 END), 6) AS invasive,
+  round(sum(CASE WHEN family IN ({", ".join(f"'{x}'" for x in rules.PREMALIGNANT_FAMILIES)})
+                 THEN prob ELSE 0 END), 6) AS premalignant,
+  round(sum(CASE WHEN family IN ({", ".join(f"'{x}'" for x in rules.MALIGNANT_FAMILIES
+                                          + rules.PREMALIGNANT_FAMILIES)})
+                 THEN prob ELSE 0 END), 6) AS concerning,
+  round(sum(CASE WHEN family IN ({", ".join(f"'{x}'" for x in rules.BENIGN_FAMILIES)})
+                 THEN prob ELSE 0 END), 6) AS benign
+FROM fp GROUP BY vec_id""")
+def composite_probability(spark, d):
+    """Invasive / premalignant / concerning / benign composites per row."""
+    fam = ensemble.family_probability(class_scores(spark, d), "vec_id")
+    return rounded(ensemble.composite_probability(fam, "vec_id"))
+
+
+@plan("top_families", f"""
+WITH {FOLD_SQL},
+fb AS (SELECT *, row_number() OVER (PARTITION BY vec_id, family ORDER BY mean DESC, class_idx)
+              AS rf FROM cf),
+ff AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY mean DESC, class_idx) AS r
+       FROM fb WHERE rf = 1),
+tw AS (SELECT vec_id,
+  max(class) FILTER (WHERE r = 1) AS top1_diagnosis, max(family) FILTER (WHERE r = 1) AS top1_family,
+  max(mean) FILTER (WHERE r = 1) AS top1_probability,
+  max(class) FILTER (WHERE r = 2) AS top2_diagnosis, max(family) FILTER (WHERE r = 2) AS top2_family,
+  max(mean) FILTER (WHERE r = 2) AS top2_probability,
+  max(class) FILTER (WHERE r = 3) AS top3_diagnosis, max(family) FILTER (WHERE r = 3) AS top3_family,
+  max(mean) FILTER (WHERE r = 3) AS top3_probability
+  FROM ff GROUP BY vec_id),
+gt AS (SELECT vec_id, [{_FAMS}][label + 1] AS gt_family FROM embeddings)
+SELECT tw.vec_id, top1_diagnosis, top1_family, round(top1_probability, 6) AS top1_probability,
+       top2_diagnosis, top2_family, round(top2_probability, 6) AS top2_probability,
+       top3_diagnosis, top3_family, round(top3_probability, 6) AS top3_probability,
+       gt.gt_family,
+       CAST(coalesce(top1_family = gt.gt_family, false) AS INTEGER) AS top1_family_correct,
+       CAST(coalesce(gt.gt_family IN (top1_family, top2_family, top3_family), false) AS INTEGER)
+         AS top3_family_correct
+FROM tw JOIN gt ON tw.vec_id = gt.vec_id""")
+def top_families(spark, d):
+    """T1 + T2 + T3: unique-family top-3 per row, wide, with hit flags vs truth."""
+    top = ensemble.top_families(class_scores(spark, d), "vec_id", k=3)
+    fams = F.array(*[F.lit(f) for f in rules.MODEL_FAMILIES])
+    gt = table(spark, d, "embeddings").select(
+        "vec_id", F.element_at(fams, F.col("label") + 1).alias("gt_family"))
+    return rounded(top.join(gt, "vec_id").select(
+        "vec_id", *ensemble.topk_columns("top", 3), "gt_family",
+        ensemble.topk_hit("top", "gt_family", 1).cast("int").alias("top1_family_correct"),
+        ensemble.topk_hit("top", "gt_family", 3).cast("int").alias("top3_family_correct")))

@@ -28,12 +28,24 @@ def plan(name: str, sql: str | None = None):
     return deco
 
 
+def round_half_away(c, digits: int = 6):
+    """Round the *binary* double half away from zero: sign(x) * floor(|x| * 10^d + 0.5)
+    / 10^d, the same IEEE operations DuckDB's ``round`` performs.  (Spark's
+    ``round`` rounds the shortest decimal string instead, which differs on values
+    like 0.5006875 whose binary value lies just below the half.)"""
+    x = c.cast("double")
+    scale = float(10 ** digits)
+    mag = F.floor(F.abs(x) * scale + 0.5).cast("double") / scale
+    finite = ~F.isnan(x) & (F.abs(x) != float("inf"))
+    return F.when(finite, F.when(x < 0, -mag).otherwise(mag)).otherwise(x)
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every top-level double/float column (oracle hygiene)."""
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (DoubleType, FloatType)):
-            cols.append(F.round(F.col(f"`{f.name}`").cast("double"), digits).alias(f.name))
+            cols.append(round_half_away(F.col(f"`{f.name}`"), digits).alias(f.name))
         else:
             cols.append(F.col(f"`{f.name}`"))
     return df.select(*cols)
