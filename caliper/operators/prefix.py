@@ -61,6 +61,17 @@ def _split_points(df: DataFrame, key: str, rows_per_bucket: int, max_buckets: in
     return n, [p for p in picks if not math.isnan(p) and not math.isinf(p)]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy row-wise work (JSON parsing, array math) at least as many tasks
+    as the cluster has cores.  Only small inputs (fewer partitions than cores, e.g.
+    one small file) are round-robin repartitioned; large inputs already have
+    thousands of splits and pass through untouched, with no shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a reused intermediate once to the session's checkpoint folder (a shared
     folder on a cluster, see ``caliper.session``) and read it back: later passes
