@@ -154,8 +154,8 @@ def truth_vocabulary(df: DataFrame, col, n: int = 50) -> DataFrame:
     d = df.select(_c(col).alias("value")).where(F.col("value").isNotNull()).distinct()
     total = d.agg(F.count(F.lit(1)).alias("n_distinct"))
     head = d.orderBy("value").limit(n)
-    return attach_single_row(head, total).select("value", "n_distinct",
-                                        (F.col("n_distinct") - F.lit(n)).alias("n_more"))
+    return attach_single_row(head, total).select(
+        "value", "n_distinct", F.greatest(F.col("n_distinct") - F.lit(n), F.lit(0)).alias("n_more"))
 
 
 def fold_mean_sd(df: DataFrame, keys, value) -> DataFrame:
