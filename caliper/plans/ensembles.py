@@ -198,3 +198,70 @@ def top_families(spark, d):
         "vec_id", *ensemble.topk_columns("top", 3), "gt_family",
         ensemble.topk_hit("top", "gt_family", 1).cast("int").alias("top1_family_correct"),
         ensemble.topk_hit("top", "gt_family", 3).cast("int").alias("top3_family_correct")))
+
+
+# ---------------------------------------------------------------- fusion
+def fusion_inputs(spark: SparkSession, d: str) -> DataFrame:
+    """Three models joined on the row id: the class-score model (top families and
+    family probabilities, per embedding), the checkpoint ensemble (per order, joined
+    on the same id value) and a fusion reply (the event reply with that id)."""
+    from caliper.operators import linkage as J
+    from caliper.operators import replies as R
+    from caliper.plans.replies_plans import reply_text
+
+    scores = class_scores(spark, d)
+    fam = ensemble.family_probability(scores, "vec_id")
+    wide = ensemble.family_wide(fam, "vec_id")
+    comp = ensemble.composite_probability(fam, "vec_id")
+    top = ensemble.top_families(scores, "vec_id", 3)
+    model_a = (top.select("vec_id", *ensemble.topk_columns("top", 3))
+               .join(wide, "vec_id").join(comp, "vec_id")
+               .withColumnRenamed("family_prob_MEL", "resnet_melanoma_probability")
+               .withColumnRenamed("concerning", "resnet_clinically_concerning_probability")
+               .withColumnRenamed("vec_id", "row_id"))
+    model_b = (ensemble.ensemble_scores(checkpoint_scores(spark, d))
+               .select(F.col("row_id").alias("derm7pt_row_id"),
+                       F.col("prob_ensemble").alias("siim90_probability_ensemble"),
+                       F.col("rank_ensemble").alias("siim90_rank_ensemble")))
+    both = J.join_model_outputs(model_a, model_b, "row_id", "derm7pt_row_id",
+                                ["resnet_melanoma_probability", "siim90_probability_ensemble"])
+    replies = R.parse_replies(reply_text(spark, d).withColumnRenamed("event_id", "row_id"),
+                              "text", mode="fenced", on_error="drop")
+    fused = R.family_top3(replies.select("row_id", "_reply")).select(
+        "row_id", F.col("top1_family").alias("gpt_fusion_top1_family"),
+        F.col("top1_probability").alias("fusion_confidence"),
+        F.col("top2_probability").alias("resnet_weight"),
+        F.col("top3_probability").alias("siim_weight"))
+    return both.join(fused, "row_id")
+
+
+@plan("fusion_behaviour")
+def fusion_behaviour(spark, d):
+    """F14 + F15 + A17 (+ J6/P2): base-model Youden flags, the fusion model's changes
+    against them and the behaviour rates, in one aggregate."""
+    from caliper.functions import labels as L
+    from caliper.operators import fusion
+
+    x = fusion.base_flags(fusion_inputs(spark, d), "resnet_melanoma_probability",
+                          "resnet_clinically_concerning_probability",
+                          "siim90_probability_ensemble")
+    x = x.withColumns({
+        "fusion_mel": L.threshold_flag("fusion_confidence", 0.5),
+        "fusion_malign": F.col("gpt_fusion_top1_family").isin(rules.MALIGNANT_FAMILIES).cast("int")})
+    x = fusion.change_flags(x, "gpt_fusion_top1_family", "top1_family", "fusion_mel",
+                            "fusion_malign")
+    return rounded(fusion.fusion_behaviour(x))
+
+
+@plan("fusion_prompts")
+def fusion_prompts(spark, d):
+    """F17 + F23: evidence prompts for the fusion model from whichever base-model
+    columns exist (rows-only check: prompt text formats numbers engine-specifically)."""
+    from caliper.operators import fusion
+
+    x = fusion.base_flags(fusion_inputs(spark, d), "resnet_melanoma_probability",
+                          "resnet_clinically_concerning_probability",
+                          "siim90_probability_ensemble")
+    p = fusion.render_prompts(x, fusion.evidence_template(x.columns))
+    return p.select("row_id", F.length("prompt").alias("prompt_chars"),
+                    F.sha2("prompt", 256).alias("prompt_sha256"))
