@@ -201,7 +201,12 @@ def parse_replies(df: DataFrame, text_col: str, mode="fenced_or_embedded",
     out = v.withColumn("_error", err)
     out = out.withColumn("_reply", F.when(F.col("_error").isNull(), F.col("_reply")))
     if on_error == "drop":
-        return out.where(F.col("_error").isNull())
+        # Keep-or-drop as a 0/1-element explode rather than a Filter: a Filter on
+        # _error is pushed below the staged projections with the whole parse inlined
+        # into its condition (parsing twice and overflowing generated code).
+        keep = F.explode(F.when(F.col("_error").isNull(), F.array(F.lit(True)))
+                         .otherwise(F.array().cast("array<boolean>")))
+        return out.select("*", keep.alias("__keep")).drop("__keep")
     if on_error == "fail":
         return out.withColumn("_error", F.when(F.col("_error").isNotNull(), F.raise_error(
             F.concat(F.lit("bad reply: "), F.col("_error")))).cast("string"))

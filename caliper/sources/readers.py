@@ -141,25 +141,54 @@ def read_class_map(spark: SparkSession, idx_json: str, fam_json: str,
             .select("class_idx", "class", F.coalesce("family", F.lit(unmapped)).alias("family")))
 
 
-def flatten_json(df: DataFrame, id_col: str, json_col: str, max_depth: int = 16) -> DataFrame:
+def _schema_depth(schema: str) -> int:
+    """Container nesting depth of a variant schema string (OBJECT<..>, ARRAY<..>)."""
+    depth = best = 0
+    for tok in schema.replace("<", " < ").replace(">", " > ").split():
+        if tok == "<":
+            depth += 1
+            best = max(best, depth)
+        elif tok == ">":
+            depth -= 1
+    return best
+
+
+def flatten_json(df: DataFrame, id_col: str, json_col: str, max_depth: int = 64) -> DataFrame:
     """Nested JSON text -> long (id, key, value) with keys ``a.b`` and ``c[0]``;
     empty objects / lists emit nothing; JSON null is emitted (value NULL); values
     are the scalar's text.
 
     One linear chain of explodes, one per nesting level, with no shuffle: a row
     holding an object or list is replaced by its children, a scalar row is carried
-    through unchanged, so every level reads the previous one exactly once."""
+    through unchanged, so every level reads the previous one exactly once.  The
+    number of levels is the nesting depth of the merged schema of all records
+    (``schema_of_variant_agg``: one aggregate returning a schema string)."""
+    from caliper.operators.prefix import spread
+
     node = "struct<key:string,v:variant>"
-    rows = df.select(F.col(id_col).alias("__id"), F.struct(
+    rows = spread(df.select(id_col, json_col)).select(F.col(id_col).alias("__id"), F.struct(
         F.lit(None).cast("string").alias("key"),
         F.try_parse_json(F.col(json_col)).alias("v")).alias("n")).where(F.col("n.v").isNotNull())
+    merged = rows.agg(F.schema_of_variant_agg("n.v").alias("s")).first()["s"] or ""
+    levels = min(max_depth, _schema_depth(merged))
 
     def child_key(parent, name):
         return F.when(parent.isNull(), name).otherwise(F.concat(parent, F.lit("."), name))
 
-    for _ in range(max_depth):
+    def is_container(v):
+        return (F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+                | F.try_variant_get(v, "$", "array<variant>").isNotNull())
+
+    # A merged schema with VARIANT inside (lists of mixed types) hides deeper levels:
+    # then keep going while a one-row probe still finds a container.
+    opaque = "VARIANT" in merged
+    done = 0
+    while done < max_depth:
+        if done >= levels and not (opaque and rows.where(is_container(F.col("n.v")))
+                                   .limit(1).count()):
+            break
+        done += 1
         v, key = F.col("n.v"), F.col("n.key")
-        t = F.schema_of_variant(v)
         objs = F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")),
                            lambda e: F.struct(child_key(key, e["key"]).alias("key"),
                                               e["value"].alias("v")))
@@ -168,8 +197,8 @@ def flatten_json(df: DataFrame, id_col: str, json_col: str, max_depth: int = 16)
                                F.concat(F.coalesce(key, F.lit("")), F.lit("["),
                                         i.cast("string"), F.lit("]")).alias("key"),
                                x.alias("v")))
-        children = (F.when(t.startswith("OBJECT"), objs).when(t.startswith("ARRAY"), arrs)
-                    .otherwise(F.array(F.col("n"))).cast(f"array<{node}>"))
+        children = F.coalesce(objs.cast(f"array<{node}>"), arrs.cast(f"array<{node}>"),
+                              F.array(F.col("n")).cast(f"array<{node}>"))
         rows = rows.select("__id", F.explode(children).alias("n"))
     return rows.select(
         F.col("__id").alias(id_col), F.col("n.key").alias("key"),
