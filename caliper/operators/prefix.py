@@ -29,9 +29,13 @@ from pyspark.sql import functions as F
 
 # Rows per window partition we aim at; a few million rows sort comfortably in a task.
 DEFAULT_ROWS_PER_BUCKET = 2_000_000
-# Below this many rows per bucket, extra buckets cost more (a quantile job) than
-# the parallelism they buy.
-MIN_ROWS_PER_BUCKET = 200_000
+# Reused intermediates estimated above this size are written once and read back;
+# below it, recomputing them for the small stats job is cheaper than a write.
+MATERIALIZE_ABOVE_BYTES = 256 * 1024 * 1024
+# Inputs Catalyst estimates at or below this size skip the stats job and use one
+# bucket: a per-group window over a few million rows at most.  (The estimate only
+# steers speed; results are the same either way.)
+SINGLE_BUCKET_MAX_BYTES = 32 * 1024 * 1024
 # Hard cap on split points kept in the plan (bounded literal size).
 MAX_BUCKETS = 4096
 # The per-(group, bucket) offsets table is broadcast only below this many rows.
@@ -40,9 +44,12 @@ _BUCKET = "__bucket"
 
 
 def _bucket_count(spark, n: int, rows_per_bucket: int, max_buckets: int) -> int:
-    need = math.ceil(n / max(rows_per_bucket, 1))
-    parallel = min(spark.sparkContext.defaultParallelism, n // MIN_ROWS_PER_BUCKET)
-    return int(min(max_buckets, max(1, need, parallel)))
+    return int(min(max_buckets, max(1, math.ceil(n / max(rows_per_bucket, 1)))))
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of a plan (no job runs)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def _split_points(df: DataFrame, key: str, rows_per_bucket: int, max_buckets: int, n=None):
@@ -73,14 +80,19 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write a reused intermediate once to the session's checkpoint folder (a shared
-    folder on a cluster, see ``caliper.session``) and read it back: later passes
-    read the compact result instead of recomputing scan + shuffle, and lineage is
-    cut so a lost executor does not replay the whole upstream plan."""
+    """Write a reused intermediate once as Parquet under the session's checkpoint
+    folder (the shared folder a cluster names in ``spark.checkpoint.dir``, see
+    ``caliper.session``) and read it back: later passes read the compact result
+    instead of recomputing scan + shuffle, lineage is cut so a lost executor does
+    not replay the upstream plan, and the read-back keeps real size statistics and
+    column pruning (an RDD checkpoint keeps neither)."""
+    import uuid
+
     from caliper.session import checkpoint_dir
 
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/caliper-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def add_bucket(df: DataFrame, key: str, rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
@@ -97,14 +109,18 @@ def add_bucket(df: DataFrame, key: str, rows_per_bucket: int = DEFAULT_ROWS_PER_
 
 def running_sums(df: DataFrame, by, key: str, value_cols, descending: bool = False,
                  inclusive: bool = True, rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
-                 max_buckets: int = MAX_BUCKETS, splits=None) -> DataFrame:
+                 max_buckets: int = MAX_BUCKETS, splits=None,
+                 single_bucket_max_bytes: int = SINGLE_BUCKET_MAX_BYTES) -> DataFrame:
     """For each row add ``cum_<v>`` = sum of ``v`` over rows of the same group whose
     key comes before (and, if inclusive, equals) this row's key in the given order,
     and ``tot_<v>`` = group total.  Keys must be unique within a group."""
     by = list(by)
     n_groups = None
+    if splits is None and estimated_bytes(df) <= single_bucket_max_bytes:
+        splits = []
     if splits is None:
-        df = materialize(df)
+        if estimated_bytes(df) > MATERIALIZE_ABOVE_BYTES:
+            df = materialize(df)
         stats = df.agg(F.count(F.lit(1)).alias("n"),
                        (F.count_distinct(*[F.col(b) for b in by]) if by else F.lit(1))
                        .alias("g")).first()

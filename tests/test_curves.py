@@ -72,7 +72,8 @@ def test_brute_force_grouped(spark, rows_per_bucket):
             rows.append((g, int(rnd.random() < 0.3 + 0.5 * s), s))
     df = _df(spark, rows, grp=True)
     got = {r.g: r for r in curves.curve_summary(df, "y", "score", by=["g"], thresholds=(),
-                                                rows_per_bucket=rows_per_bucket).collect()}
+                                                rows_per_bucket=rows_per_bucket,
+                                                single_bucket_max_bytes=-1).collect()}
     for g in ("a", "b", "c"):
         sub = [(y, s) for gg, y, s in rows if gg == g]
         auc, ap, thr = brute(sub)
@@ -82,7 +83,8 @@ def test_brute_force_grouped(spark, rows_per_bucket):
     # a permutation of the input (here: repartitioning) changes nothing
     again = {r.g: r.roc_auc for r in curves.curve_summary(
         df.repartition(7), "y", "score", by=["g"], thresholds=(),
-        rows_per_bucket=rows_per_bucket).collect()}
+        rows_per_bucket=rows_per_bucket,
+                                                single_bucket_max_bytes=-1).collect()}
     assert again == {g: got[g].roc_auc for g in got}
 
 
@@ -115,3 +117,16 @@ def test_grid_one_pass_matches_cells(spark):
         assert got[("t2", "b", r["mode"])].tp == r.tp
     plan = g._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_bucketed_path_is_taken(spark):
+    """With a small row budget the running sum really splits into buckets."""
+    from caliper.operators import prefix
+    rows = [(i % 3, float(i)) for i in range(500)]
+    df = spark.createDataFrame(rows, "g int, v double").groupBy("g", "v").count()
+    n, splits = prefix._split_points(df, "v", 50, 4096)
+    assert n == 500 and len(splits) >= 8
+    rs = prefix.running_sums(df, ["g"], "v", ["count"], rows_per_bucket=50,
+                             single_bucket_max_bytes=-1).collect()
+    for r in rs:
+        assert r.cum_count == sum(1 for i in range(500) if i % 3 == r.g and i <= r.v)

@@ -35,7 +35,8 @@ def test_pct_rank_matches_pandas(spark, rows_per_bucket):
             for i, g in enumerate(["x"] * 150 + ["y"] * 40)]
     df = spark.createDataFrame(rows, "id long, g string, v double")
     got = {r.id: r.pct_rank for r in ensemble.pct_rank_avg(df, ["g"], "v",
-                                                           rows_per_bucket=rows_per_bucket).collect()}
+                                                           rows_per_bucket=rows_per_bucket,
+                                                single_bucket_max_bytes=-1).collect()}
     pdf = pd.DataFrame(rows, columns=["id", "g", "v"])
     exp = pdf.groupby("g")["v"].rank(pct=True)
     for i, e in zip(pdf["id"], exp):
