@@ -99,6 +99,14 @@ def truth_melanoma_from(df_columns, force_col: str | None = None,
     return F.lit("")
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (a one-element ``transform``).
+    Inside higher-order lambdas Catalyst does not eliminate common subexpressions,
+    so a rule chain that tests one derived value many times would recompute it for
+    every rule."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _word_regex(terms) -> str:
     return r"\b(" + "|".join(terms) + r")\b"
 
@@ -106,12 +114,15 @@ def _word_regex(terms) -> str:
 def dx_to_group(text, group_rules=rules.DX_GROUP_RULES) -> Column:
     """F8: normalise, then ordered word-boundary rules; no hit or null input -> null."""
     raw = _c(text)
-    p = norm_dx2(raw)
-    expr = None
-    for terms, group in group_rules:
-        cond = p.rlike(_word_regex(terms))
-        expr = F.when(cond, F.lit(group)) if expr is None else expr.when(cond, F.lit(group))
-    return F.when(raw.isNull(), F.lit(None).cast("string")).otherwise(expr)
+
+    def chain(p):
+        expr = None
+        for terms, group in group_rules:
+            cond = p.rlike(_word_regex(terms))
+            expr = F.when(cond, F.lit(group)) if expr is None else expr.when(cond, F.lit(group))
+        return expr
+
+    return F.when(raw.isNull(), F.lit(None).cast("string")).otherwise(let(norm_dx2(raw), chain))
 
 
 def is_malignant_group(g, groups=rules.MALIGNANT_DX_GROUPS) -> Column:

@@ -188,7 +188,9 @@ SELECT p_partkey, dx_norm, grp,
 FROM g""")
 def dx_groups(spark, d):
     """F7 + F8 + F9 + F10: normalise, map to groups, malignant flag, hit@1 / hit@3."""
-    p = part_dx(spark, d)
+    from caliper.operators.prefix import spread
+
+    p = spread(part_dx(spark, d))
     preds = F.array("dx", "dx_next1", "dx_next2")
     truth = L.dx_to_group("dx_truth")
     return p.select(
