@@ -82,3 +82,16 @@ def test_model_outputs_join(spark):
     assert [r.row_id for r in j.collect()] == [0]
     stacked = J.stack_scenarios({"one": a.limit(1), "two": a.limit(1)})
     assert sorted(r.scenario for r in stacked.collect()) == ["one", "two"]
+
+
+def test_filters(spark):
+    from caliper.operators import filters
+    df = spark.createDataFrame([(1, "a", "x", None, "Dermoscopic"), (2, "", "x", None, "clinical"),
+                                (3, "b", None, None, "derm"), (4, "c", "y", "boom", "clinic")],
+                               "id int, t string, p string, e string, kind string")
+    assert [r.id for r in filters.evaluable(df, "t", "p", "e").collect()] == [1]
+    assert sorted(r.id for r in filters.evaluable(df, "t", "p", strict_blank=False).collect()) == [1, 3, 4]
+    assert [r.id for r in filters.limit_cases(df, 2, "id").collect()] == [1, 2]
+    assert filters.limit_cases(df, 0, "id").count() == 4
+    assert sorted(r.id for r in filters.image_type_filter(df, "kind", "derm").collect()) == [1, 3]
+    assert [r.id for r in filters.sorted_listing(df, "id").collect()] == [1, 2, 3, 4]
