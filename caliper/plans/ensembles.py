@@ -94,7 +94,7 @@ _FAMS = ", ".join(f"'{f}'" for f in rules.MODEL_FAMILIES)
 N_FOLDS = 5
 
 FOLD_SQL = f"""
-lx AS (SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS class_idx,
+lx AS (SELECT vec_id, label, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS class_idx,
               CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
 lg AS (SELECT vec_id, label, f.range AS fold, class_idx,
               x * (CAST(10 + f.range AS DOUBLE) / 10.0) AS logit
