@@ -186,15 +186,37 @@ def attach_truth(preds: DataFrame, pred_id: str, truth: DataFrame, truth_id: str
 
 def pair_views(df: DataFrame, key: str, type_col: str, cols, left_kind: str = "derm",
                right_kind: str = "clinic", left_suffix: str = "_derm",
-               right_suffix: str = "_clin") -> DataFrame:
+               right_suffix: str = "_clin", multiple: str = "first", order: str | None = None,
+               max_pairs_per_key: int = 1000) -> DataFrame:
     """Rows whose lower-cased type contains ``left_kind`` paired with rows of the
-    same key containing ``right_kind`` (inner equi-join on the key: a key missing a
-    side vanishes; several rows per side give one row per combination)."""
+    same key containing ``right_kind``; a key missing a side vanishes.
+
+    ``multiple="first"`` (default) keeps one row per side and key -- the one with
+    the smallest ``order`` value (default: the first listed column) -- so the output
+    is one row per key whatever the skew.  ``multiple="all"`` reproduces a pandas
+    merge (every left x right combination per key); it first counts both sides per
+    key (one aggregate) and raises if any key would emit more than
+    ``max_pairs_per_key`` rows, instead of silently exploding a hot key."""
     t = F.lower(F.col(type_col).cast("string"))
-    a = df.where(t.contains(left_kind)).select(
-        key, *[F.col(c).alias(c + left_suffix) for c in cols])
-    b = df.where(t.contains(right_kind)).select(
-        key, *[F.col(c).alias(c + right_suffix) for c in cols])
+    order = order or cols[0]
+
+    def side(kind, suffix):
+        x = df.where(t.contains(kind))
+        if multiple == "first":
+            x = x.groupBy(key).agg(F.min_by(F.struct(*[F.col(c) for c in cols]), F.col(order))
+                                   .alias("__s")).select(key, "__s.*")
+        return x.select(key, *[F.col(c).alias(c + suffix) for c in cols])
+
+    a, b = side(left_kind, left_suffix), side(right_kind, right_suffix)
+    if multiple == "all":
+        na = a.groupBy(key).agg(F.count(F.lit(1)).alias("__na"))
+        nb = b.groupBy(key).agg(F.count(F.lit(1)).alias("__nb"))
+        worst = na.join(nb, key).agg(F.max(F.col("__na") * F.col("__nb")).alias("m")).first()["m"]
+        if worst is not None and worst > max_pairs_per_key:
+            raise ValueError(f"a key would emit {worst} pairs (> {max_pairs_per_key}); "
+                             "use multiple='first' or raise max_pairs_per_key")
+    elif multiple != "first":
+        raise ValueError("multiple must be 'first' or 'all'")
     return a.join(b, key)
 
 

@@ -169,15 +169,17 @@ def left_join_labels(spark, d):
 
 
 @plan("pair_turns", """
-WITH a AS (SELECT conv_id, turn AS turn_user, length(text) AS len_user FROM conversations
-           WHERE contains(lower(role), 'user')),
-     b AS (SELECT conv_id, turn AS turn_assistant, length(text) AS len_assistant FROM conversations
-           WHERE contains(lower(role), 'assistant'))
+WITH a AS (SELECT conv_id, arg_min(turn, turn) AS turn_user, arg_min(length(text), turn) AS len_user
+           FROM conversations WHERE contains(lower(role), 'user') GROUP BY conv_id),
+     b AS (SELECT conv_id, arg_min(turn, turn) AS turn_assistant,
+                  arg_min(length(text), turn) AS len_assistant
+           FROM conversations WHERE contains(lower(role), 'assistant') GROUP BY conv_id)
 SELECT a.conv_id, turn_user, CAST(len_user AS INTEGER) AS len_user, turn_assistant,
        CAST(len_assistant AS INTEGER) AS len_assistant
 FROM a JOIN b ON a.conv_id = b.conv_id""")
 def pair_turns(spark, d):
-    """Self-join of the two kinds on the case key; a missing side drops the key."""
+    """The two kinds paired on the case key (first turn of each side); a key
+    missing a side vanishes.  One row per key, however many turns a key has."""
     conv = table(spark, d, "conversations").select(
         "conv_id", "role", "turn", F.length("text").alias("len"))
     return J.pair_views(conv, "conv_id", "role", ["turn", "len"], left_kind="user",

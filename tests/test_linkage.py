@@ -39,8 +39,16 @@ def test_pair_views(spark):
     rows = [("L1", "D1", "Dermoscopic"), ("L1", "C1", "clinical: close-up"), ("L2", "D2", "dermoscopic"),
             ("L3", "D3", "dermoscopic"), ("L3", "C3", "clinical: close-up"), ("L3", "C4", "clinical: close-up")]
     df = spark.createDataFrame(rows, "lesion_id string, isic_id string, image_type string")
-    got = sorted(tuple(r) for r in J.pair_views(df, "lesion_id", "image_type", ["isic_id"]).collect())
+    got = sorted(tuple(r) for r in J.pair_views(df, "lesion_id", "image_type", ["isic_id"],
+                                                multiple="all").collect())
     assert got == [("L1", "D1", "C1"), ("L3", "D3", "C3"), ("L3", "D3", "C4")]
+    first = sorted(tuple(r) for r in J.pair_views(df, "lesion_id", "image_type", ["isic_id"]).collect())
+    assert first == [("L1", "D1", "C1"), ("L3", "D3", "C3")]
+    try:
+        J.pair_views(df, "lesion_id", "image_type", ["isic_id"], multiple="all", max_pairs_per_key=1)
+        raise AssertionError("expected a guard error")
+    except ValueError as e:
+        assert "pairs" in str(e)
 
 
 def test_truth_and_sets(spark):
