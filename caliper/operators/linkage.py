@@ -118,8 +118,9 @@ def resolve_by_substring(keys: DataFrame, key_col: str, catalog: DataFrame,
     """For each key, the file whose stem contains it; several -> shortest stem,
     then smallest path.  Keys without a hit are absent from the result.
 
-    Exact gram blocking: stems are exploded into their grams of sizes 1..gram, a
-    key of length L is blocked on its rarest gram of size min(L, gram)."""
+    Exact gram index: stems are exploded into their grams of sizes 1..gram.  A key
+    of length <= gram is itself a gram and is answered from a per-gram aggregate; a
+    longer key is blocked on its rarest gram and its candidates are verified."""
     k = keys.select(F.col(key_col).alias("key")).where(
         F.col("key").isNotNull() & (F.length("key") > 0)).distinct()
     stems = catalog.select(F.col(path_col).alias("path"),
@@ -130,17 +131,26 @@ def resolve_by_substring(keys: DataFrame, key_col: str, catalog: DataFrame,
                           .alias("gram"))
                   .distinct())
     freq = stem_grams.groupBy("g", "gram").agg(F.count(F.lit(1)).alias("freq"))
-    kg = (k.select("key", F.least(F.length("key"), F.lit(gram)).alias("g"))
-          .select("key", "g", F.explode(_grams(F.col("key"), F.col("g"))).alias("gram")))
-    # Block each key on its rarest gram (a gram in no stem drops out of the inner
-    # join; any remaining gram is a valid block because every candidate is verified).
+    best = F.struct(F.length("stem"), F.col("path"))
+    # Keys no longer than a gram ARE a gram: their answer is the best stem holding
+    # that gram, one aggregate over the gram index, no candidate pairs at all.
+    short = (k.where(F.length("key") <= gram)
+             .select("key", F.length("key").alias("g"), F.col("key").alias("gram")))
+    per_gram = stem_grams.groupBy("g", "gram").agg(F.min_by("path", best).alias("path"))
+    short_hits = short.join(per_gram, ["g", "gram"]).select("key", "path")
+    # Longer keys: block on the key's rarest gram (a gram in no stem drops out of the
+    # inner join; any remaining gram is a valid block because every candidate is
+    # verified with ``contains``).
+    kg = (k.where(F.length("key") > gram)
+          .select("key", F.explode(_grams(F.col("key"), F.lit(gram))).alias("gram"))
+          .withColumn("g", F.lit(gram)))
     block = (kg.join(freq, ["g", "gram"])
              .groupBy("key").agg(F.min_by(F.struct("g", "gram"), F.struct("freq", "gram"))
                                  .alias("b"))
              .select("key", "b.g", "b.gram"))
     cand = block.join(stem_grams, ["g", "gram"]).where(F.col("stem").contains(F.col("key")))
-    return cand.groupBy("key").agg(
-        F.min_by(F.col("path"), F.struct(F.length("stem"), F.col("path"))).alias("path"))
+    long_hits = cand.groupBy("key").agg(F.min_by(F.col("path"), best).alias("path"))
+    return short_hits.unionByName(long_hits)
 
 
 def find_files(wanted: DataFrame, key_col: str, catalog: DataFrame, path_col: str = "path",
