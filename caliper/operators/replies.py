@@ -73,7 +73,9 @@ def extract_json(text, mode) -> Column:
 
 
 def is_object(v) -> Column:
-    return F.coalesce(F.schema_of_variant(_c(v)).startswith("OBJECT"), F.lit(False))
+    """True for a JSON object: a cast to the empty struct succeeds only for objects
+    (cheap; ``schema_of_variant`` would build the whole schema string)."""
+    return F.try_variant_get(_c(v), "$", "struct<>").isNotNull()
 
 
 def field(v, key: str) -> Column:
@@ -88,19 +90,13 @@ def default_if_absent(value: Column, default: Column) -> Column:
 
 def variant_string(v) -> Column:
     """``str``-like text of a scalar variant; JSON null -> NULL."""
-    return F.when(F.is_variant_null(_c(v)), F.lit(None).cast("string")) \
-        .otherwise(F.try_variant_get(_c(v), "$", "string"))
+    return F.try_variant_get(_c(v), "$", "string")
 
 
 def to_double_or_null(v) -> Column:
     """F19 on a variant: numbers, numeric strings and booleans convert; null, lists,
     objects and other strings give NULL (NaN -> NULL)."""
-    v = _c(v)
-    t = F.schema_of_variant(v)
-    as_str = strip(F.try_variant_get(v, "$", "string"))
-    d = (F.when(t == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double"))
-         .when(t.startswith("OBJECT") | t.startswith("ARRAY") | (t == "VOID"), F.lit(None))
-         .otherwise(as_str.try_cast("double")))
+    d = F.try_variant_get(_c(v), "$", "double")
     return F.when(F.isnan(d), F.lit(None)).otherwise(d)
 
 
@@ -227,28 +223,32 @@ def family_top3(df: DataFrame, reply: str = "_reply", list_key: str = "top3_diff
     (F12).  A JSON-null family normalises to MISC; a probability that does not
     convert is NULL (F19).  Rows whose reply is NULL get NULL fields.
 
-    Staged: padded list, then one variant per field, then the typed conversions."""
+    List items are read by path (``$.list[i].field``) with an existence test per
+    index, so no ``array<variant>`` copy of the list is built; one variant per field
+    is projected first, then the typed conversions read those columns."""
     import json
 
     cols = df.columns
     rv = F.col(reply)
-    filler = _json_lit(json.dumps(rules.TOPK_FILLER_FAMILY))
-    s1 = df.select(*cols, pad_topk(variant_list(rv, list_key), k, filler).alias("__top"),
-                   F.size(variant_list(rv, list_key)).alias("__n"))
-    top = F.col("__top")
+    filler = rules.TOPK_FILLER_FAMILY
 
     def item(i, name, default):
-        return default_if_absent(field(F.get(top, i), name), default)
+        exists = F.try_variant_get(rv, f"$.{list_key}[{i}]", "variant").isNotNull()
+        val = F.try_variant_get(rv, f"$.{list_key}[{i}].{name}", "variant")
+        return F.when(~exists, _json_lit(json.dumps(filler[name]))) \
+            .otherwise(default_if_absent(val, default))
 
     raw = [
         default_if_absent(field(rv, "primary_diagnosis"), item(0, "diagnosis", _json_lit('""'))),
         default_if_absent(field(rv, "primary_family"), item(0, "family", _json_lit('"MISC"'))),
-        default_if_absent(field(rv, "top1_probability"), field(F.get(top, 0), "probability")),
+        default_if_absent(field(rv, "top1_probability"),
+                          item(0, "probability", F.lit(None).cast("variant"))),
     ]
     for i in range(1, k):
         raw += [item(i, "diagnosis", _json_lit('""')), item(i, "family", _json_lit('"MISC"')),
                 item(i, "probability", _json_lit("0.0"))]
-    s2 = s1.select(*cols, "__n", *[r.alias(f"__v{i}") for i, r in enumerate(raw)])
+    s2 = df.select(*cols, F.size(variant_list(rv, list_key)).alias("__n"),
+                   *[r.alias(f"__v{i}") for i, r in enumerate(raw)])
     typed = []
     for r in range(k):
         d, f, p = (F.col(f"__v{3 * r + j}") for j in range(3))
