@@ -235,6 +235,52 @@ def fusion_inputs(spark: SparkSession, d: str) -> DataFrame:
     return both.join(fused, "row_id")
 
 
+def _fusion_sql() -> str:
+    from caliper.plans.replies_plans import FIELDS_SQL, PARSED_SQL, REPLY_SQL
+
+    mal = ", ".join(f"'{x}'" for x in rules.MALIGNANT_FAMILIES)
+    conc = ", ".join(f"'{x}'" for x in rules.MALIGNANT_FAMILIES + rules.PREMALIGNANT_FAMILIES)
+    return f"""
+WITH {FOLD_SQL},
+fb AS (SELECT *, row_number() OVER (PARTITION BY vec_id, family ORDER BY mean DESC, class_idx)
+              AS rf FROM cf),
+ff AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY mean DESC, class_idx) AS r
+       FROM fb WHERE rf = 1),
+t1 AS (SELECT vec_id, max(family) FILTER (WHERE r = 1) AS top1_family FROM ff GROUP BY vec_id),
+fp AS (SELECT vec_id, family, sum(mean) AS prob FROM cf GROUP BY vec_id, family),
+ma AS (SELECT fp.vec_id AS row_id,
+              coalesce(max(prob) FILTER (WHERE family = 'MEL'), 0.0) AS rmel,
+              sum(CASE WHEN family IN ({conc}) THEN prob ELSE 0 END) AS rconc
+       FROM fp GROUP BY fp.vec_id),
+{CHECKPOINT_SQL},
+am AS (SELECT row_id, arch, avg(prob) AS arch_mean FROM ck GROUP BY row_id, arch),
+mb AS (SELECT row_id, avg(arch_mean) AS smel FROM am GROUP BY row_id),
+{REPLY_SQL},
+{PARSED_SQL},
+fields AS ({FIELDS_SQL}),
+fu AS (SELECT event_id AS row_id, top1_family AS ffam, top1_probability AS conf,
+              top2_probability AS rw, top3_probability AS sw
+       FROM fields WHERE mode = 'fenced' AND error IS NULL),
+x AS (
+  SELECT ma.row_id, t1.top1_family, fu.ffam, fu.conf, fu.rw, fu.sw,
+         CAST(coalesce(ma.rmel, 0) >= {rules.RESNET_MEL_THRESHOLD} AS INTEGER) AS rm,
+         CAST(coalesce(ma.rconc, 0) >= {rules.RESNET_MALIGNANCY_THRESHOLD} AS INTEGER) AS rg,
+         CAST(coalesce(mb.smel, 0) >= {rules.SIIM_MEL_THRESHOLD} AS INTEGER) AS sm,
+         CAST(coalesce(fu.conf >= 0.5, false) AS INTEGER) AS fmel,
+         CAST(fu.ffam IN ({mal}) AS INTEGER) AS fmal
+  FROM ma JOIN t1 ON ma.row_id = t1.vec_id JOIN mb ON ma.row_id = mb.row_id
+          JOIN fu ON ma.row_id = fu.row_id
+  WHERE ma.rmel IS NOT NULL AND NOT isnan(ma.rmel) AND mb.smel IS NOT NULL AND NOT isnan(mb.smel))
+SELECT round(avg(CAST(coalesce(ffam <> top1_family, true) AS INTEGER)), 6) AS changed_family_from_resnet,
+       round(avg(CAST(coalesce(fmel, 0) <> rm AS INTEGER)), 6) AS changed_melanoma_from_resnet,
+       round(avg(CAST(coalesce(fmal, 0) <> rg AS INTEGER)), 6) AS changed_malignancy_from_resnet,
+       round(avg(CAST(coalesce(fmel, 0) <> sm AS INTEGER)), 6) AS changed_melanoma_from_siim,
+       round(avg(CAST(rm = sm AS INTEGER)), 6) AS resnet_siim_melanoma_agreement_youden,
+       round(avg(rw), 6) AS mean_resnet_weight, round(avg(sw), 6) AS mean_siim_weight,
+       round(avg(conf), 6) AS mean_fusion_confidence
+FROM x"""
+
+
 @plan("fusion_behaviour")
 def fusion_behaviour(spark, d):
     """F14 + F15 + A17 (+ J6/P2): base-model Youden flags, the fusion model's changes

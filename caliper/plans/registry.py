@@ -57,4 +57,7 @@ def load_all():
         evaluation, ensembles, labelling, linkage_plans, replies_plans, reports,
         sources_plans,
     )
+    if "fusion_behaviour" not in ORACLES:
+        # Composed from the other plans' SQL pieces, so registered after all imports.
+        ORACLES["fusion_behaviour"] = ensembles._fusion_sql().strip()
     return PLANS, ORACLES

@@ -34,7 +34,7 @@ def test_entry(spark):
 def test_every_query_has_an_oracle_or_is_listed():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
-    assert set(q) - set(o) == {"fusion_behaviour", "fusion_prompts"}
+    assert set(q) - set(o) == {"fusion_prompts"}
 
 
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
@@ -49,6 +49,6 @@ def test_query_matches_oracle(spark, con, name):
     assert digest(df.columns, rows)[0] == digest(ocols, orows)[0]
 
 
-@pytest.mark.parametrize("name", ["fusion_behaviour", "fusion_prompts"])
+@pytest.mark.parametrize("name", ["fusion_prompts"])
 def test_rows_only_queries(spark, name):
     assert E.queries()[name](spark, SF).count() >= 1
