@@ -17,10 +17,9 @@ def _c(x) -> Column:
 
 def attach_single_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Append the columns of a one-row aggregate (a global ``agg``) to every row of
-    ``df``: an equi-join on a constant key, which broadcasts the single row."""
-    return (df.withColumn("__one", F.lit(1))
-            .join(F.broadcast(one_row.withColumn("__one", F.lit(1))), "__one", "left")
-            .drop("__one"))
+    ``df`` as one scalar subquery (evaluated once, no join of any kind)."""
+    packed = one_row.select(F.struct(*[F.col(c) for c in one_row.columns]).alias("s")).scalar()
+    return df.select("*", *[packed[c].alias(c) for c in one_row.columns])
 
 
 def confusion_counts(df: DataFrame, y, pred, by=()) -> DataFrame:
