@@ -68,11 +68,20 @@ def binary_metrics(counts: DataFrame, style: str = "zero_division") -> DataFrame
 
 
 def binary_metrics_label(df: DataFrame, truth, pred, positive: str = "melanoma",
-                         labels=("non-melanoma", "melanoma"), by=()) -> DataFrame:
+                         labels=("non-melanoma", "melanoma"), by=(),
+                         missing_pred: str = "exclude") -> DataFrame:
     """A4: accuracy, precision, recall, f1 and the matrix with named labels, rows =
-    truth in ``labels`` order (negative first)."""
+    truth in ``labels`` order (negative first).  A NULL prediction (a case the
+    scorer never answered, after a left join) is excluded by default;
+    ``missing_pred="negative"`` scores it as the negative label, as the original
+    evaluation did (quirk Q3)."""
     y = (_c(truth) == positive).cast("int")
-    p = (_c(pred) == positive).cast("int")
+    p = (_c(pred) == positive)
+    if missing_pred == "negative":
+        p = F.coalesce(p, F.lit(False))
+    elif missing_pred != "exclude":
+        raise ValueError("missing_pred must be 'exclude' or 'negative'")
+    p = p.cast("int")
     c = binary_metrics(confusion_counts(df, y, p, by))
     return c.select(
         *by, "n", "tp", "fp", "tn", "fn", "accuracy", "precision", "recall", "f1",
@@ -100,11 +109,16 @@ def label_report(df: DataFrame, y, pred, score, by=(), **bucket_opts) -> DataFra
     return attach_single_row(out, auc)
 
 
-def eval_counts(df: DataFrame, truth, pred, error=None, by=()) -> DataFrame:
+def eval_counts(df: DataFrame, truth, pred, error=None, by=(),
+                missing_pred: str = "exclude") -> DataFrame:
     """n_total, n_with_truth, n_with_pred, n_evaluated (truth and prediction
-    non-blank, no error)."""
+    non-blank, no error).  ``missing_pred="negative"`` counts a NULL prediction as
+    present (the original evaluation's NaN != "" behaviour, quirk Q3)."""
     t = F.coalesce(F.trim(_c(truth).cast("string")), F.lit("")) != ""
-    p = F.coalesce(F.trim(_c(pred).cast("string")), F.lit("")) != ""
+    if missing_pred == "negative":
+        p = _c(pred).isNull() | (F.trim(_c(pred).cast("string")) != "")
+    else:
+        p = F.coalesce(F.trim(_c(pred).cast("string")), F.lit("")) != ""
     ok = t & p
     if error is not None:
         ok = ok & (F.coalesce(F.trim(_c(error)), F.lit("")) == "")

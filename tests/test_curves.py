@@ -130,3 +130,19 @@ def test_bucketed_path_is_taken(spark):
                              single_bucket_max_bytes=-1).collect()
     for r in rs:
         assert r.cum_count == sum(1 for i in range(500) if i % 3 == r.g and i <= r.v)
+
+
+def test_missing_prediction_modes(spark):
+    """Q3: metadata rows without a prediction are excluded by default; the
+    'negative' mode counts them as predicted non-melanoma, like the original."""
+    df = spark.createDataFrame([("melanoma", "melanoma"), ("melanoma", None), ("non-melanoma", None),
+                                ("", "melanoma")], "truth string, pred string")
+    e = metrics.eval_counts(df, "truth", "pred").first()
+    assert (e.n_total, e.n_with_truth, e.n_with_pred, e.n_evaluated) == (4, 3, 2, 1)
+    q3 = metrics.eval_counts(df, "truth", "pred", missing_pred="negative").first()
+    assert (q3.n_with_pred, q3.n_evaluated) == (4, 3)
+    ev = df.where("truth <> ''")
+    a = metrics.binary_metrics_label(ev, "truth", "pred").first()
+    b = metrics.binary_metrics_label(ev, "truth", "pred", missing_pred="negative").first()
+    assert (a.n, a.tp, a.fn, a.tn) == (1, 1, 0, 0)
+    assert (b.n, b.tp, b.fn, b.tn) == (3, 1, 1, 1) and list(b.labels) == ["non-melanoma", "melanoma"]

@@ -111,3 +111,18 @@ def test_scenario_report_grouping_sets(spark):
     assert ("derm_only", "skin_tone_class", None) not in rep
     p = rep[("derm_plus_clin", "overall", None)]
     assert (p.top1_accuracy, p.hit_at3, p.fn) == (0.0, 1.0, 0)
+
+
+def test_incremental_retry_errors(spark, tmp_path):
+    """Q6: error rows count as done unless retry_errors is asked for."""
+    store = str(tmp_path / "store")
+    spark.createDataFrame([(1, 0.5, None), (2, None, "timeout")], "k long, score double, _error string") \
+        .write.parquet(store)
+    cases = spark.createDataFrame([(1,), (2,), (3,)], "k long")
+    done = incremental.done_keys(spark, store, "k")
+    assert sorted(r.k for r in done.collect()) == [1, 2]
+    retry = incremental.done_keys(spark, store, "k", retry_errors=True)
+    assert sorted(r.k for r in retry.collect()) == [1]
+    from caliper.operators.linkage import not_yet_done
+    assert sorted(r.k for r in not_yet_done(cases, retry, "k").collect()) == [2, 3]
+    assert incremental.done_keys(spark, str(tmp_path / "none"), "k") is None
