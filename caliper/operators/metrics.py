@@ -175,3 +175,11 @@ def fold_mean_sd(df: DataFrame, keys, value) -> DataFrame:
     """Mean and sample sd of a value across folds (one row per key)."""
     return df.groupBy(*keys).agg(F.avg(value).alias("mean"),
                                  F.stddev_samp(value).alias("sd"))
+
+
+def metrics_by_group(df: DataFrame, y, pred, score, by: str, **bucket_opts) -> DataFrame:
+    """The label report per group value; the NULL group is dropped (its rows
+    still count in an overall report), groups come out in key order, and a group
+    with one class has a NULL AUROC."""
+    return label_report(df.where(F.col(by).isNotNull()), y, pred, score, by=[by],
+                        **bucket_opts).orderBy(by)

@@ -84,3 +84,20 @@ def test_flags(spark):
                   L.correct_flag("a", "b").alias("ok")).collect()
     assert [(x.eq, x.inn, x.t, round(x.pm, 6), x.ok) for x in r] == [
         (1, 1, 1, 0.8, True), (0, 0, 0, 0.2, False)]
+
+
+def test_resolve_path(spark):
+    from caliper.functions.text import resolve_path
+    df = spark.createDataFrame([("/abs/x.jpg",), (" rel/y.jpg ",)], "v string")
+    assert [r[0] for r in df.select(resolve_path("/base/", "v")).collect()] == ["/abs/x.jpg",
+                                                                               "/base/rel/y.jpg"]
+
+
+def test_metrics_by_group(spark):
+    from caliper.operators import metrics
+    df = spark.createDataFrame([("b", 1, 1, 0.9), ("b", 0, 0, 0.1), ("a", 1, 1, 0.8), ("a", 1, 0, 0.4),
+                                (None, 0, 1, 0.7)], "g string, y int, p int, s double")
+    rows = metrics.metrics_by_group(df, "y", "p", "s", "g").collect()
+    assert [r.g for r in rows] == ["a", "b"]
+    assert rows[0].roc_auc is None and rows[1].roc_auc == 1.0
+    assert (rows[0].sensitivity, rows[0].specificity) == (0.5, None)
