@@ -118,9 +118,8 @@ def _brace(e):
 
 
 _ST = _strip("text")
-_R1 = (f"CASE WHEN starts_with({_ST}, '{FENCE}') THEN "
-       f"{_strip(f'replace(replace({_ST}, {chr(39)}{FENCE}json{chr(39)}, {chr(39)}{chr(39)}), {chr(39)}{FENCE}{chr(39)}, {chr(39)}{chr(39)})')} "
-       f"ELSE {_ST} END")
+_UNFENCED = f"replace(replace({_ST}, '{FENCE}json', ''), '{FENCE}', '')"
+_R1 = f"CASE WHEN starts_with({_ST}, '{FENCE}') THEN {_strip(_UNFENCED)} ELSE {_ST} END"
 _R2S = f"regexp_replace(regexp_replace({_strip('text')}, '(?i)^{FENCE}(?:json)?\\s*', ''), '\\s*{FENCE}$', '')"
 
 PARSED_SQL = f"""
