@@ -126,3 +126,21 @@ def test_incremental_retry_errors(spark, tmp_path):
     from caliper.operators.linkage import not_yet_done
     assert sorted(r.k for r in not_yet_done(cases, retry, "k").collect()) == [2, 3]
     assert incremental.done_keys(spark, str(tmp_path / "none"), "k") is None
+
+
+def test_scoring_runs_once(spark, tmp_path):
+    """The scored table is materialised: later actions never call the scorer again."""
+    log = str(tmp_path / "calls.log")
+
+    def scorer(pdf):
+        with open(log, "a") as f:
+            f.write(f"{len(pdf)}\n")
+        return pd.DataFrame({"score": pdf["x"] * 1.0})
+
+    df = spark.range(0, 200, 1, 4).select(F.col("id").alias("x"))
+    scored = scoring.score_table(df, scorer, OUT)
+    first = sum(int(x) for x in open(log).read().split())
+    assert first == 200
+    scored.count()
+    scored.agg(F.sum("score")).collect()
+    assert sum(int(x) for x in open(log).read().split()) == 200
