@@ -58,8 +58,8 @@ def class_dim(spark, n_classes: int, class_name, family) -> DataFrame:
 def map_class_to_family(scores: DataFrame, dim: DataFrame,
                         unmapped: str = rules.UNMAPPED_FAMILY) -> DataFrame:
     """Attach class name and family (unmapped -> 'NA').  The dim has one row per
-    class of the model (48 in the study): a fixed-size broadcast."""
-    d = F.broadcast(dim.select("class_idx", "class", "family"))
+    class of the model (48 in the study); it is broadcast after a row-count check."""
+    d = prefix.broadcast_if_small(dim.select("class_idx", "class", "family"))
     return (scores.join(d, "class_idx", "left")
             .withColumn("family", F.coalesce(F.col("family"), F.lit(unmapped))))
 

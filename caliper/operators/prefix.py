@@ -68,6 +68,16 @@ def _split_points(df: DataFrame, key: str, rows_per_bucket: int, max_buckets: in
     return n, [p for p in picks if not math.isnan(p) and not math.isinf(p)]
 
 
+MAX_BROADCAST_DIM_ROWS = 100_000
+
+
+def broadcast_if_small(dim: DataFrame, max_rows: int = MAX_BROADCAST_DIM_ROWS) -> DataFrame:
+    """Broadcast hint for a dimension only after counting it (one small job):
+    above ``max_rows`` the join is left to the planner (shuffle join)."""
+    n = dim.limit(max_rows + 1).count()
+    return F.broadcast(dim) if n <= max_rows else dim
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give CPU-heavy row-wise work (JSON parsing, array math) at least as many tasks
     as the cluster has cores.  Only small inputs (fewer partitions than cores, e.g.

@@ -137,7 +137,9 @@ def read_class_map(spark: SparkSession, idx_json: str, fam_json: str,
            .select(F.col("k").cast("int").alias("class_idx"), "class"))
     fam = (spark.read.text(fam_json, wholetext=True)
            .select(F.explode(F.from_json("value", m)).alias("class", "family")))
-    return (idx.join(F.broadcast(fam), "class", "left")
+    from caliper.operators.prefix import broadcast_if_small
+
+    return (idx.join(broadcast_if_small(fam), "class", "left")
             .select("class_idx", "class", F.coalesce("family", F.lit(unmapped)).alias("family")))
 
 
