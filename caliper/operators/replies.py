@@ -172,22 +172,27 @@ def parse_replies(df: DataFrame, text_col: str, mode="fenced_or_embedded",
     else:
         prim, fall = _candidates(text, mode)
     staged = df.select(*cols, prim.cast("string").alias("__p"), fall.cast("string").alias("__q"))
-    parsed = staged.select(
-        *cols,
-        F.try_parse_json(F.concat(F.lit("["), F.col("__p"), F.lit("]"))).alias("__pa"),
-        F.try_parse_json(F.concat(F.lit('{"r":'), F.col("__p"), F.lit("}"))).isNotNull()
-        .alias("__pb"),
-        F.try_parse_json(F.concat(F.lit("["), F.col("__q"), F.lit("]"))).alias("__qa"),
-        F.try_parse_json(F.concat(F.lit('{"r":'), F.col("__q"), F.lit("}"))).isNotNull()
-        .alias("__qb"))
-
-    def one(a, b):
-        first = F.try_variant_get(F.col(a), "$[0]", "variant")
-        ok = (F.col(a).isNotNull() & F.col(b) & first.isNotNull()
-              & F.try_variant_get(F.col(a), "$[1]", "variant").isNull())
-        return F.when(ok, first)
-
-    v = parsed.select(*cols, F.coalesce(one("__pa", "__pb"), one("__qa", "__qb")).alias("_reply"))
+
+    def wrap_a(c):
+        return F.try_parse_json(F.concat(F.lit("["), F.col(c), F.lit("]")))
+
+    def strict_ok(a, c):
+        # ``&`` short-circuits: the second wrapper is parsed only when the first passed.
+        return (F.col(a).isNotNull()
+                & F.try_variant_get(F.col(a), "$[1]", "variant").isNull()
+                & F.try_variant_get(F.col(a), "$[0]", "variant").isNotNull()
+                & F.try_parse_json(F.concat(F.lit('{"r":'), F.col(c), F.lit("}"))).isNotNull())
+
+    p1 = staged.select(*cols, "__p", "__q", wrap_a("__p").alias("__pa"))
+    p2 = p1.select(*cols, "__q", "__pa", strict_ok("__pa", "__p").alias("__pok"))
+    # The fallback candidate is parsed only for rows whose primary candidate failed.
+    p3 = p2.select(*cols, "__q", "__pa", "__pok",
+                   F.when(~F.col("__pok"), wrap_a("__q")).alias("__qa"))
+    p4 = p3.select(*cols, "__pa", "__pok", "__qa",
+                   F.when(~F.col("__pok"), strict_ok("__qa", "__q")).alias("__qok"))
+    v = p4.select(*cols, F.when(F.col("__pok"), F.try_variant_get("__pa", "$[0]", "variant"))
+                  .when(F.col("__qok"), F.try_variant_get("__qa", "$[0]", "variant"))
+                  .alias("_reply"))
     rv = F.col("_reply")
     err = F.when(rv.isNull(), F.lit(ERR_PARSE)).when(~is_object(rv), F.lit(ERR_NOT_OBJECT))
     if exact_items is not None and list_key is not None:
