@@ -40,14 +40,20 @@ def prediction_rows(df: DataFrame, truth: str, preds, error: str | None = None,
 
 
 def scenario_report(store: DataFrame, by: str = "skin_tone_class", scenario: str = "scenario",
-                    truth: str = "truth", top1: str = "top1", error: str = "_error") -> DataFrame:
+                    truth: str = "truth", top1: str = "top1", error: str = "_error",
+                    strict_blank: bool = True) -> DataFrame:
     """A26 (+A7, A14, A16, A3): rows at level 'overall' (per scenario) and level
     ``by`` (per scenario and group value; the NULL group is dropped at that level but
     its rows count in the overall level).  Evaluated rows: no error, non-blank truth
-    and top-1."""
-    ev = ((F.coalesce(strip(F.col(error)), F.lit("")) == "")
-          & (F.coalesce(strip(F.col(truth).cast("string")), F.lit("")) != "")
-          & (F.coalesce(strip(F.col(top1)), F.lit("")) != ""))
+    and top-1.  ``strict_blank=False`` counts a NULL truth / top-1 as present, as the
+    original store read back from CSV did (NaN is not blank; quirk Q4)."""
+    def present(c):
+        c = F.col(c).cast("string")
+        if strict_blank:
+            return F.coalesce(strip(c), F.lit("")) != ""
+        return c.isNull() | (strip(c) != "")
+
+    ev = ((F.coalesce(strip(F.col(error)), F.lit("")) == "") & present(truth) & present(top1))
     tb = L.is_malignant_group(F.col("truth_dx2_norm"))
     pb = L.is_malignant_group(F.coalesce(F.col("pred_dx2_g1"), F.lit("")))
     s = store.select(scenario, by, ev.alias("__ev"), tb.alias("__tb"), pb.alias("__pb"),

@@ -144,3 +144,16 @@ def test_scoring_runs_once(spark, tmp_path):
     scored.count()
     scored.agg(F.sum("score")).collect()
     assert sum(int(x) for x in open(log).read().split()) == 200
+
+
+def test_scenario_report_q4(spark):
+    rows = [("1", "derm_only", None, "nevus", "", "A"), ("2", "derm_only", "Benign melanocytic proliferations",
+                                                         "nevus", "", "A")]
+    df = spark.createDataFrame(rows, "lesion_id string, scenario string, truth string, p1 string, "
+                                     "_error string, skin_tone_class string")
+    store = reports.prediction_rows(df, "truth", ["p1"], error="_error", k=3)
+    strict = [r for r in reports.scenario_report(store).collect() if r.level == "overall"][0]
+    loose = [r for r in reports.scenario_report(store, strict_blank=False).collect()
+             if r.level == "overall"][0]
+    assert (strict.n_eval, strict.top1_accuracy) == (1, 1.0)
+    assert (loose.n_eval, loose.top1_accuracy) == (2, 0.5)
