@@ -43,3 +43,31 @@ def write_failures(df: DataFrame, id_col: str, status_col: str, path: str) -> No
     bad = df.where(~F.coalesce(F.col(status_col), F.lit("")).startswith("OK"))
     bad.select(F.concat_ws("\t", F.col(id_col).cast("string"), F.col(status_col)).alias("value")) \
         .write.mode("overwrite").text(path)
+
+
+def nested_metrics(metrics: DataFrame, levels) -> DataFrame:
+    """One-row DataFrame holding the metrics as nested maps, e.g. levels
+    [target, score_name, mode] -> {target: {score_name: {mode: {metric: value}}}}.
+    Built by successive ``map_from_entries`` aggregates over the (small) metrics
+    table, innermost level first."""
+    levels = list(levels)
+    values = [c for c in metrics.columns if c not in levels]
+    cur = metrics.select(*levels, F.struct(*[F.col(f"`{c}`") for c in values]).alias("v"))
+    for i in range(len(levels) - 1, -1, -1):
+        outer, key = levels[:i], levels[i]
+        grouped = cur.groupBy(*outer) if outer else cur.groupBy()
+        cur = grouped.agg(F.map_from_entries(F.collect_list(F.struct(
+            F.col(key).cast("string"), F.col("v")))).alias("v"))
+    return cur
+
+
+def write_metrics_nested(metrics: DataFrame, path: str, levels, notes: dict | None = None,
+                         csv_path: str | None = None) -> None:
+    """S10 as nested JSON (one document, plus a ``notes`` block) and, optionally, the
+    flat metrics rows as CSV with a header."""
+    doc = nested_metrics(metrics, levels).select(F.col("v").alias("metrics"))
+    if notes:
+        doc = doc.withColumn("notes", F.from_json(F.lit(json.dumps(notes)), "map<string,string>"))
+    doc.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    if csv_path:
+        metrics.coalesce(1).write.mode("overwrite").option("header", True).csv(csv_path)

@@ -116,3 +116,15 @@ def test_sinks(spark, tmp_path):
     assert {"notes": {"dataset": "x"}} in lines and len(lines) == 3
     sinks.write_failures(df, "id", "st", str(tmp_path / "f"))
     assert [r.value for r in spark.read.text(str(tmp_path / "f")).collect()] == ["2\tHTTPError 404"]
+
+
+def test_nested_metrics(spark, tmp_path):
+    m = spark.createDataFrame([("mal", "prob", "fixed", 0.9, 3), ("mal", "prob", "youden", 0.8, 4),
+                               ("mel", "rank", "fixed", 0.7, 5)],
+                              "target string, score_name string, mode string, auc double, n int")
+    sinks.write_metrics_nested(m, str(tmp_path / "m"), ["target", "score_name", "mode"],
+                               notes={"dataset": "d"}, csv_path=str(tmp_path / "c"))
+    doc = json.loads(spark.read.text(str(tmp_path / "m")).first().value)
+    assert doc["metrics"]["mal"]["prob"]["youden"] == {"auc": 0.8, "n": 4}
+    assert doc["metrics"]["mel"]["rank"]["fixed"]["n"] == 5 and doc["notes"] == {"dataset": "d"}
+    assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 3
