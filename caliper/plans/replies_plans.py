@@ -195,7 +195,11 @@ WITH {REPLY_SQL},
 {FIELDS_SQL}""")
 def parse_replies(spark, d):
     """R0-R4 + R6 keep + F12 + F19 + F22: four parse modes over every reply."""
-    t = reply_text(spark, d).select(
+    from caliper.operators.prefix import spread
+
+    # Spread the (single-file) events before the 4-way explode, so the shuffle moves
+    # one copy of each text rather than four.
+    t = spread(reply_text(spark, d)).select(
         "event_id", "text", F.explode(F.array(*[F.lit(m) for m in R.MODES])).alias("mode"))
     parsed = R.parse_replies(t, "text", mode=F.col("mode"), on_error="keep")
     return rounded(_typed(parsed))
