@@ -228,7 +228,7 @@ def fusion_inputs(spark: SparkSession, d: str) -> DataFrame:
     replies = R.parse_replies(reply_text(spark, d).withColumnRenamed("event_id", "row_id"),
                               "text", mode="fenced", on_error="drop")
     fused = R.family_top3(replies.select("row_id", "_reply")).select(
-        "row_id", F.col("top1_family").alias("gpt_fusion_top1_family"),
+        "row_id", F.col("top1_family").alias("fusion_top1_family"),
         F.col("top1_probability").alias("fusion_confidence"),
         F.col("top2_probability").alias("resnet_weight"),
         F.col("top3_probability").alias("siim_weight"))
@@ -293,8 +293,8 @@ def fusion_behaviour(spark, d):
                           "siim90_probability_ensemble")
     x = x.withColumns({
         "fusion_mel": L.threshold_flag("fusion_confidence", 0.5),
-        "fusion_malign": F.col("gpt_fusion_top1_family").isin(rules.MALIGNANT_FAMILIES).cast("int")})
-    x = fusion.change_flags(x, "gpt_fusion_top1_family", "top1_family", "fusion_mel",
+        "fusion_malign": F.col("fusion_top1_family").isin(rules.MALIGNANT_FAMILIES).cast("int")})
+    x = fusion.change_flags(x, "fusion_top1_family", "top1_family", "fusion_mel",
                             "fusion_malign")
     return rounded(fusion.fusion_behaviour(x))
 
