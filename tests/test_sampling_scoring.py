@@ -157,3 +157,21 @@ def test_scenario_report_q4(spark):
              if r.level == "overall"][0]
     assert (strict.n_eval, strict.top1_accuracy) == (1, 1.0)
     assert (loose.n_eval, loose.top1_accuracy) == (2, 0.5)
+
+
+def test_prompts_and_first_present(spark):
+    from caliper.functions import labels as L
+    from caliper.operators import fusion
+    df = spark.createDataFrame([(1, "MEL", None, 0.3, 0.2), (2, None, "NV", None, 0.1)],
+                               "row_id int, top1_family string, resnet_top1_family string, "
+                               "resnet_melanoma_probability double, siim90_probability_ensemble double")
+    f = df.select(L.first_present(df.columns, ["top1_family", "resnet_top1_family"], "").alias("f"),
+                  L.first_present(df.columns, ["family_prob_MEL"], 0).alias("m")).collect()
+    assert [(r.f, r.m) for r in f] == [("MEL", 0), ("NV", 0)]
+    x = fusion.base_flags(df, "resnet_melanoma_probability", "resnet_melanoma_probability",
+                          "siim90_probability_ensemble")
+    p = fusion.render_prompts(x, fusion.evidence_template(x.columns)).orderBy("row_id").collect()
+    assert "- Top1 family: MEL\n" in p[0].prompt and "- Top1 family: NV\n" in p[1].prompt
+    assert "- ResNet melanoma positive: 1" in p[0].prompt
+    assert "- SIIM melanoma positive: 1" in p[0].prompt and "- SIIM melanoma positive: 0" in p[1].prompt
+    assert "- MEL: 0\n" in p[0].prompt
