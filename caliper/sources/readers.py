@@ -95,10 +95,11 @@ def read_file_catalog(spark: SparkSession, root: str, recursive: bool = True,
     cols = ["path", "length", "modificationTime"] + (["content"] if with_content else [])
     df = df.select(*cols)
     if not recursive:
-        base = root.rstrip("/")
-        rel = F.regexp_replace(F.col("path"), r"^file:", "")
-        rel = F.regexp_replace(rel, "^" + base.replace(".", r"\.") + "/", "")
-        df = df.where(~rel.contains("/"))
+        base = root.rstrip("/").removeprefix("file:") + "/"
+        p = F.regexp_replace(F.col("path"), r"^file:", "")
+        # literal prefix test (no regex built from the path): top level = no "/" left
+        rel = F.substring(p, len(base) + 1, 1 << 30)
+        df = df.where(p.startswith(base) & ~rel.contains("/"))
     df = df.where(F.lower(file_ext(F.col("path"))).isin(list(extensions)))
     if name_regex:
         df = df.where(file_name(F.col("path")).rlike(name_regex))
