@@ -66,8 +66,7 @@ def read_table_csv(spark: SparkSession, path: str, schema: StructType,
     missing-value spellings (NA, N/A, NaN, null, None, '' ...) become NULL first,
     then values are cast (a failed cast is NULL)."""
     as_str = StructType([StructField(f.name, StringType(), True) for f in schema.fields])
-    raw = (spark.read.option("header", True).option("mode", "PERMISSIVE")
-           .option("nullValue", None).schema(as_str).csv(path))
+    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").schema(as_str).csv(path)
     cols = []
     for f in schema.fields:
         c = F.col(f"`{f.name}`")
