@@ -2,8 +2,8 @@
 
 Batch form: anti-join the cases against the store's done keys, score the
 remainder, append, then report over the whole store.  Streaming form: the same
-per micro-batch with ``foreachBatch`` (the sink is idempotent per batch id, so a
-restarted query does not double-append).
+per micro-batch with ``foreachBatch``; a replayed micro-batch re-checks the store
+first, so a restarted query never appends a key twice.
 """
 
 from __future__ import annotations
