@@ -165,8 +165,11 @@ def find_files(wanted: DataFrame, key_col: str, catalog: DataFrame, path_col: st
         remaining = (wanted.select(strip(F.col(key_col).cast("string")).alias("key"))
                      .where(F.col("key").isNotNull()).distinct()
                      .join(exact.select("key"), "key", "left_anti"))
-        sub = resolve_by_substring(remaining, "key", files, "path")
-        res = res.unionByName(sub.select("key", "path", F.lit("substring").alias("by")))
+        # The gram index over every file is the expensive part: build it only when a
+        # one-row probe finds keys the exact lookup left unresolved.
+        if remaining.limit(1).count():
+            sub = resolve_by_substring(remaining, "key", files, "path")
+            res = res.unionByName(sub.select("key", "path", F.lit("substring").alias("by")))
     w = wanted.withColumn("__key", strip(F.col(key_col).cast("string")))
     return (w.join(res.withColumnRenamed("key", "__key"), "__key", "left").drop("__key")
             .withColumnRenamed("path", out).withColumnRenamed("by", f"{out}_by"))

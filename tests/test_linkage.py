@@ -103,3 +103,10 @@ def test_filters(spark):
     assert filters.limit_cases(df, 0, "id").count() == 4
     assert sorted(r.id for r in filters.image_type_filter(df, "kind", "derm").collect()) == [1, 3]
     assert [r.id for r in filters.sorted_listing(df, "id").collect()] == [1, 2, 3, 4]
+
+
+def test_all_exact_skips_substring(spark):
+    cat = spark.createDataFrame([("x/ISIC_12.jpg",), ("x/ISIC_13.jpg",)], "path string")
+    wanted = spark.createDataFrame([("12",), ("ISIC_13",)], "key string")
+    got = {r.key: r.path_by for r in J.find_files(wanted, "key", cat).collect()}
+    assert got == {"12": "0", "ISIC_13": "0"}
