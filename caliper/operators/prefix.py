@@ -98,11 +98,11 @@ def materialize(df: DataFrame) -> DataFrame:
     column pruning (an RDD checkpoint keeps neither)."""
     import uuid
 
-    from caliper.session import checkpoint_dir
+    from caliper.session import working_dir
 
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/caliper-{uuid.uuid4().hex}"
+    path = f"{working_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def add_bucket(df: DataFrame, key: str, rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,

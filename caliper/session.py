@@ -6,22 +6,27 @@ when it is unset (local tests), never overriding what the cluster names.
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
 
 _CKPT_KEY = "spark.checkpoint.dir"
+_WORKING: set[str] = set()
 
 
-def get_session(master: str | None = None, shuffle_partitions: int = 8,
+def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "caliper") -> SparkSession:
+    """A session with AQE on.  ``shuffle_partitions`` is set only if given."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+    if shuffle_partitions is not None:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = (
         builder
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -37,13 +42,36 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only if unset."""
+    """Return the shared folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local master, whose executors share the driver's disk, gets a folder of
+    its own if none is named; on a cluster that would be a machine's own disk, so an
+    unset folder is an error there."""
     current = spark.conf.get(_CKPT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if current:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(current)
         return current
-    # Local runs only: a cluster names a shared folder in spark.checkpoint.dir.
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError(f"{_CKPT_KEY} must name a folder that all executors share (master {master})")
     local = tempfile.mkdtemp(prefix="caliper-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(local)
     return local
+
+
+def working_dir(spark: SparkSession) -> str:
+    """This application's folder for intermediate tables, removed when Python ends."""
+    sc = spark.sparkContext
+    path = f"{checkpoint_dir(spark).rstrip('/')}/caliper-{sc.applicationId}"
+    if path not in _WORKING:
+        _WORKING.add(path)
+        atexit.register(_remove, sc, path)
+    return path
+
+
+def _remove(sc, path: str) -> None:
+    if sc._jsc is None:     # the session is stopped: its gateway may be gone
+        return
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
