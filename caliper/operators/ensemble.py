@@ -12,6 +12,8 @@ a one-partition window.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -145,16 +147,22 @@ def pct_rank_avg(df: DataFrame, by, col: str, out: str = "pct_rank", **bucket_op
     values in the group; null stays null (pandas ``rank(pct=True)``).
 
     Distinct (group, value) counts -> bucketed running count -> join back on
-    (group, value).  A hot value is one row of the right side; AQE's skew-join
-    split handles the left side's hot key."""
+    (group, value).  The input is written once, so that both sides of the join read
+    the same doubles.  Rows without a value need no rank and stay out of the join; a
+    hot value is one row of its right side and AQE splits its left side."""
     by = list(by)
-    vals = (df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col)))
-            .groupBy(*by, col).agg(F.count(F.lit(1)).alias("c")))
+    df = prefix.materialize(df)
+    there = F.col(col).isNotNull() & ~F.isnan(F.col(col))
+    vals = df.where(there).groupBy(*by, col).agg(F.count(F.lit(1)).alias("c"))
     rs = prefix.running_sums(vals, by, col, ["c"], descending=False, inclusive=True,
                              **bucket_opts)
-    ranks = rs.select(*by, col, ((F.col("cum_c") - F.col("c") + (F.col("c") + 1) / 2.0)
-                                 / F.col("tot_c")).alias(out))
-    return df.join(ranks, on=[*by, col], how="left")
+    ranks = rs.select(*[F.col(b).alias(f"__r_{b}") for b in by], F.col(col).alias("__r_value"),
+                      ((F.col("cum_c") - F.col("c") + (F.col("c") + 1) / 2.0)
+                       / F.col("tot_c")).alias(out))
+    same = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"__r_{b}")) for b in by],
+                  F.col(col) == F.col("__r_value"))
+    ranked = df.where(there).join(ranks, same).select(*df.columns, out)
+    return ranked.unionByName(df.where(~F.coalesce(there, F.lit(False))).withColumn(out, F.lit(None).cast("double")))
 
 
 def ensemble_scores(long: DataFrame, row: str = "row_id", arch: str = "arch",

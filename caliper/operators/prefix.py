@@ -3,71 +3,30 @@
 Spark has no scan primitive, and ``Window.partitionBy(group).orderBy(key)`` puts
 a whole group in one task (a hot group holding a third of the rows would be a
 third of the job in one task; without a group it is the whole table).  The
-classic two-level scan fixes that:
+classic two-level scan fixes that, with one plan for every size:
 
-1. cut the key axis into ``B`` buckets with equi-depth split points (one small
-   ``percentile_approx`` aggregate; the split list has a hard size bound),
-2. totals per ``(group, bucket)``: a tiny table, scanned per group,
+1. range-partition by ``(group, key)``; the partition a row lies in is its bucket,
+   frozen by writing the rows once to the shared folder,
+2. totals per ``(group, bucket)``: a small table, scanned per group,
 3. running sums inside each ``(group, bucket)`` window partition plus the
-   offset of all earlier buckets.
-
-Equi-depth splits over the union of all groups bound every ``(group, bucket)``
-cell to about ``n / B`` rows whatever the skew between groups.  Bucketing is a
-pure function of the key given the split list, so task retries recompute the
-same answer.  Input is expected to be already reduced to one row per distinct
-``(group, key)`` (callers aggregate first with map-side partial aggregation, so
-a hot *key value* collapses to a single row before any shuffle).
+   offset of all earlier buckets of the group.
+
+Range partitions are even whatever the skew between groups, and the number of
+buckets follows the shuffle partitions that the cluster sets (AQE merges small
+ones), so no literal list of split points bounds it.  Input is expected to be
+already reduced to one row per distinct ``(group, key)`` (callers aggregate first
+with map-side partial aggregation, so a hot *key value* collapses to a single row
+before any shuffle).
 """
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows per window partition we aim at; a few million rows sort comfortably in a task.
-DEFAULT_ROWS_PER_BUCKET = 2_000_000
-# Reused intermediates estimated above this size are written once and read back;
-# below it, recomputing them for the small stats job is cheaper than a write.
-MATERIALIZE_ABOVE_BYTES = 256 * 1024 * 1024
-# Inputs Catalyst estimates at or below this size skip the stats job and use one
-# bucket: a per-group window over a few million rows at most.  (The estimate only
-# steers speed; results are the same either way.)
-SINGLE_BUCKET_MAX_BYTES = 32 * 1024 * 1024
-# Hard cap on split points kept in the plan (bounded literal size).
-MAX_BUCKETS = 4096
-# The per-(group, bucket) offsets table is broadcast only below this many rows.
-MAX_BROADCAST_OFFSETS = 1_000_000
 _BUCKET = "__bucket"
-
-
-def _bucket_count(spark, n: int, rows_per_bucket: int, max_buckets: int) -> int:
-    return int(min(max_buckets, max(1, math.ceil(n / max(rows_per_bucket, 1)))))
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan (no job runs)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def _split_points(df: DataFrame, key: str, rows_per_bucket: int, max_buckets: int, n=None):
-    """Return (n_rows, sorted distinct split points).
-
-    Counting is cheap on the (checkpointed) distinct-key table; the quantile sketch
-    only runs when more than one bucket is wanted, and asks for just the ``B - 1``
-    cut points that bucket count needs (a bounded list)."""
-    n = df.count() if n is None else n
-    wanted = _bucket_count(df.sparkSession, n, rows_per_bucket, max_buckets)
-    if wanted <= 1:
-        return n, []
-    grid = [i / wanted for i in range(1, wanted)]
-    q = df.agg(F.percentile_approx(F.col(key), grid, max(10_000, 4 * wanted)).alias("q")).first()["q"]
-    picks = sorted({float(x) for x in (q or []) if x is not None})
-    return n, [p for p in picks if not math.isnan(p) and not math.isinf(p)]
-
-
 MAX_BROADCAST_DIM_ROWS = 100_000
 
 
@@ -78,17 +37,6 @@ def broadcast_if_small(dim: DataFrame, max_rows: int = MAX_BROADCAST_DIM_ROWS) -
     return F.broadcast(dim) if n <= max_rows else dim
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy row-wise work (JSON parsing, array math) at least as many tasks
-    as the cluster has cores.  Only small inputs (fewer partitions than cores, e.g.
-    one small file) are round-robin repartitioned; large inputs already have
-    thousands of splits and pass through untouched, with no shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Write a reused intermediate once as Parquet under the session's checkpoint
     folder (the shared folder a cluster names in ``spark.checkpoint.dir``, see
@@ -105,76 +53,45 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def add_bucket(df: DataFrame, key: str, rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
-               max_buckets: int = MAX_BUCKETS, splits=None) -> DataFrame:
-    """Add a ``__bucket`` column, non-decreasing in ``key``."""
-    if splits is None:
-        _, splits = _split_points(df, key, rows_per_bucket, max_buckets)
-    if not splits:
-        return df.withColumn(_BUCKET, F.lit(0.0))
-    b = Bucketizer(splits=[-math.inf] + list(splits) + [math.inf],
-                   inputCol=key, outputCol=_BUCKET, handleInvalid="keep")
-    return b.transform(df)
+def bucketed(df: DataFrame, by, key: str, buckets: int | None = None) -> DataFrame:
+    """``df``, written once, with ``__bucket``: the range partition of ``(by, key)``, so
+    that buckets are non-decreasing in the key inside a group."""
+    cols = [F.col(c).asc_nulls_first() for c in [*by, key]]
+    ranged = df.repartitionByRange(*([buckets] if buckets else []), *cols)
+    return materialize(ranged.withColumn(_BUCKET, F.spark_partition_id()))
 
 
 def running_sums(df: DataFrame, by, key: str, value_cols, descending: bool = False,
-                 inclusive: bool = True, rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
-                 max_buckets: int = MAX_BUCKETS, splits=None,
-                 single_bucket_max_bytes: int = SINGLE_BUCKET_MAX_BYTES) -> DataFrame:
+                 inclusive: bool = True, buckets: int | None = None) -> DataFrame:
     """For each row add ``cum_<v>`` = sum of ``v`` over rows of the same group whose
     key comes before (and, if inclusive, equals) this row's key in the given order,
-    and ``tot_<v>`` = group total.  Keys must be unique within a group."""
+    and ``tot_<v>`` = group total.  Keys must be unique within a group; a NULL group
+    is a group like any other.  ``buckets`` fixes the number of range partitions."""
     by = list(by)
-    n_groups = None
-    if splits is None and estimated_bytes(df) <= single_bucket_max_bytes:
-        splits = []
-    if splits is None:
-        if estimated_bytes(df) > MATERIALIZE_ABOVE_BYTES:
-            df = materialize(df)
-        stats = df.agg(F.count(F.lit(1)).alias("n"),
-                       (F.count_distinct(*[F.col(b) for b in by]) if by else F.lit(1))
-                       .alias("g")).first()
-        n, n_groups = int(stats["n"]), int(stats["g"] or 0)
-        _, splits = _split_points(df, key, rows_per_bucket, max_buckets, n=n)
+    rows = bucketed(df, by, key, buckets)
     key_order = F.col(key).desc() if descending else F.col(key).asc()
-    frame_end = Window.currentRow if inclusive else -1
-
-    if not splits:
-        # One bucket: the whole input is within one bucket's row budget, so a plain
-        # per-group window is bounded; no offsets and no join.
-        w_run = Window.partitionBy(*by).orderBy(key_order).rowsBetween(
-            Window.unboundedPreceding, frame_end)
-        w_all = Window.partitionBy(*by)
-        return df.select(
-            *df.columns,
-            *[F.coalesce(F.sum(v).over(w_run), F.lit(0)).alias(f"cum_{v}") for v in value_cols],
-            *[F.sum(v).over(w_all).alias(f"tot_{v}") for v in value_cols])
-
-    bucketed = add_bucket(df, key, splits=splits)
     bucket_order = F.col(_BUCKET).desc() if descending else F.col(_BUCKET).asc()
+    frame_end = Window.currentRow if inclusive else -1
 
-    # (2) per-bucket totals: at most groups x B rows.
-    totals = bucketed.groupBy(*by, _BUCKET).agg(
-        *[F.sum(v).alias(f"__bt_{v}") for v in value_cols])
-    w_before = (Window.partitionBy(*by).orderBy(bucket_order)
+    # (2) per-bucket totals: at most groups + buckets rows, as buckets cut the groups in a row.
+    totals = rows.groupBy(*by, _BUCKET).agg(*[F.sum(v).alias(f"__bt_{v}") for v in value_cols])
+    group = by or [F.lit(0)]
+    w_before = (Window.partitionBy(*group).orderBy(bucket_order)
                 .rowsBetween(Window.unboundedPreceding, -1))
-    w_group = Window.partitionBy(*by)
+    w_group = Window.partitionBy(*group)
     offsets = totals.select(
-        *by, _BUCKET,
+        *[F.col(b).alias(f"__o_{b}") for b in by], F.col(_BUCKET).alias("__o_bucket"),
         *[F.coalesce(F.sum(f"__bt_{v}").over(w_before), F.lit(0)).alias(f"__off_{v}")
           for v in value_cols],
         *[F.sum(f"__bt_{v}").over(w_group).alias(f"tot_{v}") for v in value_cols],
     )
-    # Size check: offsets has at most groups x (splits + 1) rows.
-    if n_groups is not None and n_groups * (len(splits) + 1) <= MAX_BROADCAST_OFFSETS:
-        offsets = F.broadcast(offsets)
-
     # (3) running sums inside each (group, bucket) partition, plus the offset.
     w_in = (Window.partitionBy(*by, _BUCKET).orderBy(key_order)
             .rowsBetween(Window.unboundedPreceding, frame_end))
-    joined = bucketed.join(offsets, on=[*by, _BUCKET], how="inner")
-    return joined.select(
-        *[c for c in bucketed.columns if c != _BUCKET],
+    same = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"__o_{b}")) for b in by],
+                  F.col(_BUCKET) == F.col("__o_bucket"))
+    return rows.join(offsets, same).select(
+        *df.columns,
         *[(F.col(f"__off_{v}") + F.coalesce(F.sum(v).over(w_in), F.lit(0))).alias(f"cum_{v}")
           for v in value_cols],
         *[F.col(f"tot_{v}") for v in value_cols],

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from caliper.operators import curves, metrics
+from caliper.operators import curves, metrics, prefix
 
 
 def _df(spark, rows, grp=False):
@@ -62,8 +62,8 @@ def test_edge_rows(spark):
     assert a.specificity is None
 
 
-@pytest.mark.parametrize("rows_per_bucket", [10_000_000, 37])
-def test_brute_force_grouped(spark, rows_per_bucket):
+@pytest.mark.parametrize("buckets", [None, 1, 23])
+def test_brute_force_grouped(spark, buckets):
     rnd = random.Random(7)
     rows = []
     for g in ("a", "b", "c"):
@@ -72,8 +72,7 @@ def test_brute_force_grouped(spark, rows_per_bucket):
             rows.append((g, int(rnd.random() < 0.3 + 0.5 * s), s))
     df = _df(spark, rows, grp=True)
     got = {r.g: r for r in curves.curve_summary(df, "y", "score", by=["g"], thresholds=(),
-                                                rows_per_bucket=rows_per_bucket,
-                                                single_bucket_max_bytes=-1).collect()}
+                                                buckets=buckets).collect()}
     for g in ("a", "b", "c"):
         sub = [(y, s) for gg, y, s in rows if gg == g]
         auc, ap, thr = brute(sub)
@@ -83,8 +82,7 @@ def test_brute_force_grouped(spark, rows_per_bucket):
     # a permutation of the input (here: repartitioning) changes nothing
     again = {r.g: r.roc_auc for r in curves.curve_summary(
         df.repartition(7), "y", "score", by=["g"], thresholds=(),
-        rows_per_bucket=rows_per_bucket,
-                                                single_bucket_max_bytes=-1).collect()}
+        buckets=buckets).collect()}
     assert again == {g: got[g].roc_auc for g in got}
 
 
@@ -119,17 +117,17 @@ def test_grid_one_pass_matches_cells(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-def test_bucketed_path_is_taken(spark):
-    """With a small row budget the running sum really splits into buckets."""
-    from caliper.operators import prefix
-    rows = [(i % 3, float(i)) for i in range(500)]
-    df = spark.createDataFrame(rows, "g int, v double").groupBy("g", "v").count()
-    n, splits = prefix._split_points(df, "v", 50, 4096)
-    assert n == 500 and len(splits) >= 8
-    rs = prefix.running_sums(df, ["g"], "v", ["count"], rows_per_bucket=50,
-                             single_bucket_max_bytes=-1).collect()
-    for r in rs:
-        assert r.cum_count == sum(1 for i in range(500) if i % 3 == r.g and i <= r.v)
+@pytest.mark.parametrize("by", [["g"], ["g", "h"], []])
+def test_few_and_many_buckets_agree(spark, by):
+    """One bucket and many give equal rows, NULL groups included."""
+    rows = [(None if i % 3 == 0 else i % 3, None if i % 2 else "x", float(i), i % 5) for i in range(500)]
+    df = spark.createDataFrame(rows, "g int, h string, v double, c long")
+    want = {r[2]: (sum(x[3] for x in rows if x[2] <= r[2] and all(x["gh".index(b)] == r["gh".index(b)] for b in by)),
+                   sum(x[3] for x in rows if all(x["gh".index(b)] == r["gh".index(b)] for b in by))) for r in rows}
+    for buckets in (1, 13):
+        got = prefix.running_sums(df, by, "v", ["c"], buckets=buckets)
+        assert {r.v: (r.cum_c, r.tot_c) for r in got.collect()} == want
+    assert prefix.bucketed(df, by, "v", 13).select("__bucket").distinct().count() > 8
 
 
 def test_missing_prediction_modes(spark):
