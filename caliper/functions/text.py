@@ -13,8 +13,9 @@ def _c(x) -> Column:
 
 
 def strip(c) -> Column:
-    """Python ``str.strip()``: removes tabs and newlines too (Spark ``trim`` only spaces)."""
-    return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
+    """Python ``str.strip()``: removes all Unicode white space, such as tabs, newlines and
+    no-break spaces (Spark's ``trim`` only spaces)."""
+    return F.regexp_replace(_c(c), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 def lower_strip(c) -> Column:

@@ -5,10 +5,10 @@
   priority wins per key.  Keys are deduplicated first, so a key wanted by many
   cases is resolved once and cannot skew the join.
 * Substring fallback (J2): "file stem contains key, shortest stem wins".  Exact
-  without a theta join: a stem contains the key only if it contains every gram of
-  the key, so each key is blocked on its *rarest* gram (gram frequencies come
-  from one aggregate) and equi-joined to the stems holding that gram; every
-  candidate is then verified with ``contains``.  No candidate is dropped.
+  without a theta join or candidates to verify: a stem contains a key if one of its
+  substrings of the key's length equals it, so stems are cut into their substrings of
+  the lengths that keys have, the best path of each substring is found by one
+  (map-side combined) aggregate, and keys are looked up in it by one equi-join.
 """
 
 from __future__ import annotations
@@ -20,9 +20,7 @@ from pyspark.sql import functions as F
 
 from caliper.functions import rules
 from caliper.functions.text import file_ext, file_name, file_stem, strip
-
-GRAM = 3
-
+from caliper.operators.metrics import attach_single_row
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -106,51 +104,23 @@ def resolve_keys(wanted: DataFrame, key_col: str, aliases: DataFrame,
     ).select("key", "b.path", "b.priority")
 
 
-def _grams(s: Column, g) -> Column:
-    """All substrings of length g (g may be a column)."""
-    n = F.length(s) - g + 1
-    return F.when(n >= 1, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                                      lambda i: F.substring(s, i, g)))
-
-
 def resolve_by_substring(keys: DataFrame, key_col: str, catalog: DataFrame,
-                         path_col: str = "path", gram: int = GRAM) -> DataFrame:
+                         path_col: str = "path") -> DataFrame:
     """For each key, the file whose stem contains it; several -> shortest stem,
-    then smallest path.  Keys without a hit are absent from the result.
-
-    Exact gram index: stems are exploded into their grams of sizes 1..gram.  A key
-    of length <= gram is itself a gram and is answered from a per-gram aggregate; a
-    longer key is blocked on its rarest gram and its candidates are verified."""
+    then smallest path.  Keys without a hit are absent from the result."""
     k = keys.select(F.col(key_col).alias("key")).where(
         F.col("key").isNotNull() & (F.length("key") > 0)).distinct()
+    lengths = k.agg(F.collect_set(F.length("key")).alias("sizes"))    # one row: the few distinct lengths
     stems = catalog.select(F.col(path_col).alias("path"),
                            file_stem(F.col(path_col)).alias("stem"))
-    sizes = F.array(*[F.lit(i) for i in range(1, gram + 1)])
-    stem_grams = (stems.select("path", "stem", F.explode(sizes).alias("g"))
-                  .select("path", "stem", "g", F.explode(_grams(F.col("stem"), F.col("g")))
-                          .alias("gram"))
-                  .distinct())
-    freq = stem_grams.groupBy("g", "gram").agg(F.count(F.lit(1)).alias("freq"))
-    best = F.struct(F.length("stem"), F.col("path"))
-    # Keys no longer than a gram ARE a gram: their answer is the best stem holding
-    # that gram, one aggregate over the gram index, no candidate pairs at all.
-    short = (k.where(F.length("key") <= gram)
-             .select("key", F.length("key").alias("g"), F.col("key").alias("gram")))
-    per_gram = stem_grams.groupBy("g", "gram").agg(F.min_by("path", best).alias("path"))
-    short_hits = short.join(per_gram, ["g", "gram"]).select("key", "path")
-    # Longer keys: block on the key's rarest gram (a gram in no stem drops out of the
-    # inner join; any remaining gram is a valid block because every candidate is
-    # verified with ``contains``).
-    kg = (k.where(F.length("key") > gram)
-          .select("key", F.explode(_grams(F.col("key"), F.lit(gram))).alias("gram"))
-          .withColumn("g", F.lit(gram)))
-    block = (kg.join(freq, ["g", "gram"])
-             .groupBy("key").agg(F.min_by(F.struct("g", "gram"), F.struct("freq", "gram"))
-                                 .alias("b"))
-             .select("key", "b.g", "b.gram"))
-    cand = block.join(stem_grams, ["g", "gram"]).where(F.col("stem").contains(F.col("key")))
-    long_hits = cand.groupBy("key").agg(F.min_by(F.col("path"), best).alias("path"))
-    return short_hits.unionByName(long_hits)
+    stem, size = F.col("stem"), F.col("size")
+    cut = (attach_single_row(stems, lengths).select("path", "stem", F.explode("sizes").alias("size"))
+           .where(F.length("stem") >= size)
+           .select("path", "stem", F.explode(F.transform(
+               F.sequence(F.lit(1), F.length("stem") - size + 1),
+               lambda i: F.substring(stem, i, size))).alias("key")))
+    best = cut.groupBy("key").agg(F.min(F.struct(F.length("stem").alias("n"), "path")).alias("b"))
+    return k.join(best, "key").select("key", "b.path")
 
 
 def find_files(wanted: DataFrame, key_col: str, catalog: DataFrame, path_col: str = "path",
@@ -162,17 +132,20 @@ def find_files(wanted: DataFrame, key_col: str, catalog: DataFrame, path_col: st
     exact = resolve_keys(wanted, key_col, alias_table(files, "path", alias_rule), candidate_rule)
     res = exact.select("key", "path", F.col("priority").cast("string").alias("by"))
     if substring_fallback:
+        # Without remaining keys there is no length to cut, and the stems yield no row.
         remaining = (wanted.select(strip(F.col(key_col).cast("string")).alias("key"))
                      .where(F.col("key").isNotNull()).distinct()
                      .join(exact.select("key"), "key", "left_anti"))
-        # The gram index over every file is the expensive part: build it only when a
-        # one-row probe finds keys the exact lookup left unresolved.
-        if remaining.limit(1).count():
-            sub = resolve_by_substring(remaining, "key", files, "path")
-            res = res.unionByName(sub.select("key", "path", F.lit("substring").alias("by")))
+        sub = resolve_by_substring(remaining, "key", files, "path")
+        res = res.unionByName(sub.select("key", "path", F.lit("substring").alias("by")))
     w = wanted.withColumn("__key", strip(F.col(key_col).cast("string")))
-    return (w.join(res.withColumnRenamed("key", "__key"), "__key", "left").drop("__key")
-            .withColumnRenamed("path", out).withColumnRenamed("by", f"{out}_by"))
+    found = (w.where(F.col("__key").isNotNull())
+             .join(res.select(F.col("key").alias("__key"), F.col("path").alias(out), F.col("by").alias(f"{out}_by")),
+                   "__key", "left").drop("__key"))
+    # Rows without a key match nothing: they stay out of the join, where all would meet in one task.
+    none = w.where(F.col("__key").isNull()).drop("__key").withColumns(
+        {c: F.lit(None).cast("string") for c in (out, f"{out}_by")})
+    return found.unionByName(none)
 
 
 # ------------------------------------------------------------------ truth joins
@@ -197,19 +170,18 @@ def attach_truth(preds: DataFrame, pred_id: str, truth: DataFrame, truth_id: str
     return p.join(t, "__id").drop("__id")
 
 
-def pair_views(df: DataFrame, key: str, type_col: str, cols, left_kind: str = "derm",
-               right_kind: str = "clinic", left_suffix: str = "_derm",
-               right_suffix: str = "_clin", multiple: str = "first", order: str | None = None,
-               max_pairs_per_key: int = 1000) -> DataFrame:
+def pair_views(df: DataFrame, key: str, type_col: str, cols, multiple: str,
+               left_kind: str = "derm", right_kind: str = "clinic",
+               left_suffix: str = "_derm", right_suffix: str = "_clin",
+               order: str | None = None) -> DataFrame:
     """Rows whose lower-cased type contains ``left_kind`` paired with rows of the
     same key containing ``right_kind``; a key missing a side vanishes.
 
-    ``multiple="first"`` (default) keeps one row per side and key -- the one with
-    the smallest ``order`` value (default: the first listed column) -- so the output
-    is one row per key whatever the skew.  ``multiple="all"`` reproduces a pandas
-    merge (every left x right combination per key); it first counts both sides per
-    key (one aggregate) and raises if any key would emit more than
-    ``max_pairs_per_key`` rows, instead of silently exploding a hot key."""
+    ``multiple="all"`` gives every left x right combination of a key, as a merge does;
+    ``multiple="first"`` keeps one row per side and key: the one with the smallest
+    ``order`` value (default: the first listed column)."""
+    if multiple not in ("first", "all"):
+        raise ValueError("multiple must be 'first' or 'all'")
     t = F.lower(F.col(type_col).cast("string"))
     order = order or cols[0]
 
@@ -220,17 +192,7 @@ def pair_views(df: DataFrame, key: str, type_col: str, cols, left_kind: str = "d
                                    .alias("__s")).select(key, "__s.*")
         return x.select(key, *[F.col(c).alias(c + suffix) for c in cols])
 
-    a, b = side(left_kind, left_suffix), side(right_kind, right_suffix)
-    if multiple == "all":
-        na = a.groupBy(key).agg(F.count(F.lit(1)).alias("__na"))
-        nb = b.groupBy(key).agg(F.count(F.lit(1)).alias("__nb"))
-        worst = na.join(nb, key).agg(F.max(F.col("__na") * F.col("__nb")).alias("m")).first()["m"]
-        if worst is not None and worst > max_pairs_per_key:
-            raise ValueError(f"a key would emit {worst} pairs (> {max_pairs_per_key}); "
-                             "use multiple='first' or raise max_pairs_per_key")
-    elif multiple != "first":
-        raise ValueError("multiple must be 'first' or 'all'")
-    return a.join(b, key)
+    return side(left_kind, left_suffix).join(side(right_kind, right_suffix), key)
 
 
 def join_model_outputs(a: DataFrame, b: DataFrame, a_key: str, b_key: str,
@@ -275,12 +237,15 @@ def matched_ids(files: DataFrame, file_id: str, meta: DataFrame, meta_id: str) -
 
 def present_only(cases: DataFrame, catalog: DataFrame, cols, path_col: str = "path"):
     """P5: (kept, skipped): a case is kept only when every listed image column
-    resolves to a catalog path (one semi-join per column)."""
-    kept = cases
-    for c in cols:
-        kept = kept.join(catalog.select(F.col(path_col).alias(c)), c, "left_semi")
-    skipped = cases.join(kept.select(*cases.columns), cases.columns, "left_anti")
-    return kept, skipped
+    resolves to a catalog path.  One left join per column leaves a flag; the two parts
+    are split on the flags, so a case with NULLs elsewhere is in one part only."""
+    files = catalog.select(F.col(path_col).alias("__path")).where(F.col("__path").isNotNull()).distinct()
+    flagged = cases
+    for i, c in enumerate(cols):
+        there = files.select(F.col("__path").alias(f"__p{i}"))
+        flagged = flagged.join(there, F.col(c) == F.col(f"__p{i}"), "left")
+    every = reduce(lambda a, b: a & b, [F.col(f"__p{i}").isNotNull() for i in range(len(cols))])
+    return flagged.where(every).select(*cases.columns), flagged.where(~every).select(*cases.columns)
 
 
 def missing_report(resolved: DataFrame, key: str, path: str, n: int = 10) -> DataFrame:
@@ -288,7 +253,6 @@ def missing_report(resolved: DataFrame, key: str, path: str, n: int = 10) -> Dat
     miss = resolved.where(F.col(path).isNull()).select(key).distinct()
     head = miss.orderBy(key).limit(n).agg(F.sort_array(F.collect_list(key)).alias("first_missing"))
     cnt = miss.agg(F.count(F.lit(1)).alias("n_missing"))
-    from caliper.operators.metrics import attach_single_row
     return attach_single_row(cnt, head)
 
 

@@ -182,11 +182,22 @@ def pair_turns(spark, d):
     missing a side vanishes.  One row per key, however many turns a key has."""
     conv = table(spark, d, "conversations").select(
         "conv_id", "role", "turn", F.length("text").alias("len"))
-    return J.pair_views(conv, "conv_id", "role", ["turn", "len"], left_kind="user",
+    return J.pair_views(conv, "conv_id", "role", ["turn", "len"], "first", left_kind="user",
                         right_kind="assistant", left_suffix="_user",
                         right_suffix="_assistant")
 
 
+@plan("pair_turns_all", """
+SELECT a.conv_id, a.turn AS turn_user, b.turn AS turn_assistant
+FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id
+WHERE contains(lower(a.role), 'user') AND contains(lower(b.role), 'assistant')""")
+def pair_turns_all(spark, d):
+    """J5 as a merge does it: every combination of the two kinds of a key."""
+    conv = table(spark, d, "conversations").select("conv_id", "role", "turn")
+    return J.pair_views(conv, "conv_id", "role", ["turn"], "all", left_kind="user",
+                        right_kind="assistant", left_suffix="_user", right_suffix="_assistant")
+
+
 @plan("remaining_docs", """
 SELECT doc_id, lang FROM documents
 WHERE CAST(doc_id AS VARCHAR) NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)""")

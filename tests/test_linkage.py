@@ -23,7 +23,7 @@ def test_substring_brute_force(spark):
     rnd = random.Random(2)
     stems = ["".join(rnd.choice("ab1_") for _ in range(rnd.randint(1, 9))) for _ in range(300)]
     paths = sorted({f"d/{s}.jpg" for s in stems})
-    keys = sorted({"".join(rnd.choice("ab1_") for _ in range(rnd.randint(1, 4))) for _ in range(80)})
+    keys = sorted({"".join(rnd.choice("ab1_") for _ in range(rnd.randint(1, 6))) for _ in range(80)})
     cat = spark.createDataFrame([(p,) for p in paths], "path string")
     kd = spark.createDataFrame([(k,) for k in keys], "key string")
     got = {r.key: r.path for r in J.resolve_by_substring(kd, "key", cat).collect()}
@@ -42,13 +42,14 @@ def test_pair_views(spark):
     got = sorted(tuple(r) for r in J.pair_views(df, "lesion_id", "image_type", ["isic_id"],
                                                 multiple="all").collect())
     assert got == [("L1", "D1", "C1"), ("L3", "D3", "C3"), ("L3", "D3", "C4")]
-    first = sorted(tuple(r) for r in J.pair_views(df, "lesion_id", "image_type", ["isic_id"]).collect())
+    first = sorted(tuple(r) for r in J.pair_views(df, "lesion_id", "image_type", ["isic_id"],
+                                                  multiple="first").collect())
     assert first == [("L1", "D1", "C1"), ("L3", "D3", "C3")]
     try:
-        J.pair_views(df, "lesion_id", "image_type", ["isic_id"], multiple="all", max_pairs_per_key=1)
-        raise AssertionError("expected a guard error")
+        J.pair_views(df, "lesion_id", "image_type", ["isic_id"], multiple="some")
+        raise AssertionError("expected an error")
     except ValueError as e:
-        assert "pairs" in str(e)
+        assert "multiple" in str(e)
 
 
 def test_truth_and_sets(spark):
@@ -72,9 +73,10 @@ def test_truth_and_sets(spark):
 
 def test_present_missing_existing(spark):
     cat = spark.createDataFrame([("a.jpg",), ("b.jpg",), ("b.png",), ("c.png",)], "path string")
-    cases = spark.createDataFrame([(1, "a.jpg", "b.jpg"), (2, "a.jpg", "z.jpg")], "id int, x string, y string")
+    cases = spark.createDataFrame([(1, "a.jpg", "b.jpg", None), (2, "a.jpg", "z.jpg", "n"), (3, None, "b.jpg", "n")],
+                                  "id int, x string, y string, note string")
     kept, skipped = J.present_only(cases, cat, ["x", "y"])
-    assert [r.id for r in kept.collect()] == [1] and [r.id for r in skipped.collect()] == [2]
+    assert [r.id for r in kept.collect()] == [1] and sorted(r.id for r in skipped.collect()) == [2, 3]
     ids = spark.createDataFrame([("b",), ("c",), ("d",)], "id string")
     got = {r.id: (r.existing_path, r.image_src) for r in J.skip_existing(ids, "id", cat).collect()}
     assert got == {"b": ("b.jpg", "existing"), "c": ("c.png", "existing"), "d": (None, None)}
