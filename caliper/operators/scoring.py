@@ -28,52 +28,62 @@ def score_table(df: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame],
                 backoff: Callable[[int], float] | None = None,
                 materialize: bool = True) -> DataFrame:
     """B1: ``scorer(batch) -> DataFrame`` with the ``outputs`` columns, one row per
-    input row.  A failing batch is retried (``attempts``), then scored row by row
-    (each row with ``attempts``), then with ``fallback``; a row that still fails gets
-    NULL outputs and the message in ``_error``.  Filters and limits must be applied
-    *before* this call (they are not pushed through Python)."""
+    input row.  Only failed rows are tried again, up to ``attempts`` times in all: rows
+    that the scorer marks in an ``_error`` column go into a smaller batch; a batch for
+    which it raises is scored row by row.  What still fails goes to ``fallback`` in the
+    same way; a row that fails there too gets NULL outputs and the message in
+    ``_error``.  Filters and limits must be applied *before* this call (they are not
+    pushed through Python)."""
     names = [f.name for f in outputs.fields]
     schema = _out_schema(df, outputs)
 
-    def call(fn, pdf):
-        last = None
+    def once(fn, pdf, errors, got):
+        """Score ``pdf`` (index: row numbers); fill ``got`` or ``errors`` per row."""
+        try:
+            res = fn(pdf.reset_index(drop=True))
+            if len(res) != len(pdf):
+                raise ValueError(f"scorer returned {len(res)} rows for {len(pdf)}")
+        except Exception as e:  # noqa: BLE001 - the user's scorer may raise anything
+            if len(pdf) > 1:
+                return False
+            errors[pdf.index[0]] = str(e)
+            return True
+        res = res.set_index(pdf.index)
+        said = res["_error"] if "_error" in res.columns else pd.Series(None, index=res.index, dtype=object)
+        for i in res.index:
+            if said[i] is None or said[i] != said[i] or said[i] == "":
+                got[i] = res.loc[i, names]
+                errors.pop(i, None)
+            else:
+                errors[i] = str(said[i])
+        return True
+
+    def all_tries(fn, pdf, errors, got):
+        todo = list(pdf.index)
         for k in range(attempts):
-            try:
-                res = fn(pdf)
-                if len(res) != len(pdf):
-                    raise ValueError(f"scorer returned {len(res)} rows for {len(pdf)}")
-                return res.reset_index(drop=True), None
-            except Exception as e:  # noqa: BLE001 - the user's scorer may raise anything
-                last = e
-                if backoff is not None:
-                    time.sleep(backoff(k + 1))
-        return None, last
+            if k and backoff is not None:
+                time.sleep(backoff(k))
+            if not once(fn, pdf.loc[todo], errors, got):
+                for i in todo:
+                    once(fn, pdf.loc[[i]], errors, got)
+            todo = [i for i in todo if i not in got]
+            if not todo:
+                return
 
     def run(batches):
         for pdf in batches:
             pdf = pdf.reset_index(drop=True)
-            res, _ = call(scorer, pdf)
-            if res is not None:
-                out = pd.concat([pdf, res[names]], axis=1)
-                out["_error"] = None
-                yield out
-                continue
-            rows = []
-            for i in range(len(pdf)):
-                one = pdf.iloc[[i]].reset_index(drop=True)
-                r, err = call(scorer, one)
-                if r is None and fallback is not None:
-                    r, err = call(fallback, one)
-                if r is None:
-                    r = pd.DataFrame({n: [None] for n in names})
-                    e = str(err)
-                else:
-                    e = None
-                o = pd.concat([one, r[names]], axis=1)
-                o["_error"] = e
-                rows.append(o)
-            if rows:
-                yield pd.concat(rows, ignore_index=True)
+            errors, got = {}, {}
+            if len(pdf):
+                all_tries(scorer, pdf, errors, got)
+                left = [i for i in pdf.index if i not in got]
+                if left and fallback is not None:
+                    all_tries(fallback, pdf.loc[left], errors, got)
+            out = pdf.copy()
+            for n in names:
+                out[n] = [got[i][n] if i in got else None for i in pdf.index]
+            out["_error"] = [None if i in got else errors.get(i, "") for i in pdf.index]
+            yield out
 
     scored = df.mapInPandas(run, schema)
     if materialize:
@@ -84,15 +94,20 @@ def score_table(df: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame],
 
 def score_once_per_model(cases: DataFrame, models: list, scorer: Callable,
                          outputs: StructType, model_col: str = "checkpoint",
-                         attempts: int = 1) -> DataFrame:
-    """B2: every model scores every case, each model loaded at most once per task.
-
-    The roster (a fixed, small list, e.g. 90 checkpoints) is exploded onto each
-    case row -- no join -- and rows are sorted by model inside each partition, so a
-    scorer that caches its loaded model sees one model's rows contiguously.
-    ``scorer(model_name, batch)`` returns the outputs for that batch."""
-    x = (cases.withColumn(model_col, F.explode(F.array(*[F.lit(m) for m in models])))
-         .sortWithinPartitions(model_col))
+                         attempts: int = 1, rows_per_load: int = 100_000) -> DataFrame:
+    """B2: every model scores every case, and a model is loaded once for each
+    ``rows_per_load`` cases (once, if there are no more).
+
+    The roster (a fixed, small list, e.g. 90 checkpoints) is exploded onto each case row,
+    with no join.  Rows are partitioned by (model, salt), as many salts as the counted
+    cases need, so all rows of a pair are in one task and stand together there.
+    ``scorer(model_name, batch)`` returns the outputs for that batch; it should keep
+    the model it loaded last."""
+    salts = max(1, -(-cases.count() // rows_per_load))
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in cases.columns]), F.lit(salts))
+    x = (cases.withColumn("__salt", salt)
+         .withColumn(model_col, F.explode(F.array(*[F.lit(m) for m in models])))
+         .repartition(model_col, "__salt").sortWithinPartitions(model_col, "__salt").drop("__salt"))
 
     def per_batch(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = []

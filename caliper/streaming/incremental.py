@@ -8,6 +8,7 @@ first, so a restarted query never appends a key twice.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,28 +16,64 @@ from caliper.operators.linkage import not_yet_done
 from caliper.sources.sinks import append_predictions
 
 
+RUN = "_run"
+
+
+def read_store(spark: SparkSession, store_path: str) -> DataFrame | None:
+    """The store, or None if nothing was ever written there.  Any other failure to read
+    it is raised: it must not look like an empty store."""
+    try:
+        store = spark.read.option("mergeSchema", "true").parquet(store_path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    return store if RUN in store.columns else store.withColumn(RUN, F.lit(0).cast("long"))
+
+
+def _fine(error_col: str):
+    return F.coalesce(F.trim(F.col(error_col)), F.lit("")) == ""
+
+
 def done_keys(spark: SparkSession, store_path: str, key: str, retry_errors: bool = False,
               error_col: str = "_error") -> DataFrame | None:
-    """Keys already in the store; an absent or unreadable store -> None (nothing
-    done).  Error rows count as done unless ``retry_errors`` (quirk Q6)."""
-    try:
-        store = spark.read.parquet(store_path)
-    except Exception:  # noqa: BLE001 - a missing store means nothing is done yet
+    """Keys already in the store; no store -> None (nothing done).  Error rows count as
+    done unless ``retry_errors`` (quirk Q6)."""
+    store = read_store(spark, store_path)
+    if store is None:
         return None
     if retry_errors and error_col in store.columns:
-        store = store.where(F.coalesce(F.trim(F.col(error_col)), F.lit("")) == "")
+        store = store.where(_fine(error_col))
     return store.select(key)
 
 
+def latest_rows(store: DataFrame, key: str, error_col: str = "_error") -> DataFrame:
+    """One row per key: of a key that was tried again, the row of its latest run.  A key
+    is only tried again after an error, so only error rows are grouped and joined."""
+    if error_col not in store.columns:
+        return store
+    fine, bad = store.where(_fine(error_col)), store.where(~_fine(error_col))
+    cols = F.struct(*[F.col(f"`{c}`") for c in store.columns])
+    last = (bad.join(fine.select(key), key, "left_anti").groupBy(key)
+            .agg(F.max_by(cols, F.col(RUN)).alias("__r")).select("__r.*"))
+    return fine.unionByName(last)
+
+
 def incremental_eval(spark: SparkSession, cases: DataFrame, key: str, store_path: str,
-                     score, report=None, retry_errors: bool = False) -> DataFrame | None:
-    """Score ``not_yet_done(cases)`` with ``score(df) -> df``, append to the store,
-    and return ``report(whole_store)`` (or the whole store)."""
-    todo = not_yet_done(cases, done_keys(spark, store_path, key, retry_errors), key)
+                     score, report=None, retry_errors: bool = False,
+                     error_col: str = "_error") -> DataFrame | None:
+    """Score ``not_yet_done(cases)`` with ``score(df) -> df``, append the rows with
+    the number of this run, and return ``report`` over the latest row of every key."""
+    store = read_store(spark, store_path)
+    run = 0 if store is None else (store.agg(F.max(RUN)).first()[0] or 0) + 1
+    todo = not_yet_done(cases, done_keys(spark, store_path, key, retry_errors, error_col), key)
     if todo.limit(1).count():
-        append_predictions(score(todo), store_path)
-    store = spark.read.parquet(store_path)
-    return report(store) if report else store
+        append_predictions(score(todo).withColumn(RUN, F.lit(run).cast("long")), store_path)
+    store = read_store(spark, store_path)
+    if store is None:
+        return None
+    whole = latest_rows(store, key, error_col)
+    return report(whole) if report else whole
 
 
 def stream_into_store(stream: DataFrame, key: str, store_path: str, score, checkpoint: str,

@@ -47,6 +47,43 @@ def test_score_table_retries_fallback(spark):
     del calls
 
 
+def test_only_failed_rows_are_retried(spark, tmp_path):
+    log = str(tmp_path / "rows.log")
+
+    def scorer(pdf):
+        with open(log, "a") as f:
+            f.writelines(f"{x}\n" for x in pdf["x"])
+        return pd.DataFrame({"score": pdf["x"] * 1.0, "_error": ["busy" if x % 10 == 0 else None for x in pdf["x"]]})
+
+    def fallback(pdf):
+        if (pdf["x"] == 20).any():
+            raise RuntimeError("no")
+        return pd.DataFrame({"score": [-1.0] * len(pdf)})
+
+    df = spark.range(0, 40, 1, 1).select(F.col("id").alias("x"))
+    out = {r.x: (r.score, r._error) for r in scoring.score_table(df, scorer, OUT, attempts=3, fallback=fallback).collect()}
+    calls = [int(x) for x in open(log).read().split()]
+    assert all(calls.count(x) == (3 if x % 10 == 0 else 1) for x in range(40))
+    assert out == {x: (None, "no") if x == 20 else (-1.0, None) if x % 10 == 0 else (x * 1.0, None) for x in range(40)}
+
+
+def test_models_are_loaded_once(spark, tmp_path):
+    log = str(tmp_path / "loads.log")
+
+    def scorer(model, pdf, last=[None]):
+        if last[0] != model:
+            last[0] = model
+            with open(log, "a") as f:
+                f.write(f"{model}\n")
+        return pd.DataFrame({"score": pdf["x"] * 1.0})
+
+    cases = spark.range(0, 400, 1, 16).select(F.col("id").alias("x"))
+    for rows, salts in ((1000, 1), (100, 4)):
+        open(log, "w").close()
+        out = scoring.score_once_per_model(cases, [f"m{i}" for i in range(9)], scorer, OUT, rows_per_load=rows)
+        assert out.count() == 3600 and len(open(log).read().split()) <= 9 * salts
+
+
 def test_score_per_model_and_scenarios(spark):
     cases = spark.createDataFrame([(1, "d1", "c1"), (2, "d2", "c2")], "id long, derm string, clin string")
     loads = []
@@ -128,6 +165,29 @@ def test_incremental_retry_errors(spark, tmp_path):
     assert incremental.done_keys(spark, str(tmp_path / "none"), "k") is None
 
 
+def test_retry_reports_one_row_per_case(spark, tmp_path):
+    store, tries = str(tmp_path / "store"), []
+    cases = spark.range(0, 6).select(F.col("id").alias("k"))
+
+    def score(df):
+        bad = F.col("k") % 3 == 0 if not tries else F.col("k") == 0
+        tries.append(1)
+        return df.select("k", F.when(~bad, F.col("k") * 1.0).alias("score"), F.when(bad, "timeout").alias("_error"))
+
+    for want in ([0, 3], [0], [0]):
+        whole = incremental.incremental_eval(spark, cases, "k", store, score, retry_errors=True).collect()
+        assert len(whole) == 6 and sorted(r.k for r in whole if r._error) == want
+    assert max(r._run for r in whole) == 2
+    (tmp_path / "store" / "part-9.parquet").write_bytes(b"broken")
+    try:
+        incremental.done_keys(spark, store, "k").collect()
+        raise AssertionError("a broken store must not count as empty")
+    except AssertionError:
+        raise
+    except Exception:
+        pass
+
+
 def test_scoring_runs_once(spark, tmp_path):
     """The scored table is materialised: later actions never call the scorer again."""
     log = str(tmp_path / "calls.log")
