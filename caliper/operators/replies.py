@@ -54,22 +54,9 @@ def extract_json(text, mode) -> Column:
             e = extract_json(t, m)
             expr = F.when(mode == m, e) if expr is None else expr.when(mode == m, e)
         return expr
-    if mode == "fenced":
-        s = strip(t)
-        s = F.when(s.startswith("```"),
-                   strip(F.replace(F.replace(s, F.lit("```json"), F.lit("")),
-                                   F.lit("```"), F.lit("")))).otherwise(s)
-        return parse_json_strict(s)
-    if mode == "fenced_or_embedded":
-        s = strip(t)
-        s = F.regexp_replace(s, r"(?i)^```(?:json)?\s*", "")
-        s = F.regexp_replace(s, r"\s*```$", "")
-        return F.coalesce(parse_json_strict(s), parse_json_strict(_first_to_last_brace(s)))
-    if mode == "embedded":
-        return F.coalesce(parse_json_strict(t), parse_json_strict(_first_to_last_brace(t)))
-    if mode == "strict":
-        return parse_json_strict(strip(t))
-    raise ValueError(f"unknown mode {mode!r}; one of {MODES}")
+    first, second = _candidates(t, mode)
+    found = parse_json_strict(first)
+    return found if second is None else F.coalesce(found, parse_json_strict(second))
 
 
 def is_object(v) -> Column:
@@ -130,19 +117,19 @@ def list_to_json(arr) -> Column:
 
 
 def _candidates(text: Column, mode: str):
-    """(primary, fallback) candidate texts of one mode (fallback may be NULL)."""
+    """(primary, fallback) candidate texts of one mode; None without a fallback."""
     if mode == "fenced":
         st = strip(text)
         return F.when(st.startswith("```"), strip(F.replace(F.replace(
-            st, F.lit("```json"), F.lit("")), F.lit("```"), F.lit("")))).otherwise(st), F.lit(None)
+            st, F.lit("```json"), F.lit("")), F.lit("```"), F.lit("")))).otherwise(st), None
     if mode == "fenced_or_embedded":
-        st = F.regexp_replace(F.regexp_replace(strip(text), r"(?i)^```(?:json)?\s*", ""),
-                              r"\s*```$", "")
+        st = F.regexp_replace(F.regexp_replace(strip(text), r"(?iU)^```(?:json)?\s*", ""),
+                              r"(?U)\s*```$", "")
         return st, _first_to_last_brace(st)
     if mode == "embedded":
         return text, _first_to_last_brace(text)
     if mode == "strict":
-        return strip(text), F.lit(None)
+        return strip(text), None
     raise ValueError(f"unknown mode {mode!r}; one of {MODES}")
 
 
@@ -158,19 +145,18 @@ def parse_replies(df: DataFrame, text_col: str, mode="fenced_or_embedded",
 
     Staged projections: candidate texts, then each wrapper parsed once, then the
     checks read the parsed columns (one parse per candidate and wrapper per row)."""
-    from caliper.operators.prefix import spread
-
-    df = spread(df)
     cols = df.columns
     text = F.col(text_col)
     if isinstance(mode, Column):
         prim = fall = None
         for m in MODES:
             p, q = _candidates(text, m)
+            q = F.lit(None) if q is None else q
             prim = F.when(mode == m, p) if prim is None else prim.when(mode == m, p)
             fall = F.when(mode == m, q) if fall is None else fall.when(mode == m, q)
     else:
         prim, fall = _candidates(text, mode)
+        fall = F.lit(None) if fall is None else fall
     staged = df.select(*cols, prim.cast("string").alias("__p"), fall.cast("string").alias("__q"))
 
     def wrap_a(c):
@@ -285,3 +271,68 @@ def differential(reply="_reply", list_key: str = "differential", k: int = 3,
     filler = F.struct(F.lit(f["diagnosis"]).alias("diagnosis"),
                       F.lit(float(f["confidence"])).alias("confidence"))
     return pad_topk(collapsed, k, filler)
+
+
+def _number(reply, key: str) -> Column:
+    """A reply field as double; absent, null or not a number -> NULL."""
+    return to_double_or_null(field(reply, key))
+
+
+def _flag(reply, key: str) -> Column:
+    """A reply field as 0/1 (absent -> 0); numeric text and booleans convert."""
+    f = field(reply, key)
+    return F.when(f.isNull(), F.lit(0)).otherwise(to_double_or_null(f).cast("int"))
+
+
+def _text(reply, key: str) -> Column:
+    return F.coalesce(variant_string(field(reply, key)), F.lit(""))
+
+
+def target_fields(df: DataFrame, reply: str = "_reply", targets=("melanoma", "malignancy"),
+                  rationale: str = "brief_rationale") -> DataFrame:
+    """Per target the reply's ``<t>_probability`` (absent or no number -> NULL) and
+    ``<t>_prediction`` (absent -> 0), and its rationale ('' if absent)."""
+    cols = {}
+    for t in targets:
+        cols[f"{t}_probability"] = _number(reply, f"{t}_probability")
+        cols[f"{t}_prediction"] = _flag(reply, f"{t}_prediction")
+    return df.withColumns({**cols, "rationale": _text(reply, rationale)})
+
+
+#: Fields of a fusion reply: flags, numbers and texts.
+FUSION_FLAGS = ("followed_resnet", "followed_siim")
+FUSION_NUMBERS = {"resnet_weight": "resnet_weight", "siim_weight": "siim_weight", "confidence": "fusion_confidence"}
+FUSION_TEXTS = ("melanoma_decision_basis", "malignancy_decision_basis")
+
+
+def fusion_fields(df: DataFrame, reply: str = "_reply", flags=FUSION_FLAGS, numbers=None,
+                  texts=FUSION_TEXTS) -> DataFrame:
+    """``target_fields`` and what else a fusion reply says: which model it followed
+    (Python truth value), the weights and its confidence, and its reasons."""
+    numbers = FUSION_NUMBERS if numbers is None else numbers
+    return target_fields(df, reply).withColumns({
+        **{k: truthy(field(reply, k)) for k in flags},
+        **{out: _number(reply, k) for k, out in numbers.items()},
+        **{k: _text(reply, k) for k in texts}})
+
+
+def binary_fields(df: DataFrame, reply: str = "_reply", flag: str = "is_melanoma",
+                  number: str = "likelihood", rationale: str = "rationale",
+                  labels=tuple(rules.MELANOMA_LABELS)) -> DataFrame:
+    """A yes/no reply: pred_is_positive (truth value), pred_label (the second of
+    ``labels`` if positive), pred_likelihood (absent -> 0.0), pred_rationale.  Error
+    rows (no reply) get an empty label and NULLs."""
+    ok = F.col(reply).isNotNull()
+    yes = truthy(field(reply, flag))
+    n = field(reply, number)
+    return df.withColumns({
+        "pred_is_positive": F.when(ok, yes),
+        "pred_label": F.when(ok, F.when(yes, labels[1]).otherwise(labels[0])).otherwise(""),
+        "pred_likelihood": F.when(ok, F.when(n.isNull(), 0.0).otherwise(to_double_or_null(n))),
+        "pred_rationale": F.when(ok, _text(reply, rationale))})
+
+
+def label_confidence(df: DataFrame, reply: str = "_reply", label: str = "pred",
+                     number: str = "confidence") -> DataFrame:
+    """A reply of a label and its confidence: pred_label ('' if absent), confidence."""
+    return df.withColumns({"pred_label": _text(reply, label), "confidence": _number(reply, number)})

@@ -25,9 +25,6 @@ def prediction_rows(df: DataFrame, truth: str, preds, error: str | None = None,
     """Stored layout of a top-k prediction: truth_dx2_norm, top{i}, pred_dx2_g{i},
     top1_correct_dx2 and hit_at3_dx2 (F7, F8, F10).  Rows with an error keep the
     truth but get blank predictions and NULL flags."""
-    from caliper.operators.prefix import spread
-
-    df = spread(df)
     arr = F.array(*[_c(p) for p in preds])
     ok = F.lit(True) if error is None else (F.coalesce(strip(_c(error)), F.lit("")) == "")
     cols = [norm_dx2(truth).alias("truth_dx2_norm")]

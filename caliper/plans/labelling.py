@@ -15,7 +15,7 @@ from caliper.functions import labels as L
 from caliper.functions import rules
 from caliper.functions.text import norm_dx2
 from caliper.plans.registry import plan, rounded
-from caliper.plans.tables import table
+from caliper.plans.tables import dealt, table
 
 DX_TEXTS = [
     "Melanoma (in situ)", "basal cell carcinoma", "clark nevus", "seborrheic keratosis", "BCC",
@@ -188,9 +188,7 @@ SELECT p_partkey, dx_norm, grp,
 FROM g""")
 def dx_groups(spark, d):
     """F7 + F8 + F9 + F10: normalise, map to groups, malignant flag, hit@1 / hit@3."""
-    from caliper.operators.prefix import spread
-
-    p = spread(part_dx(spark, d))
+    p = dealt(part_dx(spark, d))
     preds = F.array("dx", "dx_next1", "dx_next2")
     truth = L.dx_to_group("dx_truth")
     return p.select(

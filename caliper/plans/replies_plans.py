@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from caliper.functions import rules
 from caliper.operators import replies as R
 from caliper.plans.registry import plan, rounded
-from caliper.plans.tables import table
+from caliper.plans.tables import dealt, table
 
 REPLY_DX = ["Melanoma", "melanocytic nevus", "Basal cell carcinoma", "Seborrheic keratosis",
             "Dermatofibroma", "Hemangioma", "Squamous cell carcinoma", "Lentigo maligna",
@@ -30,7 +30,7 @@ def _arr(xs):
 
 
 def reply_text(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").select("event_id", "user_id")
+    e = dealt(table(spark, d, "events").select("event_id", "user_id"))
     eid, uid = F.col("event_id"), F.col("user_id")
     k = eid % 8
 
@@ -195,11 +195,7 @@ WITH {REPLY_SQL},
 {FIELDS_SQL}""")
 def parse_replies(spark, d):
     """R0-R4 + R6 keep + F12 + F19 + F22: four parse modes over every reply."""
-    from caliper.operators.prefix import spread
-
-    # Spread the (single-file) events before the 4-way explode, so the shuffle moves
-    # one copy of each text rather than four.
-    t = spread(reply_text(spark, d)).select(
+    t = reply_text(spark, d).select(
         "event_id", "text", F.explode(F.array(*[F.lit(m) for m in R.MODES])).alias("mode"))
     parsed = R.parse_replies(t, "text", mode=F.col("mode"), on_error="keep")
     return rounded(_typed(parsed))

@@ -16,16 +16,18 @@ from caliper.functions import labels as L
 from caliper.functions import rules
 from caliper.functions.text import norm_dx2
 from caliper.operators import metrics, reports
+from caliper.operators.filters import evaluable
+from caliper.operators.replies import pad_topk
 from caliper.plans.labelling import (PART_DX_SQL, _sql_group, _sql_melanoma, _sql_norm,
                                      _sql_two_class, part_dx)
 from caliper.plans.registry import plan, rounded
-from caliper.plans.tables import table
+from caliper.plans.tables import dealt, table
 
 SCENARIOS = ["derm_only", "derm_plus_clin"]
 
 
 def lesion_store(spark: SparkSession, d: str) -> DataFrame:
-    p = part_dx(spark, d)
+    p = dealt(part_dx(spark, d))
     sc = F.explode(F.array(*[F.lit(s) for s in SCENARIOS])).alias("scenario")
     base = p.select("p_partkey", "p_size", "p_retailprice", "dx", "dx_next1", "dx_next2",
                     "dx_truth", sc)
@@ -143,10 +145,9 @@ def two_class_accuracy(spark, d):
     """F5 + F11 + F12 (padding with the nevus filler) + A14 + A15 on the two-class
     archive evaluation: two predictions per case, padded to three."""
     p = part_dx(spark, d).where(F.col("dx").isNotNull())
-    mel, nev = rules.TWO_CLASSES
+    two = F.array(L.collapse_two_class("dx"), L.collapse_two_class("dx_next1"))
     r = p.select("p_partkey", L.canon_truth_two_class("dx_truth").alias("truth"),
-                 F.array(L.collapse_two_class("dx"), L.collapse_two_class("dx_next1"),
-                         F.lit(nev)).alias("top"))
+                 pad_topk(two, 3, F.lit(rules.TOPK_FILLER_TWO_CLASS["diagnosis"])).alias("top"))
     e = r.select("truth", F.get("top", 0).alias("top1"), "top").where(
         (F.col("truth") != "") & (F.col("top1") != ""))
     flags = e.select("truth", "top1",
@@ -181,7 +182,7 @@ def melanoma_label_metrics(spark, d):
                  F.when(F.col("dx").isNull(), F.lit(""))
                  .when(F.lower("dx").contains("melanoma"), F.lit("melanoma"))
                  .otherwise(F.lit("non-melanoma")).alias("pred"))
-    e = r.where((F.col("truth") != "") & (F.col("pred") != ""))
+    e = evaluable(r, "truth", "pred")
     m = metrics.binary_metrics_label(e, "truth", "pred", positive="melanoma",
                                      labels=rules.MELANOMA_LABELS)
     return rounded(m.select("n", "tp", "fp", "tn", "fn", "accuracy", "precision", "recall", "f1",
@@ -234,7 +235,7 @@ def malignancy_label_report(spark, d):
     s = r.select("skin_tone_class", "y",
                  (F.col("pred_label") == "Malignant").cast("int").alias("p"),
                  L.prob_from_label("pred_label", "conf").alias("score"))
-    rep = metrics.label_report(s, "y", "p", "score", by=["skin_tone_class"])
+    rep = metrics.metrics_by_group(s, "skin_tone_class", "y", "p", "score")
     return rounded(rep.drop("matrix"))
 
 

@@ -22,13 +22,13 @@ from caliper.functions import rules
 from caliper.operators import linkage as J
 from caliper.operators import sampling, scoring
 from caliper.plans.registry import plan, rounded
-from caliper.plans.tables import table
+from caliper.plans.tables import dealt, table
 from caliper.sources import readers as S
 from caliper.streaming import incremental
 
 
 def nested_events(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events")
+    e = dealt(table(spark, d, "events").select("event_id", "event_type", "props", "user_id"))
     return e.select("event_id", F.concat(
         F.lit('{"event_type": "'), "event_type", F.lit('", "props": '), "props",
         F.lit(', "tags": ['), F.col("user_id").cast("string"),
@@ -65,11 +65,9 @@ SELECT event_id,
        coalesce(max(value) FILTER (WHERE key = 'none'), '') AS "none"
 FROM flat GROUP BY event_id""")
 def widen_records(spark, d):
-    """Flat keys pivoted to columns, missing -> ''.  The key roster comes from
-    one bounded, size-checked key job (first-seen order)."""
+    """Flat keys pivoted to columns of a given roster, missing -> ''."""
     flat = S.flatten_json(nested_events(spark, d), "event_id", "record")
-    keys = S.metadata_keys(flat, "event_id")
-    return S.widen_metadata(flat, "event_id", keys)
+    return S.widen_metadata(flat, "event_id", ["event_type", "props.k", "tags[0]", "tags[1]", "none"])
 
 
 @plan("order_row_ids", """

@@ -143,53 +143,44 @@ def read_class_map(spark: SparkSession, idx_json: str, fam_json: str,
             .select("class_idx", "class", F.coalesce("family", F.lit(unmapped)).alias("family")))
 
 
-def _schema_depth(schema: str) -> int:
-    """Container nesting depth of a variant schema string (OBJECT<..>, ARRAY<..>)."""
-    depth = best = 0
-    for tok in schema.replace("<", " < ").replace(">", " > ").split():
-        if tok == "<":
-            depth += 1
-            best = max(best, depth)
-        elif tok == ">":
-            depth -= 1
-    return best
-
-
-def flatten_json(df: DataFrame, id_col: str, json_col: str, max_depth: int = 64) -> DataFrame:
+ERR_RECORD = "could not parse JSON"
+
+
+def _depth(text) -> Column:
+    """How many containers stand inside each other in a JSON text (0 for a scalar)."""
+    bare = F.replace(F.replace(_str(text), F.lit("\\\\"), F.lit("")), F.lit('\\"'), F.lit(""))
+    bare = F.regexp_replace(bare, r'"[^"]*+"', "")
+    steps = F.split(F.regexp_replace(bare, r"[^\[\]{}]++", ""), "")
+    up, down = F.array(F.lit("["), F.lit("{")), F.array(F.lit("]"), F.lit("}"))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), lambda a, x: F.struct(
+        (a["now"] + F.when(F.array_contains(up, x), 1).when(F.array_contains(down, x), -1).otherwise(0)).alias("now"),
+        F.greatest(a["most"], a["now"] + F.when(F.array_contains(up, x), 1).otherwise(0)).alias("most")))["most"]
+
+
+def _str(c) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def flatten_json(df: DataFrame, id_col: str, json_col: str, error_key: str = "_error") -> DataFrame:
     """Nested JSON text -> long (id, key, value) with keys ``a.b`` and ``c[0]``;
     empty objects / lists emit nothing; JSON null is emitted (value NULL); values
-    are the scalar's text.
+    are the scalar's text.  A text that is no JSON gives one row under ``error_key``.
 
     One linear chain of explodes, one per nesting level, with no shuffle: a row
     holding an object or list is replaced by its children, a scalar row is carried
     through unchanged, so every level reads the previous one exactly once.  The
-    number of levels is the nesting depth of the merged schema of all records
-    (``schema_of_variant_agg``: one aggregate returning a schema string)."""
-    from caliper.operators.prefix import spread
-
+    number of levels is the deepest nesting of any record, whatever it is: one
+    aggregate over the texts returns that number."""
     node = "struct<key:string,v:variant>"
-    rows = spread(df.select(id_col, json_col)).select(F.col(id_col).alias("__id"), F.struct(
-        F.lit(None).cast("string").alias("key"),
-        F.try_parse_json(F.col(json_col)).alias("v")).alias("n")).where(F.col("n.v").isNotNull())
-    merged = rows.agg(F.schema_of_variant_agg("n.v").alias("s")).first()["s"] or ""
-    levels = min(max_depth, _schema_depth(merged))
+    texts = df.select(F.col(id_col).alias("__id"), F.col(json_col).alias("__text")).where(F.col("__text").isNotNull())
+    levels = texts.agg(F.max(_depth("__text")).alias("d")).first()["d"] or 0
+    rows = texts.select("__id", F.struct(F.lit(None).cast("string").alias("key"),
+                                         F.try_parse_json("__text").alias("v")).alias("n"))
 
     def child_key(parent, name):
         return F.when(parent.isNull(), name).otherwise(F.concat(parent, F.lit("."), name))
 
-    def is_container(v):
-        return (F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
-                | F.try_variant_get(v, "$", "array<variant>").isNotNull())
-
-    # A merged schema with VARIANT inside (lists of mixed types) hides deeper levels:
-    # then keep going while a one-row probe still finds a container.
-    opaque = "VARIANT" in merged
-    done = 0
-    while done < max_depth:
-        if done >= levels and not (opaque and rows.where(is_container(F.col("n.v")))
-                                   .limit(1).count()):
-            break
-        done += 1
+    for _ in range(levels):
         v, key = F.col("n.v"), F.col("n.key")
         objs = F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")),
                            lambda e: F.struct(child_key(key, e["key"]).alias("key"),
@@ -202,17 +193,19 @@ def flatten_json(df: DataFrame, id_col: str, json_col: str, max_depth: int = 64)
         children = F.coalesce(objs.cast(f"array<{node}>"), arrs.cast(f"array<{node}>"),
                               F.array(F.col("n")).cast(f"array<{node}>"))
         rows = rows.select("__id", F.explode(children).alias("n"))
+    bad = F.col("n.v").isNull()
     return rows.select(
-        F.col("__id").alias(id_col), F.col("n.key").alias("key"),
-        F.when(F.is_variant_null("n.v"), F.lit(None).cast("string"))
+        F.col("__id").alias(id_col), F.when(bad, F.lit(error_key)).otherwise(F.col("n.key")).alias("key"),
+        F.when(bad, F.lit(ERR_RECORD)).when(F.is_variant_null("n.v"), F.lit(None).cast("string"))
         .otherwise(F.try_variant_get("n.v", "$", "string")).alias("value"))
 
 
 def widen_metadata(long: DataFrame, id_col: str, keys, first_cols=rules.PREFERRED_METADATA_COLUMNS,
                    key_col: str = "key", value_col: str = "value") -> DataFrame:
     """Pivot flat keys to columns (missing -> ''), preferred columns first, then
-    the remaining keys in the given order.  ``keys`` is the column roster: pass it
-    (e.g. from ``metadata_keys``) so the pivot needs no extra job."""
+    the remaining keys in the given order.  ``keys`` is the column roster, a list that
+    the caller chooses (``metadata_keys`` lists what there is), so the pivot needs no
+    extra job."""
     keys = list(keys)
     wide = long.groupBy(id_col).pivot(key_col, keys).agg(F.first(value_col))
     ordered = [c for c in first_cols if c in keys] + [k for k in keys if k not in first_cols]
@@ -220,14 +213,10 @@ def widen_metadata(long: DataFrame, id_col: str, keys, first_cols=rules.PREFERRE
                                  for k in ordered if k != id_col]).na.fill("")
 
 
-def metadata_keys(long: DataFrame, id_order: str, key_col: str = "key",
-                  max_keys: int = 10_000) -> list:
-    """Key roster in first-seen order (by the row order column), size-checked."""
-    ks = (long.groupBy(key_col).agg(F.min(id_order).alias("first"))
-          .orderBy("first", key_col).limit(max_keys + 1).collect())
-    if len(ks) > max_keys:
-        raise ValueError(f"more than {max_keys} distinct keys; pass an explicit roster")
-    return [r[key_col] for r in ks]
+def metadata_keys(long: DataFrame, id_order: str, key_col: str = "key") -> DataFrame:
+    """Key roster as a table (key, first): every key and the least ``id_order`` that has
+    it.  The long form needs no roster; the wide form takes one as a list."""
+    return long.groupBy(key_col).agg(F.min(id_order).alias("first"))
 
 
 def fetch_status(attempts: DataFrame, sources=rules.FETCH_SOURCES) -> DataFrame:

@@ -78,13 +78,21 @@ def test_flatten_and_widen(spark):
     assert flat == [(1, "a.b", "1"), (1, "c[0]", "10"), (1, "c[1].d", None),
                     (2, "a.b", "2"), (2, "isic_id", "X")]
     long = S.flatten_json(df, "id", "j")
-    keys = S.metadata_keys(long, "id")
+    keys = [r.key for r in S.metadata_keys(long, "id").orderBy("first", "key").collect()]
     wide = S.widen_metadata(long, "id", keys)
     assert wide.columns[:2] == ["id", "isic_id"]
     r = {x.id: x for x in wide.collect()}
     assert r[1]["isic_id"] == "" and r[2]["a.b"] == "2" and r[1]["c[1].d"] == ""
 
 
+def test_flatten_deep_and_broken(spark):
+    deep = '{"a":' * 70 + '["x", {}]' + "}" * 70
+    rows = [(1, deep), (2, '{"a": 1'), (3, None), (4, '"s \\" {[ "'), (5, '{"k\\\\": "{{{{", "l": [[1]]}')]
+    got = sorted((r.id, r.key, r.value) for r in S.flatten_json(spark.createDataFrame(rows, "id int, j string"), "id", "j").collect())
+    assert got == [(1, ".".join("a" * 70) + "[0]", "x"), (2, "_error", S.ERR_RECORD), (4, None, 's " {[ '),
+                   (5, "k\\", "{{{{"), (5, "l[0][0]", "1")]
+
+
 def test_row_ids(spark):
     df = spark.range(0, 1000, 1, 7).select((F.col("id") * 3 % 1000).alias("v"))
     ids = S.with_row_id(df, ["v"]).orderBy("v").collect()
