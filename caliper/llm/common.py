@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -29,12 +30,23 @@ def row_key(text: str = "text", doc_id: str = "doc_id") -> list[Column]:
             F.xxhash64(F.lit(1), F.col(text)).alias("k2")]
 
 
+#: Up to so many row keys (16 bytes each) are broadcast to take rows out, else joined.
+MOST_BROADCAST_KEYS = 1_000_000
+
+
+def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose row key is not among ``keys`` (k1, k2)."""
+    few = keys.limit(MOST_BROADCAST_KEYS + 1).count() <= MOST_BROADCAST_KEYS
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key())
+    return rows.join(F.broadcast(keys) if few else keys, ["k1", "k2"], "leftanti").select("row.*")
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into slices of at most ``most`` text bytes (or one row)."""
     if not batch.num_rows:
         return
     arr = batch.column(column)
-    sizes = pa.compute.fill_null(pa.compute.binary_length(arr), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(arr), 0).to_pylist()
     begin = held = 0
     for i, size in enumerate(sizes):
         if held and held + size > most:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caliper.llm.common import row_key, saved
+from caliper.llm.common import row_key, saved, without
 
 SIZE = 10
 SHINGLE = 3
@@ -103,3 +103,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = SIZE, shingle:
     return judged.drop("wins").join(named, ["k1", "k2"], "left") \
         .withColumn("items", F.coalesce("items", F.array().cast("array<string>"))) \
         .withColumn("n_items", F.size("items").cast("long"))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
+    """The rows of ``docs`` that hold no window of an item."""
+    found = decontaminate(docs, items, size).where("n_hit > 0").select("k1", "k2").distinct()
+    return without(docs, saved(found))

@@ -70,3 +70,14 @@ def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES
             .select("row", F.array_join("kept", "\n").alias("text"),
                     F.coalesce(F.array_size(lines), F.lit(0)).cast("long").alias("n_lines"),
                     F.coalesce(F.array_size(lines) - F.array_size("kept"), F.lit(0)).cast("long").alias("n_removed")))
+
+
+def without_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES,
+                        margin: float = MARGIN) -> DataFrame:
+    """The rows of ``docs`` with the kept lines as ``text`` (and ``n_chars`` brought in line)."""
+    found = line_dedup(docs, site, min_sites, margin)
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        changed = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("row.n_chars"))
+        new["n_chars"] = changed.cast(docs.schema["n_chars"].dataType)
+    return found.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

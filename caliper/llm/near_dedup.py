@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caliper.llm.common import map_text, saved
+from caliper.llm.common import map_text, row_key, saved, without
 from caliper.llm.components import components
 from caliper.llm.textnp import Words, mix
 
@@ -64,7 +64,7 @@ def shingle_sets(arr: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, size: int = SHINGLE, half: int = HALF, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, s1, s2 (hash of the whole set), a, b (the two collections)."""
+    """doc_id, k1, k2, n_shingles, s1, s2 (hash of the whole set), a, b (the two collections)."""
     rng = np.random.Generator(np.random.PCG64(41))
     factor = rng.integers(0, 1 << 63, 2 * half * rows, dtype=np.uint64) * _U(2) + _U(1)
     shift = rng.integers(0, 1 << 63, 2 * half * rows, dtype=np.uint64)
@@ -92,11 +92,12 @@ def signatures(docs: DataFrame, size: int = SHINGLE, half: int = HALF, rows: int
         where = np.concatenate(([0], np.cumsum(half * (n > 0)))).astype(np.int32)
         ab = [pa.ListArray.from_arrays(pa.array(where), pa.array(np.ascontiguousarray(entry[s::2]).ravel())) for s in (0, 1)]
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), pa.array(n.astype(np.int64)), *(pa.array(s.view(np.int64)) for s in sums), *ab],
-            ["doc_id", "n_shingles", "s1", "s2", "a", "b"])
+            [*(part.column(c) for c in ("doc_id", "k1", "k2")), pa.array(n.astype(np.int64)),
+             *(pa.array(s.view(np.int64)) for s in sums), *ab],
+            ["doc_id", "k1", "k2", "n_shingles", "s1", "s2", "a", "b"])
 
-    return map_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run,
-                    "doc_id long, n_shingles long, s1 long, s2 long, a array<long>, b array<long>")
+    return map_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(), "text"), run,
+                    "doc_id long, k1 long, k2 long, n_shingles long, s1 long, s2 long, a array<long>, b array<long>")
 
 
 def table_keys(reps: DataFrame) -> DataFrame:
@@ -192,7 +193,7 @@ def links(docs: DataFrame, keys: DataFrame, sizes: DataFrame, size: int = SHINGL
 
 def near_dedup(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, half: int = HALF,
                rows: int = ROWS, rounds: int = STAR_ROUNDS) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
+    """One row per document: doc_id, n_shingles, component_id, kept (and its row key)."""
     sets = saved(signatures(docs, size, half, rows))
     reps = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n_shingles") \
         .agg(F.min(F.struct("doc_id", "a", "b")).alias("r")) \
@@ -206,7 +207,19 @@ def near_dedup(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, hal
     found = links(texts, keys, reps.select("rep", "n"), size, percent, rounds)
     classes = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left") \
         .select("s1", "s2", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-    out = sets.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2", "n_shingles"], "left")
+    out = sets.select("doc_id", "k1", "k2", "n_shingles", "s1", "s2").join(classes, ["s1", "s2", "n_shingles"], "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
-                      F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+                      F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"), "k1", "k2")
+
+
+def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` that ``near_dedup`` keeps; of rows equal in id and text one."""
+    found = saved(near_dedup(docs, size, percent).select("k1", "k2", "kept"))
+    gone = found.where("NOT kept").select("k1", "k2").distinct()
+    again = saved(found.where("kept").groupBy("k1", "k2").count().where("count > 1").select("k1", "k2"))
+    if again.isEmpty():
+        return without(docs, gone)
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key())
+    one = keyed.join(again, ["k1", "k2"], "leftsemi").groupBy("k1", "k2").agg(F.first("row").alias("row"))
+    return without(docs, gone.unionByName(again)).unionByName(one.select("row.*"))

@@ -142,19 +142,30 @@ def scores(arr: pa.Array, ratios: np.ndarray) -> np.ndarray:
     return out
 
 
+def _judge(arr: pa.Array, ratios: np.ndarray, threshold: float):
+    m, s = measures(arr), scores(arr, ratios)
+    failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
+    return m, failed, s, ~failed & (s >= threshold)
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
                   buckets: int = BUCKETS, max_target: int = MAX_TARGET) -> DataFrame:
     """One row per document: doc_id, the base measures, base_failed, score, kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ratios = log_ratios(docs, labels, buckets, max_target)
 
-    def judge(part):
-        m, s = measures(part.column("text")), scores(part.column("text"), ratios)
-        failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
+    def run(part):
+        m, failed, s, kept = _judge(part.column("text"), ratios, threshold)
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), *map(pa.array, m.values()), pa.array(failed), pa.array(s),
-             pa.array(~failed & (s >= threshold))],
+            [part.column("doc_id"), *map(pa.array, m.values()), pa.array(failed), pa.array(s), pa.array(kept)],
             ["doc_id", *m, "base_failed", "score", "kept"])
 
-    return map_text(docs, judge, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-                                 "n_repeat_words long, base_failed boolean, score double, kept boolean")
+    return map_text(docs, run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
+                               "n_repeat_words long, base_failed boolean, score double, kept boolean")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
+              buckets: int = BUCKETS, max_target: int = MAX_TARGET) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``quality_rules`` keeps."""
+    ratios = log_ratios(docs.select("doc_id", "text"), labels, buckets, max_target)
+    return map_text(docs, lambda part: [part.filter(pa.array(_judge(part.column("text"), ratios, threshold)[3]))], docs.schema)

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caliper.llm import decontaminate, line_dedup, near_dedup, quality_rules, substring_dedup, token_file
+from caliper.llm import (
+    decontaminate, html_text, line_dedup, masked_lm, near_dedup, quality_rules, sentencepiece_trie,
+    substring_dedup, token_file, tool_chat,
+)
 from caliper.llm.registry import query
 from caliper.plans.tables import table
 
@@ -41,7 +44,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_near_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+    found = near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 @query("op5_substring_dedup")
@@ -75,3 +79,26 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items",
                         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
                         (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op6_masked_lm")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.masked_lm(table(spark, sf_dir, "documents"))
+
+
+@query("op7_sentencepiece")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return sentencepiece_trie.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op8_html_text")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op9_tool_chat")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_chat.calls_of(table(spark, sf_dir, "conversations"))
+    return tool_chat.link_calls(calls, results, tool_chat.SCHEMAS)

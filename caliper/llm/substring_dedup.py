@@ -24,6 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -156,7 +157,7 @@ def repeated_ranges(strings: DataFrame, size: int, hot_bytes: int) -> DataFrame:
         for batch in batches:
             low = np.asarray(batch.column("minimiser"))
             ends = np.append(np.flatnonzero(low[1:] != low[:-1]) + 1, len(low)) if len(low) else []
-            lengths = np.concatenate(([0], np.cumsum(pa.compute.binary_length(batch.column("words")).to_numpy())))
+            lengths = np.concatenate(([0], np.cumsum(pc.binary_length(batch.column("words")).to_numpy())))
             begin = 0
             for a, e in zip(np.append(0, ends[:-1]).astype(int) if len(low) else [], ends, strict=True):
                 if size_held + lengths[a] - lengths[begin] > CHUNK_BYTES and low[a] != last:
