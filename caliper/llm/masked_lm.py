@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caliper.llm.common import map_text, slices
+from caliper.llm.common import map_text, saved, slices
 from caliper.llm.textnp import Words, mix
 
 TOP = 3072
 CLASSES, MEMBERS = 64, 64                   # classes x members words in the vocabulary
 SIDE, WIDTH, HIDDEN = 2, 16, 32
-STRIDE, ROUNDS, BATCH, RATE = 16, 2, 256, 0.05
+STRIDE, ROUNDS, BATCH, RATE, FLOOR = 16, 2, 512, 0.05, 1e-5
 CHUNK = 8192                                # weights in one row of the averaging shuffle
 SALTS = 64
 _U = np.uint64
@@ -59,8 +59,6 @@ def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
     counts = map_text(docs.select("text"), count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    from caliper.llm.common import saved
-
     counts = saved(counts)
     best = counts.orderBy(F.desc("n"), "h").limit(TOP).collect()         # at most TOP rows
     top = np.array([h for h, _ in best], np.int64).view(np.uint64)
@@ -145,57 +143,59 @@ def log_probs(net: dict[str, np.ndarray], ids: np.ndarray, around: np.ndarray, m
 
 def train_step(net: dict[str, np.ndarray], seen: dict[str, np.ndarray], y: np.ndarray, x: np.ndarray) -> None:
     """One Adagrad step on a batch, in place; ``seen`` holds the sums of squares."""
+    order = np.argsort(y // MEMBERS, kind="stable")            # words of a class stand together
+    y, x = y[order], x[order]
     n, group, member = len(y), y // MEMBERS, y % MEMBERS
+    classes, begin = np.unique(group, return_index=True)
+    spans = list(zip(classes.tolist(), begin.tolist(), [*begin[1:].tolist(), n], strict=True))
     e = net["emb"][x].reshape(n, -1)
     h = np.tanh(e @ net["w"] + net["b"])
-    one = np.arange(n)
     dc = np.exp(_log_softmax(h @ net["c"] + net["cb"]))
-    dc[one, group] -= 1
-    own = net["m"][group]
-    dm = np.exp(_log_softmax(np.matmul(h[:, None, :], own)[:, 0, :] + net["mb"][group]))
-    dm[one, member] -= 1
-    dh = (dc @ net["c"].T + np.matmul(own, dm[:, :, None])[:, :, 0]) * (1 - h * h)
-    de = (dh @ net["w"].T).reshape(-1, WIDTH)
-
-    def move(key, grad, rows=None):
-        if rows is None:
-            seen[key] += grad * grad
-            net[key] -= RATE * grad / np.sqrt(seen[key])
-        else:
-            seen[key][rows] += grad * grad
-            net[key][rows] -= RATE * grad / np.sqrt(seen[key][rows])
-
-    def by_row(keys, grad):
-        rows, at = np.unique(keys, return_inverse=True)
-        total = np.zeros((len(rows), *grad.shape[1:]), np.float32)
-        np.add.at(total, at, grad)
-        return rows, total / n
-
-    move("c", h.T @ dc / n)
-    move("cb", dc.mean(0))
-    rows, total = by_row(group, h[:, :, None] * dm[:, None, :])
-    move("m", total, rows)
-    rows, total = by_row(group, dm)
-    move("mb", total, rows)
-    move("w", e.T @ dh / n)
-    move("b", dh.mean(0))
-    rows, total = by_row(x.ravel(), de)
-    move("emb", total, rows)
-
-
-def _train_round(docs: DataFrame, net: np.ndarray, top, rank, turn: int) -> np.ndarray | None:
+    dc[np.arange(n), group] -= 1
+    dh = dc @ net["c"].T
+    dm = np.empty((n, MEMBERS), np.float32)
+    for c, i, j in spans:
+        dm[i:j] = h[i:j] @ net["m"][c] + net["mb"][c]
+    dm = np.exp(_log_softmax(dm))
+    dm[np.arange(n), member] -= 1
+    gm = np.empty((len(classes), HIDDEN, MEMBERS), np.float32)
+    for k, (c, i, j) in enumerate(spans):
+        dh[i:j] += dm[i:j] @ net["m"][c].T
+        gm[k] = h[i:j].T @ dm[i:j]
+    dh *= 1 - h * h
+    flat_x = x.ravel()
+    by = np.argsort(flat_x, kind="stable")
+    rows, at = np.unique(flat_x[by], return_index=True)
+    de = np.add.reduceat((dh @ net["w"].T).reshape(-1, WIDTH)[by], at, axis=0)
+
+    def move(key, grad, rows=slice(None)):
+        grad = grad / np.float32(n)
+        total = seen[key][rows] + grad * grad
+        seen[key][rows] = total
+        net[key][rows] -= RATE * grad / np.sqrt(total)
+
+    move("c", h.T @ dc)
+    move("cb", dc.sum(0))
+    move("m", gm, classes)
+    move("mb", np.add.reduceat(dm, begin, axis=0), classes)
+    move("w", e.T @ dh)
+    move("b", dh.sum(0))
+    move("emb", de, rows)
+
+
+def _train_round(docs: DataFrame, net: np.ndarray, top, rank, turn: int, stride: int) -> np.ndarray | None:
     """Average weights after every partition has trained on its share of positions."""
     size = len(net)
 
     def train(batches):
-        own, seen, n = unflat(net), {k: np.full(s, 0.1, np.float32) for k, s in _SHAPES.items()}, 0
+        own, seen, n = unflat(net), {k: np.full(s, FLOOR, np.float32) for k, s in _SHAPES.items()}, 0
         for batch in batches:
             for part in slices(batch, "text"):
                 w = Words(part.column("text"))
                 h = w.hashes()
                 ids = word_ids(h, top, rank)
                 place = np.arange(len(ids)) - np.repeat(w.word_at[:-1], w.n_words)
-                pick = np.flatnonzero((place + h % _U(5)) % STRIDE == turn * 7 % STRIDE)
+                pick = np.flatnonzero((place + h % _U(5)) % stride == turn * 7 % stride)
                 around = contexts(ids, w.word_at)[pick]
                 mixed = np.argsort(mix(pick.astype(np.uint64) + _U(turn)))
                 for a in range(0, len(pick), BATCH):
@@ -234,12 +234,12 @@ def _train_round(docs: DataFrame, net: np.ndarray, top, rank, turn: int) -> np.n
     return out.astype(np.float32)
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS):
+def fit(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE):
     """(weights, top, rank) of a network trained on ``docs``."""
     top, rank, counts = vocabulary(docs)
     net = flat(start(counts))
     for turn in range(rounds):
-        new = _train_round(docs, net, top, rank, turn)
+        new = _train_round(docs, net, top, rank, turn, stride)
         net = net if new is None else new
     return net, top, rank
 

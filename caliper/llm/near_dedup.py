@@ -175,10 +175,11 @@ def links(docs: DataFrame, keys: DataFrame, sizes: DataFrame, size: int = SHINGL
                 .select(F.col("rep").alias("u"), "v", F.col("n").alias("nu"), "nv")
         near = (F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent)
         pairs = pairs.where(near).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        if turn == 0:           # the least centre of each member is enough for a start
+        if turn == 0 < rounds:  # the least centre of each member is enough for a start
             pairs = pairs.groupBy("u").agg(F.min("v").alias("v"))
         else:
-            pairs = pairs.distinct().join(checked, ["u", "v"], "leftanti")
+            pairs = pairs.distinct()
+            pairs = pairs if checked is None else pairs.join(checked, ["u", "v"], "leftanti")
         pairs = saved(pairs)
         if turn and pairs.isEmpty():
             if turn < rounds:

@@ -169,10 +169,11 @@ def test_substring_dedup_repeated_rows(spark):
 def test_masked_lm(spark):
     rng = random.Random(5)
     heads = [f"h{i}" for i in range(20)]
-    texts = [" ".join(x for _ in range(150) for x in [h := rng.choice(heads), "t" + h, "end"]) for _ in range(60)]
+    phrase = lambda h: f"{h} t{h} end"
+    texts = [" ".join(phrase(rng.choice(heads)) for _ in range(150)) for _ in range(60)]
     docs = _docs(spark, texts + [None, "", " \n"])
-    weights, top, rank = model = masked_lm.fit(docs, rounds=3)
-    held = [" ".join(x for _ in range(100) for x in [h := rng.choice(heads), "t" + h, "end"]) for _ in range(5)]
+    weights, top, rank = model = masked_lm.fit(docs, rounds=4, stride=2)
+    held = [" ".join(phrase(rng.choice(heads)) for _ in range(100)) for _ in range(5)]
     mixed = [" ".join(rng.sample(t.split(), len(t.split()))) for t in held]
     got = {r.doc_id: r for r in masked_lm.score(_docs(spark, [*held, *mixed, None, "end"]), model).collect()}
     unigram = masked_lm.start(masked_lm.vocabulary(docs)[2])
@@ -200,7 +201,7 @@ def test_masked_lm_gradient():
     net = {k: (rng.standard_normal(s) * 0.3).astype(np.float32) for k, s in masked_lm._SHAPES.items()}
     y, x = rng.integers(0, 200, 64), rng.integers(0, 200, (64, 4))
     before = masked_lm.log_probs(net, y, x).mean()
-    seen = {k: np.full(s, 0.1, np.float32) for k, s in masked_lm._SHAPES.items()}
+    seen = {k: np.full(s, masked_lm.FLOOR, np.float32) for k, s in masked_lm._SHAPES.items()}
     for _ in range(30):
         masked_lm.train_step(net, seen, y, x)
     assert masked_lm.log_probs(net, y, x).mean() > before + 1
