@@ -173,7 +173,10 @@ def prob_from_label(pred, conf, positive: str = "Malignant") -> Column:
     return F.when(_c(pred) == positive, c).otherwise(F.lit(1.0) - c)
 
 
-def first_present(df_columns, names, default=None) -> Column:
-    """first column that exists and is not null, else the default."""
+def first_present(df_columns, names, default=None, text: bool = False) -> Column:
+    """first column that exists and is not null, else the default (``text``: each
+    as its own text, with no common type in between)."""
     present = [F.col(f"`{n}`") for n in names if n in df_columns]
+    if text:
+        present, default = [c.cast("string") for c in present], str(default)
     return F.coalesce(*present, F.lit(default)) if present else F.lit(default)

@@ -112,6 +112,29 @@ def top_families(scores: DataFrame, row: str, k: int = 3, prob: str = "mean") ->
         c["probability"].alias("probability"))).alias("top"))
 
 
+def class_outputs(scores: DataFrame, row: str, k: int = 3, families=rules.MODEL_FAMILIES,
+                  concerning=(*rules.MALIGNANT_FAMILIES, *rules.PREMALIGNANT_FAMILIES)) -> DataFrame:
+    """A21 + A22 + T1 of a row at once: ``top``, ``family_prob_<F>`` and ``concerning``.
+
+    One aggregate per (row, family) and one per row, on the partitioning of the row key,
+    so the class scores are computed once and nothing is joined back."""
+    best = scores.groupBy(row, "family").agg(
+        F.sum("mean").alias("prob"),
+        F.max_by(F.struct(F.col("class").alias("diagnosis"), F.col("mean").alias("probability"), F.col("class_idx")),
+                 F.struct(F.col("mean"), -F.col("class_idx"))).alias("b"))
+    per_row = best.groupBy(row).agg(
+        F.sort_array(F.collect_list(F.struct(
+            (-F.col("b.probability")).alias("neg_p"), F.col("b.class_idx").alias("idx"),
+            F.col("b.diagnosis").alias("diagnosis"), F.col("family"),
+            F.col("b.probability").alias("probability")))).alias("cands"),
+        F.sum(F.when(F.col("family").isin(list(concerning)), F.col("prob")).otherwise(0.0)).alias("concerning"),
+        *[F.coalesce(F.max(F.when(F.col("family") == f, F.col("prob"))), F.lit(0.0)).alias(f"family_prob_{f}")
+          for f in families])
+    return per_row.select(row, F.transform(F.slice("cands", 1, k), lambda c: F.struct(
+        c["diagnosis"].alias("diagnosis"), c["family"].alias("family"),
+        c["probability"].alias("probability"))).alias("top"), "concerning", *[f"family_prob_{f}" for f in families])
+
+
 def topk_columns(col: str = "top", k: int = 3) -> list:
     """T2 columns: top{r}_diagnosis / _family / _probability for r = 1..k."""
     cols = []

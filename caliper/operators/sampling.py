@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALT_BUCKETS = 64
+#: Rows of one class that one task should sort.
+ROWS_PER_SALT = 1_000_000
 
 
 def sample_key(id_col, seed) -> Column:
@@ -20,15 +21,19 @@ def sample_key(id_col, seed) -> Column:
 
 
 def sample_per_class(df: DataFrame, cls: str, n: int, seed, id_col: str,
-                     salt_buckets: int = SALT_BUCKETS) -> DataFrame:
+                     salt_buckets: int | None = None) -> DataFrame:
     """Exactly min(n, class size) rows per class, without replacement.
 
     Two-stage top-n so that a huge class is never sorted in one task: rows are
-    spread over ``salt_buckets`` salts per class (salt from the sample key), the n
+    spread over salts per class (salt from the sample key; as many as the largest
+    class, counted, needs for ROWS_PER_SALT rows each, if not given), the n
     smallest keys per (class, salt) are kept -- the class's n smallest keys are
     always among them -- and a final top-n per class runs on at most
     n x salt_buckets candidates.  Ties on the md5 key are broken by id."""
     k = sample_key(id_col, seed)
+    if salt_buckets is None:
+        most = df.groupBy(cls).count().agg(F.max("count")).first()[0] or 0
+        salt_buckets = max(1, -(-most // ROWS_PER_SALT))
     x = df.withColumn("__k", k).withColumn(
         "__salt", F.pmod(F.conv(F.substring("__k", 1, 6), 16, 10).cast("long"), F.lit(salt_buckets)))
     w1 = Window.partitionBy(cls, "__salt").orderBy("__k", id_col)

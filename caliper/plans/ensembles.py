@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caliper.functions import rules
-from caliper.operators import ensemble
+from caliper.operators import ensemble, prefix
 from caliper.plans.registry import plan, rounded
-from caliper.plans.tables import table
+from caliper.plans.tables import dealt, table
 
 _CHECKPOINTS = [
     ("c0", "arch0", "CAST(o_totalprice AS DOUBLE) / 600000.0"),
@@ -201,45 +201,88 @@ def top_families(spark, d):
 
 
 # ---------------------------------------------------------------- fusion
-def fusion_inputs(spark: SparkSession, d: str) -> DataFrame:
-    """Three models joined on the row id: the class-score model (top families and
-    family probabilities, per embedding), the checkpoint ensemble (per order, joined
-    on the same id value) and a fusion reply (the event reply with that id)."""
+def base_outputs(spark: SparkSession, d: str) -> DataFrame:
+    """Two models joined on the row id: the class-score model (top families, family
+    probabilities and the concerning share, per embedding) and the checkpoint ensemble
+    (per order, joined on the same id value)."""
     from caliper.operators import linkage as J
-    from caliper.operators import replies as R
-    from caliper.plans.replies_plans import reply_text
-
-    scores = class_scores(spark, d)
-    fam = ensemble.family_probability(scores, "vec_id")
-    wide = ensemble.family_wide(fam, "vec_id")
-    comp = ensemble.composite_probability(fam, "vec_id")
-    top = ensemble.top_families(scores, "vec_id", 3)
-    model_a = (top.select("vec_id", *ensemble.topk_columns("top", 3))
-               .join(wide, "vec_id").join(comp, "vec_id")
-               .withColumnRenamed("family_prob_MEL", "resnet_melanoma_probability")
-               .withColumnRenamed("concerning", "resnet_clinically_concerning_probability")
-               .withColumnRenamed("vec_id", "row_id"))
+
+    model_a = (ensemble.class_outputs(class_scores(spark, d), "vec_id", 3)
+               .select(F.col("vec_id").alias("row_id"), *ensemble.topk_columns("top", 3),
+                       *[f"family_prob_{f}" for f in rules.MODEL_FAMILIES],
+                       F.col("family_prob_MEL").alias("melanoma_probability"),
+                       F.col("concerning").alias("concerning_probability")))
     model_b = (ensemble.ensemble_scores(checkpoint_scores(spark, d))
-               .select(F.col("row_id").alias("derm7pt_row_id"),
-                       F.col("prob_ensemble").alias("siim90_probability_ensemble"),
-                       F.col("rank_ensemble").alias("siim90_rank_ensemble")))
-    both = J.join_model_outputs(model_a, model_b, "row_id", "derm7pt_row_id",
-                                ["resnet_melanoma_probability", "siim90_probability_ensemble"])
-    replies = R.parse_replies(reply_text(spark, d).withColumnRenamed("event_id", "row_id"),
-                              "text", mode="fenced", on_error="drop")
-    fused = R.family_top3(replies.select("row_id", "_reply")).select(
-        "row_id", F.col("top1_family").alias("fusion_top1_family"),
-        F.col("top1_probability").alias("fusion_confidence"),
-        F.col("top2_probability").alias("resnet_weight"),
-        F.col("top3_probability").alias("siim_weight"))
-    return both.join(fused, "row_id")
+               .select("row_id", F.col("prob_ensemble").alias("specialist_probability"),
+                       F.col("rank_ensemble").alias("specialist_rank")))
+    return J.join_model_outputs(model_a, model_b, "row_id", "row_id",
+                                ["specialist_probability", "specialist_rank",
+                                 "melanoma_probability", "concerning_probability"])
+
+
+def fusion_replies(spark: SparkSession, d: str) -> DataFrame:
+    """Recipe: every event gets a fusion reply whose fields follow from its ids; some
+    leave fields out, hold text for numbers, or are no JSON at all."""
+    e = dealt(table(spark, d, "events").select("event_id", "user_id"))
+    i, u = F.col("event_id"), F.col("user_id")
+    fams = F.array(*[F.lit(f) for f in FUSION_FAMILIES])
+
+    def num(mult, of=100):
+        return F.concat(F.lit("0."), F.lpad(((i * mult) % of).cast("string"), 2, "0"))
+
+    body = F.concat(
+        F.lit('{"primary_family": "'), F.element_at(fams, (u % len(FUSION_FAMILIES) + 1).cast("int")),
+        F.lit('", "melanoma_probability": '), F.when(i % 9 == 4, F.lit('"n/a"')).otherwise(num(7)),
+        F.when(i % 10 == 3, F.lit("")).otherwise(F.concat(F.lit(', "malignancy_probability": '), num(13))),
+        F.when(i % 5 == 2, F.lit("")).otherwise(F.concat(F.lit(', "melanoma_prediction": '), (u % 2).cast("string"))),
+        F.lit(', "malignancy_prediction": '), F.when(u % 3 == 0, F.lit("true")).otherwise(F.lit("0")),
+        F.lit(', "followed_resnet": '), F.when(i % 4 == 0, F.lit("false")).when(i % 4 == 1, F.lit('""')).otherwise(F.lit("1")),
+        F.lit(', "resnet_weight": '), num(3), F.lit(', "siim_weight": "'), num(11), F.lit('", "confidence": '), num(17),
+        F.lit(', "brief_rationale": "r'), u.cast("string"), F.lit('"}'))
+    return e.select(F.col("event_id").alias("row_id"),
+                    F.when(i % 8 == 7, F.lit("no answer")).when(i % 8 == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+                    .otherwise(body).alias("text"))
+
+
+FUSION_FAMILIES = ["MEL", "melanoma", "NV", "nevus", "BCC", "SK", "vascular", "scc", "misc", "unknown", "DF"]
+_TWO = lambda m: f"(CAST((event_id * {m}) % 100 AS DOUBLE) / 100.0)"
+
+#: The fields of the replies above, written down directly from the recipe.
+FUSION_SQL = f"""
+fu AS (
+  SELECT event_id AS row_id,
+         [{", ".join(f"'{f}'" for f in FUSION_FAMILIES)}][user_id % {len(FUSION_FAMILIES)} + 1] AS ffam_raw,
+         CASE WHEN event_id % 9 <> 4 THEN {_TWO(7)} END AS mel_p,
+         CASE WHEN event_id % 10 <> 3 THEN {_TWO(13)} END AS mal_p,
+         CAST(CASE WHEN event_id % 5 = 2 THEN 0 ELSE user_id % 2 END AS INTEGER) AS fmel,
+         CASE WHEN user_id % 3 = 0 THEN 1 ELSE 0 END AS fmal,
+         event_id % 4 >= 2 AS followed_resnet, 'r' || CAST(user_id AS VARCHAR) AS rationale,
+         {_TWO(3)} AS rw, {_TWO(11)} AS sw, {_TWO(17)} AS conf
+  FROM events WHERE event_id % 8 <> 7)"""
+
+
+@plan("parse_fusion_replies", f"""
+WITH {FUSION_SQL}
+SELECT row_id, mel_p AS melanoma_probability, mal_p AS malignancy_probability,
+       fmel AS melanoma_prediction, fmal AS malignancy_prediction, rationale,
+       followed_resnet, false AS followed_siim, rw AS resnet_weight, sw AS siim_weight,
+       conf AS fusion_confidence, '' AS melanoma_decision_basis, '' AS malignancy_decision_basis
+FROM fu""")
+def parse_fusion_replies(spark, d):
+    """R1 (fenced, drop) + F19 + F20 + F22: the fields of a fusion reply."""
+    from caliper.operators import replies as R
 
+    found = R.parse_replies(fusion_replies(spark, d), "text", mode="fenced", on_error="drop")
+    return rounded(R.fusion_fields(found).drop("text", "_reply", "_error"))
 
-def _fusion_sql() -> str:
-    from caliper.plans.replies_plans import FIELDS_SQL, PARSED_SQL, REPLY_SQL
 
-    mal = ", ".join(f"'{x}'" for x in rules.MALIGNANT_FAMILIES)
+def _fusion_sql() -> str:
     conc = ", ".join(f"'{x}'" for x in rules.MALIGNANT_FAMILIES + rules.PREMALIGNANT_FAMILIES)
+    alias = "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in rules.FAMILY_ALIASES.items()) + "}"
+
+    def norm(e):
+        return f"coalesce(map_extract({alias}, upper(trim({e})))[1], 'MISC')"
+
     return f"""
 WITH {FOLD_SQL},
 fb AS (SELECT *, row_number() OVER (PARTITION BY vec_id, family ORDER BY mean DESC, class_idx)
@@ -255,59 +298,98 @@ ma AS (SELECT fp.vec_id AS row_id,
 {CHECKPOINT_SQL},
 am AS (SELECT row_id, arch, avg(prob) AS arch_mean FROM ck GROUP BY row_id, arch),
 mb AS (SELECT row_id, avg(arch_mean) AS smel FROM am GROUP BY row_id),
-{REPLY_SQL},
-{PARSED_SQL},
-fields AS ({FIELDS_SQL}),
-fu AS (SELECT event_id AS row_id, top1_family AS ffam, top1_probability AS conf,
-              top2_probability AS rw, top3_probability AS sw
-       FROM fields WHERE mode = 'fenced' AND error IS NULL),
+{FUSION_SQL},
 x AS (
-  SELECT ma.row_id, t1.top1_family, fu.ffam, fu.conf, fu.rw, fu.sw,
-         CAST(coalesce(ma.rmel, 0) >= {rules.RESNET_MEL_THRESHOLD} AS INTEGER) AS rm,
-         CAST(coalesce(ma.rconc, 0) >= {rules.RESNET_MALIGNANCY_THRESHOLD} AS INTEGER) AS rg,
-         CAST(coalesce(mb.smel, 0) >= {rules.SIIM_MEL_THRESHOLD} AS INTEGER) AS sm,
-         CAST(coalesce(fu.conf >= 0.5, false) AS INTEGER) AS fmel,
-         CAST(fu.ffam IN ({mal}) AS INTEGER) AS fmal
+  SELECT {norm("fu.ffam_raw")} AS ffam, {norm("t1.top1_family")} AS rfam, fu.fmel, fu.fmal, fu.rw, fu.sw, fu.conf,
+         CAST(ma.rmel >= {rules.RESNET_MEL_THRESHOLD} AS INTEGER) AS rm,
+         CAST(ma.rconc >= {rules.RESNET_MALIGNANCY_THRESHOLD} AS INTEGER) AS rg,
+         CAST(mb.smel >= {rules.SIIM_MEL_THRESHOLD} AS INTEGER) AS sm
   FROM ma JOIN t1 ON ma.row_id = t1.vec_id JOIN mb ON ma.row_id = mb.row_id
           JOIN fu ON ma.row_id = fu.row_id
-  WHERE ma.rmel IS NOT NULL AND NOT isnan(ma.rmel) AND mb.smel IS NOT NULL AND NOT isnan(mb.smel))
-SELECT round(avg(CAST(coalesce(ffam <> top1_family, true) AS INTEGER)), 6) AS changed_family_from_resnet,
-       round(avg(CAST(coalesce(fmel, 0) <> rm AS INTEGER)), 6) AS changed_melanoma_from_resnet,
-       round(avg(CAST(coalesce(fmal, 0) <> rg AS INTEGER)), 6) AS changed_malignancy_from_resnet,
-       round(avg(CAST(coalesce(fmel, 0) <> sm AS INTEGER)), 6) AS changed_melanoma_from_siim,
-       round(avg(CAST(rm = sm AS INTEGER)), 6) AS resnet_siim_melanoma_agreement_youden,
+  WHERE mb.smel IS NOT NULL AND fu.mel_p IS NOT NULL AND fu.mal_p IS NOT NULL)
+SELECT round(avg(CAST(ffam <> rfam AS INTEGER)), 6) AS changed_family_from_base,
+       round(avg(CAST(fmel <> rm AS INTEGER)), 6) AS changed_melanoma_from_base,
+       round(avg(CAST(fmal <> rg AS INTEGER)), 6) AS changed_malignancy_from_base,
+       round(avg(CAST(fmel <> sm AS INTEGER)), 6) AS changed_melanoma_from_specialist,
+       round(avg(CAST(rm = sm AS INTEGER)), 6) AS base_specialist_melanoma_agree,
        round(avg(rw), 6) AS mean_resnet_weight, round(avg(sw), 6) AS mean_siim_weight,
        round(avg(conf), 6) AS mean_fusion_confidence
 FROM x"""
 
 
-@plan("fusion_behaviour")
+@plan("fusion_behaviour", _fusion_sql())
 def fusion_behaviour(spark, d):
-    """F14 + F15 + A17 (+ J6/P2): base-model Youden flags, the fusion model's changes
-    against them and the behaviour rates, in one aggregate."""
-    from caliper.functions import labels as L
+    """J6 + P2 + F4 + F14 + F15 + A17: the fusion replies' own fields against the flags of
+    the two base models; replies without both probabilities are dropped; one aggregate."""
     from caliper.operators import fusion
+    from caliper.operators import linkage as J
+    from caliper.operators import replies as R
 
-    x = fusion.base_flags(fusion_inputs(spark, d), "resnet_melanoma_probability",
-                          "resnet_clinically_concerning_probability",
-                          "siim90_probability_ensemble")
-    x = x.withColumns({
-        "fusion_mel": L.threshold_flag("fusion_confidence", 0.5),
-        "fusion_malign": F.col("fusion_top1_family").isin(rules.MALIGNANT_FAMILIES).cast("int")})
-    x = fusion.change_flags(x, "fusion_top1_family", "top1_family", "fusion_mel",
-                            "fusion_malign")
+    found = R.parse_replies(fusion_replies(spark, d), "text", mode="fenced", on_error="drop")
+    found = prefix.materialize(R.family_top3(R.fusion_fields(found)).select(
+        "row_id", F.col("top1_family").alias("fusion_family"),
+        F.col("melanoma_probability").alias("fusion_mel_p"), F.col("malignancy_probability").alias("fusion_mal_p"),
+        "melanoma_prediction", "malignancy_prediction", "resnet_weight", "siim_weight", "fusion_confidence"))
+    found = J.drop_incomplete(found, ["fusion_mel_p", "fusion_mal_p"])
+    x = fusion.base_flags(base_outputs(spark, d).join(found, "row_id"), "melanoma_probability",
+                          "concerning_probability", "specialist_probability")
+    x = fusion.change_flags(x, "fusion_family", "top1_family", "melanoma_prediction", "malignancy_prediction")
     return rounded(fusion.fusion_behaviour(x))
 
 
-@plan("fusion_prompts")
+def _prompt_sql() -> str:
+    """The same evidence lines; numbers as decimal text of six places on both sides."""
+    from caliper.operators import fusion
+
+    fams = ", ".join(f"max(CASE WHEN family = '{f}' THEN prob END) AS family_prob_{f}" for f in rules.MODEL_FAMILIES)
+    tops = ", ".join(f"max({c}) FILTER (WHERE r = {r}) AS top{r}_{n}" for r in (1, 2, 3)
+                     for c, n in (("class", "diagnosis"), ("family", "family"), ("mean", "probability")))
+    conc = ", ".join(f"'{x}'" for x in rules.MALIGNANT_FAMILIES + rules.PREMALIGNANT_FAMILIES)
+
+    def text(names, default):
+        if not isinstance(names, list):
+            return f"'{names}'"
+        c = names[0]
+        if c.endswith("probability") or c.startswith("family_prob") or c.endswith("_rank"):
+            return f"coalesce(CAST(CAST(round({c}, 6) AS DECIMAL(12, 6)) AS VARCHAR), '{default}')"
+        return f"coalesce(CAST({c} AS VARCHAR), '{default}')"
+
+    lines = " || ".join(f"chr(10) || '{label}: ' || {text(names, default)}" for label, names, default in fusion.EVIDENCE)
+    return f"""
+WITH {FOLD_SQL},
+fb AS (SELECT *, row_number() OVER (PARTITION BY vec_id, family ORDER BY mean DESC, class_idx) AS rf FROM cf),
+ff AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY mean DESC, class_idx) AS r FROM fb WHERE rf = 1),
+t3 AS (SELECT vec_id, {tops} FROM ff GROUP BY vec_id),
+fp AS (SELECT vec_id, family, sum(mean) AS prob FROM cf GROUP BY vec_id, family),
+ma AS (SELECT vec_id, {fams}, sum(CASE WHEN family IN ({conc}) THEN prob ELSE 0 END) AS concerning_probability
+       FROM fp GROUP BY vec_id),
+{CHECKPOINT_SQL},
+am AS (SELECT row_id, arch, avg(prob) AS arch_mean FROM ck GROUP BY row_id, arch),
+nn AS (SELECT row_id, arch,
+              (rank() OVER (PARTITION BY arch ORDER BY arch_mean)
+               + (count(*) OVER (PARTITION BY arch, arch_mean) - 1) / 2.0)
+              / count(*) OVER (PARTITION BY arch) AS arch_rank
+       FROM am WHERE arch_mean IS NOT NULL),
+mb AS (SELECT am.row_id, avg(am.arch_mean) AS specialist_probability, avg(nn.arch_rank) AS specialist_rank
+       FROM am LEFT JOIN nn ON am.row_id = nn.row_id AND am.arch = nn.arch GROUP BY am.row_id),
+x AS (SELECT ma.*, t3.* EXCLUDE (vec_id), mb.row_id, mb.specialist_probability, mb.specialist_rank,
+             coalesce(ma.family_prob_MEL, 0.0) AS melanoma_probability,
+             CAST(coalesce(ma.family_prob_MEL, 0.0) >= {rules.RESNET_MEL_THRESHOLD} AS INTEGER) AS base_melanoma_prediction,
+             CAST(ma.concerning_probability >= {rules.RESNET_MALIGNANCY_THRESHOLD} AS INTEGER) AS base_malignancy_prediction,
+             CAST(mb.specialist_probability >= {rules.SIIM_MEL_THRESHOLD} AS INTEGER) AS specialist_melanoma_prediction
+      FROM ma JOIN t3 ON ma.vec_id = t3.vec_id JOIN mb ON ma.vec_id = mb.row_id
+      WHERE mb.specialist_probability IS NOT NULL AND mb.specialist_rank IS NOT NULL)
+SELECT row_id, 'Weigh the evidence of two models; answer in JSON.' || {lines} || chr(10) AS prompt FROM x"""
+
+
+@plan("fusion_prompts", _prompt_sql())
 def fusion_prompts(spark, d):
     """F17 + F23: evidence prompts for the fusion model from whichever base-model
-    columns exist (rows-only check: prompt text formats numbers engine-specifically)."""
+    columns exist; probabilities stand as decimal text of six places."""
     from caliper.operators import fusion
 
-    x = fusion.base_flags(fusion_inputs(spark, d), "resnet_melanoma_probability",
-                          "resnet_clinically_concerning_probability",
-                          "siim90_probability_ensemble")
-    p = fusion.render_prompts(x, fusion.evidence_template(x.columns))
-    return p.select("row_id", F.length("prompt").alias("prompt_chars"),
-                    F.sha2("prompt", 256).alias("prompt_sha256"))
+    x = fusion.base_flags(base_outputs(spark, d), "melanoma_probability", "concerning_probability",
+                          "specialist_probability")
+    x = rounded(x)
+    x = x.select(*[F.col(c).cast("decimal(12,6)") if t == "double" else F.col(c) for c, t in x.dtypes])
+    return fusion.render_prompts(x, fusion.evidence_template(x.columns)).select("row_id", "prompt")

@@ -201,6 +201,21 @@ def curve_summary_price(spark, d):
                             "youden_threshold", "youden_j"))
 
 
+@plan("curve_summary_null_group", f"""
+WITH line_eval AS (SELECT coalesce(nullif(l_linestatus, 'F'), '~') AS grp, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y_r,
+                          l_extendedprice / 105000.0 AS s_price FROM lineitem),
+{_points_sql("line_eval", "grp", "y_r", "s_price")},
+res AS ({_summary_sql("grp").replace("jj AS", "WITH jj AS", 1)})
+SELECT nullif(grp, '~') AS grp, n, n_pos, n_neg, roc_auc, pr_auc, youden_threshold, youden_j FROM res""")
+def curve_summary_null_group(spark, d):
+    """W4 + A9 to A11 with a NULL group, cut into many buckets."""
+    li = table(spark, d, "lineitem")
+    e = li.select(F.nullif("l_linestatus", F.lit("F")).alias("grp"), (F.col("l_returnflag") == "R").cast("int").alias("y_r"),
+                  (F.col("l_extendedprice") / 105000.0).alias("s_price"))
+    s = curves.curve_summary(e, "y_r", "s_price", by=["grp"], thresholds=(), buckets=23)
+    return rounded(s.select("grp", "n", "n_pos", "n_neg", "roc_auc", "pr_auc", "youden_threshold", "youden_j"))
+
+
 @plan("curve_summary_docs", f"""
 WITH {DOC_EVAL_SQL},
 {_points_sql("doc_eval", "lang", "y_toxic", "score")},

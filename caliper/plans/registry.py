@@ -54,10 +54,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 def load_all():
     """Import every plan module so that it registers itself."""
     from caliper.plans import (  # noqa: F401
-        evaluation, ensembles, labelling, linkage_plans, replies_plans, reports,
-        sources_plans,
+        assessment, case_plans, evaluation, ensembles, file_plans, labelling, linkage_plans,
+        replies_plans, reports, sources_plans,
     )
-    if "fusion_behaviour" not in ORACLES:
-        # Composed from the other plans' SQL pieces, so registered after all imports.
-        ORACLES["fusion_behaviour"] = ensembles._fusion_sql().strip()
     return PLANS, ORACLES

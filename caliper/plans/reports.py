@@ -235,7 +235,7 @@ def malignancy_label_report(spark, d):
     s = r.select("skin_tone_class", "y",
                  (F.col("pred_label") == "Malignant").cast("int").alias("p"),
                  L.prob_from_label("pred_label", "conf").alias("score"))
-    rep = metrics.metrics_by_group(s, "skin_tone_class", "y", "p", "score")
+    rep = metrics.metrics_by_group(s, "y", "p", "score", "skin_tone_class")
     return rounded(rep.drop("matrix"))
 
 

@@ -13,6 +13,8 @@ Recipes (shared with the SQL oracles):
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +25,7 @@ from caliper.operators import linkage as J
 from caliper.operators import sampling, scoring
 from caliper.plans.registry import plan, rounded
 from caliper.plans.tables import dealt, table
+from caliper.session import working_dir
 from caliper.sources import readers as S
 from caliper.streaming import incremental
 
@@ -172,15 +175,47 @@ def incremental_store(spark, d):
     """X3 + J8 + S11: score half of the documents into a fresh store, then run the
     incremental job over all of them: only the other half is scored, and the report
     reads the whole store."""
-    from caliper.session import checkpoint_dir
-    import uuid
-
-    store = f"{checkpoint_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
+    store = f"{working_dir(spark)}/store-{uuid.uuid4().hex}"
     docs = table(spark, d, "documents").select("doc_id", "text")
 
-    def score(df):
-        return scoring.score_table(df, _stub_scorer, _SCORE_OUT).select("doc_id", "score", "_error")
+    def score(df):      # written once, by the append
+        return scoring.score_table(df, _stub_scorer, _SCORE_OUT, materialize=False).select("doc_id", "score", "_error")
 
     incremental.incremental_eval(spark, docs.where(F.col("doc_id") % 2 == 0), "doc_id", store, score)
     whole = incremental.incremental_eval(spark, docs, "doc_id", store, score)
     return rounded(whole.select("doc_id", "score"))
+
+
+@plan("incremental_retry", """
+SELECT doc_id, round(CAST(length(text) % 97 AS DOUBLE) / 97.0, 6) AS score,
+       CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS run, CAST(NULL AS VARCHAR) AS error
+FROM documents""")
+def incremental_retry(spark, d):
+    """X3 with retry_errors (Q6): a third of the cases fail in the first run and are tried
+    again in the second; the report has one row per case."""
+    store = f"{working_dir(spark)}/store-{uuid.uuid4().hex}"
+    docs = table(spark, d, "documents").select("doc_id", "text")
+
+    def score(bad):
+        def run(df):
+            out = scoring.score_table(df, _stub_scorer, _SCORE_OUT, materialize=False)
+            return out.select("doc_id", F.when(~bad, F.col("score")).alias("score"), F.when(bad, "timeout").alias("_error"))
+        return run
+
+    incremental.incremental_eval(spark, docs, "doc_id", store, score(F.col("doc_id") % 3 == 0), retry_errors=True)
+    whole = incremental.incremental_eval(spark, docs, "doc_id", store, score(F.lit(False)), retry_errors=True)
+    return rounded(whole.select("doc_id", "score", F.col("_run").cast("int").alias("run"), F.col("_error").alias("error")))
+
+
+_DEEP = 70
+
+
+@plan("flatten_deep", f"""
+SELECT s_suppkey, repeat('a.', {_DEEP - 1}) || 'a' AS key, s_name AS value FROM supplier WHERE s_suppkey % 7 > 0
+UNION ALL SELECT s_suppkey, '_error', '{S.ERR_RECORD}' FROM supplier WHERE s_suppkey % 7 = 0""")
+def flatten_deep(spark, d):
+    """S7 on records {_DEEP} levels deep; a record that is no JSON gives an error row."""
+    s = table(spark, d, "supplier")
+    text = F.concat(F.lit('{"a":' * _DEEP), F.lit('"'), "s_name", F.lit('"'),
+                    F.when(F.col("s_suppkey") % 7 > 0, F.lit("}" * _DEEP)).otherwise(F.lit("")))
+    return S.flatten_json(s.select("s_suppkey", text.alias("record")), "s_suppkey", "record")

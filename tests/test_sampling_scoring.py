@@ -222,16 +222,25 @@ def test_scenario_report_q4(spark):
 def test_prompts_and_first_present(spark):
     from caliper.functions import labels as L
     from caliper.operators import fusion
-    df = spark.createDataFrame([(1, "MEL", None, 0.3, 0.2), (2, None, "NV", None, 0.1)],
-                               "row_id int, top1_family string, resnet_top1_family string, "
-                               "resnet_melanoma_probability double, siim90_probability_ensemble double")
-    f = df.select(L.first_present(df.columns, ["top1_family", "resnet_top1_family"], "").alias("f"),
+    df = spark.createDataFrame([(1, "MEL", None, 0.3, 0.5, 0.2), (2, None, "NV", None, 0.1, 0.1)],
+                               "row_id int, top1_family string, base_top1_family string, melanoma_probability double, "
+                               "concerning_probability double, specialist_probability double")
+    f = df.select(L.first_present(df.columns, ["top1_family", "base_top1_family"], "").alias("f"),
                   L.first_present(df.columns, ["family_prob_MEL"], 0).alias("m")).collect()
     assert [(r.f, r.m) for r in f] == [("MEL", 0), ("NV", 0)]
-    x = fusion.base_flags(df, "resnet_melanoma_probability", "resnet_melanoma_probability",
-                          "siim90_probability_ensemble")
+    x = fusion.base_flags(df, "melanoma_probability", "concerning_probability", "specialist_probability")
     p = fusion.render_prompts(x, fusion.evidence_template(x.columns)).orderBy("row_id").collect()
-    assert "- Top1 family: MEL\n" in p[0].prompt and "- Top1 family: NV\n" in p[1].prompt
-    assert "- ResNet melanoma positive: 1" in p[0].prompt
-    assert "- SIIM melanoma positive: 1" in p[0].prompt and "- SIIM melanoma positive: 0" in p[1].prompt
-    assert "- MEL: 0\n" in p[0].prompt
+    assert "\nrank 1 family: MEL\n" in p[0].prompt and "\nrank 1 family: NV\n" in p[1].prompt
+    assert "clinically concerning, base model: 0.5\ncut for it: 0.2213" in p[0].prompt
+    assert p[0].prompt.count("reaches the cut: 1") == 3 and p[1].prompt.count("reaches the cut: 0") == 3
+    assert "share of MEL: 0\n" in p[0].prompt
+
+
+def test_fusion_change_flags_normalise_families(spark):
+    """Q8: base families that replies do not know are MISC before they are compared."""
+    from caliper.operators import fusion
+    rows = [("MISC", "AKIEC", 0), ("MEL", "MEL", 0), ("nevus", "NV", 0), ("MEL", "INF", 1), (None, "BEN_OTH", 0)]
+    df = spark.createDataFrame(rows, "f string, b string, want int").withColumns(
+        {c: F.lit(0) for c in ("base_melanoma_prediction", "base_malignancy_prediction", "specialist_melanoma_prediction")})
+    got = fusion.change_flags(df, "f", "b", "base_melanoma_prediction", "base_malignancy_prediction").collect()
+    assert all(r.changed_family_from_base == r.want for r in got)
