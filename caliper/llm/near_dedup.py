@@ -11,10 +11,12 @@ Plan: texts become fixed-size signatures, map-only; equal sets (exact copies) co
 to one representative by a partial aggregate; entries that only one representative has
 are dropped, and keys are formed of what is left.  A shared key makes candidates, and
 each candidate pair is confirmed on its full shingle sets.  Candidates of a key are
-tried in rounds, each linking members to one of them, so that a key with thousands of
-near copies costs thousands of checks; pairs whose ends are linked already need none.
-The last round checks every pair of a key's members that are still not connected, so no
-link between different texts is lost.  Components come from large-star/small-star steps.
+first tried in stars around the member that is most like the others, so that a key with
+thousands of near copies costs thousands of checks; pairs whose ends are linked already
+need none.  Members of keys that are still not connected then meet in an exact
+prefix-filtered set join, so no link between different texts is lost, and a large group
+of copies that are not quite similar enough does not emit its pairs.  Components come
+from large-star/small-star steps.
 
 Edge cases: a null or empty text has no shingles and links with nothing; a text shorter
 than a shingle is one shingle; repeated rows and exact copies share a class; a null
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caliper.llm.common import map_text, row_key, saved, without
+from caliper.llm.common import map_text, row_key, saved, slices, without
 from caliper.llm.components import components
 from caliper.llm.textnp import Words, mix
 
@@ -38,7 +40,9 @@ SHINGLE = 4
 PERCENT = 80
 HALF = 12
 ROWS = 2
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+#: Cells of the table that tells rare shingles from common ones; it steers the order only.
+CELLS = 1 << 20
 #: Up to so many candidate ids (8 bytes each) are broadcast to pick their texts, else joined.
 MOST_BROADCAST_IDS = 1_000_000
 _U = np.uint64
@@ -101,17 +105,20 @@ def signatures(docs: DataFrame, size: int = SHINGLE, half: int = HALF, rows: int
 
 
 def table_keys(reps: DataFrame) -> DataFrame:
-    """(key, rep): keys of the tensored tables whose two entries both occur elsewhere."""
+    """(key, rep, score): keys of the tensored tables whose two entries both occur
+    elsewhere.  ``score`` adds up how often the entries of ``rep`` occur: in a group of
+    near copies it is greatest for the copy that is most like all others."""
     def side(name):
         return reps.select("rep", F.posexplode(name).alias("i", "h")) \
             .select("rep", F.lit(name).alias("side"), F.xxhash64(F.lit(name), "i", "h").alias("e"))
 
     entries = saved(side("a").unionByName(side("b")))
-    often = entries.groupBy("e").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("e")
-    left = (entries.join(often, "e", "leftsemi").groupBy("rep")
-            .agg(*[F.collect_list(F.when(F.col("side") == s, F.col("e"))).alias(s) for s in "ab"]))
-    pairs = left.select("rep", F.explode("a").alias("x"), "b").select("rep", "x", F.explode("b").alias("y"))
-    return pairs.select(F.xxhash64("x", "y").alias("key"), "rep")
+    often = entries.groupBy("e").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    left = (entries.join(often, "e").groupBy("rep")
+            .agg(*[F.collect_list(F.when(F.col("side") == s, F.col("e"))).alias(s) for s in "ab"],
+                 F.sum("often").alias("score")))
+    pairs = left.select("rep", "score", F.explode("a").alias("x"), "b").select("rep", "score", "x", F.explode("b").alias("y"))
+    return pairs.select(F.xxhash64("x", "y").alias("key"), "rep", "score")
 
 
 def pick_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -141,9 +148,64 @@ def similar(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE, percent: in
     return map_text(both.select("u", "v", "tu", "tv"), run, "u long, v long", column="tu")
 
 
-def _with_component(keys: DataFrame, found: DataFrame) -> DataFrame:
-    return keys.join(found.withColumnRenamed("node", "rep"), "rep", "left") \
-        .select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
+def shingle_counts(texts: DataFrame, size: int) -> np.ndarray:
+    """How many texts hold a shingle, by hash cell: CELLS numbers, whatever the input."""
+    def run(batches):
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                total += np.bincount((shingle_sets(part.column("text"), size)[0] % _U(CELLS)).astype(np.int64), minlength=CELLS)
+        cell = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], ["cell", "n"])
+
+    rows = texts.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(CELLS, np.int64)
+    out[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
+    return out
+
+
+def prefix_pairs(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(u, v), u > v, of different components that may link: an exact set join.
+
+    ``texts``: rep, component, n, text.  Shingles are ordered, rare cells first; two
+    similar sets share one of their first ``n - ceil(percent * n / 100) + 1`` shingles, and
+    at the first one they share, what is left of both must still make up the overlap that
+    the threshold asks for.  A group of near copies that are not linked differ in rare
+    shingles, which come first, so nearly none of its pairs pass, however large it is."""
+    counts = texts.sparkSession.sparkContext.broadcast(shingle_counts(texts, size))     # CELLS numbers
+
+    def run(part):
+        values, at = shingle_sets(part.column("text"), size)
+        doc = np.repeat(np.arange(part.num_rows), np.diff(at))
+        order = np.lexsort((values, counts.value[(values % _U(CELLS)).astype(np.int64)], doc))
+        n = np.diff(at)
+        place = np.arange(len(values)) - at[:-1][doc]
+        first = place < (n - -(-percent * n // 100) + 1)[doc]
+        pick = pa.array(doc[first])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(values[order][first].view(np.int64)), pa.array(place[first].astype(np.int32)),
+             *(part.column(c).take(pick) for c in ("rep", "component", "n"))], ["sh", "pos", "rep", "component", "n"])
+
+    heads = saved(map_text(texts.select("rep", "component", "n", "text"), run,
+                           "sh long, pos int, rep long, component long, n long"))
+    often = heads.groupBy("sh").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sh")
+    heads = saved(heads.join(often, "sh", "leftsemi"))
+    other = heads.select("sh", *[F.col(c).alias(f"{c}_v") for c in ("rep", "component", "n", "pos")])
+    rest = F.least(F.col("n") - F.col("pos"), F.col("n_v") - F.col("pos_v"))       # this one included
+    enough = rest * (100 + percent) >= percent * (F.col("n") + F.col("n_v"))
+    return heads.join(other, "sh").where((F.col("component") != F.col("component_v")) & (F.col("rep") > F.col("rep_v")) & enough) \
+        .select(F.col("rep").alias("u"), F.col("rep_v").alias("v")).distinct()
+
+
+def _with_component(keys: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Keys whose members are in different components, and those members."""
+    if found is None:
+        return keys.withColumn("component", F.col("rep"))
+    held = saved(keys.join(found.withColumnRenamed("node", "rep"), "rep", "left")
+                 .withColumn("component", F.coalesce("component", "rep")))
+    split = held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
+        .where("lo <> hi").select("key")
+    return saved(held.join(split, "key", "leftsemi"))
 
 
 def links(docs: DataFrame, keys: DataFrame, sizes: DataFrame, size: int = SHINGLE,
@@ -154,42 +216,30 @@ def links(docs: DataFrame, keys: DataFrame, sizes: DataFrame, size: int = SHINGL
     keys = saved(keys.join(sizes, "rep"))
     checked = good = found = None
     for turn in range(rounds + 1):
-        if found is None:
-            held = keys.withColumn("component", F.col("rep"))
-        else:
-            held = saved(_with_component(keys, found))
-            split = held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
-                .where("lo <> hi").select("key")
-            held = saved(held.join(split, "key", "leftsemi"))
-            if held.isEmpty():
-                break
-        if turn < rounds:       # one centre a key, another each round; one centre a member
-            order = F.struct(F.xxhash64(F.lit(turn), "rep") if turn else F.lit(0), F.col("rep"))
-            centre = held.groupBy("key").agg(F.min(F.struct(order.alias("o"), "component", "n")).alias("c")) \
-                .select("key", F.col("c.o.rep").alias("v"), F.col("c.component").alias("cv"), F.col("c.n").alias("nv"))
-            pairs = held.join(centre, "key").where(F.col("component") != F.col("cv"))
-            pairs = pairs.select(F.col("rep").alias("u"), "v", F.col("n").alias("nu"), "nv")
-        else:
-            other = held.select("key", F.col("rep").alias("v"), F.col("component").alias("cv"), F.col("n").alias("nv"))
-            pairs = held.join(other, "key").where((F.col("component") != F.col("cv")) & (F.col("rep") > F.col("v"))) \
-                .select(F.col("rep").alias("u"), "v", F.col("n").alias("nu"), "nv")
-        near = (F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent)
-        pairs = pairs.where(near).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        if turn == 0 < rounds:  # the least centre of each member is enough for a start
-            pairs = pairs.groupBy("u").agg(F.min("v").alias("v"))
+        held = _with_component(keys, found)
+        if turn and held.isEmpty():
+            break
+        if turn < rounds:       # one centre a key: the member most like the others
+            centre = held.groupBy("key").agg(F.max(F.struct("score", (-F.col("rep")).alias("r"), "component", "n")).alias("c")) \
+                .select("key", (-F.col("c.r")).alias("v"), F.col("c.score").alias("sv"), F.col("c.component").alias("cv"), F.col("c.n").alias("nv"))
+            near = F.least("n", "nv") * 100 >= F.greatest("n", "nv") * percent
+            pairs = held.join(centre, "key").where((F.col("component") != F.col("cv")) & near)
+            if turn == 0:       # the best of its centres is enough for a start
+                pairs = pairs.groupBy("rep").agg(F.max(F.struct("sv", "v")).alias("b")).select("rep", "b.v")
+            pairs = pairs.select(F.greatest("rep", "v").alias("u"), F.least("rep", "v").alias("v")).distinct()
         else:
-            pairs = pairs.distinct()
-            pairs = pairs if checked is None else pairs.join(checked, ["u", "v"], "leftanti")
+            members = held.select("rep", "component", "n").distinct()
+            pairs = prefix_pairs(saved(docs.join(members, "rep")), size, percent)
+        if checked is not None:
+            pairs = pairs.join(checked, ["u", "v"], "leftanti")
         pairs = saved(pairs)
-        if turn and pairs.isEmpty():
-            if turn < rounds:
-                continue
-            break
+        if pairs.isEmpty():
+            continue
         new = saved(similar(pairs, docs, size, percent))
         checked = pairs if checked is None else saved(checked.unionByName(pairs))
         good = new if good is None else saved(good.unionByName(new))
         found = saved(components(good))
-    return found
+    return found if found is not None else docs.sparkSession.createDataFrame([], "node long, component long")
 
 
 def near_dedup(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, half: int = HALF,
