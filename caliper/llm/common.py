@@ -57,10 +57,10 @@ def slices(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Itera
 
 
 def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]],
-             schema: str | StructType, column: str = "text") -> DataFrame:
+             schema: str | StructType, column: str = "text", most: int = CHUNK_BYTES) -> DataFrame:
     """``mapInArrow`` over slices of bounded text size; ``fn`` yields record batches."""
     def run(batches):
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, most):
                 yield from fn(part)
     return df.mapInArrow(run, schema)

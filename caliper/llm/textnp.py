@@ -17,7 +17,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_VALUES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64)
+_BASE_2 = 0xC2B2AE3D27D4EB4F | 1
+_INVERSE_2 = pow(_BASE_2, -1, 1 << 64)
+_VALUES, _VALUES_2 = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
 _tables: dict[int, np.ndarray] = {}
 
 
@@ -34,15 +36,38 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers(base: int, n: int) -> np.ndarray:
     have = _tables.get(base)
     if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 21), base, np.uint64)
+        have = np.full(max(n + 1, 1 << 20), base, np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if n > 1 << 23:  # one very long text: do not hold on to its table
+        if n > 1 << 22:  # one very long text: do not hold on to its table
             return have
         _tables[base] = have
     return have
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
+    """A 64-bit hash of the bytes of every span; ``second`` gives an independent one."""
+    base, inverse, values = (_BASE_2, _INVERSE_2, _VALUES_2) if second else (_BASE, _INVERSE, _VALUES)
+    n = len(data)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(values[data] * _powers(base, n)[:n], out=total[1:])
+    span = (total[ends] - total[starts]) * _powers(inverse, n + 1)[starts]
+    return mix(span + (ends - starts).astype(np.uint64))
+
+
+def bytes_of(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all strings of an array (null counts as empty) and their n+1 offsets."""
+    if isinstance(arr, pa.ChunkedArray):
+        arr = arr.combine_chunks()
+    arr = arr.fill_null("") if arr.null_count else arr
+    wide = pa.types.is_large_string(arr.type)
+    off = np.frombuffer(arr.buffers()[1], np.int64 if wide else np.int32)
+    off = off[arr.offset:arr.offset + len(arr) + 1].astype(np.int64) if len(arr) else np.zeros(1, np.int64)
+    raw = arr.buffers()[2]
+    data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
+    return data[off[0]:off[-1]], off - off[0]
+
+
 class Words:
     """Words of the texts of one string array (null counts as empty).
 
@@ -50,18 +75,9 @@ class Words:
     ``starts, ends``: byte offsets of each word; ``word_at``: n+1 word offsets."""
 
     def __init__(self, arr: pa.Array, lower: bool = False):
-        if isinstance(arr, pa.ChunkedArray):
-            arr = arr.combine_chunks()
-        arr = arr.fill_null("") if arr.null_count else arr
-        wide = pa.types.is_large_string(arr.type)
-        off = np.frombuffer(arr.buffers()[1], np.int64 if wide else np.int32)
-        off = off[arr.offset:arr.offset + len(arr) + 1].astype(np.int64) if len(arr) else np.zeros(1, np.int64)
-        raw = arr.buffers()[2]
-        data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
-        self.data = data[off[0]:off[-1]]
+        self.data, self.doc_at = bytes_of(arr)
         if lower:
             self.data = _LOWER[self.data]
-        self.doc_at = off - off[0]
         self.n = len(arr)
         inside = ~_SPACE[self.data]
         first = inside.copy()
@@ -81,11 +97,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of every word."""
-        n = len(self.data)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_VALUES[self.data] * _powers(_BASE, n)[:n], out=total[1:])
-        word = (total[self.ends] - total[self.starts]) * _powers(_INVERSE, n)[self.starts]
-        return mix(word + (self.ends - self.starts).astype(np.uint64))
+        return span_hashes(self.data, self.starts, self.ends)
 
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.n), self.n_words)

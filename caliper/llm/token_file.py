@@ -10,18 +10,17 @@ first; each document begins a new control byte.  Decoding looks all four lengths
 control byte up in one 256-row numpy table.  A second folder holds ``rank, id``.
 
 Plan: (1) tokenise, map-only, ids saved as fixed-width integers; (2) count ids (each
-task sends at most one row per vocabulary entry); (3) code by rank, range-partition by
-doc_id, sort, pack blocks; (4) read back.  Text never shuffles, ids do once, coded.
+task sends at most one row per vocabulary entry); (3) range-partition by doc_id, sort,
+code by rank and pack blocks; (4) read back.  Text never shuffles, ids do once.
 The rank table is bounded by the vocabulary, so it may pass through the driver.
 
 Edge cases: a null text is empty and yields only the end id; a null doc_id sorts
-first; repeated rows and ties in doc_id are each written, in the order of their coded
-ids; an empty table gives empty files; further input columns are ignored.
+first; repeated rows and ties in doc_id are each written, in the order of their ids
+(length first); an empty table gives empty files; further input columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
 
@@ -31,24 +30,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caliper.llm.common import map_text
+from caliper.llm.textnp import bytes_of, span_hashes
 from caliper.session import working_dir
 
 END_ID = 2
 BLOCK_IDS = 1 << 19
-#: Remembered chunks of a worker; when full they are forgotten, which costs time only.
-MOST_CHUNKS = 400_000
+#: A worker remembers the ids of so many pieces, of so many bytes at most each; when it
+#: holds more it forgets them all, which costs time only.
+MOST_PIECES, MOST_BYTES = 500_000, 64
 GROUP = 1000
-_ODD = re.compile(r"\s |[\x1c-\x1f\x85]")
-_CHUNK = re.compile(r"\s*\S+|\s+")
+#: How the byte-level vocabulary writes a space.
+SPACE = "Ġ"
 _LENGTHS = np.stack([(np.arange(256) >> s & 3) + 1 for s in (0, 2, 4, 6)], axis=1).astype(np.uint8)
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_CONTROL = np.isin(np.arange(256), [28, 29, 30, 31])
+_LEAD = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
+#: UTF-8 of white space beyond ASCII.
+_WIDE = {"\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000"[k].encode() for k in range(8)} \
+    | {chr(c).encode() for c in range(0x2000, 0x200B)}
 _encoders: dict[str, Encoder] = {}
 
 
+def _unusual(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Texts with white space before a space, separators, or white space beyond ASCII:
+    there a cut at each space might not be a cut of the tokenizer's splitter."""
+    odd = np.zeros(len(data), bool)
+    odd[:-1] = _BLANK[data[:-1]] & (data[1:] == 32)
+    end = at[1:] - 1
+    odd[end[end >= 0]] = False          # a text's last byte stands before another text's first
+    odd |= _CONTROL[data]
+    raw = data.tobytes()
+    for i in np.flatnonzero(_LEAD[data]).tolist():
+        if raw[i:i + 2] in _WIDE or raw[i:i + 3] in _WIDE:
+            odd[i] = True
+    count = np.concatenate(([0], np.cumsum(odd)))
+    return count[at[1:]] > count[at[:-1]]
+
+
 class Encoder:
-    """A tokenizer whose splitter always cuts where white space follows other characters.
+    """A tokenizer whose splitter always cuts where a space follows other characters.
 
-    Pieces cut there are encoded once per worker and remembered.  Texts with unusual
-    white space are cut by a pattern, texts with control separators are encoded whole."""
+    Texts are cut there first, and the ids of each distinct piece are made once per
+    worker, many in one call, and kept under two 64-bit hashes of the piece in sorted
+    numpy tables.  Unusual texts (see ``_unusual``) are one piece each."""
 
     def __init__(self, path: str):
         import os
@@ -62,9 +86,8 @@ class Encoder:
         size = max(vocab.values()) + 1
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.spaced = np.zeros(size, bool)
-        self.spaced[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
-        self.after_space: dict[str, bytes] = {}
-        self.alone: dict[str, bytes] = {}
+        self.spaced[[i for t, i in vocab.items() if t.startswith(SPACE)]] = True
+        self._forget()
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -72,60 +95,104 @@ class Encoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
+    def _forget(self) -> None:
+        self.tables: list[np.ndarray] = []      # each: rows h1 (sorted), h2, place, length
+        self.ids = np.zeros(0, self.dtype)
+
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, np.int64) for x in made]
+        return [np.array(x.ids, self.dtype) for x in made]
 
-    def _learn(self, rest: list[str], alone: list[str]) -> None:
-        """Encode pieces that follow a space, many in one call, and pieces on their own."""
-        singles = [w for w in rest if not w or " " in w]
-        joined = [w for w in rest if w and " " not in w]
+    def _learn(self, pieces: list[str]) -> list[np.ndarray]:
+        """Ids of pieces.  Those of one space and other characters are joined: in a joined
+        text a piece begins at each id whose text begins with the space."""
+        out: list = [None] * len(pieces)
+        joined = [k for k, p in enumerate(pieces) if len(p) > 1 and p[0] == " " and " " not in p[1:]]
         groups = [joined[i:i + GROUP] for i in range(0, len(joined), GROUP)]
-        for group, ids in zip(groups, self._encode([" " + " ".join(g) for g in groups]), strict=True):
-            at = np.flatnonzero(self.spaced[ids])
-            if len(at) != len(group) or at[0]:
-                singles += group
-                continue
-            raw, width = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
-            ends = [*(at[1:] * width).tolist(), len(raw)]
-            for w, a, b in zip(group, (at * width).tolist(), ends, strict=True):
-                self.after_space[w] = raw[a:b]
-        for w, ids in zip(singles, self._encode([" " + w for w in singles]), strict=True):
-            self.after_space[w] = ids.astype(self.dtype).tobytes()
-        for w, ids in zip(alone, self._encode(alone), strict=True):
-            self.alone[w] = ids.astype(self.dtype).tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of every text as raw integers of ``dtype``."""
-        if len(self.after_space) + len(self.alone) > MOST_CHUNKS:
-            self.after_space.clear()
-            self.alone.clear()
-        cut: list[tuple[list[str], list[str]]] = []     # pieces on their own, pieces after a space
-        for text in texts:
-            if not text:
-                cut.append(([], []))
-            elif not (odd := _ODD.search(text)):
-                first, *rest = text.split(" ")
-                cut.append(([first] if first else [], rest))
-            elif odd[0][0] in "\x1c\x1d\x1e\x1f\x85":
-                cut.append(([text], []))
-            else:
-                cut.append((_CHUNK.findall(text), []))
-        rest = {w for _, r in cut for w in r} - self.after_space.keys()
-        alone = {w for a, _ in cut for w in a} - self.alone.keys()
-        self._learn(sorted(rest), sorted(alone))
-        return [b"".join([*map(self.alone.__getitem__, a), *map(self.after_space.__getitem__, r)]) for a, r in cut]
+        for group in groups:            # one at a time: the library's results are large
+            ids = self._encode(["".join([pieces[k] for k in group])])[0]
+            at = np.flatnonzero(self.spaced[ids]).tolist()
+            if len(at) == len(group):
+                for k, a, b in zip(group, at, [*at[1:], len(ids)], strict=True):
+                    out[k] = ids[a:b]
+        left = [k for k, x in enumerate(out) if x is None]
+        for k, ids in zip(left, self._encode([pieces[k] for k in left]), strict=True):
+            out[k] = ids
+        return out
+
+    def _known(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """Place and length of every known piece; length -1 of others."""
+        found = np.full((2, len(h1)), -1, np.int64)
+        for t in self.tables:
+            at = np.minimum(np.searchsorted(t[0], h1), t.shape[1] - 1)
+            hit = (t[0][at] == h1) & (t[1][at] == h2)
+            found[:, hit] = t[2:, at[hit]].astype(np.int64)
+        return found
+
+    def _keep(self, rows: np.ndarray) -> None:
+        self.tables.append(rows[:, np.argsort(rows[0])])
+        if len(self.tables) > 6:        # few tables to search: merge all
+            every = np.concatenate(self.tables, axis=1)
+            self.tables = [every[:, np.argsort(every[0])]]
+
+    def encode(self, arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and their n+1 offsets."""
+        if sum(t.shape[1] for t in self.tables) > MOST_PIECES or len(self.ids) > 8 * MOST_PIECES:
+            self._forget()
+        data, doc_at = bytes_of(arr)
+        space = data == 32
+        edge = np.zeros(len(data) + 1, np.int64)
+        odd = _unusual(data, doc_at) if len(data) else np.zeros(len(arr), bool)
+        np.add.at(edge, doc_at[:-1][odd], 1)
+        np.add.at(edge, doc_at[1:][odd], -1)
+        space &= np.cumsum(edge)[:-1] == 0
+        at = np.flatnonzero(space)
+        filled = np.diff(doc_at) > 0
+        first = doc_at[:-1][filled]
+        # A piece is a text's beginning up to its first space, or a space and what follows.
+        starts = np.sort(np.concatenate((first, at)), kind="stable")
+        ends = np.sort(np.concatenate((at, doc_at[1:][filled])), kind="stable")
+        n = np.zeros(len(arr), np.int64)
+        count = np.concatenate(([0], np.cumsum(space)))
+        n[filled] = 1 + (count[doc_at[1:]] - count[doc_at[:-1]])[filled]
+        h1 = span_hashes(data, starts, ends)
+        h2 = span_hashes(data, starts, ends, second=True)
+        _, pick, back = np.unique(h1, return_index=True, return_inverse=True)
+        same = h2 == h2[pick][back]
+        if not same.all():              # two pieces with one first hash: go by both
+            _, pick, back = np.unique(np.stack((h1, h2)), axis=1, return_index=True, return_inverse=True)
+        found = self._known(h1[pick], h2[pick])
+        new = np.flatnonzero(found[1] < 0)
+        if len(new):
+            raw = data.tobytes()
+            a, b = starts[pick[new]], ends[pick[new]]
+            made = self._learn([raw[i:j].decode() for i, j in zip(a.tolist(), b.tolist(), strict=True)])
+            size = np.array([len(x) for x in made], np.int64)
+            found[1, new] = size
+            found[0, new] = len(self.ids) + np.cumsum(size) - size
+            self.ids = np.concatenate([self.ids, *made])
+            short = new[b - a <= MOST_BYTES]
+            self._keep(np.stack((h1[pick[short]], h2[pick[short]], *found[:, short].astype(np.uint64))))
+        size = found[1][back]
+        total = np.concatenate(([0], np.cumsum(size)))
+        ids = self.ids[np.repeat(found[0][back] - total[:-1], size) + np.arange(total[-1])]
+        return ids, total[np.concatenate(([0], np.cumsum(n)))]
 
 
 def tokenise(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """doc_id and ``ids`` (raw little-endian integers, the end id last)."""
     def run(part):
         enc = Encoder.of(path)
-        end = np.array([end_id], enc.dtype).tobytes()
-        made = [x + end for x in enc.encode(part.column("text").to_pylist())]
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(made, pa.binary())], ["doc_id", "ids"])
+        ids, at = enc.encode(part.column("text"))
+        rows = np.arange(part.num_rows)
+        out = np.full(len(ids) + len(rows), end_id, enc.dtype)
+        out[np.arange(len(ids)) + np.repeat(rows, np.diff(at))] = ids
+        where = ((at + np.arange(len(at))) * enc.dtype.itemsize).astype(np.int32)
+        made = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(where), pa.py_buffer(out)])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), made], ["doc_id", "ids"])
 
-    return map_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, ids binary")
+    return map_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, ids binary",
+                    most=1 << 20)
 
 
 def id_counts(ids: DataFrame, dtype: np.dtype) -> list[tuple[int, int]]:
@@ -190,19 +257,10 @@ def write_token_file(docs: DataFrame, tokenizer_path: str, path: str, end_id: in
     for r, (i, _) in enumerate(counts):
         rank[i] = r
 
-    def code(batches):
-        for batch in batches:
-            found = [np.frombuffer(x.as_buffer(), dtype) for x in batch.column("ids")]
-            coded = [encode_ranks(rank[x]) for x in found]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x) for x in found], pa.int64()),
-                 pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())],
-                ["doc_id", "n", "controls", "data"])
-
     def pack(batches):
         names = ["block", "start_in_part", "doc_ids", "n_tokens", "controls", "data"]
         kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-        block = start = 0
+        block = start = in_block = 0
         held: list[tuple] = []
 
         def out():
@@ -210,27 +268,29 @@ def write_token_file(docs: DataFrame, tokenizer_path: str, path: str, end_id: in
                    [b"".join(x[2] for x in held)], [b"".join(x[3] for x in held)]]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(one, kinds, strict=True)], names)
 
-        in_block = 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "controls", "data")), strict=True):
-                held.append(row)
-                in_block += row[1]
+            for doc, x in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
+                found = np.frombuffer(x.as_buffer(), dtype)
+                held.append((doc, len(found), *encode_ranks(rank[found])))
+                in_block += len(found)
                 if in_block >= BLOCK_IDS:
                     yield out()
                     block, start, held, in_block = block + 1, start + in_block, [], 0
         if held:
             yield out()
 
-    coded = ids.mapInArrow(code, "doc_id long, n long, controls binary, data binary")
-    ordered = coded.repartitionByRange(F.col("doc_id").asc_nulls_first(), "n", F.crc32("data")) \
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", F.crc32("data"), "data")
+    # The sample for the range bounds scans the saved ids; coding runs once, after the sort.
+    ties = [F.octet_length("ids"), F.crc32("ids")]
+    ordered = ids.repartitionByRange(F.col("doc_id").asc_nulls_first(), *ties) \
+        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), *ties, "ids")
     (ordered.mapInArrow(pack, "block long, start_in_part long, doc_ids array<long>, n_tokens array<long>, "
                               "controls binary, data binary")
      .withColumn("part", F.spark_partition_id()).write.parquet(f"{path}/blocks"))
 
 
-def read_token_file(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens and ``ids`` (little-endian unsigned 32-bit) of every document."""
+def read_token_file(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
+    """doc_id, start, n_tokens and ``ids`` (little-endian unsigned 32-bit) of every
+    document; with ``digest`` only the ids' checksum, ``ids_crc32``."""
     blocks = spark.read.schema("block long, start_in_part long, doc_ids array<long>, n_tokens array<long>, "
                                "controls binary, data binary, part int").parquet(f"{path}/blocks")
     pairs = spark.read.schema("rank long, id long").parquet(f"{path}/ranks").collect()   # at most the vocabulary
@@ -250,12 +310,14 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
                 ids = table[decode_ranks(b["controls"], b["data"], n)]
                 ends = np.cumsum(n)
                 start = before[b["part"]] + b["start_in_part"] + ends - n
-                made = [ids[e - k:e].tobytes() for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
+                made = [ids[e - k:e] for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
+                made = pa.array(map(zlib.crc32, made), pa.int64()) if digest else pa.array([x.tobytes() for x in made], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(b["doc_ids"], pa.int64()), pa.array(start), pa.array(n), pa.array(made, pa.binary())],
-                    ["doc_id", "start", "n_tokens", "ids"])
+                    [pa.array(b["doc_ids"], pa.int64()), pa.array(start), pa.array(n), made],
+                    ["doc_id", "start", "n_tokens", out])
 
-    return blocks.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
+    out, kind = ("ids_crc32", "long") if digest else ("ids", "binary")
+    return blocks.mapInArrow(decode, f"doc_id long, start long, n_tokens long, {out} {kind}")
 
 
 def token_digest(docs: DataFrame, tokenizer_path: str, path: str | None = None) -> DataFrame:
@@ -263,12 +325,4 @@ def token_digest(docs: DataFrame, tokenizer_path: str, path: str | None = None)
     spark = docs.sparkSession
     path = path or f"{working_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_token_file(docs, tokenizer_path, path)
-
-    def crc(batches):
-        for batch in batches:
-            sums = [zlib.crc32(x.as_buffer()) for x in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(sums, pa.int64())],
-                ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return read_token_file(spark, path).mapInArrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_token_file(spark, path, digest=True)
