@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 from caliper.operators.prefix import materialize
 
 #: Text bytes handled at once inside a task; longer texts are handled alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def saved(df: DataFrame) -> DataFrame:

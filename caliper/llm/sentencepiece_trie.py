@@ -21,6 +21,8 @@ a text decodes to a space, as with the library; further columns are ignored.
 from __future__ import annotations
 
 import re
+from array import array
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,9 @@ from caliper.llm.common import map_text
 
 MARK = "▁"
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-MOST_WORDS = 400_000
+#: Entries of a memory's generation.  When it is full it becomes the old one, and what is
+#: asked for again moves on; a worker holds two generations of words and two of pairs.
+MOST_KEPT = 100_000
 _models: dict[str, Model] = {}
 
 
@@ -55,9 +59,17 @@ class Model:
                 self.decoded[i] = bytes([b])
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece of this model crosses marked words")
+        # Place of each merged piece among the merges; pieces with one score have no such order.
+        count = Counter(self.scores.values())
+        merged = sorted((p for p in self.scores if len(p) > 1), key=lambda p: -self.scores[p])
+        self.order = {p: k for k, p in enumerate(merged)}
+        self.tied = {p for p in merged if count[self.scores[p]] > 1}
+        self.halves: dict[str, tuple[str, str]] = {}
         self.starts = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
         self.fits: dict[tuple[str, str], bool] = {}
+        self.old_fits: dict[tuple[str, str], bool] = {}
         self.words: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Model:
@@ -65,24 +77,59 @@ class Model:
             _models[path] = cls(path)
         return _models[path]
 
+    def _merge(self, symbols: list[str]) -> list[str]:
+        """Merge the best-scored neighbours, the leftmost if they tie; the same list if none makes a piece."""
+        best = max(((self.scores[a + b], -k) for k, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False))
+                    if a + b in self.scores), default=None)
+        if best is None:
+            return symbols
+        k = -best[1]
+        return [*symbols[:k], symbols[k] + symbols[k + 1], *symbols[k + 2:]]
+
     def _merged(self, symbols: list[str]) -> list[str]:
-        """Merge the best-scored neighbours, leftmost first, until none makes a piece."""
-        while True:
-            best = max(((self.scores[a + b], -k) for k, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False))
-                        if a + b in self.scores), default=None)
-            if best is None:
-                return symbols
-            k = -best[1]
-            symbols = [*symbols[:k], symbols[k] + symbols[k + 1], *symbols[k + 2:]]
+        while (after := self._merge(symbols)) is not symbols:
+            symbols = after
+        return symbols
 
     def compatible(self, left: str, right: str) -> bool:
         key = (left, right)
         if (known := self.fits.get(key)) is None:
-            if len(self.fits) > 4 * MOST_WORDS:
-                self.fits.clear()
-            known = self.fits[key] = self._merged([*left, *right]) == [left, right]
+            if (known := self.old_fits.get(key)) is None:
+                known = self._stands(left, right)
+            self.fits[key] = known
         return known
 
+    def _halves(self, piece: str) -> tuple[str, str]:
+        """The two symbols that the last merge of a piece joins."""
+        if (made := self.halves.get(piece)) is None:
+            symbols = [*piece]
+            while len(symbols) > 2:
+                symbols = self._merge(symbols)
+            made = self.halves[piece] = (symbols[0], symbols[1])
+        return made
+
+    def _stands(self, left: str, right: str) -> bool:
+        """Does no merge join the inner ends of two pieces before both are whole?
+
+        Merges are undone from the latest on, on the side where it is; a joint piece that
+        would have been made before the merge just undone breaks the pair.  Of merges of
+        one rank the left one comes first."""
+        order = self.order
+        if left in self.tied or right in self.tied:
+            return self._merged([*left, *right]) == [left, right]
+        limit = len(order) + 2.0
+        while True:
+            joint = order.get(left + right)
+            if joint is not None and joint < limit:
+                return False
+            a, b = order.get(left, -1), order.get(right, -1)
+            if a > b:
+                limit, left = a, self._halves(left)[1]
+            elif b >= 0:
+                limit, right = b + 1, self._halves(right)[0]
+            else:
+                return True
+
     def segment(self, words: list[str]) -> dict[str, list[str]]:
         """Pieces of each of the sorted distinct words."""
         out, last, reach, before = {}, [""], [0], ""
@@ -118,20 +165,23 @@ class Model:
         return out
 
     def piece_ids(self, pieces: list[str]) -> list[int]:
-        found = []
-        for p in pieces:
-            i = self.ids.get(p)
-            found += [i] if i is not None else [self.byte_ids[b] for b in p.encode()]
-        return found
+        found = [self.ids.get(p, -1) for p in pieces]
+        if -1 not in found:
+            return found
+        return [i for p, k in zip(pieces, found, strict=True) for i in ([k] if k >= 0 else [self.byte_ids[b] for b in p.encode()])]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.words) > MOST_WORDS:
-            self.words.clear()
+        if len(self.words) > MOST_KEPT:
+            self.words, self.old_words = {}, self.words
+        if len(self.fits) > MOST_KEPT:
+            self.fits, self.old_fits = {}, self.fits
         cut = [_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = {w for ws in cut for w in ws} - self.words.keys()
-        for word, pieces in self.segment(sorted(new)).items():
-            self.words[word] = np.array(self.piece_ids(pieces), "<i4").tobytes()
-        return [np.frombuffer(b"".join(map(self.words.__getitem__, ws)), "<i4") for ws in cut]
+        new = set().union(*cut) - self.words.keys()
+        again = new & self.old_words.keys()
+        self.words.update((w, self.old_words[w]) for w in again)
+        for word, pieces in self.segment(sorted(new - again)).items():
+            self.words[word] = array("i", self.piece_ids(pieces)).tobytes()
+        return [np.frombuffer(b"".join(map(self.words.__getitem__, ws)), np.int32) for ws in cut]
 
     def decode(self, ids: np.ndarray) -> str:
         raw = b"".join(map(self.decoded.__getitem__, ids.tolist()))
@@ -144,7 +194,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     def run(part):
         found = Model.of(model_path).encode(part.column("text").to_pylist())
         at = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, "<i4"), *found])))
+        ids = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int32), *found])))
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), ids], ["doc_id", "text", "ids"])
 
     return map_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run,
