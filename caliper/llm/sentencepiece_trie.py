@@ -20,6 +20,7 @@ a text decodes to a space, as with the library; further columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from array import array
 from collections import Counter
@@ -216,9 +217,23 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
 
 
 def digest(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (ids joined by commas), decoded_sha256, exact."""
-    both = decode(encode(docs, model_path), model_path)
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-                       F.sha2("decoded", 256).alias("decoded_sha256"),
-                       (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("exact"))
+    """doc_id, n_tokens, ids_sha256 (ids joined by commas), decoded_sha256, exact (does
+    decoding give the text back).  One map does both ways, so a task needs one worker."""
+    def run(part):
+        model = Model.of(model_path)
+        texts = [t or "" for t in part.column("text").to_pylist()]
+        ids = model.encode(texts)
+        back = [model.decode(x) for x in ids]
+        yield pa.RecordBatch.from_arrays(
+            [part.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()),
+             pa.array([_sha(",".join(map(str, x.tolist()))) for x in ids], pa.string()),
+             pa.array([_sha(x) for x in back], pa.string()),
+             pa.array([a == b for a, b in zip(texts, back, strict=True)], pa.bool_())],
+            ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "exact"])
+
+    return map_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run,
+                    "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, exact boolean")
+
+
+def _sha(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
