@@ -40,6 +40,8 @@ CUT_WORDS = frozenset("ad ads adv advert advertisement adverts advertising banne
                       "navigation newsletter notice notices notification pager pagination popup promo promoted promotion "
                       "recommended related replies reply respond search share sharing sidebar signup skyscraper social "
                       "sponsor sponsored subscribe subscription toolbar widget".split())
+#: First words of names that tell what a container has, such as ``has-sidebar``.
+ABOUT = frozenset("has no with without".split())
 PARAGRAPH = frozenset("p pre td blockquote li dd".split())
 #: A start tag closes an open element of these, if it is nearer than any of the bounds.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -65,10 +67,12 @@ def _marked(tag: str, attrs: list) -> bool:
         return True
     for name, value in attrs:
         if name in ("class", "id", "role"):
-            if any(w.lower() in CUT_WORDS for w in _WORD.findall(value or "")):
-                return True
-            if name != "role" and tag not in ("article", "main") and "header" in (value or "").lower().split():
-                return True
+            for one in (value or "").split():
+                words = [w.lower() for w in _WORD.findall(one)]
+                if words and words[0] not in ABOUT and not CUT_WORDS.isdisjoint(words):
+                    return True
+                if one.lower() in ("header", "site-header") and tag not in ("article", "main"):
+                    return True
         elif name == "hidden" or name == "aria-hidden" and value == "true" \
                 or name == "style" and re.search(r"display\s*:\s*none", value or ""):
             return True

@@ -244,7 +244,7 @@ shorter, but fine.<ul><li>one<li>two</ul><div class="ad">Buy, buy, buy this thin
 WANT = "Head & more\nFirst paragraph, with bold, and a link, it goes on.\nSecond one <is> shorter, but fine.\none\ntwo\nOk."
 
 
-@pytest.mark.parametrize("tag", ["article", "div", "main", "div class='post-content'"])
+@pytest.mark.parametrize("tag", ["article", "div", "main", "div class='post-content'", "div class='page has-sidebar'"])
 def test_html(tag):
     assert html_text.main_text(PAGE % f"<{tag}>{BODY}</{tag.split()[0]}>") == WANT
 
