@@ -100,5 +100,4 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_tool_chat")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, results = tool_chat.calls_of(table(spark, sf_dir, "conversations"))
-    return tool_chat.link_calls(calls, results, tool_chat.SCHEMAS)
+    return tool_chat.chat(table(spark, sf_dir, "conversations"))

@@ -8,7 +8,8 @@ the tool's schema, and each linked pair is written as canonical JSON: sorted key
 white space, no escapes beyond those JSON needs.  Order by (conv_id, step, call_id).
 
 Edge cases, by ``status``: ``ok``; ``no_result``; ``orphan`` (a result whose call does
-not exist, or without an id); ``bad_json``; ``no_schema``; ``bad_arguments`` (``error``
+not exist, or without an id; its content is the message); ``message`` (a turn that is
+neither call nor result, as it stands); ``bad_json``; ``no_schema``; ``bad_arguments`` (``error``
 says where); ``cycle`` (calls that wait for each other: step null).  An ``after`` that
 names no call counts as none.  Repeated calls with one id: the least by its other
 columns stands, ``n_calls`` tells how many there were; likewise results, ``n_results``.
@@ -98,10 +99,16 @@ def render(call_id, name, arguments, content, schemas: dict) -> tuple[str | None
         return "bad_arguments", found, None
     messages = [{"role": "assistant", "tool_calls": [{"id": call_id, "name": name, "arguments": args}]}]
     if content is not None:
-        messages.append({"role": "tool", "tool_call_id": call_id, "content": content})
+        messages.append(tool_message(call_id, content))
     return None, None, canonical(messages)
 
 
+def tool_message(call_id, content, turn=None) -> dict:
+    """A result as a message; with its turn, if that is known."""
+    made = {"role": "tool", "tool_call_id": call_id, "content": content}
+    return made if turn is None else made | {"turn": turn}
+
+
 def steps(calls: DataFrame) -> DataFrame:
     """(call_id, step) by pointer doubling over ``after``; step is null in a cycle."""
     ids = calls.select(F.col("call_id").alias("up"))
@@ -120,7 +127,8 @@ def steps(calls: DataFrame) -> DataFrame:
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame:
-    """``calls``: conv_id, call_id, name, arguments, after; ``results``: call_id, content.
+    """``calls``: conv_id, call_id, name, arguments, after; ``results``: call_id, content
+    and, if there are such columns, conv_id and turn.
 
     One row per call and per orphan: conv_id, step, call_id, status, error, n_calls,
     n_results, message."""
@@ -128,9 +136,13 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame
         F.min(F.struct("conv_id", "name", "arguments", "after")).alias("c"), F.count(F.lit(1)).alias("n_calls")) \
         .select("call_id", "c.*", "n_calls")
     named = saved(named)
+    for c in ("conv_id", "turn"):
+        if c not in results.columns:
+            results = results.withColumn(c, F.lit(None).cast("long"))
     given = results.where("call_id IS NOT NULL").groupBy("call_id").agg(
-        F.min(F.struct(F.col("content").isNull().alias("none"), "content")).alias("r"), F.count(F.lit(1)).alias("n_results")) \
-        .select("call_id", F.coalesce("r.content", F.lit("")).alias("content"), "n_results")
+        F.min(F.struct(F.col("content").isNull().alias("none"), "content", "conv_id", "turn")).alias("r"),
+        F.count(F.lit(1)).alias("n_results")) \
+        .select("call_id", F.coalesce("r.content", F.lit("")).alias("content"), F.col("r.conv_id").alias("r_conv"), "r.turn", "n_results")
     linked = named.withColumn("is_call", F.lit(True)).join(given, "call_id", "full") \
         .join(steps(named), "call_id", "left")
     bare = calls.where("call_id IS NULL").select(
@@ -138,9 +150,10 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame
         F.lit(True).alias("is_call"), F.lit(None).cast("string").alias("content"), F.lit(None).cast("long").alias("n_results"),
         F.lit(0).cast("long").alias("step"))
     lost = results.where("call_id IS NULL").select(
-        F.lit(None).cast("string").alias("call_id"), "content", F.lit(1).cast("long").alias("n_results"))
-    rows = linked.unionByName(bare).unionByName(lost, allowMissingColumns=True)
-    rows = rows.select("conv_id", "step", "call_id", "name", "arguments", "content", F.coalesce("is_call", F.lit(False)).alias("is_call"),
+        F.lit(None).cast("string").alias("call_id"), "content", F.col("conv_id").alias("r_conv"), "turn",
+        F.lit(1).cast("long").alias("n_results"))
+    rows = linked.unionByName(bare, allowMissingColumns=True).unionByName(lost, allowMissingColumns=True)
+    rows = rows.select(F.coalesce("conv_id", "r_conv").alias("conv_id"), "turn", "step", "call_id", "name", "arguments", "content", F.coalesce("is_call", F.lit(False)).alias("is_call"),
                        F.coalesce("n_calls", F.lit(0)).alias("n_calls"), F.coalesce("n_results", F.lit(0)).alias("n_results"))
 
     def run(batches):
@@ -148,8 +161,8 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame
         for b in batches:
             made = []
             for r in b.to_pylist():
-                status, error, message = ("orphan", None, None) if not r["is_call"] else render(
-                    r["call_id"], r["name"], r["arguments"], r["content"], schemas)
+                status, error, message = ("orphan", None, canonical([tool_message(r["call_id"], r["content"], r["turn"])])) \
+                    if not r["is_call"] else render(r["call_id"], r["name"], r["arguments"], r["content"], schemas)
                 if status is None:
                     status = "cycle" if r["step"] is None else "no_result" if r["content"] is None else "ok"
                 made.append((status, error, message))
@@ -171,6 +184,10 @@ SCHEMAS = {
 }
 
 
+#: Turns that are results.
+_RESULT = "role = 'user' AND (turn > 0 OR turn IS NULL)"
+
+
 def calls_of(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of a table of turns (conv_id, turn, role, text): an assistant's
     turn is a call (``note`` up to 200 characters, else ``answer``) that uses the result
@@ -182,6 +199,29 @@ def calls_of(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
         "conv_id", F.when(there, key(0)).alias("call_id"),
         F.when(F.length("text") <= 200, "note").otherwise("answer").alias("name"),
         F.to_json(F.struct("turn", "text")).alias("arguments"), F.when(there & (F.col("turn") >= 2), key(2)).alias("after"))
-    results = turns.where("role = 'user' AND (turn > 0 OR turn IS NULL)").select(
-        F.when(there, key(1)).alias("call_id"), F.col("text").alias("content"))
+    results = turns.where(_RESULT).select(
+        "conv_id", "turn", F.when(there, key(1)).alias("call_id"), F.col("text").alias("content"))
     return calls, results
+
+
+def messages_of(turns: DataFrame) -> DataFrame:
+    """Every turn that ``calls_of`` makes neither a call nor a result of (system turns,
+    opening prompts, other and null roles), as a message of its own: status ``message``."""
+    plain = turns.where(f"NOT coalesce(role = 'assistant', false) AND NOT coalesce({_RESULT}, false)") \
+        .select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+
+    def run(batches):
+        for b in batches:
+            made = [canonical([{"role": r["role"], "turn": r["turn"], "content": r["text"]}]) for r in b.to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("conv_id"), pa.array(made, pa.string())], ["conv_id", "message"])
+
+    none = lambda kind: F.lit(None).cast(kind)
+    zero = F.lit(0).cast("long")
+    return plain.mapInArrow(run, "conv_id long, message string").select(
+        "conv_id", none("long").alias("step"), none("string").alias("call_id"), F.lit("message").alias("status"),
+        none("string").alias("error"), zero.alias("n_calls"), zero.alias("n_results"), "message")
+
+
+def chat(turns: DataFrame) -> DataFrame:
+    """All turns of a table: linked calls and results, orphans, and plain messages."""
+    return link_calls(*calls_of(turns), SCHEMAS).unionByName(messages_of(turns))

@@ -286,6 +286,19 @@ def test_tool_chat_of_turns(spark):
     assert sorted(r.status for r in got if r.call_id is None) == ["bad_arguments", "orphan"]
 
 
+def test_tool_chat_carries_every_turn(spark):
+    rows = [(1, 0, "system", "be brief"), (1, 1, "user", "after the system turn"), (1, 2, "assistant", "a"), (1, 3, "user", "b"),
+            (2, 0, "user", "opening"), (2, 1, "assistant", "c"), (3, 0, None, "no role"), (3, 1, "narrator", "é"), (None, 0, "system", None)]
+    got = tool_chat.chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted((r.conv_id or 0, r.status, r.message) for r in got if r.status in ("message", "orphan")) == [
+        (0, "message", '[{"content":null,"role":"system","turn":0}]'),
+        (1, "message", '[{"content":"be brief","role":"system","turn":0}]'),
+        (1, "orphan", '[{"content":"after the system turn","role":"tool","tool_call_id":"1:0","turn":1}]'),
+        (2, "message", '[{"content":"opening","role":"user","turn":0}]'),
+        (3, "message", '[{"content":"no role","role":null,"turn":0}]'), (3, "message", '[{"content":"é","role":"narrator","turn":1}]')]
+    assert sorted((r.conv_id, r.status) for r in got if r.status not in ("message", "orphan")) == [(1, "ok"), (2, "no_result")]
+
+
 def test_decontaminate(spark):
     rng = random.Random(9)
     vocab = ["The", "of", "é", "x1", "Zeta"] + [f"q{i}" for i in range(40)]
