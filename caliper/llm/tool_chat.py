@@ -10,7 +10,7 @@ white space, no escapes beyond those JSON needs.  Order by (conv_id, step, call_
 Edge cases, by ``status``: ``ok``; ``no_result``; ``orphan`` (a result whose call does
 not exist, or without an id; its content is the message); ``message`` (a turn that is
 neither call nor result, as it stands); ``bad_json``; ``no_schema``; ``bad_arguments`` (``error``
-says where); ``cycle`` (calls that wait for each other: step null).  An ``after`` that
+says where; all three keep the message of call and result); ``cycle`` (calls that wait for each other: step null).  An ``after`` that
 names no call counts as none.  Repeated calls with one id: the least by its other
 columns stands, ``n_calls`` tells how many there were; likewise results, ``n_results``.
 A call without an id links with nothing.  Empty tables give an empty result.
@@ -88,19 +88,23 @@ def _refuse(name: str):
 
 
 def render(call_id, name, arguments, content, schemas: dict) -> tuple[str | None, str | None, str | None]:
-    """status (None: fine), error and message of one linked call."""
+    """status (None: fine), error and message of one linked call; a call that fails keeps
+    its message, with arguments that are no JSON as the string they are."""
+    status = error = None
     try:
         args = json.loads(arguments or "", parse_constant=_refuse)
+        canonical(args).encode()
     except (ValueError, RecursionError):
-        return "bad_json", None, None
-    if name not in schemas:
-        return "no_schema", name, None
-    if found := violation(schemas[name], args):
-        return "bad_arguments", found, None
+        status, args = "bad_json", arguments
+    else:
+        if name not in schemas:
+            status, error = "no_schema", name
+        elif found := violation(schemas[name], args):
+            status, error = "bad_arguments", found
     messages = [{"role": "assistant", "tool_calls": [{"id": call_id, "name": name, "arguments": args}]}]
     if content is not None:
         messages.append(tool_message(call_id, content))
-    return None, None, canonical(messages)
+    return status, error, canonical(messages)
 
 
 def tool_message(call_id, content, turn=None) -> dict:
@@ -179,8 +183,7 @@ SCHEMAS = {
     "note": {"type": "object", "required": ["text", "turn"], "additionalProperties": False,
              "properties": {"text": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}}},
     "answer": {"type": "object", "required": ["text", "turn"], "additionalProperties": False,
-               "properties": {"text": {"type": "string", "minLength": 1, "maxLength": 1500},
-                              "turn": {"type": "integer", "minimum": 0}}},
+               "properties": {"text": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}}},
 }
 
 

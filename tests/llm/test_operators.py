@@ -299,6 +299,18 @@ def test_tool_chat_carries_every_turn(spark):
     assert sorted((r.conv_id, r.status) for r in got if r.status not in ("message", "orphan")) == [(1, "ok"), (2, "no_result")]
 
 
+def test_tool_chat_keeps_long_and_failed_calls(spark):
+    text = "long " * 1000
+    rows = [(1, 1, "assistant", text), (1, 2, "user", "reply"), (2, 1, "assistant", ""), (2, 2, "user", "to nothing")]
+    by = {r.conv_id: r for r in tool_chat.chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert by[1].status == "ok" and text in by[1].message and '"reply"' in by[1].message
+    assert (by[2].status, by[2].error) == ("bad_arguments", "$.text: length") and '"to nothing"' in by[2].message
+    assert tool_chat.render("a", "note", '{"b":1,', "r", tool_chat.SCHEMAS) == ("bad_json", None, (
+        '[{"role":"assistant","tool_calls":[{"arguments":"{\\"b\\":1,","id":"a","name":"note"}]},'
+        '{"content":"r","role":"tool","tool_call_id":"a"}]'))
+    assert tool_chat.render("a", "nope", "{}", None, tool_chat.SCHEMAS)[:2] == ("no_schema", "nope")
+
+
 def test_decontaminate(spark):
     rng = random.Random(9)
     vocab = ["The", "of", "é", "x1", "Zeta"] + [f"q{i}" for i in range(40)]
