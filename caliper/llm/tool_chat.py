@@ -1,6 +1,6 @@
 """Operator 9, chat formatting: tool calls linked with their results.
 
-Calls and results are hash-joined by call id.  A call may name an earlier call whose
+Calls and results are hash-joined by conversation and call id.  A call may name an earlier call whose
 result it uses (``after``); its step is the length of that chain, found by pointer
 doubling, so that a chain of n calls takes about log2(n) joins on unique ids and no
 conversation is ever gathered in one task.  Arguments are parsed and checked against
@@ -12,8 +12,11 @@ not exist, or without an id; its content is the message); ``message`` (a turn th
 neither call nor result, as it stands); ``bad_json``; ``no_schema``; ``bad_arguments`` (``error``
 says where; all three keep the message of call and result); ``cycle`` (calls that wait for each other: step null).  An ``after`` that
 names no call counts as none.  Repeated calls with one id: the least by its other
-columns stands, ``n_calls`` tells how many there were; likewise results, ``n_results``.
-A call without an id links with nothing.  Empty tables give an empty result.
+columns stands, ``n_calls`` tells how many there were; likewise results, ``n_results``;
+every further distinct call or result is a row of status ``duplicate`` (how many of it
+there were, its message, and as ``error`` what is wrong with it).  Tables whose results
+name no conversation have global ids, and there only the numbers tell of repeats.
+A call without an id, or without the conversation, links with nothing.  Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -114,50 +117,74 @@ def tool_message(call_id, content, turn=None) -> dict:
 
 
 def steps(calls: DataFrame) -> DataFrame:
-    """(call_id, step) by pointer doubling over ``after``; step is null in a cycle."""
-    ids = calls.select(F.col("call_id").alias("up"))
-    now = saved(calls.select("call_id", F.col("after").alias("up")).join(ids.withColumn("there", F.lit(1)), "up", "left")
-                .select("call_id", F.when(F.col("there") == 1, F.col("up")).alias("up"))
+    """(scope, call_id, step) by pointer doubling over ``after``; step is null in a cycle."""
+    ids = calls.select("scope", F.col("call_id").alias("up"))
+    now = saved(calls.select("scope", "call_id", F.col("after").alias("up"))
+                .join(ids.withColumn("there", F.lit(1)), ["scope", "up"], "left")
+                .select("scope", "call_id", F.when(F.col("there") == 1, F.col("up")).alias("up"))
                 .withColumn("step", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long")))
     n = now.count()
     for _ in range(max(1, math.ceil(math.log2(n + 1))) + 1):
         if now.where("up IS NOT NULL").isEmpty():
             break
-        above = now.select(F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("step").alias("more"))
-        now = saved(now.where("up IS NOT NULL").join(above, "up")
-                    .select("call_id", F.col("next").alias("up"), (F.col("step") + F.col("more")).alias("step"))
+        above = now.select("scope", F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("step").alias("more"))
+        now = saved(now.where("up IS NOT NULL").join(above, ["scope", "up"])
+                    .select("scope", "call_id", F.col("next").alias("up"), (F.col("step") + F.col("more")).alias("step"))
                     .unionByName(now.where("up IS NULL")))
-    return now.select("call_id", F.when(F.col("up").isNull(), F.col("step")).alias("step"))
+    return now.select("scope", "call_id", F.when(F.col("up").isNull(), F.col("step")).alias("step"))
+
+
+def _least(kinds: DataFrame, parts: list[str], n: str) -> DataFrame:
+    """The least of the distinct rows of an id, ``n`` of all of them, and ``kinds``, their number."""
+    return kinds.groupBy("scope", "call_id").agg(
+        F.min(F.struct(*parts)).alias("least"), F.sum(n).alias(n), F.count(F.lit(1)).alias("kinds"))
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame:
     """``calls``: conv_id, call_id, name, arguments, after; ``results``: call_id, content
     and, if there are such columns, conv_id and turn.
 
-    One row per call and per orphan: conv_id, step, call_id, status, error, n_calls,
-    n_results, message."""
-    named = calls.where("call_id IS NOT NULL").groupBy("call_id").agg(
-        F.min(F.struct("conv_id", "name", "arguments", "after")).alias("c"), F.count(F.lit(1)).alias("n_calls")) \
-        .select("call_id", "c.*", "n_calls")
-    named = saved(named)
+    One row per call, per orphan and, where results tell their conversation, per further
+    distinct row of an id: conv_id, step, call_id, status, error, n_calls, n_results,
+    message.  Results with conv_id link within it; without, ids are global."""
+    local = "conv_id" in results.columns
     for c in ("conv_id", "turn"):
         if c not in results.columns:
             results = results.withColumn(c, F.lit(None).cast("long"))
-    given = results.where("call_id IS NOT NULL").groupBy("call_id").agg(
-        F.min(F.struct(F.col("content").isNull().alias("none"), "content", "conv_id", "turn")).alias("r"),
-        F.count(F.lit(1)).alias("n_results")) \
-        .select("call_id", F.coalesce("r.content", F.lit("")).alias("content"), F.col("r.conv_id").alias("r_conv"), "r.turn", "n_results")
-    linked = named.withColumn("is_call", F.lit(True)).join(given, "call_id", "full") \
-        .join(steps(named), "call_id", "left")
-    bare = calls.where("call_id IS NULL").select(
-        F.lit(None).cast("string").alias("call_id"), "conv_id", "name", "arguments", "after", F.lit(1).cast("long").alias("n_calls"),
-        F.lit(True).alias("is_call"), F.lit(None).cast("string").alias("content"), F.lit(None).cast("long").alias("n_results"),
-        F.lit(0).cast("long").alias("step"))
-    lost = results.where("call_id IS NULL").select(
-        F.lit(None).cast("string").alias("call_id"), "content", F.col("conv_id").alias("r_conv"), "turn",
-        F.lit(1).cast("long").alias("n_results"))
-    rows = linked.unionByName(bare, allowMissingColumns=True).unionByName(lost, allowMissingColumns=True)
-    rows = rows.select(F.coalesce("conv_id", "r_conv").alias("conv_id"), "turn", "step", "call_id", "name", "arguments", "content", F.coalesce("is_call", F.lit(False)).alias("is_call"),
+    scope = F.col("conv_id").cast("long") if local else F.lit(0).cast("long")
+    calls, results = calls.withColumn("scope", scope), results.withColumn("scope", scope)
+    there = F.col("call_id").isNotNull() & F.col("scope").isNotNull()
+
+    of_call = ["conv_id", "name", "arguments", "after"]
+    call_kinds = saved(calls.where(there).groupBy("scope", "call_id", *of_call).agg(F.count(F.lit(1)).alias("n_calls")))
+    named = saved(_least(call_kinds, of_call, "n_calls").select("scope", "call_id", "least", "least.*", "n_calls", "kinds"))
+    of_result = ["none", "content", "conv_id", "turn"]
+    result_kinds = saved(results.where(there).withColumn("none", F.col("content").isNull())
+                         .groupBy("scope", "call_id", *of_result).agg(F.count(F.lit(1)).alias("n_results")))
+    given = saved(_least(result_kinds, of_result, "n_results")
+                  .select("scope", "call_id", "least", F.coalesce("least.content", F.lit("")).alias("content"),
+                          F.col("least.conv_id").alias("r_conv"), "least.turn", "n_results", "kinds"))
+    step = saved(steps(named.drop("least", "kinds")))
+    linked = named.drop("least", "kinds").withColumn("is_call", F.lit(True)) \
+        .join(given.drop("least", "kinds"), ["scope", "call_id"], "full").join(step, ["scope", "call_id"], "left")
+    bare = calls.where(~there).select(
+        "call_id", "conv_id", "name", "arguments", "after", F.lit(1).cast("long").alias("n_calls"),
+        F.lit(True).alias("is_call"), F.lit(0).cast("long").alias("step"))
+    lost = results.where(~there).select(
+        "call_id", "content", F.col("conv_id").alias("r_conv"), "turn", F.lit(1).cast("long").alias("n_results"))
+    rows = linked.drop("scope").unionByName(bare, allowMissingColumns=True).unionByName(lost, allowMissingColumns=True) \
+        .withColumn("again", F.lit(False))
+    if local:
+        def others(kinds, least, parts):
+            firsts = least.where("kinds > 1").select("scope", "call_id", "least")
+            return kinds.join(firsts, ["scope", "call_id"]).where(~F.struct(*parts).eqNullSafe(F.col("least"))) \
+                .join(step, ["scope", "call_id"], "left").drop("scope", "least").withColumn("again", F.lit(True))
+
+        more = others(call_kinds, named, of_call).withColumn("is_call", F.lit(True))
+        more_results = others(result_kinds, given, of_result).drop("none").withColumnRenamed("conv_id", "r_conv")
+        rows = rows.unionByName(more, allowMissingColumns=True).unionByName(more_results, allowMissingColumns=True)
+    rows = rows.select(F.coalesce("conv_id", "r_conv").alias("conv_id"), "turn", "again", "step", "call_id", "name", "arguments", "content",
+                       F.coalesce("is_call", F.lit(False)).alias("is_call"),
                        F.coalesce("n_calls", F.lit(0)).alias("n_calls"), F.coalesce("n_results", F.lit(0)).alias("n_results"))
 
     def run(batches):
@@ -167,7 +194,9 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame
             for r in b.to_pylist():
                 status, error, message = ("orphan", None, canonical([tool_message(r["call_id"], r["content"], r["turn"])])) \
                     if not r["is_call"] else render(r["call_id"], r["name"], r["arguments"], r["content"], schemas)
-                if status is None:
+                if r["again"]:
+                    status, error = "duplicate", error or (status if r["is_call"] else None)
+                elif status is None:
                     status = "cycle" if r["step"] is None else "no_result" if r["content"] is None else "ok"
                 made.append((status, error, message))
             cols = [pa.array([m[k] for m in made], pa.string()) for k in range(3)]

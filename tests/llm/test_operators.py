@@ -311,6 +311,26 @@ def test_tool_chat_keeps_long_and_failed_calls(spark):
     assert tool_chat.render("a", "nope", "{}", None, tool_chat.SCHEMAS)[:2] == ("no_schema", "nope")
 
 
+def test_tool_chat_reused_ids(spark):
+    """One id in several conversations, and repeated rows with different texts."""
+    calls = [(c, i, "note", json.dumps({"text": f"{c}{i}", "turn": 1}), "call_1" if i == "call_2" else None)
+             for c in (1, 2, 3) for i in ("call_1", "call_2")]
+    results = [(1, "call_1", "one"), (2, "call_1", "two"), (2, "call_2", "end"), (4, "call_1", "lost")]
+    got = tool_chat.link_calls(spark.createDataFrame(calls, "conv_id long, call_id string, name string, arguments string, after string"),
+                               spark.createDataFrame(results, "conv_id long, call_id string, content string"), tool_chat.SCHEMAS).collect()
+    assert sorted((r.conv_id, r.call_id, r.step, r.status, r.n_calls) for r in got) == [
+        (1, "call_1", 0, "ok", 1), (1, "call_2", 1, "no_result", 1), (2, "call_1", 0, "ok", 1), (2, "call_2", 1, "ok", 1),
+        (3, "call_1", 0, "no_result", 1), (3, "call_2", 1, "no_result", 1), (4, "call_1", None, "orphan", 0)]
+    assert all(('"one"' in r.message) == ((r.conv_id, r.call_id) == (1, "call_1")) for r in got)
+    turns = [(1, 1, "assistant", "a"), (1, 1, "assistant", "b"), (1, 1, "assistant", "b"), (1, 2, "user", "x"), (1, 2, "user", "y"), (1, 3, "assistant", "")]
+    turns += [(1, 3, "assistant", "z")]
+    rows = tool_chat.chat(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted((r.call_id, r.step, r.status, r.error or "", r.n_calls, r.n_results) for r in rows) == [
+        ("1:1", 0, "duplicate", "", 0, 1), ("1:1", 0, "duplicate", "", 2, 0), ("1:1", 0, "ok", "", 3, 2),
+        ("1:3", 1, "bad_arguments", "$.text: length", 2, 0), ("1:3", 1, "duplicate", "", 1, 0)]
+    assert {t for t in "abxyz" if any(f'"{t}"' in r.message for r in rows)} == set("abxyz")
+
+
 def test_decontaminate(spark):
     rng = random.Random(9)
     vocab = ["The", "of", "é", "x1", "Zeta"] + [f"q{i}" for i in range(40)]
