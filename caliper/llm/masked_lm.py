@@ -7,17 +7,22 @@ the sum of the log probabilities of its words, each given its neighbours.
 
 Vocabulary: the ``TOP`` most frequent words of the corpus, and hash cells for all others.
 Word counts cover all documents; they also start the output biases, so that the network
-begins as the corpus's unigram model.
+begins as the corpus's unigram model.  A word of a cell is scored as its cell times the
+word's own share of it, by the counts of all words of the corpus: a table that grows with
+the corpus, broadcast up to ``MOST_BROADCAST_WORDS`` words and joined by word hash above,
+with the words of each document aggregated first.
 
 Training is data-parallel over all partitions: each trains from the same weights on one
-of every ``STRIDE`` positions of each of its texts, another one each round, and the
-weights are averaged by the number of positions.  Averages are made in two shuffles of
+of every ``STRIDE`` positions of each of its texts, another one each round, so that the
+rounds together visit every position once, and the weights are averaged by the number
+of positions.  Averages are made in two shuffles of
 weight chunks, salted in the first, and summed as they stream in; the driver only holds
 one set of weights (0.8 MB, whatever the corpus).  Scoring is one map.
 
 Edge cases: null and empty texts have no words and score 0.0; a null doc_id is kept and
 trains like any other; an empty table gives an empty result; repeated rows are scored
-alike; other columns are ignored.  A rerun on the same files gives the same weights up
+alike; a word that the counts lack has half an occurrence in its cell; other columns are
+ignored.  A rerun on the same files gives the same weights up
 to the order in which floats are added.
 """
 
@@ -28,15 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caliper.llm.common import map_text, saved, slices
+from caliper.llm.common import map_text, row_key, saved, slices
 from caliper.llm.textnp import Words, mix
 
 TOP = 3072
 CLASSES, MEMBERS = 64, 64                   # classes x members words in the vocabulary
 SIDE, WIDTH, HIDDEN = 2, 16, 32
-STRIDE, ROUNDS, BATCH, RATE, FLOOR = 16, 2, 512, 0.05, 1e-5
+STRIDE, ROUNDS, BATCH, RATE, FLOOR = 2, 2, 512, 0.05, 1e-5
 CHUNK = 8192                                # weights in one row of the averaging shuffle
 SALTS = 64
+#: Up to so many rare words (16 bytes each) are broadcast with their shares, else joined.
+MOST_BROADCAST_WORDS = 1_000_000
 _U = np.uint64
 _V = CLASSES * MEMBERS
 _SHAPES = {"emb": (_V + 1, WIDTH), "w": (2 * SIDE * WIDTH, HIDDEN), "b": (HIDDEN,), "c": (HIDDEN, CLASSES),
@@ -52,8 +59,8 @@ def word_ids(hashes: np.ndarray, top: np.ndarray, order: np.ndarray) -> np.ndarr
     return np.where(top[at] == hashes, order[at], cell)
 
 
-def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted hashes of the top words, their ranks, and the count of every id."""
+def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, DataFrame]:
+    """Sorted hashes of the top words, their ranks, the count of every id, and (h, n) of all words."""
     def count(part):
         h, n = np.unique(Words(part.column("text")).hashes(), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
@@ -76,7 +83,22 @@ def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = np.zeros(_V, np.int64)
     for i, k in counts.mapInArrow(spread, "id long, n long").groupBy("id").agg(F.sum("n")).collect():    # at most _V rows
         n[i] = k
-    return top, rank, n
+    return top, rank, n, counts
+
+
+def shares(vocab) -> DataFrame:
+    """(h, s) of every word outside the top: the log of its share of its cell."""
+    top, rank, n, counts = vocab
+
+    def run(batches):
+        for b in batches:
+            h = np.asarray(b.column("h")).view(np.uint64)
+            ids = word_ids(h, top, rank)
+            rare = ids >= TOP
+            s = np.log(np.asarray(b.column("n"))[rare]) - np.log(n[ids[rare]])
+            yield pa.RecordBatch.from_arrays([pa.array(h[rare].view(np.int64)), pa.array(s, pa.float64())], ["h", "s"])
+
+    return counts.mapInArrow(run, "h long, s double")
 
 
 def start(counts: np.ndarray) -> dict[str, np.ndarray]:
@@ -234,9 +256,9 @@ def _train_round(docs: DataFrame, net: np.ndarray, top, rank, turn: int, stride:
     return out.astype(np.float32)
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE):
+def fit(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, vocab=None):
     """(weights, top, rank) of a network trained on ``docs``."""
-    top, rank, counts = vocabulary(docs)
+    top, rank, counts, _ = vocab or vocabulary(docs)
     net = flat(start(counts))
     for turn in range(rounds):
         new = _train_round(docs, net, top, rank, turn, stride)
@@ -244,24 +266,76 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE):
     return net, top, rank
 
 
-def score(docs: DataFrame, model) -> DataFrame:
-    """doc_id, n_tokens, log_prob (the sum) and mean_log_prob of every document."""
+def _rare_sums(docs: DataFrame, vocab, rare: DataFrame) -> DataFrame:
+    """(k1, k2, extra): the log shares of the rare words of every document, by a join on words."""
+    top, rank, n, _ = vocab
+
+    def words(part):
+        w = Words(part.column("text"))
+        h = w.hashes()
+        ids = word_ids(h, top, rank)
+        pick = np.flatnonzero(ids >= TOP)
+        doc = np.repeat(np.arange(w.n), w.n_words)[pick]
+        order = np.lexsort((h[pick], doc))
+        pick, doc = pick[order], doc[order]
+        new = np.ones(len(pick), bool)
+        new[1:] = (h[pick][1:] != h[pick][:-1]) | (doc[1:] != doc[:-1])
+        at = np.flatnonzero(new)
+        c = np.diff(np.append(at, len(pick)))
+        pick, doc = pick[at], pa.array(doc[at])
+        yield pa.RecordBatch.from_arrays(
+            [part.column("k1").take(doc), part.column("k2").take(doc), pa.array(h[pick].view(np.int64)), pa.array(c.astype(np.int64)),
+             pa.array(_unseen(n, ids[pick]), pa.float64())], ["k1", "k2", "h", "c", "u"])
+
+    held = map_text(docs.select(*row_key(), "text"), words, "k1 long, k2 long, h long, c long, u double").distinct()
+    return held.join(rare, "h", "left").groupBy("k1", "k2").agg(F.sum(F.col("c") * F.coalesce("s", "u")).alias("extra"))
+
+
+def _unseen(n: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    return np.log(0.5) - np.log(n[ids] + 0.5)
+
+
+def score(docs: DataFrame, model, vocab=None) -> DataFrame:
+    """doc_id, n_tokens, log_prob (the sum) and mean_log_prob of every document; a rare
+    word counts as itself if the ``vocab`` of the model is given, else as its cell."""
     weights, top, rank = model
+    known = joined = None
+    if vocab is not None:
+        n = vocab[2]
+        rare = saved(shares(vocab))
+        if rare.limit(MOST_BROADCAST_WORDS + 1).count() <= MOST_BROADCAST_WORDS:
+            got = rare.orderBy("h").toArrow()           # at most MOST_BROADCAST_WORDS rows
+            known = docs.sparkSession.sparkContext.broadcast((got.column("h").to_numpy(), got.column("s").to_numpy()))
+        else:
+            joined = _rare_sums(docs, vocab, rare)
 
     def run(part):
         net = unflat(weights)
         w = Words(part.column("text"))
-        ids = word_ids(w.hashes(), top, rank)
+        h = w.hashes()
+        ids = word_ids(h, top, rank)
         got = log_probs(net, ids, contexts(ids, w.word_at))
+        if known is not None:
+            pick = np.flatnonzero(ids >= TOP)
+            words, logs = known.value
+            own, s = h[pick].view(np.int64), _unseen(n, ids[pick])
+            if len(words):
+                at = np.minimum(np.searchsorted(words, own), len(words) - 1)
+                s = np.where(words[at] == own, logs[at], s)
+            got[pick] += s
         sums = np.array([got[a:b].sum() for a, b in zip(w.word_at[:-1], w.word_at[1:], strict=True)])
-        mean = np.divide(sums, w.n_words, out=np.zeros(w.n), where=w.n_words > 0)
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), pa.array(w.n_words.astype(np.int64)), pa.array(sums, pa.float64()), pa.array(mean)],
-            ["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
+            [*(part.column(c) for c in ("doc_id", "k1", "k2")), pa.array(w.n_words.astype(np.int64)), pa.array(sums, pa.float64())],
+            ["doc_id", "k1", "k2", "n_tokens", "log_prob"])
 
-    return map_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run,
-                    "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
+    out = map_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(), "text"), run,
+                   "doc_id long, k1 long, k2 long, n_tokens long, log_prob double")
+    if joined is not None:
+        out = out.join(joined, ["k1", "k2"], "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("extra", F.lit(0.0)))
+    mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).otherwise(0.0)
+    return out.select("doc_id", "n_tokens", "log_prob", mean.alias("mean_log_prob"))
 
 
 def masked_lm(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    return score(docs, fit(docs, rounds))
+    vocab = vocabulary(docs)
+    return score(docs, fit(docs, rounds, vocab=vocab), vocab)

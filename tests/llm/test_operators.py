@@ -1,6 +1,7 @@
 import json
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -196,6 +197,36 @@ def test_masked_lm(spark):
     assert abs(total - got[0].log_prob) < 1e-2
 
 
+def test_masked_lm_rare_words(spark, monkeypatch):
+    """A rare word is scored by its own share of its cell, broadcast or joined alike; the
+    rounds visit every position once."""
+    assert masked_lm.ROUNDS == masked_lm.STRIDE and len({t * 7 % masked_lm.STRIDE for t in range(masked_lm.ROUNDS)}) == masked_lm.STRIDE
+    rng = random.Random(8)
+    texts = [" ".join(f"r{rng.randrange(9000)}" for _ in range(500)) for _ in range(40)] + [None, "", "r1 r1 once"]
+    docs = _docs(spark, [*texts, texts[0]], [*range(len(texts)), 0])
+    vocab = masked_lm.vocabulary(docs)
+    model = masked_lm.fit(docs, rounds=1, vocab=vocab)
+    plain = {r.doc_id: r.log_prob for r in masked_lm.score(docs, model).collect()}
+    fresh = _docs(spark, ["r1 neverseen"])
+    got, unseen = masked_lm.score(docs, model, vocab).collect(), masked_lm.score(fresh, model, vocab).collect()
+    monkeypatch.setattr(masked_lm, "MOST_BROADCAST_WORDS", 0)
+    again, unseen_again = masked_lm.score(docs, model, vocab).collect(), masked_lm.score(fresh, model, vocab).collect()
+    assert len(got) == len(again) == len(texts) + 1
+    n = Counter(w for t in [*texts, texts[0]] for w in (t or "").split())
+    names = sorted(n)
+    ids = dict(zip(names, masked_lm.word_ids(textnp.Words(pa.array([" ".join(names)])).hashes(), *vocab[:2]).tolist()))
+    cell = Counter()
+    for w, k in n.items():
+        cell[ids[w]] += k
+    assert max(cell.values()) > 1 and any(n[w] < cell[ids[w]] for w in names if ids[w] >= masked_lm.TOP)
+    for rows in (got, again):
+        for r in rows:
+            extra = sum(np.log(n[w] / cell[ids[w]]) for w in (texts[r.doc_id] or "").split() if ids[w] >= masked_lm.TOP)
+            assert abs(r.log_prob - plain[r.doc_id] - extra) < 1e-6
+            assert r.n_tokens == 0 or abs(r.mean_log_prob - r.log_prob / r.n_tokens) < 1e-9
+    assert abs(unseen[0].log_prob - unseen_again[0].log_prob) < 1e-9
+
+
 def test_masked_lm_gradient():
     rng = np.random.default_rng(1)
     net = {k: (rng.standard_normal(s) * 0.3).astype(np.float32) for k, s in masked_lm._SHAPES.items()}
