@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caliper.llm.common import row_key, saved
+from caliper.llm.common import MOST_BROADCAST_KEYS, row_key, saved
 
 MIN_SITES = 10
 MARGIN = 0.1
@@ -56,10 +56,26 @@ def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     return saved(spread.where(clear).select("h1", "h2").unionByName(exact.select("h1", "h2")))
 
 
+def one_site_a_text(docs: DataFrame, site: str = "source") -> DataFrame:
+    """The rows of ``docs`` but those that copy a text to further sites: of the sites of
+    a text the one with the least hash stands, so that a document copied to many sites
+    does not make its own lines look like boilerplate."""
+    name = F.coalesce(F.concat(F.lit("="), F.col(site).cast("string")), F.lit("-"))
+    text = [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2")]
+    held = saved(docs.select(*text, F.xxhash64(name).alias("s"))
+                 .groupBy("t1", "t2").agg(F.min("s").alias("least"), F.max("s").alias("most")).where("least < most"))
+    few = held.limit(MOST_BROADCAST_KEYS + 1).count() <= MOST_BROADCAST_KEYS
+    rows = docs.select(*[F.col(c) for c in ("doc_id", "text", site)], *text, F.xxhash64(name).alias("s"))
+    chosen = held.select("t1", "t2", "least")
+    return rows.join(F.broadcast(chosen) if few else chosen, ["t1", "t2"], "left") \
+        .where(F.col("least").isNull() | (F.col("s") == F.col("least"))).select("doc_id", "text", site)
+
+
 def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES,
-               margin: float = MARGIN) -> DataFrame:
+               margin: float = MARGIN, bad: DataFrame | None = None) -> DataFrame:
     """All columns of ``docs`` in ``row`` (a struct), and text, n_lines, n_removed."""
-    bad = boilerplate(docs, site, min_sites, margin)
+    if bad is None:
+        bad = boilerplate(docs, site, min_sites, margin)
     removed = (_lines(docs, site).select("k1", "k2", "h1", "h2").join(bad, ["h1", "h2"], "leftsemi")
                .groupBy("k1", "k2").agg(F.collect_set(F.struct("h1", "h2")).alias("removed")))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key())
@@ -74,10 +90,17 @@ def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES
 
 def without_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES,
                         margin: float = MARGIN) -> DataFrame:
-    """The rows of ``docs`` with the kept lines as ``text`` (and ``n_chars`` brought in line)."""
-    found = line_dedup(docs, site, min_sites, margin)
-    new = {"text": F.col("text")}
+    """The rows of ``docs`` with the kept lines as ``text`` (and ``n_chars`` brought in line).
+
+    Sites are counted over distinct texts, and a text of whose lines with a word more than
+    half would go (a near copy on many sites) stays as it is: copied documents are left
+    for near-dedup, which keeps one of them."""
+    bad = boilerplate(one_site_a_text(docs, site), site, min_sites, margin)
+    found = line_dedup(docs, site, min_sites, margin, bad)
+    words = F.size(F.filter(F.split("row.text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    goes = (F.col("n_removed") > 0) & (2 * F.col("n_removed") <= words)
+    new = {"text": F.when(goes, F.col("text")).otherwise(F.col("row.text"))}
     if "n_chars" in docs.columns:
-        changed = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("row.n_chars"))
+        changed = F.when(goes, F.length("text")).otherwise(F.col("row.n_chars"))
         new["n_chars"] = changed.cast(docs.schema["n_chars"].dataType)
     return found.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -4,7 +4,8 @@ Each stage works on all that the one before kept, and but for the last returns r
 the columns of ``documents``.  Between stages the rows are written to the shared folder.
 
 Edge cases are those of the operators: a document without words fails the quality rules;
-a text may lose all its lines and stay, empty; of equal rows one stays; empty tables run
+a document copied to many sites does not count as boilerplate, and a text that would lose
+more than half of its lines keeps them; of equal rows one stays; empty tables run
 through; extra columns pass through unchanged.
 """
 

@@ -49,6 +49,25 @@ def test_stages_take_effect(spark, tmp_path):
     assert all(r.exact for r in seen[4].values())
 
 
+def test_copies_on_many_sites_keep_one(spark):
+    """Exact and near copies on 12 sites pass the line stage, and near-dedup keeps one of each."""
+    rng = random.Random(6)
+    vocab = [f"w{i}" for i in range(400)]
+    prose = lambda n: "\n".join(" ".join(rng.choice(vocab) for _ in range(20)) for _ in range(n))
+    foot = "one line that stands on every site there is in this table"
+    copy, near = prose(8), prose(8)
+    texts = [copy] * 12 + [near.replace(near.split()[20 * k // 2 + 5], f"new{k}", 1) for k in range(12)] \
+        + [f"{prose(6)}\n{foot}" for _ in range(12)]
+    docs = spark.createDataFrame([(i, t, "en", f"s{i % 12}", len(t)) for i, t in enumerate(texts)],
+                                 "doc_id long, text string, lang string, source string, n_chars int")
+    left = corpus_pipeline.lines(spark, docs, "")
+    got = {r.doc_id: r for r in left.collect()}
+    assert {i: r.text for i, r in got.items()} == {i: t.replace(f"\n{foot}", "") for i, t in enumerate(texts)}
+    assert all(r.n_chars == len(r.text) for r in got.values())
+    kept = {r.doc_id for r in corpus_pipeline.near(spark, left, "").collect()}
+    assert kept & set(range(12)) == {0} and kept >= set(range(24, 36)) and kept & set(range(12, 24))
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
 def test_run_equals_brute_force(spark):
     """run() over the smallest tables: every stage's verdict against plain Python."""
