@@ -5,7 +5,9 @@ footers, sidebars, notices, adverts, forms, scripts, reader comments: by tag, ro
 words of class and id) are cut.  Each paragraph passes points, for its length and its
 commas, to its parent and, ever less, to the ancestors above; a container's points are
 discounted by the share of its text that stands in links.  The best container, widened
-to the article element it lies in, and siblings that score like it are the main text.
+to the article element it lies in, and siblings that score like it are the main text; on
+a page without article or main also all uncut blocks of few links, however short, that
+stand between and next to them.
 
 The text has one line a block: character references decoded, white space inside a block
 (``<br>`` too) made one space, blocks in page order.
@@ -50,6 +52,9 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "d
 CLOSES_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body", "li", "dd", "dt"} | {"li", "dd", "dt"}
 LEAST_CHARS = 25
 SIBLING_SHARE = 0.2
+#: Blocks with this share of their text in links are not the article's.
+LINK_SHARE = 0.25
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -232,9 +237,47 @@ def main_nodes(root: Node) -> list[Node]:
         best = node
     least = SIBLING_SHARE * best.score * (1 - density(best))
     kin = best.parent.kids if best.parent is not None and best.tag != "body" else [best]
-    return [k for k in kin if isinstance(k, Node) and not k.cut
-            and (k is best or k.score and k.score * (1 - density(k)) >= least and density(k) < 0.25
-                 or k.tag == "p" and k.length > 80 and density(k) < 0.25)]
+    sure = [isinstance(k, Node) and not k.cut
+            and (k is best or k.score and k.score * (1 - density(k)) >= least and density(k) < LINK_SHARE
+                 or k.tag == "p" and k.length > 80 and density(k) < LINK_SHARE) for k in kin]
+    if node is not None:        # an article element bounds itself
+        return [k for k, ok in zip(kin, sure, strict=True) if ok]
+    return _with_neighbours(kin, sure)
+
+
+def _with_neighbours(kin: list, sure: list[bool]) -> list:
+    """The sure ones of ``kin`` and, between and next to them, all uncut blocks of low link
+    density, however short; text and inline elements in a row are one block.  Outwards
+    the first block of links is the end."""
+    runs: list[tuple[list, bool]] = []
+    joins = False
+    for k, ok in zip(kin, sure, strict=True):
+        inline = isinstance(k, str) or k.tag not in BLOCK and not k.cut
+        if inline and joins and not ok and not runs[-1][1]:
+            runs[-1][0].append(k)
+        else:
+            runs.append(([k], ok))
+        joins = inline and not ok
+
+    def linked(run) -> float | None:
+        nodes = [k for k in run if isinstance(k, Node) and not k.cut]
+        length = sum(k.length for k in nodes) + sum(len(k.strip()) for k in run if isinstance(k, str))
+        return sum(k.linked for k in nodes) / length if length else None
+
+    share = [linked(run) for run, _ in runs]
+    first = next(i for i, (_, ok) in enumerate(runs) if ok)
+    last = next(i for i in reversed(range(len(runs))) if runs[i][1])
+    while first and (share[first - 1] is None or share[first - 1] < LINK_SHARE):
+        first -= 1
+    while last + 1 < len(runs) and (share[last + 1] is None or share[last + 1] < LINK_SHARE):
+        last += 1
+    out = []
+    for i in range(first, last + 1):
+        run, ok = runs[i]
+        heading = isinstance(run[0], Node) and run[0].tag in HEADING
+        if ok or heading or share[i] is not None and share[i] < LINK_SHARE:
+            out += run
+    return out
 
 
 def main_text(html: str | None) -> str:

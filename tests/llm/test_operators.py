@@ -280,6 +280,21 @@ def test_html(tag):
     assert html_text.main_text(PAGE % f"<{tag}>{BODY}</{tag.split()[0]}>") == WANT
 
 
+LONG = "A long paragraph, with commas, that goes on and on, so that its container scores, and scores well. " * 3
+
+
+def test_html_siblings_without_article():
+    menu = "<ul><li><a href='/a'>One entry of a menu</a><li><a href='/b'>Another entry of a menu</a></ul>"
+    page = f"""<body>{menu}<div id=page><h1>Title</h1>By <b>someone</b>, <i>today</i><div class=entry><p>{LONG}<p>{LONG}</div><h2>Note</h2>
+<ul><li>a<li>b</ul><pre>x = 1</pre><div class=ad>Buy now</div><table><tr><td>cell</table><p>Short end.</p>{menu}<p>Far away.</p></div>"""
+    long = " ".join(LONG.split())
+    assert html_text.main_text(page).split("\n") == ["Title", "By someone, today", long, long, "Note", "a", "b", "x = 1", "cell", "Short end."]
+    parts = f"<body><div id=c><section><p>{LONG}</section><section><h2>Two</h2><p>Short.</section><section><p>{LONG}</section></div>"
+    assert html_text.main_text(parts).split("\n") == [long, "Two", "Short.", long]
+    between = f"<body><div id=c><section><p>{LONG}</section><h2><a href='#t'>Two</a></h2>{menu}<section><p>{LONG}</section></div>"
+    assert html_text.main_text(between).split("\n") == [long, "Two", long]
+
+
 def test_html_edges(spark):
     deep = "<div>" * 3000 + "<p>Deep text, that still counts as a paragraph.</p>"
     rows = [(1, "u", PAGE % f"<article>{BODY}"), (None, None, None), (3, "", ""), (4, "v", "plain words"), (5, "w", "<p>short"), (5, "w", deep)]
