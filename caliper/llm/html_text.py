@@ -2,7 +2,8 @@
 
 A page becomes a tree.  Subtrees that cannot be the article (menus, page headers and
 footers, sidebars, notices, adverts, forms, scripts, reader comments: by tag, role, and
-words of class and id) are cut.  Each paragraph passes points, for its length and its
+words of class and id) are cut; inside the main text an id, or a class that is not made
+of such words alone, cuts only blocks of links.  Each paragraph passes points, for its length and its
 commas, to its parent and, ever less, to the ancestors above; a container's points are
 discounted by the share of its text that stands in links.  The best container, widened
 to the article element it lies in, and siblings that score like it are the main text; on
@@ -42,6 +43,10 @@ CUT_WORDS = frozenset("ad ads adv advert advertisement adverts advertising banne
                       "navigation newsletter notice notices notification pager pagination popup promo promoted promotion "
                       "recommended related replies reply respond search share sharing sidebar signup skyscraper social "
                       "sponsor sponsored subscribe subscription toolbar widget".split())
+#: Words that say nothing beside a word of CUT_WORDS; a class of such words only is a match.
+PLAIN_WORDS = frozenset("area article articles aside bar block body bottom box btn button buttons card container content entry form "
+                        "icons in inline inner item items left link links list main media message module outer page panel plugin post "
+                        "posts right section site slot stories story tags text title top unit widget widgets wp wrap wrapper".split())
 #: First words of names that tell what a container has, such as ``has-sidebar``.
 ABOUT = frozenset("has no with without".split())
 PARAGRAPH = frozenset("p pre td blockquote li dd".split())
@@ -54,34 +59,40 @@ LEAST_CHARS = 25
 SIBLING_SHARE = 0.2
 #: Blocks with this share of their text in links are not the article's.
 LINK_SHARE = 0.25
+#: Inside the main text, blocks that only an id or a part of a class marks go from here on.
+SOFT_LINK_SHARE = 0.5
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "cut", "score", "length", "linked")
+    __slots__ = ("tag", "parent", "kids", "cut", "soft", "score", "length", "linked")
 
-    def __init__(self, tag, parent, cut=False):
-        self.tag, self.parent, self.kids, self.cut = tag, parent, [], cut
+    def __init__(self, tag, parent, cut=False, soft=False):
+        self.tag, self.parent, self.kids, self.cut, self.soft = tag, parent, [], cut, soft
         self.score, self.length, self.linked = 0.0, 0, 0
 
 
-def _marked(tag: str, attrs: list) -> bool:
-    """Do tag and attributes say that this is not a part of an article?"""
+def _marked(tag: str, attrs: list) -> str | None:
+    """Do tag and attributes say that this is not a part of an article?  ``hard``: yes;
+    ``soft``: only an id, or a class that has other words too, says so."""
     if tag in CUT:
-        return True
+        return "hard"
+    found = None
     for name, value in attrs:
         if name in ("class", "id", "role"):
             for one in (value or "").split():
                 words = [w.lower() for w in _WORD.findall(one)]
                 if words and words[0] not in ABOUT and not CUT_WORDS.isdisjoint(words):
-                    return True
+                    if name == "role" or name == "class" and CUT_WORDS.union(PLAIN_WORDS).issuperset(words):
+                        return "hard"
+                    found = "soft"
                 if one.lower() in ("header", "site-header") and tag not in ("article", "main"):
-                    return True
+                    return "hard"
         elif name == "hidden" or name == "aria-hidden" and value == "true" \
                 or name == "style" and re.search(r"display\s*:\s*none", value or ""):
-            return True
-    return False
+            return "hard"
+    return found
 
 
 class Tree(HTMLParser):
@@ -98,10 +109,10 @@ class Tree(HTMLParser):
             self._close({"p"}, BLOCK - {"p"})
         if tag in CLOSES:
             self._close(*CLOSES[tag])
-        marked = tag not in ("body", "main") and _marked(tag, attrs)
-        if tag == "header" and not marked:
-            marked = not self._inside({"article", "main"})
-        node = Node(tag, self.at, marked)
+        marked = _marked(tag, attrs) if tag not in ("body", "main") else None
+        if tag == "header" and marked != "hard" and not self._inside({"article", "main"}):
+            marked = "hard"
+        node = Node(tag, self.at, marked is not None, marked == "soft")
         self.at.kids.append(node)
         if tag not in VOID:
             self.at = node
@@ -204,9 +215,18 @@ def _measure(nodes: list[Node]) -> None:
             node.parent.linked += node.linked
 
 
+def _free_headings(root: Node) -> None:
+    """The id of a heading is the slug of its text and marks nothing, nor does that of a paragraph."""
+    for node in _walk(root):
+        for k in node.kids:
+            if isinstance(k, Node) and k.soft and k.tag in HEADING | {"p"}:
+                k.cut = False
+
+
 def main_nodes(root: Node) -> list[Node]:
     """The best container and the siblings that belong to it."""
     _unhide(root)
+    _free_headings(root)
     nodes = _walk(root)
     _measure(nodes)
     density = lambda n: n.linked / n.length if n.length else 0.0
@@ -245,6 +265,23 @@ def main_nodes(root: Node) -> list[Node]:
     return _with_neighbours(kin, sure)
 
 
+def _restore(kept: list) -> None:
+    """Inside the main text an id, or a part of a class, cuts only blocks of links."""
+    todo = [k for k in kept if isinstance(k, Node)]
+    while todo:
+        node = todo.pop()
+        if node.cut and node.soft:
+            below = _walk(node)
+            for n in below:
+                n.length = n.linked = 0
+            above, node.parent = node.parent, None
+            _measure(below)
+            node.parent = above
+            node.cut = node.tag not in HEADING and node.linked >= SOFT_LINK_SHARE * max(node.length, 1)
+        if not node.cut:
+            todo += [k for k in node.kids if isinstance(k, Node)]
+
+
 def _with_neighbours(kin: list, sure: list[bool]) -> list:
     """The sure ones of ``kin`` and, between and next to them, all uncut blocks of low link
     density, however short; text and inline elements in a row are one block.  Outwards
@@ -287,7 +324,9 @@ def main_text(html: str | None) -> str:
     tree = Tree()
     tree.feed(html)
     tree.close()
-    return "\n".join(_blocks(main_nodes(tree.root)))
+    kept = main_nodes(tree.root)
+    _restore(kept)
+    return "\n".join(_blocks(kept))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -295,6 +295,17 @@ def test_html_siblings_without_article():
     assert html_text.main_text(between).split("\n") == [long, "Two", long]
 
 
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_html_slugs_do_not_cut(tag):
+    body = f"""<p>{LONG}</p><section id='related-work'><h2>Related</h2><p>Work of others.</p></section><h2 id='search-algorithms'>
+<a href='#search-algorithms'>Search</a></h2><div id='social-history'>History, in <a href=x>a link</a>.</div><p id='reply-to-critics'>Reply.</p>
+<div class='notice-of-death'><p>Died in 1900.</p></div><div class='social-share'>Tell all</div><div class='ad'>Buy</div><div role=navigation>Go</div>
+<div id='related-links'><a href=1>First link</a> <a href=2>Second link</a></div><p>{LONG}</p>"""
+    long = " ".join(LONG.split())
+    assert html_text.main_text(f"<body><{tag}>{body}</{tag}><div id=sidebar>Aside.</div>").split("\n") == [
+        long, "Related", "Work of others.", "Search", "History, in a link.", "Reply.", "Died in 1900.", long]
+
+
 def test_html_edges(spark):
     deep = "<div>" * 3000 + "<p>Deep text, that still counts as a paragraph.</p>"
     rows = [(1, "u", PAGE % f"<article>{BODY}"), (None, None, None), (3, "", ""), (4, "v", "plain words"), (5, "w", "<p>short"), (5, "w", deep)]
