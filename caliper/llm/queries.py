@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caliper.llm import (
-    decontaminate, html_text, line_dedup, masked_lm, near_dedup, quality_rules, sentencepiece_trie,
-    substring_dedup, token_file, tool_chat,
+    decontaminate, html_text, line_dedup, masked_lm, mixing, near_dedup, periodic_runs, quality_rules,
+    sentencepiece_trie, substring_dedup, token_file, tool_chat,
 )
 from caliper.llm.registry import query
 from caliper.plans.tables import table
@@ -101,3 +101,32 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_tool_chat")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tool_chat.chat(table(spark, sf_dir, "conversations"))
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.planted(table(spark, sf_dir, "documents")))
+
+
+@query("op13_source_mix", r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+             -ln((('0x' || substr(md5('mix:' || doc_id), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
+             / coalesce(greatest(0.05::DOUBLE, 1.0::DOUBLE - 4.0::DOUBLE
+                 * (length(text) - length(translate(text, '0123456789#*$%&|<>[]{}=_~^@', '')))
+                 / nullif(length(text), 0)), 1.0::DOUBLE) AS key FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w
+      FROM d GROUP BY source),
+c AS (SELECT *, sum(size) OVER () - 3 * coalesce(sum(size) OVER before, 0) AS rest,
+             sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS share
+      FROM s WINDOW before AS (ORDER BY size::DOUBLE / w, source NULLS LAST
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT rest, share FROM c WHERE w * rest <= 3 * size * share ORDER BY share DESC LIMIT 1),
+t AS (SELECT source, s.size AS source_size, least(3.0::DOUBLE * s.size, (w * rest)::DOUBLE / share::DOUBLE) AS target
+      FROM s, f),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS epochs FROM t),
+p AS (SELECT doc_id, d.size, source_size, target, epochs, floor(target - epochs * source_size)::BIGINT
+             - (sum(d.size) OVER (PARTITION BY d.source ORDER BY key, doc_id) - d.size) AS rest
+      FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest)))::BIGINT AS taken FROM p""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

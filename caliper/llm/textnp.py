@@ -72,14 +72,16 @@ class Words:
     """Words of the texts of one string array (null counts as empty).
 
     ``data``: bytes of all texts; ``doc_at``: n+1 byte offsets of the texts;
-    ``starts, ends``: byte offsets of each word; ``word_at``: n+1 word offsets."""
+    ``starts, ends``: byte offsets of each word; ``word_at``: n+1 word offsets.
+    ``cut`` tells for each byte value whether it parts words."""
 
-    def __init__(self, arr: pa.Array, lower: bool = False):
+    def __init__(self, arr: pa.Array, lower: bool = False, cut: np.ndarray = _SPACE):
         self.data, self.doc_at = bytes_of(arr)
         if lower:
             self.data = _LOWER[self.data]
         self.n = len(arr)
-        inside = ~_SPACE[self.data]
+        inside = ~cut[self.data]
+        self._cut = cut
         first = inside.copy()
         first[1:] &= ~inside[:-1]
         at = self.doc_at[:-1]
@@ -87,9 +89,9 @@ class Words:
         first[at] = inside[at]          # a text's first byte begins a word of its own
         last = inside.copy()
         last[:-1] &= ~inside[1:]
-        cut = self.doc_at[1:] - 1
-        cut = cut[cut >= 0]
-        last[cut] = inside[cut]
+        end = self.doc_at[1:] - 1
+        end = end[end >= 0]
+        last[end] = inside[end]
         self.starts = np.flatnonzero(first)
         self.ends = np.flatnonzero(last) + 1
         self.word_at = np.searchsorted(self.starts, self.doc_at)
@@ -99,6 +101,12 @@ class Words:
         """A 64-bit hash of every word."""
         return span_hashes(self.data, self.starts, self.ends)
 
+    def strings(self) -> pa.Array:
+        """All words, as binary strings."""
+        at = np.concatenate(([0], np.cumsum(self.ends - self.starts))).astype(np.int32)
+        body = self.data[~self._cut[self.data]]
+        return pa.Array.from_buffers(pa.binary(), len(self.starts), [None, pa.py_buffer(at), pa.py_buffer(body)])
+
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.n), self.n_words)
 
