@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caliper.llm import (
-    decontaminate, html_text, line_dedup, masked_lm, mixing, near_dedup, periodic_runs, quality_rules,
-    sentencepiece_trie, substring_dedup, token_file, tool_chat,
+    decontaminate, html_text, lexical_search, line_dedup, masked_lm, mixing, near_dedup,
+    periodic_runs, quality_rules, sentencepiece_trie, substring_dedup, token_file, tool_chat,
 )
 from caliper.llm.registry import query
 from caliper.plans.tables import table
@@ -108,6 +108,27 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(periodic_runs.planted(table(spark, sf_dir, "documents")))
 
 
+@query("op12_lexical_search", r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+total AS (SELECT count(*)::BIGINT AS n, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+tf AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf
+       FROM (SELECT doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM d)
+       WHERE term IN (SELECT term FROM b) GROUP BY doc_id, n, term),
+df AS (SELECT term, floor(1000 * ln((2 * any_value(total.n) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight
+       FROM tf, total GROUP BY term),
+s AS (SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf
+             + 8 * (100 - 90 + (90 * tf.n * total.n) // total.l))))::BIGINT AS score
+      FROM b JOIN df USING (term) JOIN tf USING (term), total GROUP BY item_id, doc_id),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+      FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 10""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op13_source_mix", r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
              -ln((('0x' || substr(md5('mix:' || doc_id), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
