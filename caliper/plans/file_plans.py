@@ -27,14 +27,17 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 
 @plan("read_ids_orders", """
-SELECT DISTINCT 'C' || CAST(o_custkey AS VARCHAR) AS id FROM orders""")
+SELECT 'C' || CAST(o_custkey AS VARCHAR) AS id, min(2 * n) AS pos
+FROM (SELECT o_custkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS n FROM orders) GROUP BY o_custkey""")
 def read_ids_orders(spark, d):
-    """An id list with repeats, blank lines and padding, each id once."""
+    """An id list in a folder of several files, with repeats, blank lines and padding: each
+    id once, at its first line in the order of paths and lines."""
     path = _folder(spark, "ids")
     n = F.col("o_custkey").cast("string")
-    table(spark, d, "orders").select(F.explode(F.array(F.concat(F.lit("  C"), n, F.lit(" ")), F.lit(" "))).alias("value")) \
-        .write.text(path)
-    return S.read_ids(spark, path).select("id")
+    lines = F.posexplode(F.array(F.concat(F.lit("  C"), n, F.lit(" ")), F.lit(" "))).alias("i", "value")
+    table(spark, d, "orders").select("o_orderkey", lines).orderBy("o_orderkey", "i").select("value") \
+        .write.option("maxRecordsPerFile", 10_000).text(path)
+    return S.read_ids(spark, path)
 
 
 @plan("predictions_csv", """

@@ -219,3 +219,16 @@ def flatten_deep(spark, d):
     text = F.concat(F.lit('{"a":' * _DEEP), F.lit('"'), "s_name", F.lit('"'),
                     F.when(F.col("s_suppkey") % 7 > 0, F.lit("}" * _DEEP)).otherwise(F.lit("")))
     return S.flatten_json(s.select("s_suppkey", text.alias("record")), "s_suppkey", "record")
+
+
+@plan("flatten_broken", f"""
+SELECT o_orderkey, CASE o_orderkey % 5 WHEN 1 THEN 'a[0]' WHEN 2 THEN 'a' WHEN 3 THEN 'a.b' ELSE '_error' END AS key,
+       CASE o_orderkey % 5 WHEN 1 THEN o_orderstatus WHEN 2 THEN '[[[' WHEN 3 THEN o_orderstatus
+            ELSE '{S.ERR_RECORD}' END AS value FROM orders""")
+def flatten_broken(spark, d):
+    """S7 among broken records: cut ones, runs of brackets that are no JSON, one of 1,200 brackets."""
+    k, s = F.col("o_orderkey") % 5, F.col("o_orderstatus")
+    text = (F.when(k == 1, F.concat(F.lit('{"a": ["'), s, F.lit('"]}'))).when(k == 2, F.lit('{"a": "[[["}'))
+            .when(k == 3, F.concat(F.lit('{"a": {"b": "'), s, F.lit('"}}'))).when(k == 4, F.lit('{"a": {"b": [1'))
+            .otherwise(F.when(F.col("o_orderkey") < 1000, F.lit("[" * 1200)).otherwise(F.lit('"[[{{'))))
+    return S.flatten_json(dealt(table(spark, d, "orders")).select("o_orderkey", text.alias("record")), "o_orderkey", "record")

@@ -6,6 +6,9 @@ types (no ``inferSchema``).
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -23,16 +26,19 @@ def require_columns(df: DataFrame, cols, what: str = "table") -> DataFrame:
 
 
 def with_row_id(df: DataFrame, order_cols=None, col: str = "row_id") -> DataFrame:
-    """Consecutive 0-based ids in source order (or ``order_cols`` order).
+    """Consecutive 0-based ids in ``order_cols`` order or, without them, in source order.
 
     Two phases, no single-partition window: ``monotonically_increasing_id`` (partition
     index in the high bits, position in the low 33 bits) is frozen by a checkpoint,
     per-partition counts (one row per partition) give each partition its start
-    offset, broadcast back.  File order must be fixed (one file, or a sort key)."""
+    offset, broadcast back.  Without ``order_cols``, rows read from files are numbered by
+    ``with_file_position``; other rows in the order of their partitions."""
     from caliper.operators.prefix import materialize
 
     if order_cols:
         df = df.orderBy(*order_cols)
+    elif _has_files(df):
+        return with_file_position(df, col)
     tagged = materialize(df.withColumn("__mid", F.monotonically_increasing_id()))
     tagged = tagged.withColumns({"__pid": F.shiftright("__mid", 33),
                                  "__pos": F.col("__mid").bitwiseAND((1 << 33) - 1)})
@@ -44,18 +50,47 @@ def with_row_id(df: DataFrame, order_cols=None, col: str = "row_id") -> DataFram
     return out.select(*df.columns, (F.col("__start") + F.col("__pos")).alias(col))
 
 
+def _has_files(df: DataFrame) -> bool:
+    """Whether the rows know the file they come from."""
+    try:
+        return bool(df.select("_metadata.file_path").columns)
+    except AnalysisException:
+        return False
+
+
+def with_file_position(df: DataFrame, col: str = "pos") -> DataFrame:
+    """Consecutive 0-based positions of rows read from files: files by path, lines in order.
+
+    Spark deals files and their blocks to partitions by size, so a partition's number says
+    nothing about order.  A block (path and start in the file) is read by one task, in order: a
+    row's place in it is its distance from the block's first row, and the counts of the blocks
+    before it come from a distributed running sum over the blocks, a row each."""
+    from caliper.operators.prefix import broadcast_if_small, materialize, running_sums
+
+    block = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    tagged = materialize(df.select(*[F.col(f"`{c}`") for c in df.columns], block.alias("__block"),
+                                   F.monotonically_increasing_id().alias("__mid")))
+    blocks = materialize(tagged.groupBy("__block").agg(F.min("__mid").alias("__first"), F.count(F.lit(1)).alias("__n")))
+    starts = running_sums(blocks, [], "__block", ["__n"], inclusive=False)
+    starts = materialize(starts.select(F.col("__block").alias("__of"), "__first", F.col("cum___n").alias("__start")))
+    out = tagged.join(broadcast_if_small(starts), F.col("__block") == F.col("__of"))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns],
+                      (F.col("__start") + F.col("__mid") - F.col("__first")).alias(col))
+
+
 def read_ids(spark: SparkSession, path: str, id_col: str | None = None) -> DataFrame:
-    """Ids from a text file (one per line) or one CSV column; stripped, blanks
-    dropped, de-duplicated keeping the first occurrence; ``pos`` keeps file order."""
+    """Ids from a text file (one per line) or one CSV column, or from a folder of them;
+    stripped, blanks dropped, de-duplicated keeping the first occurrence; ``pos`` is its line
+    (blank ones count) in the order of the files' paths."""
     if path.lower().endswith(".csv"):
         if not id_col:
             raise ValueError("id_col is required for CSV input")
         raw = spark.read.option("header", True).csv(path)
         require_columns(raw, [id_col], path)
-        lines = raw.select(F.col(f"`{id_col}`").cast("string").alias("value"))
+        value = F.col(f"`{id_col}`").cast("string")
     else:
-        lines = spark.read.text(path)
-    ids = with_row_id(lines.select(strip("value").alias("id")), col="pos")
+        raw, value = spark.read.text(path), F.col("value")
+    ids = with_file_position(raw).select(strip(value).alias("id"), "pos")
     ids = ids.where(F.col("id").isNotNull() & (F.col("id") != ""))
     return ids.groupBy("id").agg(F.min("pos").alias("pos"))
 
@@ -146,19 +181,25 @@ def read_class_map(spark: SparkSession, idx_json: str, fam_json: str,
 ERR_RECORD = "could not parse JSON"
 
 
-def _depth(text) -> Column:
-    """How many containers stand inside each other in a JSON text (0 for a scalar)."""
-    bare = F.replace(F.replace(_str(text), F.lit("\\\\"), F.lit("")), F.lit('\\"'), F.lit(""))
-    bare = F.regexp_replace(bare, r'"[^"]*+"', "")
-    steps = F.split(F.regexp_replace(bare, r"[^\[\]{}]++", ""), "")
-    up, down = F.array(F.lit("["), F.lit("{")), F.array(F.lit("]"), F.lit("}"))
-    return F.aggregate(steps, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), lambda a, x: F.struct(
-        (a["now"] + F.when(F.array_contains(up, x), 1).when(F.array_contains(down, x), -1).otherwise(0)).alias("now"),
-        F.greatest(a["most"], a["now"] + F.when(F.array_contains(up, x), 1).otherwise(0)).alias("most")))["most"]
+_NODE = "struct<key:string,v:variant>"
+#: Levels walked in one pass: the first and the most (each pass takes twice as many as the one before).
+LEVELS = (3, 24)
+
+
+def _one_level(rows: DataFrame) -> DataFrame:
+    """Objects and lists give way to their children, scalars stay as they are."""
+    v, key = F.col("n.v"), F.col("n.key")
 
+    def child_key(name):
+        return F.when(key.isNull(), name).otherwise(F.concat(key, F.lit("."), name))
 
-def _str(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    objs = F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")),
+                       lambda e: F.struct(child_key(e["key"]).alias("key"), e["value"].alias("v")))
+    arrs = F.transform(F.try_variant_get(v, "$", "array<variant>"),
+                       lambda x, i: F.struct(F.concat(F.coalesce(key, F.lit("")), F.lit("["), i.cast("string"), F.lit("]"))
+                                             .alias("key"), x.alias("v")))
+    children = F.coalesce(objs.cast(f"array<{_NODE}>"), arrs.cast(f"array<{_NODE}>"), F.array(F.col("n")).cast(f"array<{_NODE}>"))
+    return rows.select("__id", F.explode(children).alias("n"))
 
 
 def flatten_json(df: DataFrame, id_col: str, json_col: str, error_key: str = "_error") -> DataFrame:
@@ -166,38 +207,34 @@ def flatten_json(df: DataFrame, id_col: str, json_col: str, error_key: str = "_e
     empty objects / lists emit nothing; JSON null is emitted (value NULL); values
     are the scalar's text.  A text that is no JSON gives one row under ``error_key``.
 
-    One linear chain of explodes, one per nesting level, with no shuffle: a row
-    holding an object or list is replaced by its children, a scalar row is carried
-    through unchanged, so every level reads the previous one exactly once.  The
-    number of levels is the deepest nesting of any record, whatever it is: one
-    aggregate over the texts returns that number."""
-    node = "struct<key:string,v:variant>"
-    texts = df.select(F.col(id_col).alias("__id"), F.col(json_col).alias("__text")).where(F.col("__text").isNotNull())
-    levels = texts.agg(F.max(_depth("__text")).alias("d")).first()["d"] or 0
-    rows = texts.select("__id", F.struct(F.lit(None).cast("string").alias("key"),
-                                         F.try_parse_json("__text").alias("v")).alias("n"))
-
-    def child_key(parent, name):
-        return F.when(parent.isNull(), name).otherwise(F.concat(parent, F.lit("."), name))
-
-    for _ in range(levels):
-        v, key = F.col("n.v"), F.col("n.key")
-        objs = F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")),
-                           lambda e: F.struct(child_key(key, e["key"]).alias("key"),
-                                              e["value"].alias("v")))
-        arrs = F.transform(F.try_variant_get(v, "$", "array<variant>"),
-                           lambda x, i: F.struct(
-                               F.concat(F.coalesce(key, F.lit("")), F.lit("["),
-                                        i.cast("string"), F.lit("]")).alias("key"),
-                               x.alias("v")))
-        children = F.coalesce(objs.cast(f"array<{node}>"), arrs.cast(f"array<{node}>"),
-                              F.array(F.col("n")).cast(f"array<{node}>"))
-        rows = rows.select("__id", F.explode(children).alias("n"))
-    bad = F.col("n.v").isNull()
-    return rows.select(
-        F.col("__id").alias(id_col), F.when(bad, F.lit(error_key)).otherwise(F.col("n.key")).alias("key"),
-        F.when(bad, F.lit(ERR_RECORD)).when(F.is_variant_null("n.v"), F.lit(None).cast("string"))
-        .otherwise(F.try_variant_get("n.v", "$", "string")).alias("value"))
+    A frontier walk with no shuffle: a pass takes a block of levels, one explode a level, and
+    writes what it reaches once; scalars are finished there, and only containers that are still
+    open go on to the next pass, until there are none.  No text is measured beforehand: broken
+    records end in the first pass, and the depth is bounded by what the parser accepts (it
+    refuses records of more than 1,000 levels or of too many bytes, which are error rows)."""
+    from caliper.operators.prefix import materialize
+
+    v = F.col("n.v")
+    is_open = F.try_variant_get(v, "$", "map<string,variant>").isNotNull() | F.try_variant_get(v, "$", "array<variant>").isNotNull()
+    text = F.when(F.is_variant_null(v), F.lit(None).cast("string")).otherwise(F.try_variant_get(v, "$", "string"))
+    rows = df.select(F.col(id_col).alias("__id"), F.col(json_col).alias("__text")).where(F.col("__text").isNotNull()) \
+        .select("__id", F.struct(F.lit(None).cast("string").alias("key"), F.try_parse_json("__text").alias("v")).alias("n"))
+    done, levels = [], LEVELS[0]
+    while True:
+        for _ in range(levels):
+            rows = _one_level(rows)
+        bad = v.isNull()
+        reached = materialize(rows.select("__id", "n.key", bad.alias("bad"), F.when(is_open, v).alias("open"),
+                                          F.when(~bad & ~is_open, text).alias("value")))
+        done.append(reached.where("open IS NULL"))
+        still = reached.where("open IS NOT NULL")
+        if not still.limit(1).count():
+            break
+        rows = still.select("__id", F.struct("key", F.col("open").alias("v")).alias("n"))
+        levels = min(2 * levels, LEVELS[1])
+    whole = reduce(DataFrame.unionByName, done)
+    return whole.select(F.col("__id").alias(id_col), F.when(F.col("bad"), F.lit(error_key)).otherwise(F.col("key")).alias("key"),
+                        F.when(F.col("bad"), F.lit(ERR_RECORD)).otherwise(F.col("value")).alias("value"))
 
 
 def widen_metadata(long: DataFrame, id_col: str, keys, first_cols=rules.PREFERRED_METADATA_COLUMNS,
