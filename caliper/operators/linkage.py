@@ -7,8 +7,8 @@
 * Substring fallback (J2): "file stem contains key, shortest stem wins".  Exact
   without a theta join or candidates to verify: a stem contains a key if one of its
   substrings of the key's length equals it, so stems are cut into their substrings of
-  the lengths that keys have, the best path of each substring is found by one
-  (map-side combined) aggregate, and keys are looked up in it by one equi-join.
+  the lengths that keys have, those that are no wanted key are dropped at once, and the
+  best path of each key is found by one (map-side combined) aggregate of the hits.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from caliper.functions import rules
 from caliper.functions.text import file_ext, file_name, file_stem, strip
 from caliper.operators.metrics import attach_single_row
+from caliper.operators.prefix import broadcast_if_small, materialize
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -104,10 +106,10 @@ def resolve_keys(wanted: DataFrame, key_col: str, aliases: DataFrame,
     ).select("key", "b.path", "b.priority")
 
 
-def resolve_by_substring(keys: DataFrame, key_col: str, catalog: DataFrame,
-                         path_col: str = "path") -> DataFrame:
-    """For each key, the file whose stem contains it; several -> shortest stem,
-    then smallest path.  Keys without a hit are absent from the result."""
+def substring_hits(keys: DataFrame, key_col: str, catalog: DataFrame, path_col: str = "path") -> DataFrame:
+    """(key, path, n): every file whose stem contains a wanted key at some place, n the stem's
+    length.  Substrings that are no key are dropped where they are cut, in a join with the keys,
+    broadcast up to a counted bound; beyond it the join shuffles them."""
     k = keys.select(F.col(key_col).alias("key")).where(
         F.col("key").isNotNull() & (F.length("key") > 0)).distinct()
     lengths = k.agg(F.collect_set(F.length("key")).alias("sizes"))    # one row: the few distinct lengths
@@ -116,11 +118,23 @@ def resolve_by_substring(keys: DataFrame, key_col: str, catalog: DataFrame,
     stem, size = F.col("stem"), F.col("size")
     cut = (attach_single_row(stems, lengths).select("path", "stem", F.explode("sizes").alias("size"))
            .where(F.length("stem") >= size)
-           .select("path", "stem", F.explode(F.transform(
+           .select("path", F.length("stem").alias("n"), F.explode(F.array_distinct(F.transform(
                F.sequence(F.lit(1), F.length("stem") - size + 1),
-               lambda i: F.substring(stem, i, size))).alias("key")))
-    best = cut.groupBy("key").agg(F.min(F.struct(F.length("stem").alias("n"), "path")).alias("b"))
-    return k.join(best, "key").select("key", "b.path")
+               lambda i: F.substring(stem, i, size)))).alias("key")))
+    return cut.join(broadcast_if_small(k, MOST_BROADCAST_KEYS), "key", "left_semi").select("key", "path", "n")
+
+
+#: Up to so many wanted keys are broadcast to the cutting of the stems.
+MOST_BROADCAST_KEYS = 1_000_000
+
+
+def resolve_by_substring(keys: DataFrame, key_col: str, catalog: DataFrame,
+                         path_col: str = "path") -> DataFrame:
+    """For each key, the file whose stem contains it; several -> shortest stem,
+    then smallest path.  Keys without a hit are absent from the result."""
+    wanted = materialize(keys.select(F.col(key_col).alias("key")).distinct())
+    hits = substring_hits(wanted, "key", catalog, path_col)
+    return hits.groupBy("key").agg(F.min(F.struct("n", "path")).alias("b")).select("key", "b.path")
 
 
 def find_files(wanted: DataFrame, key_col: str, catalog: DataFrame, path_col: str = "path",
@@ -237,15 +251,24 @@ def matched_ids(files: DataFrame, file_id: str, meta: DataFrame, meta_id: str) -
 
 def present_only(cases: DataFrame, catalog: DataFrame, cols, path_col: str = "path"):
     """P5: (kept, skipped): a case is kept only when every listed image column
-    resolves to a catalog path.  One left join per column leaves a flag; the two parts
-    are split on the flags, so a case with NULLs elsewhere is in one part only."""
+    resolves to a catalog path.
+
+    A case with a NULL among them is skipped without a lookup.  The paths of the others, one
+    row each, are looked up in one join, whatever the number of columns; one aggregate by
+    the case's number, which brings its row along, tells whether all were found.  It is
+    written once, and both parts are filters of it."""
+    cols = list(cols)
     files = catalog.select(F.col(path_col).alias("__path")).where(F.col("__path").isNotNull()).distinct()
-    flagged = cases
-    for i, c in enumerate(cols):
-        there = files.select(F.col("__path").alias(f"__p{i}"))
-        flagged = flagged.join(there, F.col(c) == F.col(f"__p{i}"), "left")
-    every = reduce(lambda a, b: a & b, [F.col(f"__p{i}").isNotNull() for i in range(len(cols))])
-    return flagged.where(every).select(*cases.columns), flagged.where(~every).select(*cases.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in cases.columns])
+    every = reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in cols])
+    whole = materialize(cases.where(every).select(row.alias("__row"), F.monotonically_increasing_id().alias("__case")))
+    paths = F.array_distinct(F.array(*[F.col("__row")[c].cast("string") for c in cols]))
+    wanted = whole.select("__case", "__row", F.explode(paths).alias("__path"))
+    found = wanted.join(files.withColumn("__there", F.lit(True)), "__path", "left")
+    judged = materialize(found.groupBy("__case").agg(F.first("__row").alias("__row"),
+                                                     F.bool_and(F.col("__there").isNotNull()).alias("__all")))
+    skipped = judged.where(~F.col("__all")).select("__row.*")
+    return judged.where("__all").select("__row.*"), skipped.unionByName(cases.where(~every))
 
 
 def missing_report(resolved: DataFrame, key: str, path: str, n: int = 10) -> DataFrame:

@@ -7,9 +7,13 @@ are insensitive to skew: a hot group only adds to its counters.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caliper.functions.text import strip
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -105,7 +109,9 @@ def label_report(df: DataFrame, y, pred, score, by=(), **bucket_opts) -> DataFra
         F.try_divide(tn.cast("double"), tn + fp).alias("specificity"),
         F.array(F.array(tp, fn), F.array(fp, tn)).alias("matrix"))
     if by:
-        return out.join(auc, on=by, how="left")
+        right = auc.select(*[F.col(b).alias(f"__of_{b}") for b in by], "roc_auc")
+        same = reduce(lambda x, z: x & z, [F.col(b).eqNullSafe(F.col(f"__of_{b}")) for b in by])
+        return out.join(right, same, "left").drop(*[f"__of_{b}" for b in by])
     return attach_single_row(out, auc)
 
 
@@ -114,14 +120,14 @@ def eval_counts(df: DataFrame, truth, pred, error=None, by=(),
     """n_total, n_with_truth, n_with_pred, n_evaluated (truth and prediction
     non-blank, no error).  ``missing_pred="negative"`` counts a NULL prediction as
     present (the original evaluation's NaN != "" behaviour, quirk Q3)."""
-    t = F.coalesce(F.trim(_c(truth).cast("string")), F.lit("")) != ""
+    t = F.coalesce(strip(_c(truth).cast("string")), F.lit("")) != ""
     if missing_pred == "negative":
-        p = _c(pred).isNull() | (F.trim(_c(pred).cast("string")) != "")
+        p = _c(pred).isNull() | (strip(_c(pred).cast("string")) != "")
     else:
-        p = F.coalesce(F.trim(_c(pred).cast("string")), F.lit("")) != ""
+        p = F.coalesce(strip(_c(pred).cast("string")), F.lit("")) != ""
     ok = t & p
     if error is not None:
-        ok = ok & (F.coalesce(F.trim(_c(error)), F.lit("")) == "")
+        ok = ok & (F.coalesce(strip(_c(error)), F.lit("")) == "")
     return df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_total"),
         F.count_if(t).alias("n_with_truth"),

@@ -21,12 +21,10 @@ before any shuffle).
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_BUCKET = "__bucket"
+_BUCKET, _GROUP = "__bucket", "__group"
 MAX_BROADCAST_DIM_ROWS = 100_000
 
 
@@ -62,7 +60,8 @@ def bucketed(df: DataFrame, by, key: str, buckets: int | None = None) -> DataFra
 
 
 def running_sums(df: DataFrame, by, key: str, value_cols, descending: bool = False,
-                 inclusive: bool = True, buckets: int | None = None) -> DataFrame:
+                 inclusive: bool = True, buckets: int | None = None,
+                 most_broadcast: int = MAX_BROADCAST_DIM_ROWS) -> DataFrame:
     """For each row add ``cum_<v>`` = sum of ``v`` over rows of the same group whose
     key comes before (and, if inclusive, equals) this row's key in the given order,
     and ``tot_<v>`` = group total.  Keys must be unique within a group; a NULL group
@@ -73,26 +72,29 @@ def running_sums(df: DataFrame, by, key: str, value_cols, descending: bool = Fal
     bucket_order = F.col(_BUCKET).desc() if descending else F.col(_BUCKET).asc()
     frame_end = Window.currentRow if inclusive else -1
 
+    # The group as one value: structs with equal fields, NULLs included, are equal and hash alike,
+    # so the join with the offsets and the window over the rows need one and the same partitioning.
+    group = F.struct(*[F.col(f"`{b}`") for b in by]) if by else F.lit(0)
+    rows = rows.withColumn(_GROUP, group)
+
     # (2) per-bucket totals: at most groups + buckets rows, as buckets cut the groups in a row.
-    totals = rows.groupBy(*by, _BUCKET).agg(*[F.sum(v).alias(f"__bt_{v}") for v in value_cols])
-    group = by or [F.lit(0)]
-    w_before = (Window.partitionBy(*group).orderBy(bucket_order)
+    totals = rows.groupBy(_GROUP, _BUCKET).agg(*[F.sum(v).alias(f"__bt_{v}") for v in value_cols])
+    w_before = (Window.partitionBy(_GROUP).orderBy(bucket_order)
                 .rowsBetween(Window.unboundedPreceding, -1))
-    w_group = Window.partitionBy(*group)
-    offsets = totals.select(
-        *[F.col(b).alias(f"__o_{b}") for b in by], F.col(_BUCKET).alias("__o_bucket"),
+    w_group = Window.partitionBy(_GROUP)
+    offsets = materialize(totals.select(
+        _GROUP, _BUCKET,
         *[F.coalesce(F.sum(f"__bt_{v}").over(w_before), F.lit(0)).alias(f"__off_{v}")
           for v in value_cols],
         *[F.sum(f"__bt_{v}").over(w_group).alias(f"tot_{v}") for v in value_cols],
-    )
-    # (3) running sums inside each (group, bucket) partition, plus the offset.
-    w_in = (Window.partitionBy(*by, _BUCKET).orderBy(key_order)
+    ))
+    # (3) running sums inside each (group, bucket) partition, plus the offset.  Offsets are broadcast up
+    # to a counted bound; above it they are dealt as the window deals the rows: one move of the rows.
+    w_in = (Window.partitionBy(_GROUP, _BUCKET).orderBy(key_order)
             .rowsBetween(Window.unboundedPreceding, frame_end))
-    same = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"__o_{b}")) for b in by],
-                  F.col(_BUCKET) == F.col("__o_bucket"))
-    return rows.join(offsets, same).select(
-        *df.columns,
-        *[(F.col(f"__off_{v}") + F.coalesce(F.sum(v).over(w_in), F.lit(0))).alias(f"cum_{v}")
-          for v in value_cols],
+    inside = rows.withColumns({f"__in_{v}": F.coalesce(F.sum(v).over(w_in), F.lit(0)) for v in value_cols})
+    return inside.join(broadcast_if_small(offsets, most_broadcast), [_GROUP, _BUCKET]).select(
+        *[F.col(f"`{c}`") for c in df.columns],
+        *[(F.col(f"__off_{v}") + F.col(f"__in_{v}")).alias(f"cum_{v}") for v in value_cols],
         *[F.col(f"tot_{v}") for v in value_cols],
     )

@@ -11,11 +11,23 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from caliper.sources.readers import with_row_id
+
+
+class _Batch:
+    """What is known of a batch's rows: done or not, the last error, outputs by parts."""
+
+    def __init__(self, n: int):
+        self.done = np.zeros(n, bool)
+        self.errors = np.full(n, None, object)
+        self.parts: list[pd.DataFrame] = []
+
 
 def _out_schema(df: DataFrame, outputs: StructType) -> StructType:
     return StructType(list(df.schema.fields) + list(outputs.fields)
@@ -37,52 +49,58 @@ def score_table(df: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame],
     names = [f.name for f in outputs.fields]
     schema = _out_schema(df, outputs)
 
-    def once(fn, pdf, errors, got):
-        """Score ``pdf`` (index: row numbers); fill ``got`` or ``errors`` per row."""
+    def once(fn, pdf, at, state):
+        """Score the rows ``at`` in one call; False if it raised for more than one row."""
         try:
-            res = fn(pdf.reset_index(drop=True))
-            if len(res) != len(pdf):
-                raise ValueError(f"scorer returned {len(res)} rows for {len(pdf)}")
+            res = fn(pdf.iloc[at].reset_index(drop=True))
+            if len(res) != len(at):
+                raise ValueError(f"scorer returned {len(res)} rows for {len(at)}")
         except Exception as e:  # noqa: BLE001 - the user's scorer may raise anything
-            if len(pdf) > 1:
+            if len(at) > 1:
                 return False
-            errors[pdf.index[0]] = str(e)
+            state.errors[at] = str(e)
             return True
-        res = res.set_index(pdf.index)
-        said = res["_error"] if "_error" in res.columns else pd.Series(None, index=res.index, dtype=object)
-        for i in res.index:
-            if said[i] is None or said[i] != said[i] or said[i] == "":
-                got[i] = res.loc[i, names]
-                errors.pop(i, None)
-            else:
-                errors[i] = str(said[i])
+        good = np.ones(len(at), bool)
+        if "_error" in res.columns:
+            said = res["_error"].to_numpy(dtype=object)
+            good = pd.isna(said) | (said == "")
+            state.errors[at[~good]] = [str(x) for x in said[~good]]
+        if good.any():
+            part = res[names] if good.all() else res.loc[good, names]
+            state.parts.append(part.set_axis(at[good], axis=0))
+            state.done[at[good]] = True
         return True
 
-    def all_tries(fn, pdf, errors, got):
-        todo = list(pdf.index)
+    def all_tries(fn, pdf, at, state):
         for k in range(attempts):
             if k and backoff is not None:
                 time.sleep(backoff(k))
-            if not once(fn, pdf.loc[todo], errors, got):
-                for i in todo:
-                    once(fn, pdf.loc[[i]], errors, got)
-            todo = [i for i in todo if i not in got]
-            if not todo:
+            if not once(fn, pdf, at, state):
+                for i in range(len(at)):
+                    once(fn, pdf, at[i:i + 1], state)
+            at = at[~state.done[at]]
+            if not len(at):
                 return
 
     def run(batches):
         for pdf in batches:
             pdf = pdf.reset_index(drop=True)
-            errors, got = {}, {}
+            state = _Batch(len(pdf))
             if len(pdf):
-                all_tries(scorer, pdf, errors, got)
-                left = [i for i in pdf.index if i not in got]
-                if left and fallback is not None:
-                    all_tries(fallback, pdf.loc[left], errors, got)
+                all_tries(scorer, pdf, np.arange(len(pdf)), state)
+                left = np.flatnonzero(~state.done)
+                if len(left) and fallback is not None:
+                    all_tries(fallback, pdf, left, state)
             out = pdf.copy()
+            whole = pd.concat(state.parts) if state.parts else pd.DataFrame(columns=names, dtype=object)
             for n in names:
-                out[n] = [got[i][n] if i in got else None for i in pdf.index]
-            out["_error"] = [None if i in got else errors.get(i, "") for i in pdf.index]
+                column = whole[n]
+                if not state.done.all():    # rows without outputs are NULL, whatever the column's type
+                    column = column.astype(object)
+                column = column.reindex(pdf.index)
+                out[n] = column if state.done.all() else column.where(state.done, None)
+            state.errors[state.done] = None
+            out["_error"] = state.errors
             yield out
 
     scored = df.mapInPandas(run, schema)
@@ -98,16 +116,18 @@ def score_once_per_model(cases: DataFrame, models: list, scorer: Callable,
     """B2: every model scores every case, and a model is loaded once for each
     ``rows_per_load`` cases (once, if there are no more).
 
-    The roster (a fixed, small list, e.g. 90 checkpoints) is exploded onto each case row,
-    with no join.  Rows are partitioned by (model, salt), as many salts as the counted
-    cases need, so all rows of a pair are in one task and stand together there.
-    ``scorer(model_name, batch)`` returns the outputs for that batch; it should keep
-    the model it loaded last."""
-    salts = max(1, -(-cases.count() // rows_per_load))
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in cases.columns]), F.lit(salts))
-    x = (cases.withColumn("__salt", salt)
-         .withColumn(model_col, F.explode(F.array(*[F.lit(m) for m in models])))
-         .repartition(model_col, "__salt").sortWithinPartitions(model_col, "__salt").drop("__salt"))
+    The cases are written once with their row numbers; salts are dealt by row number, as many
+    as the cases need, so equal rows spread like any others.  The roster (a fixed, small
+    list, e.g. 90 checkpoints) is exploded onto each row, with no join, and each (model,
+    salt) pair goes to a partition of its own by number, not by a hash that might put
+    two pairs together.  ``scorer(model_name, batch)`` returns the outputs for that batch;
+    it should keep the model it loaded last."""
+    numbered = with_row_id(cases, col="__row")
+    salts = max(1, -(-numbered.count() // rows_per_load))
+    roster = F.posexplode(F.array(*[F.lit(m) for m in models])).alias("__model", model_col)
+    place = F.col("__model") * F.lit(salts) + (F.col("__row") % salts)
+    x = (numbered.select("*", roster).repartitionById(len(models) * salts, place.cast("int"))
+         .drop("__row", "__model"))
 
     def per_batch(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = []

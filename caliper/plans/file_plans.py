@@ -14,7 +14,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 
 from caliper.operators import metrics
 from caliper.plans.evaluation import doc_eval
-from caliper.plans.registry import ORACLES, plan, rounded
+from caliper.plans.registry import ORACLES, PLANS, plan, rounded
 from caliper.plans.sources_plans import fetch_attempts
 from caliper.plans.tables import table
 from caliper.session import working_dir
@@ -103,6 +103,19 @@ def metrics_json(spark, d):
     return back.where(F.col("n").isNotNull())
 
 
+@plan("metrics_nested", f"""
+SELECT *, 'lineitem' AS dataset FROM ({ORACLES["metrics_grid"]})""")
+def metrics_nested(spark, d):
+    """S10 as one nested document (target, score, mode) with its notes, read back."""
+    path, levels = _folder(spark, "nested"), ["target", "score_name", "mode"]
+    m = PLANS["metrics_grid"](spark, d)
+    sinks.write_metrics_nested(m, path, levels, notes={"dataset": "lineitem"})
+    values = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in m.schema.fields if f.name not in levels)
+    rows, notes = sinks.read_metrics_nested(spark, path, levels, values)
+    note = notes.agg(F.max(F.when(F.col("note") == "dataset", F.col("value"))).alias("dataset"))
+    return metrics.attach_single_row(rows.select(*m.columns), note)
+
+
 @plan("failure_log", f"""
 SELECT id, _status AS message FROM ({ORACLES["fetch_status"]}) WHERE NOT starts_with(_status, 'OK')""")
 def failure_log(spark, d):

@@ -207,6 +207,33 @@ def incremental_retry(spark, d):
     return rounded(whole.select("doc_id", "score", F.col("_run").cast("int").alias("run"), F.col("_error").alias("error")))
 
 
+@plan("incremental_mixed", """
+SELECT doc_id, round(CAST(length(text) % 97 AS DOUBLE) / 97.0, 6) AS score,
+       CASE WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 0 END
+            WHEN doc_id % 5 = 0 THEN 2 ELSE 1 END AS run,
+       CAST(NULL AS VARCHAR) AS error FROM documents""")
+def incremental_mixed(spark, d):
+    """X3 over one store: a batch run over a third of the cases, a stream over all of them
+    (``foreachBatch``; it scores the rest), then a batch run that tries the errors of both again.
+    The report has one row per case, with the run that it comes from."""
+    folder = f"{working_dir(spark)}/mixed-{uuid.uuid4().hex}"
+    docs = table(spark, d, "documents").select("doc_id", "text")
+
+    def score(bad):
+        def run(df):
+            out = scoring.score_table(df, _stub_scorer, _SCORE_OUT, materialize=False)
+            return out.select("doc_id", F.when(~bad, F.col("score")).alias("score"), F.when(bad, "timeout").alias("_error"))
+        return run
+
+    incremental.incremental_eval(spark, docs.where(F.col("doc_id") % 3 == 0), "doc_id", folder, score(F.col("doc_id") % 2 == 0))
+    source = table(spark, d, "documents")
+    # As a glob: without one, a stream takes its path for a folder.
+    stream = spark.readStream.schema(source.schema).parquet(f"{d.rstrip('/')}/documents.parque[t]").select("doc_id", "text")
+    incremental.stream_into_store(stream, "doc_id", folder, score(F.col("doc_id") % 5 == 0), f"{folder}-progress").awaitTermination()
+    whole = incremental.incremental_eval(spark, docs, "doc_id", folder, score(F.lit(False)), retry_errors=True)
+    return rounded(whole.select("doc_id", "score", F.col("_run").cast("int").alias("run"), F.col("_error").alias("error")))
+
+
 _DEEP = 70
 
 
