@@ -6,10 +6,12 @@ document that holds a window holds all its shingles, so the rarest one is the pr
 that the join needs.  A match fixes where the window would start, which must fit into
 the document (positional and length bounds); the words there are then compared in full.
 
-DataFrame functions only.  Documents are cut into shingles once; only those that some
-benchmark window holds are kept, with their counts.  The benchmark's shingles are
-broadcast up to a checked number of rows and joined by shuffle above.  Candidates are
-grouped by document, bounded by its length, and meet its words in one join.
+DataFrame functions only.  Documents are cut into shingles of all needed lengths in one
+scan; only those that some benchmark window holds are kept, and one row for each document
+with its number of words.  The benchmark's shingles are broadcast up to a checked number of
+rows and joined by shuffle above.  Only the texts of documents with candidates are shuffled,
+and cut into words again after they met their candidates; all others are judged by the
+first scan.
 
 Edge cases: null or empty texts have no words; items without words have no window; a
 null item_id goes by the empty string, repeated item_ids count once; null and repeated
@@ -27,17 +29,23 @@ SIZE = 10
 SHINGLE = 3
 MOST_BROADCAST_SHINGLES = 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: All of ASCII but letters and digits parts words.
+PARTS = "".join(chr(c) for c in range(128) if not (48 <= c < 58 or 65 <= c < 91 or 97 <= c < 123))
 
 
 def words(text: str) -> Column:
-    return F.coalesce(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0)),
-                      F.array().cast("array<string>"))
+    """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased (null: none)."""
+    plain = F.translate(text, UPPER + PARTS, LOWER + " " * len(PARTS))
+    return F.coalesce(F.filter(F.split(plain, " "), lambda x: x != ""), F.array().cast("array<string>"))
+
+
+def _shingle(w: Column, x: Column, i: Column, size: int) -> Column:
+    """The hash of the shingle at place i; the last places, short of words, hash what there is."""
+    return F.xxhash64(F.lit(size), x, *[F.get(w, i + j) for j in range(1, size)])
 
 
 def _shingles(w: Column, size: int) -> Column:
-    """A hash for each place; the last places, short of words, hash what there is."""
-    return F.transform(w, lambda x, i: F.xxhash64(F.lit(size), x, *[F.get(w, i + j) for j in range(1, size)]))
+    return F.transform(w, lambda x, i: _shingle(w, x, i, size))
 
 
 def benchmark_windows(items: DataFrame, size: int = SIZE) -> DataFrame:
@@ -54,25 +62,37 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if few else df
 
 
-def candidates(docs: DataFrame, windows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """k1, k2 and ``cands``, the places (start, len, win) where a window may stand."""
+def window_shingles(windows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(g, win, len, off, sh): the shingles of every window, of g words (fewer if the window has)."""
     cut = windows.select("win", "len").distinct().select("win", "len", F.split("win", " ").alias("w"))
-    own = None      # (g, win, len, off, sh) of all shingles of every window
+    own = None
     for g in range(1, shingle + 1):
         part = cut.where(F.col("len") >= g) if g == shingle else cut.where(F.col("len") == g)
         part = part.select("win", "len", F.posexplode(_shingles(F.col("w"), g)).alias("off", "sh")) \
             .where(F.col("off") <= F.col("len") - g).withColumn("g", F.lit(g))
         own = part if own is None else own.unionByName(part)
-    own = saved(own)
-    sizes = [r[0] for r in own.select("g").distinct().orderBy("g").collect()]       # at most ``shingle`` rows
-    held = docs.select(*row_key(), words("text").alias("w"))
-    places = None
-    for g in sizes:
-        part = held.select("k1", "k2", F.posexplode(_shingles(F.col("w"), g)).alias("pos", "sh"))
-        places = part if places is None else places.unionByName(part)
-    if places is None:
-        places = held.select("k1", "k2", F.lit(0).alias("pos"), F.lit(0).cast("long").alias("sh")).limit(0)
-    found = saved(places.join(_small(own.select("sh").distinct()), "sh", "leftsemi"))
+    return own
+
+
+def places(docs: DataFrame, own: DataFrame) -> DataFrame:
+    """k1, k2, doc_id, g, pos, sh: where documents hold a window's shingle, and for every document
+    a row with g = 0 whose pos is its number of words."""
+    sizes = [r[0] for r in own.select("g").distinct().orderBy("g").collect()]       # at most the shingle's length
+    w = F.col("w")
+
+    def at(g):
+        return F.transform(w, lambda x, i: F.struct(F.lit(g).alias("g"), i.alias("pos"), _shingle(w, x, i, g).alias("sh")))
+
+    whole = F.array(F.struct(F.lit(0).alias("g"), F.size(w).alias("pos"), F.lit(0).cast("long").alias("sh")))
+    cut = docs.select(*row_key(), "doc_id", words("text").alias("w")) \
+        .select("k1", "k2", "doc_id", F.inline(F.concat(whole, *[at(g) for g in sizes])))
+    keep = own.select("sh").distinct().unionByName(own.sparkSession.range(1).select(F.lit(0).cast("long").alias("sh")))
+    return cut.join(_small(saved(keep)), "sh", "left_semi")
+
+
+def candidates(found: DataFrame, own: DataFrame) -> DataFrame:
+    """k1, k2 and ``cands``, the places (start, len, win) where a window may stand."""
+    found = found.where("g > 0")
     counts = found.groupBy("sh").agg(F.count(F.lit(1)).alias("n"))
     # A shingle without a count is nowhere, so neither is its window.
     ranked = own.join(counts, "sh", "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -85,22 +105,28 @@ def candidates(docs: DataFrame, windows: DataFrame, shingle: int = SHINGLE) -> D
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = SIZE, shingle: int = SHINGLE) -> DataFrame:
     """One row per document: k1, k2, doc_id, n_words, n_hit, n_items, items (sorted)."""
     windows = saved(benchmark_windows(items, size))
-    cands = candidates(docs, windows, shingle)
-    rows = docs.select(*row_key(), "doc_id", words("text").alias("w")).join(cands, ["k1", "k2"], "left")
+    own = saved(window_shingles(windows, shingle))
+    found = saved(places(docs, own))
+    cands = saved(candidates(found, own))
+    # Rows of one key have one text: each key's is cut once.
+    texts = docs.select(*row_key(), "text").join(_small(cands.select("k1", "k2")), ["k1", "k2"], "left_semi")
+    texts = texts.groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    rows = texts.join(cands, ["k1", "k2"]).select("k1", "k2", words("text").alias("w"), "cands")
 
     def stands(c):
         return F.array_join(F.slice("w", c["start"] + 1, c["len"]), " ") == c["win"]
 
-    hits = rows.select("k1", "k2", "doc_id", F.size("w").cast("long").alias("n_words"),
-                       F.filter("cands", stands).alias("hits"))
+    hits = rows.select("k1", "k2", F.filter("cands", stands).alias("hits")).where(F.size("hits") > 0)
     covered = F.array_distinct(F.flatten(F.transform(
         "hits", lambda c: F.sequence(c["start"], c["start"] + c["len"] - 1))))
-    judged = saved(hits.select("k1", "k2", "doc_id", "n_words", F.coalesce(F.array_size(covered), F.lit(0)).cast("long").alias("n_hit"),
-                               F.array_distinct(F.transform("hits", lambda c: c["win"])).alias("wins")))
-    named = (judged.where("n_hit > 0").select("k1", "k2", F.explode("wins").alias("win")).distinct()
-             .join(windows.select("win", "item"), "win").groupBy("k1", "k2")
-             .agg(F.array_sort(F.collect_set("item")).alias("items")))
-    return judged.drop("wins").join(named, ["k1", "k2"], "left") \
+    hits = saved(hits.select("k1", "k2", F.size(covered).cast("long").alias("n_hit"),
+                             F.array_distinct(F.transform("hits", lambda c: c["win"])).alias("wins")))
+    named = (hits.select("k1", "k2", F.explode("wins").alias("win")).join(windows.select("win", "item"), "win")
+             .groupBy("k1", "k2").agg(F.array_sort(F.collect_set("item")).alias("items")))
+    judged = hits.drop("wins").join(named, ["k1", "k2"])
+    whole = found.where("g = 0").select("k1", "k2", "doc_id", F.col("pos").cast("long").alias("n_words"))
+    return whole.join(judged, ["k1", "k2"], "left") \
+        .withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long"))) \
         .withColumn("items", F.coalesce("items", F.array().cast("array<string>"))) \
         .withColumn("n_items", F.size("items").cast("long"))
 
