@@ -111,7 +111,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = SIZE, shingle:
     # Rows of one key have one text: each key's is cut once.
     texts = docs.select(*row_key(), "text").join(_small(cands.select("k1", "k2")), ["k1", "k2"], "left_semi")
     texts = texts.groupBy("k1", "k2").agg(F.first("text").alias("text"))
-    rows = texts.join(cands, ["k1", "k2"]).select("k1", "k2", words("text").alias("w"), "cands")
+    # Written, so that no text is cut again for each of its candidates inside the lambda below.
+    rows = saved(texts.join(cands, ["k1", "k2"]).select("k1", "k2", words("text").alias("w"), "cands"))
 
     def stands(c):
         return F.array_join(F.slice("w", c["start"] + 1, c["len"]), " ") == c["win"]
