@@ -56,19 +56,19 @@ def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     return saved(spread.where(clear).select("h1", "h2").unionByName(exact.select("h1", "h2")))
 
 
-def one_site_a_text(docs: DataFrame, site: str = "source") -> DataFrame:
-    """The rows of ``docs`` but those that copy a text to further sites: of the sites of
-    a text the one with the least hash stands, so that a document copied to many sites
-    does not make its own lines look like boilerplate."""
-    name = F.coalesce(F.concat(F.lit("="), F.col(site).cast("string")), F.lit("-"))
-    text = [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2")]
-    held = saved(docs.select(*text, F.xxhash64(name).alias("s"))
-                 .groupBy("t1", "t2").agg(F.min("s").alias("least"), F.max("s").alias("most")).where("least < most"))
-    few = held.limit(MOST_BROADCAST_KEYS + 1).count() <= MOST_BROADCAST_KEYS
-    rows = docs.select(*[F.col(c) for c in ("doc_id", "text", site)], *text, F.xxhash64(name).alias("s"))
-    chosen = held.select("t1", "t2", "least")
-    return rows.join(F.broadcast(chosen) if few else chosen, ["t1", "t2"], "left") \
-        .where(F.col("least").isNull() | (F.col("s") == F.col("least"))).select("doc_id", "text", site)
+def one_row_a_class(docs: DataFrame, bad: DataFrame, site: str, size: int, percent: int) -> DataFrame:
+    """doc_id, text and site of the documents that hold a line of ``bad``, of each class of near
+    copies among them one: copies of a document are one place where its lines stand."""
+    from caliper.llm.near_dedup import near_dedup
+
+    holders = saved(_lines(docs, site).select("k1", "k2", "h1", "h2").join(bad, ["h1", "h2"], "leftsemi").select("k1", "k2").distinct())
+    few = holders.limit(MOST_BROADCAST_KEYS + 1).count() <= MOST_BROADCAST_KEYS
+    rows = docs.select(*row_key(), *[F.col(f"`{c}`") for c in ("doc_id", "text", site)]) \
+        .join(F.broadcast(holders) if few else holders, ["k1", "k2"], "leftsemi")
+    rows = saved(rows.groupBy("k1", "k2").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.min(site).alias(site)))
+    classes = near_dedup(rows.select("doc_id", "text"), size, percent)
+    one = classes.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("r")).select("r.*")
+    return rows.join(saved(one), ["k1", "k2"], "leftsemi").select("doc_id", "text", site)
 
 
 def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES,
@@ -89,16 +89,17 @@ def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES
 
 
 def without_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES,
-                        margin: float = MARGIN) -> DataFrame:
+                        margin: float = MARGIN, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` with the kept lines as ``text`` (and ``n_chars`` brought in line).
 
-    Sites are counted over distinct texts, and a text of whose lines with a word more than
-    half would go (a near copy on many sites) stays as it is: copied documents are left
-    for near-dedup, which keeps one of them."""
-    bad = boilerplate(one_site_a_text(docs, site), site, min_sites, margin)
+    A document that is copied to many sites, exactly or nearly, is no boilerplate: its lines are
+    left for near-dedup, which keeps one of the copies.  So lines that stand on many sites are
+    counted a second time, over one document of each class of near copies (operator 4, shingles of
+    ``size`` words) among those that hold them; what is still on ``min_sites`` sites goes from every text."""
+    bad = boilerplate(docs, site, min_sites, margin)
+    bad = boilerplate(saved(one_row_a_class(docs, bad, site, size, percent)), site, min_sites, margin)
     found = line_dedup(docs, site, min_sites, margin, bad)
-    words = F.size(F.filter(F.split("row.text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    goes = (F.col("n_removed") > 0) & (2 * F.col("n_removed") <= words)
+    goes = F.col("n_removed") > 0
     new = {"text": F.when(goes, F.col("text")).otherwise(F.col("row.text"))}
     if "n_chars" in docs.columns:
         changed = F.when(goes, F.length("text")).otherwise(F.col("row.n_chars"))

@@ -18,11 +18,15 @@ prefix-filtered set join, so no link between different texts is lost, and a larg
 of copies that are not quite similar enough does not emit its pairs.  Components come
 from large-star/small-star steps.
 
+The nodes that are linked are distinct shingle sets, numbered when they are written, not
+doc_ids, so texts that share an id, or have none, are linked by what they hold.
+
 Edge cases: a null or empty text has no shingles and links with nothing; a text shorter
-than a shingle is one shingle; repeated rows and exact copies share a class; a null
-doc_id takes part by its text but cannot name a component (its component is that of its
-copies, or null, and only then it is kept); an empty table gives an empty result; further
-columns are ignored.
+than a shingle is one shingle; repeated rows and exact copies share a class; different
+texts of one doc_id are judged each by its own class; a null doc_id takes part by its text
+but cannot name a component (its component is that of its copies and near copies, or null
+if all of them have none, and then the row of the class's first set is kept); an empty
+table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caliper.llm.common import map_text, row_key, saved, slices, without
+from caliper.llm.common import bounded_batches, map_text, row_key, saved, slices, without
 from caliper.llm.components import components
 from caliper.llm.textnp import Words, mix
 
@@ -121,12 +125,11 @@ def table_keys(reps: DataFrame) -> DataFrame:
     return pairs.select(F.xxhash64("x", "y").alias("key"), "rep", "score")
 
 
-def pick_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(rep, text) of the documents named in ``ids``; repeated rows once."""
-    few = ids.limit(MOST_BROADCAST_IDS + 1).count() <= MOST_BROADCAST_IDS
-    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    rows = rows.join(F.broadcast(ids) if few else ids, "rep", "leftsemi")
-    return rows.groupBy("rep", F.xxhash64("text").alias("h")).agg(F.min("text").alias("text")).drop("h")
+def pick_texts(docs: DataFrame, picked: DataFrame) -> DataFrame:
+    """(rep, text) of the rows named in ``picked`` (rep, k1, k2); repeated rows once."""
+    few = picked.limit(MOST_BROADCAST_IDS + 1).count() <= MOST_BROADCAST_IDS
+    rows = docs.select(*row_key(), "text").join(F.broadcast(picked) if few else picked, ["k1", "k2"])
+    return rows.groupBy("rep").agg(F.min("text").alias("text"))
 
 
 def similar(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -158,6 +161,7 @@ def shingle_counts(texts: DataFrame, size: int) -> np.ndarray:
         cell = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], ["cell", "n"])
 
+    bounded_batches(texts.sparkSession)
     rows = texts.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(CELLS, np.int64)
     out[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
@@ -244,31 +248,41 @@ def links(docs: DataFrame, keys: DataFrame, sizes: DataFrame, size: int = SHINGL
 
 def near_dedup(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, half: int = HALF,
                rows: int = ROWS, rounds: int = STAR_ROUNDS) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept (and its row key)."""
+    """One row per document: doc_id, n_shingles, component_id, kept, its row key (k1, k2) and
+    ``node``, which all rows of its class share (null without shingles)."""
     sets = saved(signatures(docs, size, half, rows))
-    reps = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n_shingles") \
-        .agg(F.min(F.struct("doc_id", "a", "b")).alias("r")) \
-        .select("s1", "s2", F.col("n_shingles").alias("n"), F.col("r.doc_id").alias("rep"), "r.a", "r.b")
-    reps = saved(reps)
+    reps = sets.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles") \
+        .agg(F.min("doc_id").alias("least"), F.min(F.struct("k1", "k2", "a", "b")).alias("r")) \
+        .select("s1", "s2", F.col("n_shingles").alias("n"), "least", "r.k1", "r.k2", "r.a", "r.b")
+    reps = saved(reps.withColumn("rep", F.monotonically_increasing_id()))
     keys = saved(table_keys(reps))
     few = saved(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
     keys = saved(keys.join(few, "key", "leftsemi"))
     ids = saved(keys.select("rep").distinct())
-    texts = saved(pick_texts(docs, ids))
-    found = links(texts, keys, reps.select("rep", "n"), size, percent, rounds)
-    classes = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left") \
-        .select("s1", "s2", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    texts = saved(pick_texts(docs, saved(reps.select("rep", "k1", "k2").join(ids, "rep", "leftsemi"))))
+    found = saved(links(texts, keys, reps.select("rep", "n"), size, percent, rounds).select(F.col("node").alias("rep"), "component"))
+    named = saved(found.join(reps.select("rep", "least"), "rep").groupBy("component").agg(F.min("least").alias("named")))
+    found = found.join(named, "component")
+    classes = reps.join(found, "rep", "left").select(
+        "s1", "s2", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("node"),
+        F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("named")).alias("component_id"),
+        F.when(F.coalesce("component", "rep") == F.col("rep"), F.col("k2")).alias("first_k2"))
     out = sets.select("doc_id", "k1", "k2", "n_shingles", "s1", "s2").join(classes, ["s1", "s2", "n_shingles"], "left")
-    component = F.coalesce("component_id", "doc_id")
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    first = F.col("node").isNull() | F.coalesce(F.col("k2") == F.col("first_k2"), F.lit(False))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
-                      F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"), "k1", "k2")
+                      F.coalesce(F.col("doc_id") == component, component.isNull() & first).alias("kept"), "k1", "k2", "node")
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that ``near_dedup`` keeps; of rows equal in id and text one."""
-    found = saved(near_dedup(docs, size, percent).select("k1", "k2", "kept"))
-    gone = found.where("NOT kept").select("k1", "k2").distinct()
-    again = saved(found.where("kept").groupBy("k1", "k2").count().where("count > 1").select("k1", "k2"))
+    """The rows of ``docs`` of which one of each class stays, one that ``near_dedup`` keeps;
+    of rows without shingles, one of those equal in id and text."""
+    found = saved(near_dedup(docs, size, percent).select("k1", "k2", "kept", "node"))
+    held = found.where("node IS NOT NULL")
+    stays = saved(held.where("kept").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("r")).select("r.*"))
+    gone = held.select("k1", "k2").distinct().join(stays, ["k1", "k2"], "leftanti")
+    again = saved(found.join(gone, ["k1", "k2"], "leftanti").groupBy("k1", "k2").count().where("count > 1").select("k1", "k2"))
+    gone = saved(gone)
     if again.isEmpty():
         return without(docs, gone)
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key())

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caliper.llm.common import map_text, slices
+from caliper.llm.common import bounded_batches, map_text, slices
 from caliper.llm.textnp import Words, mix, per_doc_sum
 
 BUCKETS = 1 << 14
@@ -59,6 +59,7 @@ def ngram_counts(docs: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
         cell = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], ["cell", "n"])
 
+    bounded_batches(docs.sparkSession)
     rows = (docs.select("text").mapInArrow(count, "cell long, n long")
             .groupBy("cell").agg(F.sum("n").alias("n")).collect())
     out = np.zeros(buckets, np.int64)

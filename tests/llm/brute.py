@@ -96,5 +96,27 @@ def spread_lines(rows, min_sites):
     return [None if t is None else "\n".join(x for x in t.split("\n") if x not in bad) for t, _ in rows]
 
 
+def spread_lines_over_classes(rows, min_sites, size=5):
+    """Texts without the lines that stand on ``min_sites`` sites, counted over one row of each class
+    of near copies among the rows that hold a line on so many sites; rows are (text, source).  Which
+    row stands for its class is the library's choice: here its classes' sites must not matter."""
+    def sites(some):
+        out = defaultdict(set)
+        for text, source in some:
+            for line in (text or "").split("\n"):
+                if WORD.search(line):
+                    out[line].add(source)
+        return {x for x, s in out.items() if len(s) >= min_sites}
+
+    bad = sites(rows)
+    holders = [i for i, (t, _) in enumerate(rows) if bad & set((t or "").split("\n"))]
+    classes = near([(i, rows[i][0]) for i in holders], size)
+    firsts = [rows[i] for i in holders if classes[i][1] == i]
+    lasts = {classes[i][1]: rows[i] for i in holders}
+    bad = sites(firsts)
+    assert bad == sites(lasts.values()), "the choice of a class's row matters here"
+    return [None if t is None else "\n".join(x for x in t.split("\n") if x not in bad) for t, _ in rows]
+
+
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()

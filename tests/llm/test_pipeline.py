@@ -68,6 +68,71 @@ def test_copies_on_many_sites_keep_one(spark):
     assert kept & set(range(12)) == {0} and kept >= set(range(24, 36)) and kept & set(range(12, 24))
 
 
+def _prose(seed):
+    rng = random.Random(seed)
+    vocab = [f"w{i}" for i in range(400)]
+    return lambda n: "\n".join(" ".join(rng.choice(vocab) for _ in range(20)) for _ in range(n))
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars int"
+
+
+def test_menus_go_from_every_page(spark):
+    """Pages that are mostly menu lose the menu on all sites; near copies on as many keep their lines."""
+    prose = _prose(8)
+    menu = "\n".join(f"menu entry number {k} of the site" for k in range(6))
+    near = prose(8)
+    texts = [f"{menu}\n{prose(4)}" for _ in range(20)] + [near.replace(near.split()[7 * k + 3], "new", 1) for k in range(20)]
+    rows = [(i, t, "en", f"s{i % 20}", len(t)) for i, t in enumerate(texts)]
+    rows += [(40, None, "en", "s1", 0), (None, texts[0], None, None, None), (41, "", "en", None, 0)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, spark.createDataFrame(rows, COLUMNS), "").collect()}
+    assert all(got[i] == texts[i].removeprefix(f"{menu}\n") for i in range(20)) and got[None] == got[0]
+    assert all(got[i] == texts[i] for i in range(20, 40)) and got[40] is None and got[41] == ""
+    want = brute.spread_lines_over_classes([(t, s) for _, t, _, s, _ in rows], 10)
+    assert [got[r[0]] for r in rows] == want
+
+
+def test_shared_and_missing_ids_lose_no_text(spark):
+    prose = _prose(9)
+    a, b, c = prose(8), prose(8), prose(8)
+    a2, c2, c3 = (x.replace(x.split()[k], "new", 1) for x, k in ((a, 40), (c, 30), (c, 60)))
+    rows = [(1, a), (2, a2), (2, b), (None, c), (None, c2), (None, c3), (None, c), (5, ""), (5, ""), (6, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "x", "y") for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars int, k1 string, node string")
+    kept = corpus_pipeline.near(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert (1, a) in got and (2, b) in got and (2, a2) not in got
+    assert sum(t in (c, c2, c3) for _, t in got) == 1 and got.count((5, "")) == 1 and (6, None) in got and len(got) == 5
+    same = spark.createDataFrame([(1, a, "en", "s", 1), (1, a2, "en", "s", 1)], COLUMNS)
+    assert corpus_pipeline.near(spark, same, "").count() == 1
+
+
+def test_stages_on_empty_tables_equal_rows_and_extra_columns(spark, tmp_path):
+    prose = _prose(10)
+    text = prose(8)
+    kind = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()),
+                      ("n_chars", pa.int64()), ("row", pa.string()), ("k2", pa.int64()), ("component", pa.string())])
+    labels = pa.schema([("doc_id", pa.int64()), ("quality", pa.int64()), ("toxic", pa.int64())])
+    items = pa.schema([("item_id", pa.int64()), ("text", pa.string())])
+    full = [{"doc_id": i, "text": t, "lang": "en", "source": "s", "n_chars": 1, "row": "r", "k2": 2, "component": "c"}
+            for i, t in ((1, text), (1, text), (1, text), (2, prose(8)), (None, prose(8)))]
+    for name, docs in (("empty", []), ("full", full)):
+        d = tmp_path / name
+        d.mkdir()
+        pq.write_table(pa.Table.from_pylist(docs, kind), d / "documents.parquet")
+        pq.write_table(pa.Table.from_pylist([], labels), d / "labels.parquet")
+        pq.write_table(pa.Table.from_pylist([], items), d / "benchmark.parquet")
+        now = table(spark, str(d), "documents")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, str(d))
+            assert now.columns == kind.names
+            now = spark.createDataFrame(now.collect(), now.schema)
+        rows = now.collect()
+        assert sorted((r.doc_id or 0, r.row, r.k2, r.component) for r in rows) == ([(0, "r", 2, "c"), (1, "r", 2, "c"), (2, "r", 2, "c")] if docs else [])
+        assert corpus_pipeline.run(spark, str(d)).count() == len(rows)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
 def test_run_equals_brute_force(spark):
     """run() over the smallest tables: every stage's verdict against plain Python."""
@@ -75,7 +140,7 @@ def test_run_equals_brute_force(spark):
     kept = {r.doc_id: r for r in corpus_pipeline.quality(spark, docs, SF).collect()}
     assert all(brute.base_measures(r.text)[0] >= 20 for r in kept.values())
     rows = sorted(kept.items())
-    texts = dict(zip(kept and [i for i, _ in rows], brute.spread_lines([(r.text, r.source) for _, r in rows], 10)))
+    texts = dict(zip(kept and [i for i, _ in rows], brute.spread_lines_over_classes([(r.text, r.source) for _, r in rows], 10)))
     near = brute.near(texts.items(), size=5)
     left = {i: t for i, t in texts.items() if near[i][1] == i}
     items = [tuple(r) for r in table(spark, SF, "benchmark").select("item_id", "text").collect()]
@@ -87,4 +152,4 @@ def test_run_equals_brute_force(spark):
 
 def test_registered():
     names, _ = registry.load()
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
