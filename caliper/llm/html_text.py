@@ -2,8 +2,10 @@
 
 A page becomes a tree.  Subtrees that cannot be the article (menus, page headers and
 footers, sidebars, notices, adverts, forms, scripts, reader comments: by tag, role, and
-words of class and id) are cut; inside the main text an id, or a class that is not made
-of such words alone, cuts only blocks of links.  Each paragraph passes points, for its length and its
+words of class and id) are cut.  A name that is made of such words alone, or begins with one that
+no text is named by (``ad-slot``, ``disqus_thread``), cuts anywhere; a name with other words too, such as
+the slug of a heading, cuts inside the main text only blocks of links.  A form is no menu
+if it holds the article, or most of the page's long blocks.  Each paragraph passes points, for its length and its
 commas, to its parent and, ever less, to the ancestors above; a container's points are
 discounted by the share of its text that stands in links.  The best container, widened
 to the article element it lies in, and siblings that score like it are the main text; on
@@ -15,13 +17,15 @@ The text has one line a block: character references decoded, white space inside
 
 Pages are independent, so the plan is one map over slices of bounded size.  Edge cases:
 null, empty and text-free html give an empty text; markup that never closes is closed at
-its end; a page without any paragraph falls back to its article, main or body; repeated
+its end, a head where the first element of the page begins; time is linear in the page, however deep
+it is nested (points rise ``LEVELS`` levels); a page without any paragraph falls back to its article, main or body; repeated
 rows and null ids are kept; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -43,6 +47,9 @@ CUT_WORDS = frozenset("ad ads adv advert advertisement adverts advertising banne
                       "navigation newsletter notice notices notification pager pagination popup promo promoted promotion "
                       "recommended related replies reply respond search share sharing sidebar signup skyscraper social "
                       "sponsor sponsored subscribe subscription toolbar widget".split())
+#: Of these, words that name no part of an article even if other words follow.
+FIRST_WORDS = frozenset("ad ads adv advert advertisement adverts advertising breadcrumb breadcrumbs comments cookie cookies "
+                        "disqus gdpr masthead navbar newsletter pagination popup promo sidebar skyscraper sponsored".split())
 #: Words that say nothing beside a word of CUT_WORDS; a class of such words only is a match.
 PLAIN_WORDS = frozenset("area article articles aside bar block body bottom box btn button buttons card container content entry form "
                         "icons in inline inner item items left link links list main media message module outer page panel plugin post "
@@ -62,37 +69,45 @@ LINK_SHARE = 0.25
 #: Inside the main text, blocks that only an id or a part of a class marks go from here on.
 SOFT_LINK_SHARE = 0.5
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What a head holds; anything else begins the page.
+HEAD_TAGS = frozenset("base link meta title script style noscript template object".split())
+#: A block of text is long from so many characters.
+LONG_BLOCK = 80
+LEVELS = 64
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "cut", "soft", "score", "length", "linked")
+    __slots__ = ("tag", "parent", "kids", "cut", "soft", "by_id", "score", "length", "linked", "commas")
 
-    def __init__(self, tag, parent, cut=False, soft=False):
-        self.tag, self.parent, self.kids, self.cut, self.soft = tag, parent, [], cut, soft
-        self.score, self.length, self.linked = 0.0, 0, 0
+    def __init__(self, tag, parent, cut=False, soft=False, by_id=None):
+        self.tag, self.parent, self.kids, self.cut, self.soft, self.by_id = tag, parent, [], cut, soft, by_id
+        self.score, self.length, self.linked, self.commas = 0.0, 0, 0, 0
 
 
-def _marked(tag: str, attrs: list) -> str | None:
+def _marked(tag: str, attrs: list) -> tuple[str | None, str | None]:
     """Do tag and attributes say that this is not a part of an article?  ``hard``: yes;
-    ``soft``: only an id, or a class that has other words too, says so."""
+    ``soft``: only a name that has other words too says so.  If nothing but its id says yes, the id."""
     if tag in CUT:
-        return "hard"
-    found = None
+        return "hard", None
+    found = by_id = None
     for name, value in attrs:
         if name in ("class", "id", "role"):
             for one in (value or "").split():
                 words = [w.lower() for w in _WORD.findall(one)]
                 if words and words[0] not in ABOUT and not CUT_WORDS.isdisjoint(words):
-                    if name == "role" or name == "class" and CUT_WORDS.union(PLAIN_WORDS).issuperset(words):
-                        return "hard"
-                    found = "soft"
+                    if name == "role" or words[0] in FIRST_WORDS or CUT_WORDS.union(PLAIN_WORDS).issuperset(words):
+                        if name != "id":
+                            return "hard", None
+                        by_id = one
+                    else:
+                        found = "soft"
                 if one.lower() in ("header", "site-header") and tag not in ("article", "main"):
-                    return "hard"
+                    return "hard", None
         elif name == "hidden" or name == "aria-hidden" and value == "true" \
                 or name == "style" and re.search(r"display\s*:\s*none", value or ""):
-            return "hard"
-    return found
+            return "hard", None
+    return ("hard", by_id) if by_id else (found, None)
 
 
 class Tree(HTMLParser):
@@ -101,21 +116,25 @@ class Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", None)
+        self.open = Counter()               # open elements by tag
 
     def handle_starttag(self, tag, attrs):
-        if tag == "html" or tag == "body" and self.root.kids and self.at.tag == "body":
+        if self.at.tag == "head" and tag not in HEAD_TAGS:
+            self._up(self.at.parent)
+        if tag == "html" or tag == "body" and self.open["body"]:
             return
         if tag in CLOSES_P:
             self._close({"p"}, BLOCK - {"p"})
         if tag in CLOSES:
             self._close(*CLOSES[tag])
-        marked = _marked(tag, attrs) if tag not in ("body", "main") else None
-        if tag == "header" and marked != "hard" and not self._inside({"article", "main"}):
+        marked, by_id = _marked(tag, attrs) if tag not in ("body", "main") else (None, None)
+        if tag == "header" and marked != "hard" and not self.open["article"] and not self.open["main"]:
             marked = "hard"
-        node = Node(tag, self.at, marked is not None, marked == "soft")
+        node = Node(tag, self.at, marked is not None, marked == "soft", by_id)
         self.at.kids.append(node)
         if tag not in VOID:
             self.at = node
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -125,22 +144,26 @@ class Tree(HTMLParser):
             self._close({tag}, {"td", "th", "table", "article", "main", "body"} - {tag} if tag not in BLOCK else set())
 
     def handle_data(self, data):
+        if self.at.tag == "head" and data.strip():
+            self._up(self.at.parent)
         self.at.kids.append(data)
 
-    def _inside(self, tags) -> bool:
-        node = self.at
-        while node is not None and node.tag not in tags:
-            node = node.parent
-        return node is not None
+    def _up(self, node) -> None:
+        """Close open elements until ``node`` is the last open one."""
+        while self.at is not node:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.parent
 
     def _close(self, tags, bounds) -> None:
+        if not any(self.open[t] for t in tags):
+            return
         node = self.at
         while node is not None and node.tag not in tags:
             if node.tag in bounds:
                 return
             node = node.parent
         if node is not None and node.parent is not None:
-            self.at = node.parent
+            self._up(node.parent)
 
 
 def _walk(root: Node):
@@ -166,10 +189,38 @@ def _unhide(root: Node) -> None:
         elif node.cut:
             continue
         todo += [(k, holder) for k in node.kids if isinstance(k, Node)]
-    for node in cut_holders:
-        if not any(n.tag in ("article", "main") for n in _walk(root)):
-            while node is not None:
-                node.cut, node = False, node.parent
+    if cut_holders and not any(n.tag in ("article", "main") for n in _walk(root)):
+        node = cut_holders[0]
+        while node is not None:
+            node.cut, node = False, node.parent
+
+
+def _free_forms(root: Node) -> None:
+    """A form that holds an article or main element, or most of the page's long blocks, is the page."""
+    forms, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if node.tag == "form":
+            node.cut = False
+            forms.append(node)
+        todo += [k for k in node.kids if isinstance(k, Node) and (not k.cut or k.tag == "form")]
+    if not forms:
+        return
+    run, long, holds = {}, {}, set()        # inline text of the open block, long blocks below, has article or main
+    for node in reversed(_walk(root)):
+        key = id(node)
+        run[key] = run.get(key, 0) + sum(len(k.strip()) for k in node.kids if isinstance(k, str))
+        up = id(node.parent)
+        if node.tag in BLOCK:
+            long[key] = long.get(key, 0) + (run[key] if run[key] >= LONG_BLOCK else 0)
+        else:
+            run[up] = run.get(up, 0) + run[key]
+        long[up] = long.get(up, 0) + long.get(key, 0)
+        if node.tag in ("article", "main") or key in holds:
+            holds.add(up)
+    whole = long[id(root)]
+    for form in forms:
+        form.cut = id(form) not in holds and not 0 < whole <= 2 * long[id(form)]
 
 
 def _blocks(nodes: list[Node]) -> list[str]:
@@ -199,34 +250,51 @@ def _blocks(nodes: list[Node]) -> list[str]:
     return out
 
 
-def _plain(node: Node) -> str:
-    return " ".join(_blocks([node]))
-
-
 def _measure(nodes: list[Node]) -> None:
-    """Characters of text, and of text in links, of every node (children come later in ``nodes``)."""
+    """Characters of text, of text in links, and commas of every node (children come later in ``nodes``)."""
     for node in reversed(nodes):
-        own = sum(len(k.strip()) for k in node.kids if isinstance(k, str))
-        node.length += own
+        for k in node.kids:
+            if isinstance(k, str):
+                node.length += len(k.strip())
+                node.commas += k.count(",")
         if node.tag == "a":
             node.linked = node.length
         if node.parent is not None:
             node.parent.length += node.length
             node.parent.linked += node.linked
+            node.parent.commas += node.commas
+
+
+def _own_heading(node: Node) -> str:
+    """The text of the first heading at the beginning of a block."""
+    while True:
+        below = [k for k in node.kids if isinstance(k, Node) or k.strip()]
+        if not below or isinstance(below[0], str):
+            return ""
+        node = below[0]
+        if node.tag in HEADING:
+            return "".join(k for n in [node, *_walk(node)[1:]] for k in n.kids if isinstance(k, str))
 
 
-def _free_headings(root: Node) -> None:
-    """The id of a heading is the slug of its text and marks nothing, nor does that of a paragraph."""
+def _free_slugs(root: Node) -> None:
+    """The id of a heading is the slug of its text and marks nothing, nor does that of a paragraph; an
+    id of several words that is the slug of its block's own heading marks it softly."""
     for node in _walk(root):
         for k in node.kids:
-            if isinstance(k, Node) and k.soft and k.tag in HEADING | {"p"}:
+            if not isinstance(k, Node) or not k.cut or not (k.soft or k.by_id):
+                continue
+            if k.tag in HEADING or k.tag == "p":
                 k.cut = False
+            elif k.by_id:
+                words = [w.lower() for w in _WORD.findall(k.by_id)]
+                k.soft = len(words) > 1 and words == [w.lower() for w in _WORD.findall(_own_heading(k))]
 
 
 def main_nodes(root: Node) -> list[Node]:
     """The best container and the siblings that belong to it."""
+    _free_forms(root)
     _unhide(root)
-    _free_headings(root)
+    _free_slugs(root)
     nodes = _walk(root)
     _measure(nodes)
     density = lambda n: n.linked / n.length if n.length else 0.0
@@ -235,10 +303,10 @@ def main_nodes(root: Node) -> list[Node]:
         direct = node.tag == "div" and sum(len(k.strip()) for k in node.kids if isinstance(k, str)) >= LEAST_CHARS
         if node.tag not in PARAGRAPH and not direct or node.length < LEAST_CHARS:
             continue
-        points = (1 + _plain(node).count(",") + min(node.length / 100, 3)) * (1 - density(node))
+        points = (1 + node.commas + min(node.length / 100, 3)) * (1 - density(node))
         up, share = (node if direct else node.parent), 1.0
         level = 0
-        while up is not None and up.parent is not None:
+        while up is not None and up.parent is not None and level < LEVELS:
             up.score += points * share
             scored[id(up)] = up
             level += 1
@@ -273,7 +341,7 @@ def _restore(kept: list) -> None:
         if node.cut and node.soft:
             below = _walk(node)
             for n in below:
-                n.length = n.linked = 0
+                n.length = n.linked = n.commas = 0
             above, node.parent = node.parent, None
             _measure(below)
             node.parent = above

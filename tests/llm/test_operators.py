@@ -1,5 +1,6 @@
 import json
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -306,6 +307,82 @@ def test_html_slugs_do_not_cut(tag):
         long, "Related", "Work of others.", "Search", "History, in a link.", "Reply.", "Died in 1900.", long]
 
 
+@pytest.mark.parametrize("name", ["section id='comments'", "div id='disqus_thread'", "div id='cookie-notice'", "div id=search",
+                                  "div class='ad-slot-300x250 lazy'", "section class='wide comments'", "div id='comment-12'"])
+def test_html_names_cut_inside_the_article(name):
+    page = f"<body><article><p>{LONG}</p><{name}><h2>Comments</h2><p>First, I say, a reader's words.</p></{name.split()[0]}><p>{LONG}</p>"
+    assert html_text.main_text(page).split("\n") == [" ".join(LONG.split())] * 2
+
+
+def test_html_slug_of_a_cut_name_with_its_own_heading():
+    page = f"<body><main><p>{LONG}</p><section id='social-media'><h2>Social <i>media</i></h2><p>Their history.</p></section>"
+    assert html_text.main_text(page).split("\n") == [" ".join(LONG.split()), "Social media", "Their history."]
+
+
+def test_html_forms_and_open_heads():
+    long = " ".join(LONG.split())
+    whole = f"<body><form id=f><ul id=menu><li><a href=1>Home</a></ul><div class=body><h1>T</h1><p>{LONG}</p><p>Short.</p></div><input></form>"
+    assert html_text.main_text(whole).split("\n") == ["T", long, "Short."]
+    assert html_text.main_text(f"<body><form><article><p>{LONG}</p></article></form>") == long
+    beside = f"<body><div><p>{LONG}</p><p>{LONG}</p></div><form><p>{LONG}</p></form>"
+    assert html_text.main_text(beside).split("\n") == [long, long]
+    assert html_text.main_text("<body><form><label>Name</label><input><p>Log in here.</p></form>") == ""
+    for start in ("<html><head><title>x</title><meta a=b><body>", "<head><link rel=x><script>1</script>", "<head><style>p{}</style>Words. "):
+        assert html_text.main_text(f"{start}<div><p>{LONG}</p></div>").endswith(long)
+
+
+def test_html_points_equal_recursion():
+    rng = random.Random(12)
+
+    def made(depth):
+        tag = rng.choice(["div", "section", "p", "blockquote", "b", "td", "span"])
+        kids = [rng.choice(["", "a, b", "Some words, that are long enough to be a paragraph", "x"]) if not depth or rng.random() < 0.4
+                else made(depth - 1) for _ in range(rng.randint(1, 4))]
+        return f"<{tag}>{''.join(kids)}</{tag}>"
+
+    for _ in range(200):
+        tree = html_text.Tree()
+        tree.feed("<body>" + "".join(made(4) for _ in range(3)))
+        tree.close()
+        html_text.main_nodes(tree.root)
+        nodes = html_text._walk(tree.root)
+
+        def text(node):
+            return [y for k in node.kids for y in ([k] if isinstance(k, str) else text(k))]
+
+        want = dict.fromkeys(map(id, nodes), 0.0)
+        for node in nodes:
+            size = sum(len(x.strip()) for x in text(node))
+            direct = node.tag == "div" and sum(len(k.strip()) for k in node.kids if isinstance(k, str)) >= html_text.LEAST_CHARS
+            if (direct or node.tag in html_text.PARAGRAPH) and size >= html_text.LEAST_CHARS:
+                points = 1 + "".join(text(node)).count(",") + min(size / 100, 3)
+                up, level = (node if direct else node.parent), 0
+                while up is not None and up.parent is not None:
+                    want[id(up)] += points * (1 if not level else 1 / 2 if level == 1 else 1 / (3 * level))
+                    up, level = up.parent, level + 1
+        assert all(abs(n.score - want[id(n)]) < 1e-9 for n in nodes)
+
+
+@pytest.mark.parametrize("page", ["<ul><li>Some words, in a paragraph, of a deep page." * 20_000,
+                                  "<div>" * 3000 + "</p></span></b>" * 60_000 + "<p>text</p>",
+                                  "<div><p>Some words, in a paragraph, of a deep page.</p>" * 20_000,
+                                  "<span>" * 20_000 + "<div>x</div>" * 60_000,
+                                  "<table><tr><td>Some words, in a paragraph, of a deep page." * 15_000])
+def test_html_deep_pages_take_linear_time(page):
+    begin = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - begin < 2 * max(1.0, SLOW)
+
+
+def _slowness():
+    begin = time.process_time()
+    sum(i * i for i in range(2_000_000))
+    return (time.process_time() - begin) / 0.15
+
+
+SLOW = _slowness()
+
+
 def test_html_edges(spark):
     deep = "<div>" * 3000 + "<p>Deep text, that still counts as a paragraph.</p>"
     rows = [(1, "u", PAGE % f"<article>{BODY}"), (None, None, None), (3, "", ""), (4, "v", "plain words"), (5, "w", "<p>short"), (5, "w", deep)]
