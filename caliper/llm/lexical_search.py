@@ -113,7 +113,7 @@ class Queries:
     def beside(self, term: int) -> np.ndarray:
         """Terms no heavier than ``term`` that some item holds with it, itself included."""
         pairs = self.pairs[self.pairs_at[term]:self.pairs_at[term + 1]]
-        return np.unique(np.concatenate([self.terms[p:self.at[self.item[p] + 1]] for p in pairs]))
+        return np.unique(np.concatenate([[term], *(self.terms[p:self.at[self.item[p] + 1]] for p in pairs)]).astype(_I))
 
 
 # Documents as vectors ---------------------------------------------------------------------------

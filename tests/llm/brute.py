@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ITEM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -120,3 +123,72 @@ def spread_lines_over_classes(rows, min_sites, size=5):
 
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+def runs(words, min_length=24, min_exponent=3):
+    """[(start, length, period)] by start, then period: maximal stretches of smallest period q."""
+    n, least = len(words), {}
+    for q in range(1, n // min_exponent + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            if j > i and j + q - i >= max(min_length, min_exponent * q):
+                least.setdefault((i, j + q), q)
+            i = j + 1
+    return sorted((a, b - a, q) for (a, b), q in least.items())
+
+
+def collapse(words, found):
+    gone = {i for a, n, q in found for i in range(a + q, a + n)}
+    return " ".join(w for i, w in enumerate(words) if i not in gone)
+
+
+def planted(doc_id, text):
+    w = WORD.findall(text or "")
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not w:
+        return w
+    n, g = len(w), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def search(docs, items, top=10):
+    """Sorted (item_id, rank, doc_id, score), null ids as None, of rows (doc_id, text) and (item_id, text)."""
+    cut = [(d, TERM.findall((t or "").translate(LOWER))) for d, t in docs]
+    cut = [(d, w) for d, w in cut if w]
+    n_docs, total = len(cut), sum(len(w) for _, w in cut)
+    df = Counter(t for _, w in cut for t in set(w))
+    weight = {t: math.floor(1000 * math.log((2 * n_docs + 2) / (2 * k + 1))) for t, k in df.items()}
+    out = []
+    for item, text in items:
+        terms = set(TERM.findall((text or "").translate(LOWER))) & set(weight)
+        found = []
+        for d, w in cut:
+            m, count = 10 + 90 * len(w) * n_docs // total, Counter(w)
+            score = sum(weight[t] * (10 ** 9 * count[t] // (1000 * count[t] + 8 * m)) for t in terms if t in count)
+            if score > 0:
+                found.append((-score, d is None, d or 0))
+        out += [(item, k, None if null else d, -s) for k, (s, null, d) in enumerate(sorted(found)[:top], 1)]
+    return sorted(out, key=str)
+
+
+def targets(sizes, most=3, cycle=3):
+    """{source: target} of {source: size}; sources in rank order, None last."""
+    order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
+    weight = {s: 1 + i % cycle for i, s in enumerate(order)}
+    total, capped = sum(sizes.values()), set()
+    while True:
+        rest = [s for s in order if s not in capped]
+        left = total - most * sum(sizes[s] for s in capped)
+        level = {s: Fraction(weight[s] * left, sum(weight[x] for x in rest)) for s in rest}
+        new = {s for s in rest if level[s] > most * sizes[s]}
+        if not new:
+            return {s: float(level[s]) if s in level else float(most * sizes[s]) for s in order}
+        capped |= new
