@@ -35,9 +35,9 @@ from caliper.session import working_dir
 
 END_ID = 2
 BLOCK_IDS = 1 << 19
-#: A worker remembers the ids of so many pieces, of so many bytes at most each; when it
-#: holds more it forgets them all, which costs time only.
-MOST_PIECES, MOST_BYTES = 500_000, 64
+#: A worker remembers the ids of so many pieces, of so many bytes at most each; when it holds more it
+#: forgets those that it met in one slice only since it last did so (or all, if most were met again).
+MOST_PIECES, MOST_BYTES = 1_000_000, 64
 GROUP = 1000
 #: How the byte-level vocabulary writes a space.
 SPACE = "Ġ"
@@ -96,9 +96,21 @@ class Encoder:
         return _encoders[path]
 
     def _forget(self) -> None:
-        self.tables: list[np.ndarray] = []      # each: rows h1 (sorted), h2, place, length
+        self.tables: list[np.ndarray] = []      # each: rows h1 (sorted), h2, place, length, times met again
         self.ids = np.zeros(0, self.dtype)
 
+    def _age(self) -> None:
+        """Forget the pieces that were not met again, and count anew."""
+        every = np.concatenate(self.tables, axis=1)
+        every = every[:, every[4] > 0]
+        ids, size = self.ids, every[3].astype(np.int64)
+        if 2 * every.shape[1] > MOST_PIECES or 16 * MOST_PIECES < size.sum():
+            return self._forget()
+        total = np.concatenate(([0], np.cumsum(size)))
+        self.ids = ids[np.repeat(every[2].astype(np.int64) - total[:-1], size) + np.arange(total[-1])]
+        every[2], every[4] = total[:-1].astype(np.uint64), 0
+        self.tables = [every[:, np.argsort(every[0])]]
+
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, self.dtype) for x in made]
@@ -126,7 +138,8 @@ class Encoder:
         for t in self.tables:
             at = np.minimum(np.searchsorted(t[0], h1), t.shape[1] - 1)
             hit = (t[0][at] == h1) & (t[1][at] == h2)
-            found[:, hit] = t[2:, at[hit]].astype(np.int64)
+            found[:, hit] = t[2:4, at[hit]].astype(np.int64)
+            t[4, at[hit]] += np.uint64(1)
         return found
 
     def _keep(self, rows: np.ndarray) -> None:
@@ -137,8 +150,8 @@ class Encoder:
 
     def encode(self, arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and their n+1 offsets."""
-        if sum(t.shape[1] for t in self.tables) > MOST_PIECES or len(self.ids) > 8 * MOST_PIECES:
-            self._forget()
+        if sum(t.shape[1] for t in self.tables) > MOST_PIECES or len(self.ids) > 16 * MOST_PIECES:
+            self._age()
         data, doc_at = bytes_of(arr)
         space = data == 32
         edge = np.zeros(len(data) + 1, np.int64)
@@ -172,7 +185,8 @@ class Encoder:
             found[0, new] = len(self.ids) + np.cumsum(size) - size
             self.ids = np.concatenate([self.ids, *made])
             short = new[b - a <= MOST_BYTES]
-            self._keep(np.stack((h1[pick[short]], h2[pick[short]], *found[:, short].astype(np.uint64))))
+            self._keep(np.stack((h1[pick[short]], h2[pick[short]], *found[:, short].astype(np.uint64),
+                                 np.zeros(len(short), np.uint64))))
         size = found[1][back]
         total = np.concatenate(([0], np.cumsum(size)))
         ids = self.ids[np.repeat(found[0][back] - total[:-1], size) + np.arange(total[-1])]
