@@ -5,10 +5,17 @@ words; no piece of the model crosses their ends, which is checked when it is loa
 The distinct words of a slice are sorted, which is a depth-first walk of their trie: a
 forward table along the current path keeps, for each prefix, the last piece of its best
 segmentation, and a word reuses the table as far as it shares its prefix with the one
-before.  A piece may end a prefix if it is *compatible* with the last piece of the
-prefix in front of it.  For a unigram model that is the best sum of scores (Viterbi);
-for a model with merges (byte-pair) it is the one piece for which encoding the two
-together gives back the two, so that the result equals the library's own encoding.
+before.  What the table holds goes by the model's type, which its file states:
+
+* unigram: forward scores (Viterbi).  A prefix's score is the greatest, over the pieces that
+  may end it, of the piece's score and that of the prefix in front; of equal ones the
+  longest piece wins.  A character without a piece scores ``UNKNOWN`` less than any piece.
+* byte-pair merges, whose scores are only the order of merges: a piece may end a prefix if it
+  is *compatible* with the last piece of the prefix in front, that is, if encoding the two
+  together gives back the two.  One piece is; so the result equals the library's.
+
+Other types are refused.  The pieces that may end a prefix are found by the longest ending of
+it that begins a piece, and a list for each such ending.
 
 Characters outside the vocabulary become byte pieces.  Decoding joins pieces, bytes
 included, turns marks to spaces and drops the first.
@@ -34,19 +41,61 @@ from caliper.llm.common import map_text
 
 MARK = "▁"
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-#: Entries of a memory's generation.  When it is full it becomes the old one, and what is
-#: asked for again moves on; a worker holds two generations of words and two of pairs.
-MOST_KEPT = 100_000
+_LINE_WORD = re.compile(f"\n[^{MARK}\n]*|{MARK}*[^{MARK}\n]+|{MARK}+")
+#: Entries of a memory's generation: words of ``MOST_CHARS`` at most, and pairs.  When it is full it
+#: becomes the old one, and what is asked for again moves on; a worker holds two generations of each.
+MOST_WORDS, MOST_CHARS, MOST_PAIRS = 250_000, 64, 100_000
+UNIGRAM, MERGES = 1, 2
+UNKNOWN = 10.0
 _models: dict[str, Model] = {}
 
 
+def _fields(raw: bytes):
+    """(number, value) of each field of a protocol buffer message: ints, or bytes."""
+    at = 0
+
+    def varint():
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = raw[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(raw):
+        key = varint()
+        if key & 7 == 0:
+            yield key >> 3, varint()
+        else:
+            size = varint() if key & 7 == 2 else 8 if key & 7 == 1 else 4
+            yield key >> 3, raw[at:at + size]
+            at += size
+
+
+def model_type(raw: bytes) -> int:
+    """The type that a model file states: field 3 of its trainer's settings, field 2 (unigram if it is silent)."""
+    kind = UNIGRAM
+    for number, value in _fields(raw):
+        if number == 2:
+            kind = dict(_fields(value)).get(3, kind)
+    return kind
+
+
 class Model:
     """Pieces and scores of a model file, with the forward table of the current path."""
 
     def __init__(self, path: str):
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        with open(path, "rb") as f:
+            raw = f.read()
+        self.kind = model_type(raw)
+        if self.kind not in (UNIGRAM, MERGES):
+            raise ValueError("only unigram and byte-pair models can be walked")
+        sp = sentencepiece.SentencePieceProcessor(model_proto=raw)
         ids = range(sp.vocab_size())
         plain = [i for i in ids if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.ids = {sp.id_to_piece(i): i for i in plain}
@@ -67,8 +116,12 @@ class Model:
         self.tied = {p for p in merged if count[self.scores[p]] > 1}
         self.halves: dict[str, tuple[str, str]] = {}
         self.starts = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
-        self.fits: dict[tuple[str, str], bool] = {}
-        self.old_fits: dict[tuple[str, str], bool] = {}
+        self.unknown = min(self.scores.values(), default=0.0) - UNKNOWN
+        self.ends: dict[str, tuple[str, ...]] = {}
+        self.lines = not any("\n" in p for p in self.ids if len(p) > 1)     # no piece goes on after a line's end
+        self.fits: dict[str, dict[str, bool]] = {}          # by left piece, then right piece
+        self.old_fits: dict[str, dict[str, bool]] = {}
+        self.n_fits = 0
         self.words: dict[str, bytes] = {}
         self.old_words: dict[str, bytes] = {}
 
@@ -93,11 +146,12 @@ class Model:
         return symbols
 
     def compatible(self, left: str, right: str) -> bool:
-        key = (left, right)
-        if (known := self.fits.get(key)) is None:
-            if (known := self.old_fits.get(key)) is None:
+        row = self.fits.setdefault(left, {})
+        if (known := row.get(right)) is None:
+            if (known := self.old_fits.get(left, row).get(right)) is None:
                 known = self._stands(left, right)
-            self.fits[key] = known
+            row[right] = known
+            self.n_fits += 1
         return known
 
     def _halves(self, piece: str) -> tuple[str, str]:
@@ -131,32 +185,51 @@ class Model:
             else:
                 return True
 
+    def _pieces(self, ending: str) -> tuple[str, ...]:
+        """The pieces that end a stretch which begins a piece, longest first; its last character is one."""
+        found = [ending[k:] for k in range(len(ending) - 1) if ending[k:] in self.ids]
+        self.ends[ending] = made = (*found, ending[-1])
+        if len(self.ends) > MOST_PAIRS:     # beginnings of pieces, and single characters without one
+            self.ends = {ending: made}
+        return made
+
     def segment(self, words: list[str]) -> dict[str, list[str]]:
         """Pieces of each of the sorted distinct words."""
-        out, last, reach, before = {}, [""], [0], ""
-        ids, starts, fits = self.ids, self.starts, self.fits
+        out, last, reach, best, before = {}, [""], [0], [0.0], ""
+        rows: list[dict[str, bool]] = [{}]          # what is known of each last piece's right neighbours
+        starts, fits, scores, merges = self.starts, self.fits, self.scores, self.kind == MERGES
         for word in words:
             shared = 0
             for a, b in zip(before, word, strict=False):
                 if a != b:
                     break
                 shared += 1
-            del last[shared + 1:], reach[shared + 1:]
+            del last[shared + 1:], reach[shared + 1:], best[shared + 1:], rows[shared + 1:]
             for i in range(shared + 1, len(word) + 1):
                 k = reach[-1] + 1
-                while k > 1 and word[i - k:i] not in starts:    # the longest ending that may begin a piece
+                ending = word[i - k:i]
+                while k > 1 and ending not in starts:       # the longest ending that may begin a piece
                     k -= 1
+                    ending = ending[1:]
                 reach.append(k)
-                for size in range(k, 0, -1):
-                    piece = word[i - size:i]
-                    if size > 1 and piece not in ids:
-                        continue
-                    left = last[i - size]
-                    if not left or fits.get((left, piece)) or self.compatible(left, piece):
-                        last.append(piece)
-                        break
+                found = self.ends.get(ending) or self._pieces(ending)
+                if merges:
+                    for piece in found:
+                        at = i - len(piece)
+                        if not at or (known := rows[at].get(piece)) or known is None and self.compatible(last[at], piece):
+                            last.append(piece)
+                            rows.append(fits.setdefault(piece, {}))
+                            break
+                    else:
+                        raise AssertionError(f"no piece ends {word[:i]!r}")
                 else:
-                    raise AssertionError(f"no piece ends {word[:i]!r}")
+                    top = None
+                    for piece in found:
+                        score = best[i - len(piece)] + scores.get(piece, self.unknown)
+                        if top is None or score > top:
+                            top, choice = score, piece
+                    best.append(top)
+                    last.append(choice)
             pieces, i = [], len(word)
             while i:
                 pieces.append(last[i])
@@ -171,18 +244,36 @@ class Model:
             return found
         return [i for p, k in zip(pieces, found, strict=True) for i in ([k] if k >= 0 else [self.byte_ids[b] for b in p.encode()])]
 
+    def _cut(self, text: str) -> list[str]:
+        """The words of a text, cut before each line's end too if pieces are: those with one mark in
+        front stand without it, those with a line's end in front with that."""
+        if "  " in text or MARK in text or text[:1] == " " or text[-1:] == " ":
+            found = (_LINE_WORD if self.lines else _WORD).findall(MARK + text.replace(" ", MARK))
+            return [w[1:] if w[0] == MARK and MARK not in w[1:] else w for w in found]
+        return (text.replace("\n", " \n") if self.lines else text).split(" ")
+
+    def _marked(self, word: str) -> str:
+        return word if word[:1] == MARK or self.lines and word[:1] == "\n" else MARK + word
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.words) > MOST_KEPT:
+        if len(self.words) > MOST_WORDS:
             self.words, self.old_words = {}, self.words
-        if len(self.fits) > MOST_KEPT:
-            self.fits, self.old_fits = {}, self.fits
-        cut = [_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = set().union(*cut) - self.words.keys()
-        again = new & self.old_words.keys()
-        self.words.update((w, self.old_words[w]) for w in again)
-        for word, pieces in self.segment(sorted(new - again)).items():
-            self.words[word] = array("i", self.piece_ids(pieces)).tobytes()
-        return [np.frombuffer(b"".join(map(self.words.__getitem__, ws)), np.int32) for ws in cut]
+        if self.n_fits > MOST_PAIRS:
+            self.fits, self.old_fits, self.n_fits = {}, self.fits, 0
+        words, old = self.words, self.old_words
+        cut = [self._cut(t) if t else [] for t in texts]
+        new = [w for w in set().union(*cut) if w not in words]
+        found = {w: old[w] for w in new if w in old}
+        marked = {self._marked(w): w for w in new if w not in found}
+        for word, pieces in self.segment(sorted(marked)).items():
+            found[marked[word]] = array("i", self.piece_ids(pieces)).tobytes()
+        short = {w: x for w, x in found.items() if len(w) <= MOST_CHARS}
+        words.update(short)
+        if len(short) == len(found):
+            found = words
+        else:
+            found = {**{w: words[w] for w in set().union(*cut) if w in words}, **found}
+        return [np.frombuffer(b"".join([found[w] for w in ws]), np.int32) for ws in cut]
 
     def decode(self, ids: np.ndarray) -> str:
         raw = b"".join(map(self.decoded.__getitem__, ids.tolist()))

@@ -1,5 +1,6 @@
 import json
 import random
+import struct
 import time
 import zlib
 from collections import Counter
@@ -264,6 +265,62 @@ def test_trie_walk(text):
     assert sentencepiece_trie.Model.of(path).encode([text])[0].tolist() == sp.encode(text)
 
 
+def _unigram_model(path, pieces):
+    """A unigram model file with these (piece, score) and a piece for every byte, written by hand."""
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    def field(number, value):
+        if isinstance(value, int):
+            return varint(number << 3) + varint(value)
+        if isinstance(value, float):
+            return varint(number << 3 | 5) + struct.pack("<f", value)
+        return varint(number << 3 | 2) + varint(len(value)) + value
+
+    rows = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] + [(p, s, 1) for p, s in pieces]
+    body = b"".join(field(1, field(1, p.encode()) + field(2, s) + field(3, k)) for p, s, k in rows)
+    trainer = field(3, 1) + field(35, 1)
+    normal = field(1, b"identity") + field(3, 1) + field(4, 0) + field(5, 1)
+    path.write_bytes(body + field(2, trainer) + field(3, normal))
+    return str(path)
+
+
+def test_unigram_models_are_walked_by_scores(tmp_path):
+    import sentencepiece
+    rng = random.Random(7)
+    pieces = {"\u2581"} | set("abc\u2581") | {"\u2581" * (rng.random() < 0.3) + "".join(rng.choice("abcé") for _ in range(rng.randint(1, 5))) for _ in range(150)}
+    scored = [(p, -rng.randint(1, 4000) / 256) for p in sorted(pieces)]
+    path = _unigram_model(tmp_path / "u.model", scored)
+    model = sentencepiece_trie.Model(path)
+    assert model.kind == sentencepiece_trie.UNIGRAM
+    table, least = dict(scored), min(s for _, s in scored)
+    texts = ["".join(rng.choice(["a", "b", "c", "é", " ", "ab", "cab", "x", "\n", "日", "  "]) for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    for text, ids in zip(texts, model.encode(texts), strict=True):
+        marked = "\u2581" + text.replace(" ", "\u2581") if text else ""
+        best = [0.0]
+        for i in range(1, len(marked) + 1):     # Viterbi over the whole text, all pieces tried
+            best.append(max(best[k] + (table[marked[k:i]] if marked[k:i] in table else least - sentencepiece_trie.UNKNOWN)
+                            for k in range(i) if marked[k:i] in table or k == i - 1))
+        words = model.segment(sorted({w for w in sentencepiece_trie._WORD.findall(marked)}))
+        made = [p for w in sentencepiece_trie._WORD.findall(marked) for p in words[w]]
+        assert abs(sum(table.get(p, least - sentencepiece_trie.UNKNOWN) for p in made) - best[-1]) < 1e-9
+        assert "".join(made) == marked and model.decode(ids) == text
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    assert [x.tolist() for x in model.encode(texts)] == [sp.encode(t) for t in texts]
+
+
+def test_other_model_types_are_refused(tmp_path):
+    path = tmp_path / "w.model"
+    raw = open(_unigram_model(path, [("a", -1.0)]), "rb").read()
+    path.write_bytes(raw.replace(b"\x18\x01\x98\x02\x01", b"\x18\x03\x98\x02\x01"))
+    assert sentencepiece_trie.model_type(path.read_bytes()) == 3
+    with pytest.raises(ValueError):
+        sentencepiece_trie.Model(str(path))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><p>no";</script></head><body>
 <header class="top"><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></li></ul></nav>
 <div class="cookie-notice"><p>We use cookies, many of them, for all the things you know.</p></div>
