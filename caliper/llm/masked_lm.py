@@ -8,9 +8,10 @@ the sum of the log probabilities of its words, each given its neighbours.
 Vocabulary: the ``TOP`` most frequent words of the corpus, and hash cells for all others.
 Word counts cover all documents; they also start the output biases, so that the network
 begins as the corpus's unigram model.  A word of a cell is scored as its cell times the
-word's own share of it, by the counts of all words of the corpus: a table that grows with
-the corpus, broadcast up to ``MOST_BROADCAST_WORDS`` words and joined by word hash above,
-with the words of each document aggregated first.
+word's own share of it, by the counts of all words of the corpus, a table that grows with
+the corpus: the shares of its most frequent words, ``MOST_BROADCAST_WORDS`` at most, are broadcast.
+Words below that count leave the scoring map as (document, word, occurrences) and are joined by
+word hash; no such word is frequent, so the join has no hot key.
 
 Training is data-parallel over all partitions: each trains from the same weights on one
 of every ``STRIDE`` positions of each of its texts, another one each round, so that the
@@ -33,17 +34,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caliper.llm.common import map_text, row_key, saved, slices
+from caliper.llm.common import bounded_batches, map_text, saved, slices
 from caliper.llm.textnp import Words, mix
 
 TOP = 3072
 CLASSES, MEMBERS = 64, 64                   # classes x members words in the vocabulary
 SIDE, WIDTH, HIDDEN = 2, 16, 32
-STRIDE, ROUNDS, BATCH, RATE, FLOOR = 2, 2, 512, 0.05, 1e-5
+STRIDE, ROUNDS, BATCH, RATE, FLOOR = 2, 2, 2048, 0.1, 1e-5
 CHUNK = 8192                                # weights in one row of the averaging shuffle
 SALTS = 64
-#: Up to so many rare words (16 bytes each) are broadcast with their shares, else joined.
+#: Up to so many words outside the top (16 bytes each) are broadcast with their shares; the others are joined.
 MOST_BROADCAST_WORDS = 1_000_000
+#: Counts of words from here on are one step of the histogram that finds what is broadcast.
+MOST_COUNT = 10_000
 _U = np.uint64
 _V = CLASSES * MEMBERS
 _SHAPES = {"emb": (_V + 1, WIDTH), "w": (2 * SIDE * WIDTH, HIDDEN), "b": (HIDDEN,), "c": (HIDDEN, CLASSES),
@@ -87,7 +90,7 @@ def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, Dat
 
 
 def shares(vocab) -> DataFrame:
-    """(h, s) of every word outside the top: the log of its share of its cell."""
+    """(h, n, s) of every word outside the top: its count, and the log of its share of its cell."""
     top, rank, n, counts = vocab
 
     def run(batches):
@@ -95,10 +98,23 @@ def shares(vocab) -> DataFrame:
             h = np.asarray(b.column("h")).view(np.uint64)
             ids = word_ids(h, top, rank)
             rare = ids >= TOP
-            s = np.log(np.asarray(b.column("n"))[rare]) - np.log(n[ids[rare]])
-            yield pa.RecordBatch.from_arrays([pa.array(h[rare].view(np.int64)), pa.array(s, pa.float64())], ["h", "s"])
+            own = np.asarray(b.column("n"))[rare]
+            s = np.log(own) - np.log(n[ids[rare]])
+            yield pa.RecordBatch.from_arrays([pa.array(h[rare].view(np.int64)), pa.array(own), pa.array(s, pa.float64())], ["h", "n", "s"])
 
-    return counts.mapInArrow(run, "h long, s double")
+    return counts.mapInArrow(run, "h long, n long, s double")
+
+
+def least_broadcast(rare: DataFrame) -> int:
+    """The least count such that at most ``MOST_BROADCAST_WORDS`` words have it or more."""
+    steps = rare.groupBy(F.least("n", F.lit(MOST_COUNT)).alias("n")).count().collect()      # MOST_COUNT rows at most
+    held, least = 0, 1 << 62
+    for n, words in sorted(map(tuple, steps), reverse=True):
+        held += words
+        if held > MOST_BROADCAST_WORDS:
+            return least
+        least = n
+    return 1
 
 
 def start(counts: np.ndarray) -> dict[str, np.ndarray]:
@@ -140,9 +156,19 @@ def contexts(ids: np.ndarray, word_at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _log_chosen(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The log of the softmax of every row at its ``y``."""
+    x -= x.max(axis=1, keepdims=True)
+    chosen = x[np.arange(len(y)), y]
+    return chosen - np.log(np.exp(x, out=x).sum(axis=1))
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """The softmax of every row, in place."""
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
 
 
 def log_probs(net: dict[str, np.ndarray], ids: np.ndarray, around: np.ndarray, most: int = 1 << 14) -> np.ndarray:
@@ -152,13 +178,12 @@ def log_probs(net: dict[str, np.ndarray], ids: np.ndarray, around: np.ndarray, m
         y, x = ids[a:a + most], around[a:a + most]
         h = np.tanh(net["emb"][x].reshape(len(y), -1) @ net["w"] + net["b"])
         group = y // MEMBERS
-        got = _log_softmax(h @ net["c"] + net["cb"])[np.arange(len(y)), group].astype(np.float64)
+        got = _log_chosen(h @ net["c"] + net["cb"], group).astype(np.float64)
         order = np.argsort(group, kind="stable")
         ends = np.searchsorted(group[order], np.arange(CLASSES + 1))
         for c in np.flatnonzero(np.diff(ends)):
             rows = order[ends[c]:ends[c + 1]]
-            inner = _log_softmax(h[rows] @ net["m"][c] + net["mb"][c])
-            got[rows] += inner[np.arange(len(rows)), y[rows] % MEMBERS]
+            got[rows] += _log_chosen(h[rows] @ net["m"][c] + net["mb"][c], y[rows] % MEMBERS)
         out[a:a + most] = got
     return out
 
@@ -172,13 +197,13 @@ def train_step(net: dict[str, np.ndarray], seen: dict[str, np.ndarray], y: np.nd
     spans = list(zip(classes.tolist(), begin.tolist(), [*begin[1:].tolist(), n], strict=True))
     e = net["emb"][x].reshape(n, -1)
     h = np.tanh(e @ net["w"] + net["b"])
-    dc = np.exp(_log_softmax(h @ net["c"] + net["cb"]))
+    dc = _softmax(h @ net["c"] + net["cb"])
     dc[np.arange(n), group] -= 1
     dh = dc @ net["c"].T
     dm = np.empty((n, MEMBERS), np.float32)
     for c, i, j in spans:
         dm[i:j] = h[i:j] @ net["m"][c] + net["mb"][c]
-    dm = np.exp(_log_softmax(dm))
+    _softmax(dm)
     dm[np.arange(n), member] -= 1
     gm = np.empty((len(classes), HIDDEN, MEMBERS), np.float32)
     for k, (c, i, j) in enumerate(spans):
@@ -244,6 +269,7 @@ def _train_round(docs: DataFrame, net: np.ndarray, top, rank, turn: int, stride:
                  pa.array([v[1].astype("<f4").tobytes() for v in sums.values()], pa.binary())], ["chunk", "n", "x"])
 
     kind = "chunk long, n long, x binary"
+    bounded_batches(docs.sparkSession)
     part = docs.select("text").mapInArrow(train, kind).withColumn("salt", F.spark_partition_id() % SALTS)
     part = part.repartition("chunk", "salt").select("chunk", "n", "x").mapInArrow(add, kind)
     rows = part.repartition("chunk").mapInArrow(add, kind).collect()      # one set of weights
@@ -266,48 +292,36 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, vocab=None)
     return net, top, rank
 
 
-def _rare_sums(docs: DataFrame, vocab, rare: DataFrame) -> DataFrame:
-    """(k1, k2, extra): the log shares of the rare words of every document, by a join on words."""
-    top, rank, n, _ = vocab
-
-    def words(part):
-        w = Words(part.column("text"))
-        h = w.hashes()
-        ids = word_ids(h, top, rank)
-        pick = np.flatnonzero(ids >= TOP)
-        doc = np.repeat(np.arange(w.n), w.n_words)[pick]
-        order = np.lexsort((h[pick], doc))
-        pick, doc = pick[order], doc[order]
-        new = np.ones(len(pick), bool)
-        new[1:] = (h[pick][1:] != h[pick][:-1]) | (doc[1:] != doc[:-1])
-        at = np.flatnonzero(new)
-        c = np.diff(np.append(at, len(pick)))
-        pick, doc = pick[at], pa.array(doc[at])
-        yield pa.RecordBatch.from_arrays(
-            [part.column("k1").take(doc), part.column("k2").take(doc), pa.array(h[pick].view(np.int64)), pa.array(c.astype(np.int64)),
-             pa.array(_unseen(n, ids[pick]), pa.float64())], ["k1", "k2", "h", "c", "u"])
-
-    held = map_text(docs.select(*row_key(), "text"), words, "k1 long, k2 long, h long, c long, u double").distinct()
-    return held.join(rare, "h", "left").groupBy("k1", "k2").agg(F.sum(F.col("c") * F.coalesce("s", "u")).alias("extra"))
-
-
 def _unseen(n: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return np.log(0.5) - np.log(n[ids] + 0.5)
 
 
+def _tail(w: Words, h: np.ndarray, ids: np.ndarray, pick: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Per text, the distinct ones of the words ``pick``: hash, occurrences, share if no count has it."""
+    doc = w.doc_of_word()[pick]
+    order = np.lexsort((h[pick], doc))
+    pick, doc = pick[order], doc[order]
+    new = np.ones(len(pick), bool)
+    new[1:] = (h[pick][1:] != h[pick][:-1]) | (doc[1:] != doc[:-1])
+    at = np.flatnonzero(new)
+    c = np.diff(np.append(at, len(pick)))
+    rows = pa.StructArray.from_arrays([pa.array(h[pick[at]].view(np.int64)), pa.array(c.astype(np.int64)),
+                                       pa.array(_unseen(n, ids[pick[at]]), pa.float64())], ["h", "c", "u"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[at], np.arange(w.n + 1)).astype(np.int32)), rows)
+
+
 def score(docs: DataFrame, model, vocab=None) -> DataFrame:
     """doc_id, n_tokens, log_prob (the sum) and mean_log_prob of every document; a rare
     word counts as itself if the ``vocab`` of the model is given, else as its cell."""
     weights, top, rank = model
-    known = joined = None
+    known, least, n = None, 1, None
     if vocab is not None:
-        n = vocab[2]
-        rare = saved(shares(vocab))
-        if rare.limit(MOST_BROADCAST_WORDS + 1).count() <= MOST_BROADCAST_WORDS:
-            got = rare.orderBy("h").toArrow()           # at most MOST_BROADCAST_WORDS rows
-            known = docs.sparkSession.sparkContext.broadcast((got.column("h").to_numpy(), got.column("s").to_numpy()))
-        else:
-            joined = _rare_sums(docs, vocab, rare)
+        n, rare = vocab[2], saved(shares(vocab))
+        least = least_broadcast(rare)
+        got = rare.where(F.col("n") >= least).select("h", "s").toArrow()        # at most MOST_BROADCAST_WORDS rows
+        order = np.argsort(got.column("h").to_numpy())
+        known = docs.sparkSession.sparkContext.broadcast(
+            (got.column("h").to_numpy()[order], got.column("s").to_numpy()[order]))
 
     def run(part):
         net = unflat(weights)
@@ -315,23 +329,32 @@ def score(docs: DataFrame, model, vocab=None) -> DataFrame:
         h = w.hashes()
         ids = word_ids(h, top, rank)
         got = log_probs(net, ids, contexts(ids, w.word_at))
+        missed = np.zeros(0, np.int64)
         if known is not None:
             pick = np.flatnonzero(ids >= TOP)
             words, logs = known.value
-            own, s = h[pick].view(np.int64), _unseen(n, ids[pick])
+            own, s, there = h[pick].view(np.int64), np.zeros(len(pick)), np.zeros(len(pick), bool)
             if len(words):
                 at = np.minimum(np.searchsorted(words, own), len(words) - 1)
-                s = np.where(words[at] == own, logs[at], s)
+                there = words[at] == own
+                s[there] = logs[at[there]]
+            if least > 1:
+                missed = pick[~there]
+            else:
+                s[~there] = _unseen(n, ids[pick[~there]])
             got[pick] += s
         sums = np.array([got[a:b].sum() for a, b in zip(w.word_at[:-1], w.word_at[1:], strict=True)])
         yield pa.RecordBatch.from_arrays(
-            [*(part.column(c) for c in ("doc_id", "k1", "k2")), pa.array(w.n_words.astype(np.int64)), pa.array(sums, pa.float64())],
-            ["doc_id", "k1", "k2", "n_tokens", "log_prob"])
-
-    out = map_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(), "text"), run,
-                   "doc_id long, k1 long, k2 long, n_tokens long, log_prob double")
-    if joined is not None:
-        out = out.join(joined, ["k1", "k2"], "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("extra", F.lit(0.0)))
+            [part.column("doc_id"), pa.array(w.n_words.astype(np.int64)), pa.array(sums, pa.float64()),
+             _tail(w, h, ids, missed, n if n is not None else np.zeros(_V))], ["doc_id", "n_tokens", "log_prob", "tail"])
+
+    out = map_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run,
+                   "doc_id long, n_tokens long, log_prob double, tail array<struct<h:long,c:long,u:double>>")
+    if least > 1:
+        out = saved(out.withColumn("place", F.monotonically_increasing_id()))
+        tail = out.select("place", F.inline("tail")).join(rare.where(F.col("n") < least).select("h", "s"), "h", "left")
+        extra = tail.groupBy("place").agg(F.sum(F.col("c") * F.coalesce("s", "u")).alias("extra"))
+        out = out.drop("tail").join(extra, "place", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("extra", F.lit(0.0)))
     mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).otherwise(0.0)
     return out.select("doc_id", "n_tokens", "log_prob", mean.alias("mean_log_prob"))
 
