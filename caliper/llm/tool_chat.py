@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caliper.llm.common import saved
+from caliper.llm.common import bounded_batches, saved
 
 _KINDS = {"string": str, "boolean": bool, "object": dict, "array": list}
 
@@ -147,11 +147,11 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame
     One row per call, per orphan and, where results tell their conversation, per further
     distinct row of an id: conv_id, step, call_id, status, error, n_calls, n_results,
     message.  Results with conv_id link within it; without, ids are global."""
-    local = "conv_id" in results.columns
-    for c in ("conv_id", "turn"):
+    local, kind = "conv_id" in results.columns, calls.schema["conv_id"].dataType
+    for c, own in (("conv_id", kind), ("turn", "long")):
         if c not in results.columns:
-            results = results.withColumn(c, F.lit(None).cast("long"))
-    scope = F.col("conv_id").cast("long") if local else F.lit(0).cast("long")
+            results = results.withColumn(c, F.lit(None).cast(own))
+    scope = F.col("conv_id") if local else F.lit(0).cast("long")
     calls, results = calls.withColumn("scope", scope), results.withColumn("scope", scope)
     there = F.col("call_id").isNotNull() & F.col("scope").isNotNull()
 
@@ -203,7 +203,8 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(c) for c in names[:3]), *cols[:2], b.column("n_calls"), b.column("n_results"), cols[2]], names)
 
-    return rows.mapInArrow(run, "conv_id long, step long, call_id string, status string, error string, "
+    bounded_batches(rows.sparkSession)
+    return rows.mapInArrow(run, f"conv_id {kind.simpleString()}, step long, call_id string, status string, error string, "
                                 "n_calls long, n_results long, message string")
 
 
@@ -220,13 +221,18 @@ SCHEMAS = {
 _RESULT = "role = 'user' AND (turn > 0 OR turn IS NULL)"
 
 
+def _plain_turns(turns: DataFrame) -> DataFrame:
+    """The four columns; conversations keep the type of their ids, a turn that is no number has none."""
+    return turns.select("conv_id", F.col("turn").cast("string").try_cast("long").alias("turn"), "role", "text")
+
+
 def calls_of(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of a table of turns (conv_id, turn, role, text): an assistant's
     turn is a call (``note`` up to 200 characters, else ``answer``) that uses the result
     of the assistant's turn two before; a user's turn is the result of the turn before."""
     key = lambda step: F.concat_ws(":", F.col("conv_id"), F.col("turn") - step)
+    turns = _plain_turns(turns)
     there = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
-    turns = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     calls = turns.where("role = 'assistant'").select(
         "conv_id", F.when(there, key(0)).alias("call_id"),
         F.when(F.length("text") <= 200, "note").otherwise("answer").alias("name"),
@@ -239,17 +245,18 @@ def calls_of(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 def messages_of(turns: DataFrame) -> DataFrame:
     """Every turn that ``calls_of`` makes neither a call nor a result of (system turns,
     opening prompts, other and null roles), as a message of its own: status ``message``."""
-    plain = turns.where(f"NOT coalesce(role = 'assistant', false) AND NOT coalesce({_RESULT}, false)") \
-        .select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    kind = turns.schema["conv_id"].dataType
+    plain = _plain_turns(turns).where(f"NOT coalesce(role = 'assistant', false) AND NOT coalesce({_RESULT}, false)")
 
     def run(batches):
         for b in batches:
             made = [canonical([{"role": r["role"], "turn": r["turn"], "content": r["text"]}]) for r in b.to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("conv_id"), pa.array(made, pa.string())], ["conv_id", "message"])
 
-    none = lambda kind: F.lit(None).cast(kind)
+    none = lambda of: F.lit(None).cast(of)
+    bounded_batches(turns.sparkSession)
     zero = F.lit(0).cast("long")
-    return plain.mapInArrow(run, "conv_id long, message string").select(
+    return plain.mapInArrow(run, f"conv_id {kind.simpleString()}, message string").select(
         "conv_id", none("long").alias("step"), none("string").alias("call_id"), F.lit("message").alias("status"),
         none("string").alias("error"), zero.alias("n_calls"), zero.alias("n_results"), "message")
 

@@ -477,6 +477,20 @@ def test_tool_chat_of_turns(spark):
     assert sorted(r.status for r in got if r.call_id is None) == ["bad_arguments", "orphan"]
 
 
+def test_tool_chat_of_text_ids_and_empty_tables(spark):
+    """Conversations go by ids of any type; every turn of a table is in some row's message."""
+    kind = "conv_id string, turn string, role string, text string"
+    rows = [(f"c-{c}", str(t) if t != 5 else "five", "user" if t % 2 == 0 else "assistant", f"text {c} {t}") for c in (1, 2) for t in range(8)]
+    rows += [(None, None, "user", "lost"), ("c-1", "1", "assistant", "text 1 1 again"), ("c-9", None, None, None)]
+    got = tool_chat.chat(spark.createDataFrame(rows, kind)).collect()
+    assert dict(tool_chat.chat(spark.createDataFrame([], kind)).dtypes)["conv_id"] == "string"
+    for _, _, _, text in rows:
+        assert text is None or sum(f'"{text}"' in r.message for r in got) == 1
+    assert {(r.conv_id, r.call_id) for r in got if r.status == "ok"} >= {("c-1", "c-1:3"), ("c-2", "c-2:1"), ("c-2", "c-2:3")}
+    for empty in (kind, "conv_id long, turn long, role string, text string"):
+        assert tool_chat.chat(spark.createDataFrame([], empty)).count() == 0
+
+
 def test_tool_chat_carries_every_turn(spark):
     rows = [(1, 0, "system", "be brief"), (1, 1, "user", "after the system turn"), (1, 2, "assistant", "a"), (1, 3, "user", "b"),
             (2, 0, "user", "opening"), (2, 1, "assistant", "c"), (3, 0, None, "no role"), (3, 1, "narrator", "é"), (None, 0, "system", None)]
