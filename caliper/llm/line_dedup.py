@@ -26,6 +26,8 @@ from caliper.llm.common import MOST_BROADCAST_KEYS, row_key, saved
 MIN_SITES = 10
 MARGIN = 0.1
 LG_K = 12
+#: Near copies by sketches (pipeline stage): least hashes of a text, those by which groups meet, rounds.
+SKETCH, HEADS, ROUNDS = 48, 8, 3
 
 
 def _hash(line: Column) -> Column:
@@ -56,19 +58,49 @@ def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     return saved(spread.where(clear).select("h1", "h2").unionByName(exact.select("h1", "h2")))
 
 
+def _sketch(words: Column, size: int) -> Column:
+    """The ``SKETCH`` least hashes of the runs of ``size`` words (of all words, if they are fewer), sorted."""
+    runs = F.transform(words, lambda x, i: F.xxhash64(x, *[F.get(words, i + j) for j in range(1, size)]))
+    runs = F.when(F.size(words) >= size, F.slice(runs, F.lit(1), F.size(words) - (size - 1))) \
+        .otherwise(F.array(F.xxhash64(F.array_join(words, " "))))
+    return F.slice(F.array_sort(F.array_distinct(runs)), 1, SKETCH)
+
+
+def _alike(a: Column, b: Column, percent: int) -> Column:
+    """Are two texts near copies, by their sketches: of the least hashes of both, how many do both hold?"""
+    least = F.slice(F.array_sort(F.array_union(a, b)), F.lit(1), F.least(F.lit(SKETCH), F.size(F.array_union(a, b))))
+    return 100 * F.size(F.array_intersect(F.array_intersect(least, a), b)) >= percent * F.size(least)
+
+
+def _led(groups: DataFrame, percent: int) -> DataFrame:
+    """(g, first): groups (g, sketch) that are near copies of one of a smaller number."""
+    held = groups.select("g", "sketch", F.explode(F.slice("sketch", 1, HEADS)).alias("h"))
+    leaders = saved(held.groupBy("h").agg(F.min(F.struct("g", "sketch")).alias("lead"), F.count(F.lit(1)).alias("n"))
+                    .where("n > 1").select("h", F.col("lead.g").alias("first"), F.col("lead.sketch").alias("its")))
+    return held.join(leaders, "h").where((F.col("first") < F.col("g")) & _alike(F.col("sketch"), F.col("its"), percent)) \
+        .groupBy("g").agg(F.min("first").alias("first"))
+
+
 def one_row_a_class(docs: DataFrame, bad: DataFrame, site: str, size: int, percent: int) -> DataFrame:
-    """doc_id, text and site of the documents that hold a line of ``bad``, of each class of near
-    copies among them one: copies of a document are one place where its lines stand."""
-    from caliper.llm.near_dedup import near_dedup
+    """doc_id, text and site of the documents that hold a line of ``bad``, of each class of near copies
+    among them one: copies of a document are one place where its lines stand.
 
+    Equal sketches are one group.  A group is led by the first group that shares one of its ``HEADS``
+    least hashes and is alike; groups that lead are compared again, ``ROUNDS`` times, as a class may have
+    several leaders.  Leaders of a hash are one row, so a large class never emits its pairs."""
     holders = saved(_lines(docs, site).select("k1", "k2", "h1", "h2").join(bad, ["h1", "h2"], "leftsemi").select("k1", "k2").distinct())
     few = holders.limit(MOST_BROADCAST_KEYS + 1).count() <= MOST_BROADCAST_KEYS
     rows = docs.select(*row_key(), *[F.col(f"`{c}`") for c in ("doc_id", "text", site)]) \
         .join(F.broadcast(holders) if few else holders, ["k1", "k2"], "leftsemi")
-    rows = saved(rows.groupBy("k1", "k2").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.min(site).alias(site)))
-    classes = near_dedup(rows.select("doc_id", "text"), size, percent)
-    one = classes.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("r")).select("r.*")
-    return rows.join(saved(one), ["k1", "k2"], "leftsemi").select("doc_id", "text", site)
+    plain = F.filter(F.split(F.translate("text", "\t\n\x0b\x0c\r", " " * 5), " "), lambda x: x != "")
+    cut = rows.select("k1", "k2", plain.alias("w")).select("k1", "k2", _sketch(F.col("w"), size).alias("sketch"))
+    groups = saved(cut.groupBy("sketch").agg(F.min(F.struct("k1", "k2")).alias("r"))
+                   .select("sketch", "r.k1", "r.k2", F.monotonically_increasing_id().alias("g")))
+    for _ in range(ROUNDS):
+        groups = saved(groups.join(_led(groups, percent), "g", "leftanti"))
+    firsts = groups.select("k1", "k2")
+    one = rows.join(firsts, ["k1", "k2"], "leftsemi").groupBy("k1", "k2")
+    return one.agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.min(site).alias(site)).select("doc_id", "text", site)
 
 
 def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES,
@@ -89,13 +121,15 @@ def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES
 
 
 def without_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES,
-                        margin: float = MARGIN, size: int = 5, percent: int = 80) -> DataFrame:
+                        margin: float = MARGIN, size: int = 5, percent: int = 65) -> DataFrame:
     """The rows of ``docs`` with the kept lines as ``text`` (and ``n_chars`` brought in line).
 
     A document that is copied to many sites, exactly or nearly, is no boilerplate: its lines are
     left for near-dedup, which keeps one of the copies.  So lines that stand on many sites are
-    counted a second time, over one document of each class of near copies (operator 4, shingles of
-    ``size`` words) among those that hold them; what is still on ``min_sites`` sites goes from every text."""
+    counted a second time, over one document of each class of near copies (by sketches of the runs of
+    ``size`` words) among those that hold them; what is still on ``min_sites`` sites goes from every text.
+    Sketches estimate: ``percent`` lies below the 80 at which near-dedup links, so that what it
+    would link is one class here."""
     bad = boilerplate(docs, site, min_sites, margin)
     bad = boilerplate(saved(one_row_a_class(docs, bad, site, size, percent)), site, min_sites, margin)
     found = line_dedup(docs, site, min_sites, margin, bad)
