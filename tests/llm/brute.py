@@ -28,6 +28,16 @@ def base_measures(text):
     return len(w), sum(map(len, w)), sum(map(text.count, "#*$%&|<>")), dup, len(cover)
 
 
+def log_ratio_scores(texts, target, cells, buckets):
+    """Mean over each text's words and word pairs of log p_target - log p_raw, add-one smoothed, with
+    ``cells(words)`` the cells of a text's words and of its pairs; ``target``: places of the target's texts."""
+    held = [cells(WORD.findall(t or "")) for t in texts]
+    raw, good = Counter(c for x in held for c in x), Counter(c for i in target for c in held[i])
+    n_raw, n_good = sum(raw.values()) + buckets, sum(good.values()) + buckets
+    value = {c: math.log((good[c] + 1) / n_good) - math.log((raw[c] + 1) / n_raw) for c in raw}
+    return [sum(map(value.get, x)) / len(x) if x and good else 0.0 for x in held]
+
+
 def shingles(text, size):
     w = WORD.findall((text or "").translate(LOWER))
     if len(w) < size:

@@ -97,6 +97,24 @@ def test_line_dedup(spark):
     assert sorted(map(tuple, exact.collect())) == sorted(map(tuple, clear.collect()))
 
 
+def test_quality_score_equals_plain_python(spark):
+    """Every document's log ratio, from counts made in plain Python over the same cells."""
+    texts = _texts(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(9, 40)] + [(41, 0, 0), (500, 1, 0)], "doc_id long, quality int, toxic int")
+
+    def cells(words):
+        w = textnp.Words(pa.array([" ".join(words)]))
+        single = [int(x) for x in textnp.mix(w.hashes())]
+        pairs = [int(textnp.Words(pa.array([" ".join(p)])).grams(textnp.Words(pa.array([" ".join(p)])).hashes(), 2)[0][0])
+                 for p in zip(words, words[1:])]
+        return [x % quality_rules.BUCKETS for x in single + pairs]
+
+    texts = [t if t is None or len(t) < 20_000 else t[:2000] for t in texts]
+    want = brute.log_ratio_scores(texts, [i for i in range(9, 40)], cells, quality_rules.BUCKETS)
+    got = {r.doc_id: r.score for r in quality_rules.quality_rules(_docs(spark, texts), labels).collect()}
+    assert all(abs(got[i] - x) < 1e-9 for i, x in enumerate(want)) and max(want) - min(want) > 0.1
+
+
 def test_quality_measures_and_verdict(spark):
     texts = _texts() + ["#*$%&|<> x", "l\nl\nl \nl"]
     junk = [" ".join(f"{w}$$$" for w in t.split()) for t in texts[9:30]]
