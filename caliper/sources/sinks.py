@@ -28,14 +28,14 @@ def append_predictions(df: DataFrame, path: str) -> None:
 
 
 def write_metrics(metrics: DataFrame, path: str, notes: dict | None = None) -> None:
-    """One JSON document per metrics row plus an optional notes block.  Metrics
-    tables are a handful of rows (one per group x mode); a single output file."""
+    """A folder of text files with one JSON document per metrics row plus an optional
+    notes block, each written by the task that has the row."""
     out = metrics.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in metrics.columns]))
                          .alias("value"))
     if notes:
         note = metrics.sparkSession.createDataFrame([(json.dumps({"notes": notes}),)], "value string")
         out = out.unionByName(note)
-    out.coalesce(1).write.mode("overwrite").text(path)
+    out.write.mode("overwrite").text(path)
 
 
 def write_failures(df: DataFrame, id_col: str, status_col: str, path: str) -> None:
