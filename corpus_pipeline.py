@@ -4,9 +4,10 @@ Each stage works on all that the one before kept, and but for the last returns r
 the columns of ``documents``.  Between stages the rows are written to the shared folder.
 
 Edge cases are those of the operators: a document without words fails the quality rules;
-a document copied to many sites does not count as boilerplate, and a text that would lose
-more than half of its lines keeps them; of equal rows one stays; empty tables run
-through; extra columns pass through unchanged.
+copies of a document, exact or near, are one place where its lines stand, so a document copied
+to many sites does not count as boilerplate, while menus go whatever share of a page they are;
+of equal rows and of each class of near copies one stays, by what texts hold and not by their
+ids; empty tables run through; extra columns pass through unchanged.
 """
 
 from __future__ import annotations
