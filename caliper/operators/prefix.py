@@ -48,7 +48,19 @@ def materialize(df: DataFrame) -> DataFrame:
 
     path = f"{working_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the table that ``materialize`` wrote for ``df``, once nothing reads it any more, and let
+    Spark's cleaner drop the shuffle files of finished jobs: it does so when the driver's garbage is
+    collected, which long loops of small jobs otherwise rarely bring about."""
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(df._written_to)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    sc._jvm.System.gc()
 
 
 def bucketed(df: DataFrame, by, key: str, buckets: int | None = None) -> DataFrame:
