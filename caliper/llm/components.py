@@ -2,7 +2,8 @@
 
 Each step is a partial aggregate (the least neighbour of a node) and a join back, both
 on plain keys, so a node with very many neighbours is pre-aggregated in the first and
-split by AQE in the second.  Every step's edges are written to the shared folder."""
+split by AQE in the second.  Every step's edges are written to the shared
+folder, and those of the step before removed."""
 
 from __future__ import annotations
 
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caliper.llm.common import saved
+from caliper.operators.prefix import discard
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -37,7 +39,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = saved(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = _state(edges)
     while state[0]:
-        edges = saved(_star(_star(edges, True), False))
+        before, edges = edges, saved(_star(_star(edges, True), False))
+        discard(before)
         last, state = state, _state(edges)
         if state == last:
             break

@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from caliper.llm.common import bounded_batches, map_text, row_key, saved, slices, without
 from caliper.llm.components import components
 from caliper.llm.textnp import Words, mix
+from caliper.operators.prefix import discard
 
 SHINGLE = 4
 PERCENT = 80
@@ -209,7 +210,9 @@ def _with_component(keys: DataFrame, found: DataFrame | None) -> DataFrame:
                  .withColumn("component", F.coalesce("component", "rep")))
     split = held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
         .where("lo <> hi").select("key")
-    return saved(held.join(split, "key", "leftsemi"))
+    left = saved(held.join(split, "key", "leftsemi"))
+    discard(held)
+    return left
 
 
 def links(docs: DataFrame, keys: DataFrame, sizes: DataFrame, size: int = SHINGLE,
@@ -243,6 +246,8 @@ def links(docs: DataFrame, keys: DataFrame, sizes: DataFrame, size: int = SHINGL
         checked = pairs if checked is None else saved(checked.unionByName(pairs))
         good = new if good is None else saved(good.unionByName(new))
         found = saved(components(good))
+        if turn:
+            discard(held)
     return found if found is not None else docs.sparkSession.createDataFrame([], "node long, component long")
 
 
@@ -255,9 +260,10 @@ def near_dedup(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, hal
         .agg(F.min("doc_id").alias("least"), F.min(F.struct("k1", "k2", "a", "b")).alias("r")) \
         .select("s1", "s2", F.col("n_shingles").alias("n"), "least", "r.k1", "r.k2", "r.a", "r.b")
     reps = saved(reps.withColumn("rep", F.monotonically_increasing_id()))
-    keys = saved(table_keys(reps))
-    few = saved(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
-    keys = saved(keys.join(few, "key", "leftsemi"))
+    every = saved(table_keys(reps))
+    few = saved(every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+    keys = saved(every.join(few, "key", "leftsemi"))
+    discard(every)
     ids = saved(keys.select("rep").distinct())
     texts = saved(pick_texts(docs, saved(reps.select("rep", "k1", "k2").join(ids, "rep", "leftsemi"))))
     found = saved(links(texts, keys, reps.select("rep", "n"), size, percent, rounds).select(F.col("node").alias("rep"), "component"))
