@@ -6,11 +6,12 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from caliper.operators.prefix import materialize
+from caliper.session import bounded_batches
 
 #: Text bytes handled at once inside a task; longer texts are handled alone.
 CHUNK_BYTES = 1 << 20
@@ -56,19 +57,6 @@ def slices(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Itera
     yield batch.slice(begin)
 
 
-#: Bytes of an Arrow batch between the JVM and a Python worker.  Spark's own 64 MB stand several times
-#: over in each task (the JVM's growing vectors, its buffers, the worker), with no gain for texts.
-BATCH_BYTES = 8 << 20
-_BATCH_CONF, _SPARKS_OWN = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Hold Arrow batches to ``BATCH_BYTES``, unless the session has its own bound."""
-    now = spark.conf.get(_BATCH_CONF, str(_SPARKS_OWN)).lower().rstrip("b")
-    if now in ("-1", str(_SPARKS_OWN)):
-        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
-
-
 def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]],
              schema: str | StructType, column: str = "text", most: int = CHUNK_BYTES) -> DataFrame:
     """``mapInArrow`` over slices of bounded text size; ``fn`` yields record batches."""

@@ -8,6 +8,7 @@ nothing downstream re-runs the scorer.
 
 from __future__ import annotations
 
+import gc
 import time
 from collections.abc import Callable
 
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from caliper.session import bounded_batches
 from caliper.sources.readers import with_row_id
 
 
@@ -45,7 +47,8 @@ def score_table(df: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame],
     which it raises is scored row by row.  What still fails goes to ``fallback`` in the
     same way; a row that fails there too gets NULL outputs and the message in
     ``_error``.  Filters and limits must be applied *before* this call (they are not
-    pushed through Python)."""
+    pushed through Python).  A batch holds some 8 MB, or one longer row, and is gone before
+    the next one is scored: a worker's memory does not grow with the table."""
     names = [f.name for f in outputs.fields]
     schema = _out_schema(df, outputs)
 
@@ -82,27 +85,38 @@ def score_table(df: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame],
             if not len(at):
                 return
 
-    def run(batches):
-        for pdf in batches:
-            pdf = pdf.reset_index(drop=True)
-            state = _Batch(len(pdf))
-            if len(pdf):
-                all_tries(scorer, pdf, np.arange(len(pdf)), state)
-                left = np.flatnonzero(~state.done)
-                if len(left) and fallback is not None:
-                    all_tries(fallback, pdf, left, state)
-            out = pdf.copy()
-            whole = pd.concat(state.parts) if state.parts else pd.DataFrame(columns=names, dtype=object)
-            for n in names:
-                column = whole[n]
-                if not state.done.all():    # rows without outputs are NULL, whatever the column's type
-                    column = column.astype(object)
-                column = column.reindex(pdf.index)
-                out[n] = column if state.done.all() else column.where(state.done, None)
-            state.errors[state.done] = None
-            out["_error"] = state.errors
-            yield out
+    def one(pdf):
+        state = _Batch(len(pdf))
+        if len(pdf):
+            all_tries(scorer, pdf, np.arange(len(pdf)), state)
+            left = np.flatnonzero(~state.done)
+            if len(left) and fallback is not None:
+                all_tries(fallback, pdf, left, state)
+        out = pdf.copy()
+        whole = pd.concat(state.parts) if state.parts else pd.DataFrame(columns=names, dtype=object)
+        for n in names:
+            column = whole[n]
+            if not state.done.all():    # rows without outputs are NULL, whatever the column's type
+                column = column.astype(object)
+            column = column.reindex(pdf.index)
+            out[n] = column if state.done.all() else column.where(state.done, None)
+        state.errors[state.done] = None
+        out["_error"] = state.errors
+        return out
 
+    def run(batches):
+        # pandas' accessors (``.str``) refer to the column that refers to them, so a batch's texts
+        # would lie until Python's collector happens to run; what was there before is left alone.
+        gc.freeze()
+        try:
+            for pdf in batches:
+                yield one(pdf.reset_index(drop=True))
+                del pdf
+                gc.collect()
+        finally:
+            gc.unfreeze()
+
+    bounded_batches(df.sparkSession)
     scored = df.mapInPandas(run, schema)
     if materialize:
         from caliper.operators.prefix import materialize as _m

@@ -244,3 +244,25 @@ def test_fusion_change_flags_normalise_families(spark):
         {c: F.lit(0) for c in ("base_melanoma_prediction", "base_malignancy_prediction", "specialist_melanoma_prediction")})
     got = fusion.change_flags(df, "f", "b", "base_melanoma_prediction", "base_malignancy_prediction").collect()
     assert all(r.changed_family_from_base == r.want for r in got)
+
+
+def test_scoring_memory_is_a_batch(spark):
+    """Wide rows come in batches of bounded size, and a scored batch is gone when the next one comes,
+    even if the scorer leaves it in a cycle, as pandas' ``.str`` does."""
+    out = StructType([StructField(n, DoubleType(), True) for n in ("rows", "held")])
+    seen = []
+
+    def scorer(pdf):
+        import weakref
+
+        class Held:
+            pass
+
+        held = Held()
+        held.itself = held
+        seen.append(weakref.ref(held))
+        return pd.DataFrame({"rows": [float(len(pdf))] * len(pdf), "held": float(sum(x() is not None for x in seen) - 1)})
+
+    wide = spark.range(0, 8000, 1, 1).select("id", F.repeat(F.lit("x"), 4000).alias("text"))
+    got = scoring.score_table(wide, scorer, out).agg(F.count("*"), F.max("rows"), F.max("held")).first()
+    assert got[0] == 8000 and got[1] < 4000 and got[2] == 0
