@@ -47,7 +47,15 @@ def read_store(spark: SparkSession, store_path: str) -> DataFrame | None:
 def read_manifest(spark: SparkSession, store_path: str) -> DataFrame:
     """The finished runs of a store: run, kind (batch or stream), stream, batch_id, finished."""
     runs = _read(spark, _manifest_path(store_path))
-    return spark.createDataFrame([], MANIFEST) if runs is None else runs
+    return _manifest_rows(spark.range(0)) if runs is None else runs
+
+
+def _manifest_rows(like: DataFrame, *values) -> DataFrame:
+    """One row of the manifest for each row of ``like``; made in the JVM, so that no executor
+    starts Python workers (of another kind than the scorer's) for it."""
+    fields = [f.split() for f in MANIFEST.split(", ")]
+    values += (None,) * (len(fields) - len(values))
+    return like.select(*[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(values, fields, strict=True)])
 
 
 def _manifest_path(store_path: str) -> str:
@@ -64,8 +72,8 @@ def _next_run(spark: SparkSession, store_path: str, store: DataFrame | None) ->
 
 def _finish(spark: SparkSession, store_path: str, run: int, kind: str, stream: str | None = None,
             batch_id: int | None = None) -> None:
-    row = spark.createDataFrame([(run, kind, stream, batch_id, None)], MANIFEST)
-    row.withColumn("finished", F.current_timestamp()).coalesce(1).write.mode("append").parquet(_manifest_path(store_path))
+    row = _manifest_rows(spark.range(1, numPartitions=1), run, kind, stream, batch_id)
+    row.withColumn("finished", F.current_timestamp()).write.mode("append").parquet(_manifest_path(store_path))
 
 
 def _fine(error_col: str):

@@ -266,3 +266,16 @@ def test_scoring_memory_is_a_batch(spark):
     wide = spark.range(0, 8000, 1, 1).select("id", F.repeat(F.lit("x"), 4000).alias("text"))
     got = scoring.score_table(wide, scorer, out).agg(F.count("*"), F.max("rows"), F.max("held")).first()
     assert got[0] == 8000 and got[1] < 4000 and got[2] == 0
+
+
+def test_manifest_needs_no_python(spark, tmp_path):
+    """The manifest is written and read without a Python worker, and its rows are as before."""
+    store = str(tmp_path / "store")
+    empty = incremental.read_manifest(spark, store)
+    assert empty.count() == 0 and [f"{n} {t}" for n, t in empty.dtypes] == incremental.MANIFEST.replace("long", "bigint").split(", ")
+    assert "ExistingRDD" not in empty._jdf.queryExecution().toString()
+    incremental._finish(spark, store, 3, "stream", "a", 7)
+    incremental._finish(spark, store, 4, "batch")
+    rows = incremental.read_manifest(spark, store).orderBy("run").collect()
+    assert [(r.run, r.kind, r.stream, r.batch_id) for r in rows] == [(3, "stream", "a", 7), (4, "batch", None, None)]
+    assert all(r.finished is not None for r in rows)
