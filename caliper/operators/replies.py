@@ -138,7 +138,10 @@ def parse_replies(df: DataFrame, text_col: str, mode="fenced_or_embedded",
                   exact_items: int | None = None) -> DataFrame:
     """Add ``_reply`` (VARIANT object) and ``_error`` (NULL when fine).
 
-    ``mode`` is a mode name or a Column naming one per row.  ``exact_items`` (R5)
+    ``mode`` is a mode name, a Column naming one per row, or a list of names: then a text
+    is parsed once for all of them that take the same part of it, and each row has in
+    ``modes`` those that it holds for (every one of the list in one row of each text).
+    ``exact_items`` (R5)
     requires ``list_key`` to be a list of exactly that many items.  ``on_error``:
     ``keep`` (error row kept, fields null), ``drop`` (error rows removed) or
     ``fail`` (the job raises on the first bad reply).
@@ -147,17 +150,27 @@ def parse_replies(df: DataFrame, text_col: str, mode="fenced_or_embedded",
     checks read the parsed columns (one parse per candidate and wrapper per row)."""
     cols = df.columns
     text = F.col(text_col)
-    if isinstance(mode, Column):
-        prim = fall = None
-        for m in MODES:
-            p, q = _candidates(text, m)
-            q = F.lit(None) if q is None else q
-            prim = F.when(mode == m, p) if prim is None else prim.when(mode == m, p)
-            fall = F.when(mode == m, q) if fall is None else fall.when(mode == m, q)
+    several = not isinstance(mode, (str, Column))
+    second = "__c" if several else "__q"
+    if several:
+        parts = F.array(*[F.struct(F.lit(m).alias("mode"), p.cast("string").alias("p"),
+                                   (F.lit(None) if q is None else q).cast("string").alias("q"))
+                          for m in mode for p, q in [_candidates(text, m)]])
+        each = df.select(*cols, parts.alias("__c")).select(
+            "*", F.explode(F.array_distinct(F.transform("__c", lambda c: c["p"]))).alias("__p"))
+        staged = each.select(*cols, "__p", F.filter("__c", lambda c: c["p"].eqNullSafe(F.col("__p"))).alias("__c"))
     else:
-        prim, fall = _candidates(text, mode)
-        fall = F.lit(None) if fall is None else fall
-    staged = df.select(*cols, prim.cast("string").alias("__p"), fall.cast("string").alias("__q"))
+        if isinstance(mode, Column):
+            prim = fall = None
+            for m in MODES:
+                p, q = _candidates(text, m)
+                q = F.lit(None) if q is None else q
+                prim = F.when(mode == m, p) if prim is None else prim.when(mode == m, p)
+                fall = F.when(mode == m, q) if fall is None else fall.when(mode == m, q)
+        else:
+            prim, fall = _candidates(text, mode)
+            fall = F.lit(None) if fall is None else fall
+        staged = df.select(*cols, prim.cast("string").alias("__p"), fall.cast("string").alias("__q"))
 
     def wrap_a(c):
         return F.try_parse_json(F.concat(F.lit("["), F.col(c), F.lit("]")))
@@ -169,8 +182,16 @@ def parse_replies(df: DataFrame, text_col: str, mode="fenced_or_embedded",
                 & F.try_variant_get(F.col(a), "$[0]", "variant").isNotNull()
                 & F.try_parse_json(F.concat(F.lit('{"r":'), F.col(c), F.lit("}"))).isNotNull())
 
-    p1 = staged.select(*cols, "__p", "__q", wrap_a("__p").alias("__pa"))
-    p2 = p1.select(*cols, "__q", "__pa", strict_ok("__pa", "__p").alias("__pok"))
+    p1 = staged.select(*cols, "__p", second, wrap_a("__p").alias("__pa"))
+    p2 = p1.select(*cols, second, "__pa", strict_ok("__pa", "__p").alias("__pok"))
+    if several:     # modes whose first part failed go on by their second parts
+        none = F.lit(None).cast("string")
+        rest = F.when(F.col("__pok"), F.array(none)).otherwise(
+            F.array_distinct(F.transform("__c", lambda c: c["q"])))
+        held = F.filter("__c", lambda c: F.col("__pok") | c["q"].eqNullSafe(F.col("__q")))
+        p2 = p2.select("*", F.explode(rest).alias("__q")).select(
+            *cols, "__q", "__pa", "__pok", F.transform(held, lambda c: c["mode"]).alias("modes"))
+        cols = [*cols, "modes"]
     # The fallback candidate is parsed only for rows whose primary candidate failed.
     p3 = p2.select(*cols, "__q", "__pa", "__pok",
                    F.when(~F.col("__pok"), wrap_a("__q")).alias("__qa"))

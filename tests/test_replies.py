@@ -72,3 +72,17 @@ def test_truthy_and_differential(spark):
         ("melanoma", 0.6), ("melanocytic nevus", 0.0), ("melanocytic nevus", 0.0)]
     j = v.select(R.list_to_json(F.array(F.lit(1), F.lit(2)))).first()[0]
     assert j == "[1,2]"
+
+
+def test_several_modes_parse_a_text_once(spark):
+    """A list of modes gives what one row per mode gives, and texts that the modes read alike are parsed once."""
+    ok = '{"primary_diagnosis": "x", "top3_differential": []}'
+    texts = [ok, f"```json\n{ok}\n```", f"  {ok}\n", f"Sure: {ok} Bye.", f"{ok} {ok}", "[1]", "7", "", "   ", None, "no", "{", "}{",
+             f"```\nSo: {ok}\n```", f"```JSON {ok}```", '{"a": 1}}', f"x {ok} ```", "null", '"{}"', f" {ok}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    one = R.parse_replies(df.select("*", F.explode(F.array(*[F.lit(m) for m in R.MODES])).alias("mode")), "text", mode=F.col("mode"))
+    every = R.parse_replies(df, "text", mode=R.MODES)
+    cols = ["id", "mode", F.col("_reply").cast("string").alias("reply"), "_error"]
+    assert sorted(map(str, every.withColumn("mode", F.explode("modes")).select(*cols).collect())) == sorted(map(str, one.select(*cols).collect()))
+    assert [sorted(r.modes) for r in every.where("id = 0").collect()] == [sorted(R.MODES)]
+    assert R.parse_replies(df, "text", mode=["strict", "fenced"], on_error="drop").where("id = 0").count() == 1
