@@ -8,7 +8,9 @@
   without a theta join or candidates to verify: a stem contains a key if one of its
   substrings of the key's length equals it, so stems are cut into their substrings of
   the lengths that keys have, those that are no wanted key are dropped at once, and the
-  best path of each key is found by one (map-side combined) aggregate of the hits.
+  best file of each key is found by one map-side combined aggregate of the hits.  Files are
+  put in order once and go by their number: a least number is kept in a hash table, where a
+  least path would have every hit sorted inside its task.
 """
 
 from __future__ import annotations
@@ -106,22 +108,33 @@ def resolve_keys(wanted: DataFrame, key_col: str, aliases: DataFrame,
     ).select("key", "b.path", "b.priority")
 
 
-def substring_hits(keys: DataFrame, key_col: str, catalog: DataFrame, path_col: str = "path") -> DataFrame:
+def ordered_files(catalog: DataFrame, path_col: str = "path") -> DataFrame:
+    """(path, rank): every path once, written in the order of stem length and path, which the
+    ranks follow (with gaps).  Paths are dealt first, however few files hold the catalog, so
+    what a task holds does not grow with the table."""
+    paths = catalog.select(F.col(path_col).alias("path")).repartition("path").distinct()
+    order = [F.length(file_stem(F.col("path"))), F.col("path")]
+    return materialize(paths.repartitionByRange(*order).sortWithinPartitions(*order)
+                       .withColumn("rank", F.monotonically_increasing_id()))
+
+
+def substring_hits(keys: DataFrame, key_col: str, catalog: DataFrame, path_col: str = "path",
+                   carry: str | None = None) -> DataFrame:
     """(key, path, n): every file whose stem contains a wanted key at some place, n the stem's
-    length.  Substrings that are no key are dropped where they are cut, in a join with the keys,
+    length; with ``carry``, (key, that column of the catalog).  Substrings that are no key are dropped where they are cut, in a join with the keys,
     broadcast up to a counted bound; beyond it the join shuffles them."""
     k = keys.select(F.col(key_col).alias("key")).where(
         F.col("key").isNotNull() & (F.length("key") > 0)).distinct()
     lengths = k.agg(F.collect_set(F.length("key")).alias("sizes"))    # one row: the few distinct lengths
-    stems = catalog.select(F.col(path_col).alias("path"),
-                           file_stem(F.col(path_col)).alias("stem"))
     stem, size = F.col("stem"), F.col("size")
-    cut = (attach_single_row(stems, lengths).select("path", "stem", F.explode("sizes").alias("size"))
+    file = [F.col(path_col).alias("path"), F.length("stem").alias("n")] if carry is None else [F.col(carry)]
+    stems = catalog.withColumn("stem", file_stem(F.col(path_col))).select("stem", *file)
+    cut = (attach_single_row(stems, lengths).select("*", F.explode("sizes").alias("size"))
            .where(F.length("stem") >= size)
-           .select("path", F.length("stem").alias("n"), F.explode(F.array_distinct(F.transform(
+           .select(*stems.columns[1:], F.explode(F.array_distinct(F.transform(
                F.sequence(F.lit(1), F.length("stem") - size + 1),
                lambda i: F.substring(stem, i, size)))).alias("key")))
-    return cut.join(broadcast_if_small(k, MOST_BROADCAST_KEYS), "key", "left_semi").select("key", "path", "n")
+    return cut.join(broadcast_if_small(k, MOST_BROADCAST_KEYS), "key", "left_semi").select("key", *stems.columns[1:])
 
 
 #: Up to so many wanted keys are broadcast to the cutting of the stems.
@@ -132,9 +145,13 @@ def resolve_by_substring(keys: DataFrame, key_col: str, catalog: DataFrame,
                          path_col: str = "path") -> DataFrame:
     """For each key, the file whose stem contains it; several -> shortest stem,
     then smallest path.  Keys without a hit are absent from the result."""
+    return _by_substring(keys, key_col, ordered_files(catalog, path_col))
+
+
+def _by_substring(keys: DataFrame, key_col: str, files: DataFrame) -> DataFrame:
     wanted = materialize(keys.select(F.col(key_col).alias("key")).distinct())
-    hits = substring_hits(wanted, "key", catalog, path_col)
-    return hits.groupBy("key").agg(F.min(F.struct("n", "path")).alias("b")).select("key", "b.path")
+    hits = substring_hits(wanted, "key", files, "path", carry="rank")
+    return hits.groupBy("key").agg(F.min("rank").alias("rank")).join(files, "rank").select("key", "path")
 
 
 def find_files(wanted: DataFrame, key_col: str, catalog: DataFrame, path_col: str = "path",
@@ -142,7 +159,7 @@ def find_files(wanted: DataFrame, key_col: str, catalog: DataFrame, path_col: st
                substring_fallback: bool = True, out: str = "path") -> DataFrame:
     """J1 then J2 on the remainder: ``wanted`` + ``out`` (NULL when unresolved) +
     ``<out>_by`` (candidate priority, 'substring' or NULL)."""
-    files = catalog.select(F.col(path_col).alias("path"))
+    files = ordered_files(catalog, path_col) if substring_fallback else catalog.select(F.col(path_col).alias("path"))
     exact = resolve_keys(wanted, key_col, alias_table(files, "path", alias_rule), candidate_rule)
     res = exact.select("key", "path", F.col("priority").cast("string").alias("by"))
     if substring_fallback:
@@ -150,7 +167,7 @@ def find_files(wanted: DataFrame, key_col: str, catalog: DataFrame, path_col: st
         remaining = (wanted.select(strip(F.col(key_col).cast("string")).alias("key"))
                      .where(F.col("key").isNotNull()).distinct()
                      .join(exact.select("key"), "key", "left_anti"))
-        sub = resolve_by_substring(remaining, "key", files, "path")
+        sub = _by_substring(remaining, "key", files)
         res = res.unionByName(sub.select("key", "path", F.lit("substring").alias("by")))
     w = wanted.withColumn("__key", strip(F.col(key_col).cast("string")))
     found = (w.where(F.col("__key").isNotNull())

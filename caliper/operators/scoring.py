@@ -116,7 +116,8 @@ def score_table(df: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame],
         finally:
             gc.unfreeze()
 
-    bounded_batches(df.sparkSession)
+    if isinstance(df, DataFrame):
+        bounded_batches(df.sparkSession)
     scored = df.mapInPandas(run, schema)
     if materialize:
         from caliper.operators.prefix import materialize as _m

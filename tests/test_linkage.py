@@ -112,3 +112,23 @@ def test_all_exact_skips_substring(spark):
     wanted = spark.createDataFrame([("12",), ("ISIC_13",)], "key string")
     got = {r.key: r.path_by for r in J.find_files(wanted, "key", cat).collect()}
     assert got == {"12": "0", "ISIC_13": "0"}
+
+
+def test_substring_hits_are_not_sorted(spark, monkeypatch):
+    """The best file of a key is kept in a hash table: no task sorts its hits.  Shortest stem, then smallest
+    path; paths that come twice count once."""
+    cat = spark.createDataFrame([("z/ab.jpg",), ("b/xabx.jpg",), ("a/xabx.jpg",), ("a/xabx.jpg",), ("c/qq.jpg",), (None,)], "path string")
+    files = [r.path for r in J.ordered_files(cat).orderBy("rank").collect()]
+    assert files == [None, "c/qq.jpg", "z/ab.jpg", "a/xabx.jpg", "b/xabx.jpg"]
+    plans, write = [], J.materialize
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(J, "materialize", noted)
+    keys = spark.createDataFrame([("ab",), ("xab",), ("q",), ("none",), (None,)], "k string")
+    found = J.resolve_by_substring(keys, "k", cat)
+    assert {r.key: r.path for r in found.collect()} == {"ab": "z/ab.jpg", "xab": "a/xabx.jpg", "q": "c/qq.jpg"}
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert any("min(rank" in p for p in plans) and not any("SortAggregate" in p for p in plans)
