@@ -143,88 +143,127 @@ def unflat(x: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def contexts(ids: np.ndarray, word_at: np.ndarray) -> np.ndarray:
-    """Ids of the neighbours of every word; ``_V`` stands beyond the ends of a text."""
+def contexts(ids: np.ndarray, word_at: np.ndarray, pick: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """Ids of the neighbours of every word, or of those at ``pick``; ``_V`` stands beyond the ends of a text."""
     n_docs = len(word_at) - 1
-    doc = np.repeat(np.arange(n_docs), np.diff(word_at))
-    place = np.arange(len(ids))
-    out = np.full((len(ids), 2 * SIDE), _V, np.int64)
+    at = np.arange(len(ids)) + SIDE * (1 + np.repeat(np.arange(n_docs), np.diff(word_at)))
+    padded = np.full(len(ids) + SIDE * (n_docs + 1), _V, np.int64)     # SIDE blanks before, between and after the texts
+    padded[at] = ids
+    at = at[pick]
+    out = np.empty((len(at), 2 * SIDE), np.int64)
     for k, step in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
-        at = place + step
-        ok = (at >= word_at[doc]) & (at < word_at[doc + 1])
-        out[ok, k] = ids[at[ok]]
+        out[:, k] = padded[at + step]
     return out
 
 
 def _log_chosen(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The log of the softmax of every row at its ``y``."""
-    x -= x.max(axis=1, keepdims=True)
-    chosen = x[np.arange(len(y)), y]
-    return chosen - np.log(np.exp(x, out=x).sum(axis=1))
+    """The log of the softmax of every column at its ``y``: numpy is slow along short rows."""
+    x -= x.max(axis=0)
+    chosen = x[y, np.arange(len(y))]
+    return chosen - np.log(np.exp(x, out=x).sum(axis=0))
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    """The softmax of every row, in place."""
-    x -= x.max(axis=1, keepdims=True)
+    """The softmax of every column, in place."""
+    x -= x.max(axis=0)
     np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
+    x /= x.sum(axis=0)
     return x
 
 
-def log_probs(net: dict[str, np.ndarray], ids: np.ndarray, around: np.ndarray, most: int = 1 << 14) -> np.ndarray:
+def _by_class(y: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order in which words of a class stand together, and (class, begin, end) of each there."""
+    group = (y // MEMBERS).astype(np.uint16)            # numpy sorts short integers by counting
+    ends = np.cumsum(np.bincount(group, minlength=CLASSES)).tolist()
+    spans = [(c, i, j) for c, (i, j) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if i < j]
+    return np.argsort(group, kind="stable"), spans
+
+
+def _hidden(net: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Embeddings of the neighbours, and the hidden layer."""
+    e = net["emb"].take(x.ravel(), axis=0).reshape(len(x), -1)
+    h = e @ net["w"]
+    h += net["b"]
+    return e, np.tanh(h, out=h)
+
+
+def _classes(net: dict[str, np.ndarray], h: np.ndarray) -> np.ndarray:
+    """Scores of the classes, a column for each word."""
+    out = net["c"].T @ h.T
+    out += net["cb"][:, None]
+    return out
+
+
+def _members(net: dict[str, np.ndarray], h: np.ndarray, spans: list[tuple[int, int, int]]) -> np.ndarray:
+    """Scores of the members of each word's own class, a column for each word."""
+    out = np.empty((MEMBERS, len(h)), np.float32)
+    for c, i, j in spans:
+        np.add(net["m"][c].T @ h[i:j].T, net["mb"][c][:, None], out=out[:, i:j])
+    return out
+
+
+def log_probs(net: dict[str, np.ndarray], ids: np.ndarray, around: np.ndarray, most: int = 1 << 12) -> np.ndarray:
     """log p(word | both sides) of every word."""
     out = np.zeros(len(ids))
     for a in range(0, len(ids), most):
-        y, x = ids[a:a + most], around[a:a + most]
-        h = np.tanh(net["emb"][x].reshape(len(y), -1) @ net["w"] + net["b"])
-        group = y // MEMBERS
-        got = _log_chosen(h @ net["c"] + net["cb"], group).astype(np.float64)
-        order = np.argsort(group, kind="stable")
-        ends = np.searchsorted(group[order], np.arange(CLASSES + 1))
-        for c in np.flatnonzero(np.diff(ends)):
-            rows = order[ends[c]:ends[c + 1]]
-            got[rows] += _log_chosen(h[rows] @ net["m"][c] + net["mb"][c], y[rows] % MEMBERS)
-        out[a:a + most] = got
+        order, spans = _by_class(ids[a:a + most])
+        y = ids[a:a + most][order]
+        h = _hidden(net, around[a:a + most][order])[1]
+        got = _log_chosen(_classes(net, h), y // MEMBERS).astype(np.float64)
+        got += _log_chosen(_members(net, h, spans), y % MEMBERS)
+        out[a + order] = got
     return out
 
 
+def _sums(grad: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ``ids`` in order, and for each the sum of its columns of ``grad`` (neighbour, width, word)."""
+    rows = np.flatnonzero(np.bincount(ids))
+    place = np.zeros(_V + 1, np.int64)
+    place[rows] = np.arange(len(rows))
+    ids = place[ids]
+    out = np.empty((len(rows), grad.shape[1]), np.float32)
+    for d in range(grad.shape[1]):
+        out[:, d] = np.bincount(ids, grad[:, d].ravel())
+    return rows, out
+
+
 def train_step(net: dict[str, np.ndarray], seen: dict[str, np.ndarray], y: np.ndarray, x: np.ndarray) -> None:
     """One Adagrad step on a batch, in place; ``seen`` holds the sums of squares."""
-    order = np.argsort(y // MEMBERS, kind="stable")            # words of a class stand together
+    order, spans = _by_class(y)                                # words of a class stand together
     y, x = y[order], x[order]
-    n, group, member = len(y), y // MEMBERS, y % MEMBERS
-    classes, begin = np.unique(group, return_index=True)
-    spans = list(zip(classes.tolist(), begin.tolist(), [*begin[1:].tolist(), n], strict=True))
-    e = net["emb"][x].reshape(n, -1)
-    h = np.tanh(e @ net["w"] + net["b"])
-    dc = _softmax(h @ net["c"] + net["cb"])
-    dc[np.arange(n), group] -= 1
-    dh = dc @ net["c"].T
-    dm = np.empty((n, MEMBERS), np.float32)
-    for c, i, j in spans:
-        dm[i:j] = h[i:j] @ net["m"][c] + net["mb"][c]
-    _softmax(dm)
-    dm[np.arange(n), member] -= 1
-    gm = np.empty((len(classes), HIDDEN, MEMBERS), np.float32)
+    n, every = len(y), np.arange(len(y))
+    e, h = _hidden(net, x)
+    dc = _softmax(_classes(net, h))
+    dc[y // MEMBERS, every] -= 1
+    dh = dc.T @ net["c"].T
+    dm = _softmax(_members(net, h, spans))
+    dm[y % MEMBERS, every] -= 1
+    gm = np.empty((len(spans), HIDDEN, MEMBERS), np.float32)
     for k, (c, i, j) in enumerate(spans):
-        dh[i:j] += dm[i:j] @ net["m"][c].T
-        gm[k] = h[i:j].T @ dm[i:j]
-    dh *= 1 - h * h
-    flat_x = x.ravel()
-    by = np.argsort(flat_x, kind="stable")
-    rows, at = np.unique(flat_x[by], return_index=True)
-    de = np.add.reduceat((dh @ net["w"].T).reshape(-1, WIDTH)[by], at, axis=0)
+        dh[i:j] += dm[:, i:j].T @ net["m"][c].T
+        np.matmul(h[i:j].T, dm[:, i:j].T, out=gm[k])
+    gc = h.T @ dc.T
+    dh *= 1 - np.multiply(h, h, out=h)
+    rows, de = _sums((net["w"] @ dh.T).reshape(-1, WIDTH, n), x.T.ravel())
 
     def move(key, grad, rows=slice(None)):
-        grad = grad / np.float32(n)
-        total = seen[key][rows] + grad * grad
-        seen[key][rows] = total
-        net[key][rows] -= RATE * grad / np.sqrt(total)
-
-    move("c", h.T @ dc)
-    move("cb", dc.sum(0))
+        grad /= np.float32(n)
+        step = grad * grad
+        total = seen[key][rows]
+        total += step
+        np.sqrt(total, out=step)
+        np.divide(np.multiply(grad, np.float32(RATE), out=grad), step, out=step)
+        if isinstance(rows, slice):
+            net[key] -= step
+        else:
+            seen[key][rows] = total
+            net[key][rows] -= step
+
+    classes = slice(None) if len(spans) == CLASSES else [c for c, _, _ in spans]
+    move("c", gc)
+    move("cb", dc.sum(1))
     move("m", gm, classes)
-    move("mb", np.add.reduceat(dm, begin, axis=0), classes)
+    move("mb", np.ascontiguousarray(np.add.reduceat(dm, [i for _, i, _ in spans], axis=1).T), classes)
     move("w", e.T @ dh)
     move("b", dh.sum(0))
     move("emb", de, rows)
@@ -243,7 +282,7 @@ def _train_round(docs: DataFrame, net: np.ndarray, top, rank, turn: int, stride:
                 ids = word_ids(h, top, rank)
                 place = np.arange(len(ids)) - np.repeat(w.word_at[:-1], w.n_words)
                 pick = np.flatnonzero((place + h % _U(5)) % stride == turn * 7 % stride)
-                around = contexts(ids, w.word_at)[pick]
+                around = contexts(ids, w.word_at, pick)
                 mixed = np.argsort(mix(pick.astype(np.uint64) + _U(turn)))
                 for a in range(0, len(pick), BATCH):
                     rows = mixed[a:a + BATCH]

@@ -258,6 +258,45 @@ def test_masked_lm_gradient():
     assert masked_lm.log_probs(net, y, x).mean() > before + 1
 
 
+def test_masked_lm_step_equals_plain():
+    """A step on some classes, or on all, is one Adagrad step with the gradient written out; contexts of
+    picked words are those of all words."""
+    rng = np.random.default_rng(2)
+    V, E, M = masked_lm._V, masked_lm.WIDTH, masked_lm.MEMBERS
+    for most in (300, V):
+        net = {k: (rng.standard_normal(s) * 0.3).astype(np.float32) for k, s in masked_lm._SHAPES.items()}
+        y, x = rng.integers(0, most, 900), rng.integers(0, V + 1, (900, 4))
+        want = {k: v.astype(float) for k, v in net.items()}
+        grad = {k: np.zeros(s) for k, s in masked_lm._SHAPES.items()}
+        for t, around in zip(y, x, strict=True):
+            c, m = divmod(int(t), M)
+            e = want["emb"][around].ravel()
+            h = np.tanh(e @ want["w"] + want["b"])
+            dh = 0
+            for w, b, at, k in (("c", "cb", ..., c), ("m", "mb", c, m)):
+                p = np.exp(h @ want[w][at] + want[b][at])
+                p /= p.sum()
+                p[k] -= 1
+                grad[w][at] += np.outer(h, p)
+                grad[b][at] += p
+                dh = dh + want[w][at] @ p
+            dh = dh * (1 - h * h)
+            grad["w"] += np.outer(e, dh)
+            grad["b"] += dh
+            np.add.at(grad["emb"], around, (want["w"] @ dh).reshape(-1, E))
+        seen = {k: np.full(s, masked_lm.FLOOR, np.float32) for k, s in masked_lm._SHAPES.items()}
+        masked_lm.train_step(net, seen, y, x)
+        for k, g in grad.items():
+            g /= len(y)
+            step = masked_lm.RATE * g / np.sqrt(masked_lm.FLOOR + g * g)
+            assert np.abs(net[k] - (want[k] - step)).max() < 1e-4, k
+    w = textnp.Words(pa.array(["a b c d", None, "e", "", "f g"]))
+    ids, pick = np.arange(10, 17), np.array([1, 4, 6])
+    every = masked_lm.contexts(ids, w.word_at)
+    assert every.tolist() == [[V, V, 11, 12], [V, 10, 12, 13], [10, 11, 13, V], [11, 12, V, V], [V] * 4, [V, V, 16, V], [V, 15, V, V]]
+    assert (masked_lm.contexts(ids, w.word_at, pick) == every[pick]).all()
+
+
 def test_sentencepiece_equals_library(spark):
     import hashlib
 
