@@ -60,7 +60,7 @@ def bytes_of(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(arr, pa.ChunkedArray):
         arr = arr.combine_chunks()
     arr = arr.fill_null("") if arr.null_count else arr
-    wide = pa.types.is_large_string(arr.type)
+    wide = pa.types.is_large_string(arr.type) or pa.types.is_large_binary(arr.type)
     off = np.frombuffer(arr.buffers()[1], np.int64 if wide else np.int32)
     off = off[arr.offset:arr.offset + len(arr) + 1].astype(np.int64) if len(arr) else np.zeros(1, np.int64)
     raw = arr.buffers()[2]

@@ -38,33 +38,47 @@ BLOCK_IDS = 1 << 19
 #: A worker remembers the ids of so many pieces, of so many bytes at most each; when it holds more it
 #: forgets those that it met in one slice only since it last did so (or all, if most were met again).
 MOST_PIECES, MOST_BYTES = 1_000_000, 64
-GROUP = 1000
+#: So many new pieces go to the library as one text; it is slower on longer ones.
+GROUP = 200
 #: How the byte-level vocabulary writes a space.
 SPACE = "Ġ"
 _LENGTHS = np.stack([(np.arange(256) >> s & 3) + 1 for s in (0, 2, 4, 6)], axis=1).astype(np.uint8)
 _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _CONTROL = np.isin(np.arange(256), [28, 29, 30, 31])
 _LEAD = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
+_RARE = _CONTROL | _LEAD
 #: UTF-8 of white space beyond ASCII.
 _WIDE = {"\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000"[k].encode() for k in range(8)} \
     | {chr(c).encode() for c in range(0x2000, 0x200B)}
 _encoders: dict[str, Encoder] = {}
 
 
-def _unusual(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Texts with white space before a space, separators, or white space beyond ASCII:
-    there a cut at each space might not be a cut of the tokenizer's splitter."""
-    odd = np.zeros(len(data), bool)
-    odd[:-1] = _BLANK[data[:-1]] & (data[1:] == 32)
-    end = at[1:] - 1
-    odd[end[end >= 0]] = False          # a text's last byte stands before another text's first
-    odd |= _CONTROL[data]
-    raw = data.tobytes()
-    for i in np.flatnonzero(_LEAD[data]).tolist():
-        if raw[i:i + 2] in _WIDE or raw[i:i + 3] in _WIDE:
-            odd[i] = True
-    count = np.concatenate(([0], np.cumsum(odd)))
-    return count[at[1:]] > count[at[:-1]]
+def _unusual(data: np.ndarray, at: np.ndarray, space: np.ndarray) -> np.ndarray:
+    """Texts with white space before a space (``space``: where spaces are), separators, or white space
+    beyond ASCII: there a cut at each space might not be a cut of the tokenizer's splitter."""
+    place = space[_BLANK[data[space - 1]]] if len(space) else space
+    place = place[~np.isin(place, at)]  # a text's last byte stands before another text's first
+    rare = np.flatnonzero(_RARE[data])
+    kind = data[rare]
+    wide = rare[_LEAD[kind]].tolist()
+    raw = data.tobytes() if wide else b""
+    wide = [i for i in wide if raw[i:i + 2] in _WIDE or raw[i:i + 3] in _WIDE]
+    odd = np.concatenate((place, rare[_CONTROL[kind]], np.array(wide, np.int64)))
+    out = np.zeros(len(at) - 1, bool)
+    out[np.searchsorted(at, odd, side="right") - 1] = True
+    return out
+
+
+def _distinct(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the distinct pairs, in order of the first, and of each pair's among them."""
+    order = np.argsort(h1)
+    new = np.ones(len(h1), bool)
+    new[1:] = h1[order[1:]] != h1[order[:-1]]
+    pick, back = order[new], np.empty(len(h1), np.int64)
+    back[order] = np.cumsum(new) - 1
+    if not (h2 == h2[pick][back]).all():        # two pieces with one first hash: go by both
+        _, pick, back = np.unique(np.stack((h1, h2)), axis=1, return_index=True, return_inverse=True)
+    return pick, back
 
 
 class Encoder:
@@ -115,22 +129,35 @@ class Encoder:
         made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, self.dtype) for x in made]
 
-    def _learn(self, pieces: list[str]) -> list[np.ndarray]:
-        """Ids of pieces.  Those of one space and other characters are joined: in a joined
-        text a piece begins at each id whose text begins with the space."""
-        out: list = [None] * len(pieces)
-        joined = [k for k, p in enumerate(pieces) if len(p) > 1 and p[0] == " " and " " not in p[1:]]
-        groups = [joined[i:i + GROUP] for i in range(0, len(joined), GROUP)]
-        for group in groups:            # one at a time: the library's results are large
-            ids = self._encode(["".join([pieces[k] for k in group])])[0]
-            at = np.flatnonzero(self.spaced[ids]).tolist()
-            if len(at) == len(group):
-                for k, a, b in zip(group, at, [*at[1:], len(ids)], strict=True):
-                    out[k] = ids[a:b]
-        left = [k for k, x in enumerate(out) if x is None]
-        for k, ids in zip(left, self._encode([pieces[k] for k in left]), strict=True):
-            out[k] = ids
-        return out
+    def _learn(self, data: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the pieces at bytes ``a`` to ``b``, and place and number of each one's ids among them.
+        Pieces of one space and other characters are joined: in a joined text a piece begins
+        at each id whose text begins with the space."""
+        size, place = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+        blanks = np.concatenate(([0], np.cumsum(data == 32)))
+        joined = (b - a > 1) & (data[a] == 32) & (blanks[b] - blanks[a] == 1)
+        made, held, left = [], 0, [np.flatnonzero(~joined)]
+        joined = np.flatnonzero(joined)
+        length = b[joined] - a[joined]
+        end = np.concatenate(([0], np.cumsum(length)))
+        body = data[np.arange(end[-1]) + np.repeat(a[joined] - end[:-1], length)].tobytes()
+        for i in range(0, len(joined), GROUP):      # one at a time: the library's results are large
+            group = joined[i:i + GROUP]
+            ids = self._encode([body[end[i]:end[i + len(group)]].decode()])[0]
+            at = np.flatnonzero(self.spaced[ids])
+            if len(at) != len(group) or at[0]:
+                left.append(group)
+                continue
+            place[group], size[group] = at + held, np.diff(at, append=len(ids))
+            made.append(ids)
+            held += len(ids)
+        for k in left:
+            found = self._encode([data[i:j].tobytes().decode() for i, j in zip(a[k].tolist(), b[k].tolist(), strict=True)])
+            size[k] = [len(x) for x in found]
+            place[k] = held + np.cumsum(size[k]) - size[k]
+            made += found
+            held += int(size[k].sum())
+        return np.concatenate(made) if made else np.zeros(0, self.dtype), place, size
 
     def _known(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         """Place and length of every known piece; length -1 of others."""
@@ -143,10 +170,10 @@ class Encoder:
         return found
 
     def _keep(self, rows: np.ndarray) -> None:
-        self.tables.append(rows[:, np.argsort(rows[0])])
+        self.tables.append(rows)        # sorted, as the distinct pieces of a slice are
         if len(self.tables) > 6:        # few tables to search: merge all
             every = np.concatenate(self.tables, axis=1)
-            self.tables = [every[:, np.argsort(every[0])]]
+            self.tables = [every[:, np.argsort(every[0], kind="stable")]]
 
     def encode(self, arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and their n+1 offsets."""
@@ -154,11 +181,9 @@ class Encoder:
             self._age()
         data, doc_at = bytes_of(arr)
         space = data == 32
-        edge = np.zeros(len(data) + 1, np.int64)
-        odd = _unusual(data, doc_at) if len(data) else np.zeros(len(arr), bool)
-        np.add.at(edge, doc_at[:-1][odd], 1)
-        np.add.at(edge, doc_at[1:][odd], -1)
-        space &= np.cumsum(edge)[:-1] == 0
+        odd = _unusual(data, doc_at, np.flatnonzero(space)) if len(data) else np.zeros(len(arr), bool)
+        for i, j in zip(doc_at[:-1][odd].tolist(), doc_at[1:][odd].tolist(), strict=True):
+            space[i:j] = False
         at = np.flatnonzero(space)
         filled = np.diff(doc_at) > 0
         first = doc_at[:-1][filled]
@@ -166,24 +191,17 @@ class Encoder:
         starts = np.sort(np.concatenate((first, at)), kind="stable")
         ends = np.sort(np.concatenate((at, doc_at[1:][filled])), kind="stable")
         n = np.zeros(len(arr), np.int64)
-        count = np.concatenate(([0], np.cumsum(space)))
-        n[filled] = 1 + (count[doc_at[1:]] - count[doc_at[:-1]])[filled]
+        n[filled] = 1 + np.diff(np.searchsorted(at, doc_at))[filled]
         h1 = span_hashes(data, starts, ends)
         h2 = span_hashes(data, starts, ends, second=True)
-        _, pick, back = np.unique(h1, return_index=True, return_inverse=True)
-        same = h2 == h2[pick][back]
-        if not same.all():              # two pieces with one first hash: go by both
-            _, pick, back = np.unique(np.stack((h1, h2)), axis=1, return_index=True, return_inverse=True)
+        pick, back = _distinct(h1, h2)
         found = self._known(h1[pick], h2[pick])
         new = np.flatnonzero(found[1] < 0)
         if len(new):
-            raw = data.tobytes()
             a, b = starts[pick[new]], ends[pick[new]]
-            made = self._learn([raw[i:j].decode() for i, j in zip(a.tolist(), b.tolist(), strict=True)])
-            size = np.array([len(x) for x in made], np.int64)
-            found[1, new] = size
-            found[0, new] = len(self.ids) + np.cumsum(size) - size
-            self.ids = np.concatenate([self.ids, *made])
+            made, found[0, new], found[1, new] = self._learn(data, a, b)
+            found[0, new] += len(self.ids)
+            self.ids = np.concatenate([self.ids, made])
             short = new[b - a <= MOST_BYTES]
             self._keep(np.stack((h1[pick[short]], h2[pick[short]], *found[:, short].astype(np.uint64),
                                  np.zeros(len(short), np.uint64))))
@@ -214,13 +232,12 @@ def id_counts(ids: DataFrame, dtype: np.dtype) -> list[tuple[int, int]]:
     def count(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for x in batch.column("ids"):
-                n = np.bincount(np.frombuffer(x.as_buffer(), dtype))
-                if len(n) > len(total):
-                    n[:len(total)] += total
-                    total = n
-                else:
-                    total[:len(n)] += n
+            n = np.bincount(bytes_of(batch.column("ids"))[0].view(dtype))
+            if len(n) > len(total):
+                n[:len(total)] += total
+                total = n
+            else:
+                total[:len(n)] += n
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 

@@ -297,6 +297,22 @@ def test_masked_lm_step_equals_plain():
     assert (masked_lm.contexts(ids, w.word_at, pick) == every[pick]).all()
 
 
+def test_token_pieces_in_short_texts(monkeypatch):
+    """New pieces go to the library in texts of at most 200, whose ids are split again; ids equal the library's."""
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    enc, sent = token_file.Encoder(path), []
+    plain = enc._encode
+    monkeypatch.setattr(enc, "_encode", lambda texts: sent.extend(texts) or plain(texts))
+    texts = [" ".join(f"q{i}é{i * i}" for i in range(900)), "", None, "a  b", " x\n y", "z\u00a0 z", "\x1c u v", "end \n", " begin,  ", "日本 日本\nUna"]
+    for arr in (pa.array(texts), pa.array(texts[::-1]), pa.array(texts).slice(2, 5)):
+        ids, at = enc.encode(arr)
+        want = [x.ids for x in Tokenizer.from_file(path).encode_batch([t or "" for t in arr.to_pylist()], add_special_tokens=False)]
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == want
+    assert max(t.count(" ") for t in sent if "  " not in t) <= 200
+
+
 def test_sentencepiece_equals_library(spark):
     import hashlib
 
