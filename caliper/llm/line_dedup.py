@@ -73,11 +73,15 @@ def _alike(a: Column, b: Column, percent: int) -> Column:
 
 
 def _led(groups: DataFrame, percent: int) -> DataFrame:
-    """(g, first): groups (g, sketch) that are near copies of one of a smaller number."""
-    held = groups.select("g", "sketch", F.explode(F.slice("sketch", 1, HEADS)).alias("h"))
-    leaders = saved(held.groupBy("h").agg(F.min(F.struct("g", "sketch")).alias("lead"), F.count(F.lit(1)).alias("n"))
-                    .where("n > 1").select("h", F.col("lead.g").alias("first"), F.col("lead.sketch").alias("its")))
-    return held.join(leaders, "h").where((F.col("first") < F.col("g")) & _alike(F.col("sketch"), F.col("its"), percent)) \
+    """(g, first): groups (g, sketch) that are near copies of one of a smaller number.
+
+    Heads meet by their hashes and numbers alone; sketches join the distinct pairs that are to be compared."""
+    held = groups.select("g", F.explode(F.slice("sketch", 1, HEADS)).alias("h"))
+    leaders = saved(held.groupBy("h").agg(F.min("g").alias("first"), F.count(F.lit(1)).alias("n"))
+                    .where("n > 1").select("h", "first"))
+    pairs = saved(held.join(leaders, "h").where("first < g").select("g", "first").distinct())
+    its = groups.select(F.col("g").alias("first"), F.col("sketch").alias("its"))
+    return pairs.join(groups.select("g", "sketch"), "g").join(its, "first").where(_alike(F.col("sketch"), F.col("its"), percent)) \
         .groupBy("g").agg(F.min("first").alias("first"))
 
 
@@ -97,7 +101,10 @@ def one_row_a_class(docs: DataFrame, bad: DataFrame, site: str, size: int, perce
     groups = saved(cut.groupBy("sketch").agg(F.min(F.struct("k1", "k2")).alias("r"))
                    .select("sketch", "r.k1", "r.k2", F.monotonically_increasing_id().alias("g")))
     for _ in range(ROUNDS):
-        groups = saved(groups.join(_led(groups, percent), "g", "leftanti"))
+        led = saved(_led(groups, percent))
+        if led.isEmpty():
+            break
+        groups = saved(groups.join(led, "g", "leftanti"))
     firsts = groups.select("k1", "k2")
     one = rows.join(firsts, ["k1", "k2"], "leftsemi").groupBy("k1", "k2")
     return one.agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.min(site).alias(site)).select("doc_id", "text", site)
