@@ -179,38 +179,49 @@ def _by_class(y: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     return np.argsort(group, kind="stable"), spans
 
 
-def _hidden(net: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _place(room: dict[str, np.ndarray], key: str, *shape: int) -> np.ndarray:
+    """An array to be filled, in memory that the batches of a task share: new pages cost as much as much of the sums."""
+    size = int(np.prod(shape))
+    if key not in room or len(room[key]) < size:
+        room[key] = np.empty(size, np.float32)
+    return room[key][:size].reshape(shape)
+
+
+def _hidden(net: dict[str, np.ndarray], x: np.ndarray, room: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Embeddings of the neighbours, and the hidden layer."""
-    e = net["emb"].take(x.ravel(), axis=0).reshape(len(x), -1)
-    h = e @ net["w"]
+    e = _place(room, "e", x.size, WIDTH)
+    e = net["emb"].take(x.ravel(), axis=0, out=e, mode="clip").reshape(len(x), -1)     # other modes copy
+    h = np.matmul(e, net["w"], out=_place(room, "h", len(x), HIDDEN))
     h += net["b"]
     return e, np.tanh(h, out=h)
 
 
-def _classes(net: dict[str, np.ndarray], h: np.ndarray) -> np.ndarray:
+def _classes(net: dict[str, np.ndarray], h: np.ndarray, room: dict[str, np.ndarray]) -> np.ndarray:
     """Scores of the classes, a column for each word."""
-    out = net["c"].T @ h.T
+    out = np.matmul(net["c"].T, h.T, out=_place(room, "c", CLASSES, len(h)))
     out += net["cb"][:, None]
     return out
 
 
-def _members(net: dict[str, np.ndarray], h: np.ndarray, spans: list[tuple[int, int, int]]) -> np.ndarray:
+def _members(net: dict[str, np.ndarray], h: np.ndarray, spans: list[tuple[int, int, int]], room: dict[str, np.ndarray]) -> np.ndarray:
     """Scores of the members of each word's own class, a column for each word."""
-    out = np.empty((MEMBERS, len(h)), np.float32)
+    out = _place(room, "m", MEMBERS, len(h))
     for c, i, j in spans:
-        np.add(net["m"][c].T @ h[i:j].T, net["mb"][c][:, None], out=out[:, i:j])
+        own = out[:, i:j]
+        np.matmul(net["m"][c].T, h[i:j].T, out=own)
+        own += net["mb"][c][:, None]
     return out
 
 
 def log_probs(net: dict[str, np.ndarray], ids: np.ndarray, around: np.ndarray, most: int = 1 << 12) -> np.ndarray:
     """log p(word | both sides) of every word."""
-    out = np.zeros(len(ids))
+    out, room = np.zeros(len(ids)), {}
     for a in range(0, len(ids), most):
         order, spans = _by_class(ids[a:a + most])
         y = ids[a:a + most][order]
-        h = _hidden(net, around[a:a + most][order])[1]
-        got = _log_chosen(_classes(net, h), y // MEMBERS).astype(np.float64)
-        got += _log_chosen(_members(net, h, spans), y % MEMBERS)
+        h = _hidden(net, around[a:a + most][order], room)[1]
+        got = _log_chosen(_classes(net, h, room), y // MEMBERS).astype(np.float64)
+        got += _log_chosen(_members(net, h, spans, room), y % MEMBERS)
         out[a + order] = got
     return out
 
@@ -227,28 +238,31 @@ def _sums(grad: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, out
 
 
-def train_step(net: dict[str, np.ndarray], seen: dict[str, np.ndarray], y: np.ndarray, x: np.ndarray) -> None:
-    """One Adagrad step on a batch, in place; ``seen`` holds the sums of squares."""
+def train_step(net: dict[str, np.ndarray], seen: dict[str, np.ndarray], y: np.ndarray, x: np.ndarray,
+               room: dict[str, np.ndarray] | None = None) -> None:
+    """One Adagrad step on a batch, in place; ``seen`` holds the sums of squares, ``room`` memory for other batches to use again."""
+    room = {} if room is None else room
     order, spans = _by_class(y)                                # words of a class stand together
     y, x = y[order], x[order]
     n, every = len(y), np.arange(len(y))
-    e, h = _hidden(net, x)
-    dc = _softmax(_classes(net, h))
+    e, h = _hidden(net, x, room)
+    dc = _softmax(_classes(net, h, room))
     dc[y // MEMBERS, every] -= 1
-    dh = dc.T @ net["c"].T
-    dm = _softmax(_members(net, h, spans))
+    dh = np.matmul(dc.T, net["c"].T, out=_place(room, "dh", n, HIDDEN))
+    dm = _softmax(_members(net, h, spans, room))
     dm[y % MEMBERS, every] -= 1
-    gm = np.empty((len(spans), HIDDEN, MEMBERS), np.float32)
+    gm = _place(room, "gm", len(spans), HIDDEN, MEMBERS)
     for k, (c, i, j) in enumerate(spans):
         dh[i:j] += dm[:, i:j].T @ net["m"][c].T
         np.matmul(h[i:j].T, dm[:, i:j].T, out=gm[k])
     gc = h.T @ dc.T
     dh *= 1 - np.multiply(h, h, out=h)
-    rows, de = _sums((net["w"] @ dh.T).reshape(-1, WIDTH, n), x.T.ravel())
+    near = np.matmul(net["w"], dh.T, out=_place(room, "near", 2 * SIDE * WIDTH, n))
+    rows, de = _sums(near.reshape(-1, WIDTH, n), x.T.ravel())
 
     def move(key, grad, rows=slice(None)):
         grad /= np.float32(n)
-        step = grad * grad
+        step = np.multiply(grad, grad, out=_place(room, "step", *grad.shape))
         total = seen[key][rows]
         total += step
         np.sqrt(total, out=step)
@@ -274,7 +288,7 @@ def _train_round(docs: DataFrame, net: np.ndarray, top, rank, turn: int, stride:
     size = len(net)
 
     def train(batches):
-        own, seen, n = unflat(net), {k: np.full(s, FLOOR, np.float32) for k, s in _SHAPES.items()}, 0
+        own, seen, n, room = unflat(net), {k: np.full(s, FLOOR, np.float32) for k, s in _SHAPES.items()}, 0, {}
         for batch in batches:
             for part in slices(batch, "text"):
                 w = Words(part.column("text"))
@@ -286,7 +300,7 @@ def _train_round(docs: DataFrame, net: np.ndarray, top, rank, turn: int, stride:
                 mixed = np.argsort(mix(pick.astype(np.uint64) + _U(turn)))
                 for a in range(0, len(pick), BATCH):
                     rows = mixed[a:a + BATCH]
-                    train_step(own, seen, ids[pick[rows]], around[rows])
+                    train_step(own, seen, ids[pick[rows]], around[rows], room)
                 n += len(pick)
         if n:
             x = flat(own) * np.float32(n)

@@ -187,6 +187,38 @@ def test_substring_dedup_repeated_rows(spark):
     assert sorted((r.n_words, r.n_removed) for r in rows) == [(1, 0), (50, 50), (50, 50)]
 
 
+def test_line_dedup_heads_carry_no_sketches(spark, monkeypatch):
+    """Heads of sketches meet by hash and number; groups are led as by a comparison of all pairs that share a head."""
+    rng = random.Random(4)
+    base = [sorted(rng.sample(range(10_000), line_dedup.SKETCH)) for _ in range(4)]
+    rows = []
+    for g in range(40):
+        own = list(base[g % 4])
+        for _ in range(rng.choice([0, 1, 6, 20, 40])):
+            own[rng.randrange(len(own))] = rng.randrange(10_000)
+        rows.append((g, sorted(set(own))))
+    rows.append((40, [7]))
+    wrote, saved = [], line_dedup.saved
+    monkeypatch.setattr(line_dedup, "saved", lambda df: wrote.append(df) or saved(df))
+    got = {r.g: r.first for r in line_dedup._led(spark.createDataFrame(rows, "g long, sketch array<long>"), 65).collect()}
+    assert wrote and not any("sketch" in json.dumps(kind) or "array" in kind for df in wrote for _, kind in df.dtypes)
+
+    def alike(a, b):
+        least = sorted({*a, *b})[:line_dedup.SKETCH]
+        return 100 * len({*least} & {*a} & {*b}) >= 65 * len(least)
+
+    heads = {}
+    for g, sketch in rows:
+        for h in sketch[:line_dedup.HEADS]:
+            heads.setdefault(h, []).append(g)
+    want = {}
+    for g, sketch in rows:
+        found = [min(heads[h]) for h in sketch[:line_dedup.HEADS] if min(heads[h]) < g and alike(sketch, rows[min(heads[h])][1])]
+        if found:
+            want[g] = min(found)
+    assert got == want and len(want) > 5
+
+
 def test_masked_lm(spark):
     rng = random.Random(5)
     heads = [f"h{i}" for i in range(20)]
@@ -258,6 +290,24 @@ def test_masked_lm_gradient():
     assert masked_lm.log_probs(net, y, x).mean() > before + 1
 
 
+def test_masked_lm_steps_share_memory():
+    rng = np.random.Generator(np.random.PCG64(8))
+    alone, shared = [masked_lm.start(rng.integers(1, 99, masked_lm._V))] * 2
+    alone, shared = [{k: v.copy() for k, v in net.items()} for net in (alone, shared)]
+    seen = [{k: np.full(s, masked_lm.FLOOR, np.float32) for k, s in masked_lm._SHAPES.items()} for _ in range(2)]
+    room, held = {}, None
+    for n in (600, 2048, 1, 600, 2048):
+        y, x = rng.integers(0, masked_lm._V, n), rng.integers(0, masked_lm._V + 1, (n, 2 * masked_lm.SIDE))
+        masked_lm.train_step(alone, seen[0], y, x)
+        masked_lm.train_step(shared, seen[1], y, x, room)
+        if n == 2048:
+            assert held is None or (held.keys() == room.keys() and all(room[k] is v for k, v in held.items()))
+            held = dict(room)
+    assert all((alone[k] == shared[k]).all() for k in alone)
+    got = masked_lm.log_probs(shared, y, x, most=700)
+    assert np.allclose(got, np.concatenate([masked_lm.log_probs(shared, y[a:a + 500], x[a:a + 500]) for a in range(0, len(y), 500)]), atol=1e-4)
+
+
 def test_masked_lm_step_equals_plain():
     """A step on some classes, or on all, is one Adagrad step with the gradient written out; contexts of
     picked words are those of all words."""
