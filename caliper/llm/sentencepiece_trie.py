@@ -44,7 +44,7 @@ _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _LINE_WORD = re.compile(f"\n[^{MARK}\n]*|{MARK}*[^{MARK}\n]+|{MARK}+")
 #: Entries of a memory's generation: words of ``MOST_CHARS`` at most, and pairs.  When it is full it
 #: becomes the old one, and what is asked for again moves on; a worker holds two generations of each.
-MOST_WORDS, MOST_CHARS, MOST_PAIRS = 250_000, 64, 100_000
+MOST_WORDS, MOST_CHARS, MOST_PAIRS = 100_000, 64, 100_000
 UNIGRAM, MERGES = 1, 2
 UNKNOWN = 10.0
 _models: dict[str, Model] = {}

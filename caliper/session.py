@@ -61,8 +61,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 #: Bytes of an Arrow batch between the JVM and a Python worker.  Spark's own 64 MB stand several times
-#: over in each task (the JVM's growing vectors, its buffers, the worker), with no gain for texts.
-BATCH_BYTES = 8 << 20
+#: over in each task (the JVM's growing vectors, its buffers, the worker), with no gain for texts, and an
+#: executor keeps what it once took outside its heap: 8 MB made over 100 MB of it with two tasks at once.
+BATCH_BYTES = 2 << 20
 _BATCH_CONF, _SPARKS_OWN = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
 
 

@@ -7,6 +7,7 @@ import pytest
 
 import corpus_pipeline
 from caliper.llm import registry
+from caliper.llm.common import map_text
 from caliper.plans.tables import table
 from tests.llm import brute
 
@@ -150,6 +151,15 @@ def test_run_equals_brute_force(spark):
     assert {r.doc_id: r.decoded_sha256 for r in got} == {i: brute.sha(left[i]) for i in clean}
 
 
+def test_batches_of_texts_are_small(spark):
+    """An executor keeps what batches once took outside its heap, so no batch is more than 2 MB and a row."""
+    docs = spark.range(0, 400, 1, 1).selectExpr("id AS doc_id", "repeat(concat(id, ' '), 5000) AS text")
+    size = lambda part: iter([pa.RecordBatch.from_arrays([pa.array([part.num_rows]), pa.array([part.nbytes])], ["n", "size"])])
+    got = map_text(docs, size, "n long, size long", most=1 << 40).collect()
+    assert sum(r.n for r in got) == 400 and sum(r.size for r in got) > 7 << 20
+    assert max(r.size for r in got) <= (2 << 20) + (1 << 16)
+
+
 def test_registered():
     names, _ = registry.load()
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
