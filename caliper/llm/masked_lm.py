@@ -55,11 +55,18 @@ _SHAPES = {"emb": (_V + 1, WIDTH), "w": (2 * SIDE * WIDTH, HIDDEN), "b": (HIDDEN
 
 def word_ids(hashes: np.ndarray, top: np.ndarray, order: np.ndarray) -> np.ndarray:
     """Ids of words: the frequency rank of a top word, else a hash cell above TOP."""
-    cell = TOP + (mix(hashes ^ _U(99)) % _U(_V - TOP)).astype(np.int64)
-    if not len(top):
-        return cell
-    at = np.minimum(np.searchsorted(top, hashes), len(top) - 1)
-    return np.where(top[at] == hashes, order[at], cell)
+    out = np.full(len(hashes), -1, np.int64)
+    if len(top):
+        first = top >> _U(48)                           # ``top`` is sorted, so words that share their first bits stand together
+        begin = np.minimum(np.searchsorted(first, np.arange(1 << 16, dtype=np.uint64)), len(top) - 1)
+        at = begin.take((hashes >> _U(48)).astype(np.uint16))
+        for k in range(int(np.bincount(first.astype(np.int64)).max())):
+            if k:
+                at = np.minimum(at + 1, len(top) - 1)
+            np.copyto(out, order.take(at), where=top.take(at) == hashes)
+    rare = np.flatnonzero(out < 0)
+    out[rare] = TOP + (mix(hashes[rare] ^ _U(99)) % _U(_V - TOP)).astype(np.int64)
+    return out
 
 
 def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, DataFrame]:
@@ -213,16 +220,20 @@ def _members(net: dict[str, np.ndarray], h: np.ndarray, spans: list[tuple[int, i
     return out
 
 
-def log_probs(net: dict[str, np.ndarray], ids: np.ndarray, around: np.ndarray, most: int = 1 << 12) -> np.ndarray:
-    """log p(word | both sides) of every word."""
+def log_probs(net: dict[str, np.ndarray], ids: np.ndarray, around: np.ndarray, most: int = 1 << 16, step: int = 1 << 11) -> np.ndarray:
+    """log p(word | both sides) of every word.
+
+    Words are put in order by class ``most`` at a time and scored ``step`` at a time, so that few classes meet in a step."""
     out, room = np.zeros(len(ids)), {}
     for a in range(0, len(ids), most):
-        order, spans = _by_class(ids[a:a + most])
-        y = ids[a:a + most][order]
-        h = _hidden(net, around[a:a + most][order], room)[1]
-        got = _log_chosen(_classes(net, h, room), y // MEMBERS).astype(np.float64)
-        got += _log_chosen(_members(net, h, spans, room), y % MEMBERS)
-        out[a + order] = got
+        order = np.argsort((ids[a:a + most] // MEMBERS).astype(np.uint16), kind="stable") + a
+        for b in range(0, len(order), step):
+            at = order[b:b + step]
+            y = ids.take(at)
+            h = _hidden(net, around.take(at, axis=0), room)[1]
+            got = _log_chosen(_classes(net, h, room), y // MEMBERS).astype(np.float64)
+            got += _log_chosen(_members(net, h, _by_class(y)[1], room), y % MEMBERS)
+            out[at] = got
     return out
 
 
@@ -295,7 +306,7 @@ def _train_round(docs: DataFrame, net: np.ndarray, top, rank, turn: int, stride:
                 h = w.hashes()
                 ids = word_ids(h, top, rank)
                 place = np.arange(len(ids)) - np.repeat(w.word_at[:-1], w.n_words)
-                pick = np.flatnonzero((place + h % _U(5)) % stride == turn * 7 % stride)
+                pick = np.flatnonzero((place + (h % _U(5)).astype(np.int64)) % stride == turn * 7 % stride)
                 around = contexts(ids, w.word_at, pick)
                 mixed = np.argsort(mix(pick.astype(np.uint64) + _U(turn)))
                 for a in range(0, len(pick), BATCH):

@@ -249,6 +249,27 @@ def test_masked_lm(spark):
     assert abs(total - got[0].log_prob) < 1e-2
 
 
+def test_masked_lm_classes_meet_once(monkeypatch):
+    """Words are scored by class, so that classes take few products; ids and scores are those of each word alone."""
+    rng = np.random.default_rng(2)
+    ids = rng.integers(0, masked_lm._V, 20_000)
+    net = masked_lm.start(np.bincount(ids, minlength=masked_lm._V))
+    around = masked_lm.contexts(ids, np.array([0, 3, 3, 9_000, 20_000]))
+    members, products = masked_lm._members, []
+    monkeypatch.setattr(masked_lm, "_members", lambda net, h, spans, room: products.append(len(spans)) or members(net, h, spans, room))
+    got = masked_lm.log_probs(net, ids, around)
+    assert sum(products) < 2 * masked_lm.CLASSES
+    some = [0, 2, 3, 8_999, 9_000, 19_999]
+    assert np.allclose(got[some], [masked_lm.log_probs(net, ids[[k]], around[[k]])[0] for k in some], atol=1e-5)
+    top = np.sort(np.concatenate([rng.integers(0, 1 << 63, 500, dtype=np.uint64), np.arange(7, dtype=np.uint64) + np.uint64(5 << 48)]))
+    order = rng.permutation(len(top))
+    for n in (0, 1, len(top)):
+        words = np.concatenate([top, top + np.uint64(1), rng.integers(0, 1 << 63, 99, dtype=np.uint64) * np.uint64(2)])
+        place = {h: k for h, k in zip(top[:n].tolist(), order[:n].tolist())}
+        cells = masked_lm.TOP + textnp.mix(words ^ np.uint64(99)) % np.uint64(masked_lm._V - masked_lm.TOP)
+        assert masked_lm.word_ids(words, top[:n], order[:n]).tolist() == [place.get(h, int(c)) for h, c in zip(words.tolist(), cells)]
+
+
 def test_masked_lm_rare_words(spark, monkeypatch):
     """A rare word is scored by its own share of its cell, broadcast or joined alike; the
     rounds visit every position once."""
