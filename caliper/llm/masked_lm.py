@@ -41,6 +41,7 @@ TOP = 3072
 CLASSES, MEMBERS = 64, 64                   # classes x members words in the vocabulary
 SIDE, WIDTH, HIDDEN = 2, 16, 32
 STRIDE, ROUNDS, BATCH, RATE, FLOOR = 2, 2, 2048, 0.1, 1e-5
+TRAIN_BYTES = 8 << 20                       # of an Arrow batch in training: steps end with it, so weights depend on it
 CHUNK = 8192                                # weights in one row of the averaging shuffle
 SALTS = 64
 #: Up to so many words outside the top (16 bytes each) are broadcast with their shares; the others are joined.
@@ -333,7 +334,7 @@ def _train_round(docs: DataFrame, net: np.ndarray, top, rank, turn: int, stride:
                  pa.array([v[1].astype("<f4").tobytes() for v in sums.values()], pa.binary())], ["chunk", "n", "x"])
 
     kind = "chunk long, n long, x binary"
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, TRAIN_BYTES)
     part = docs.select("text").mapInArrow(train, kind).withColumn("salt", F.spark_partition_id() % SALTS)
     part = part.repartition("chunk", "salt").select("chunk", "n", "x").mapInArrow(add, kind)
     rows = part.repartition("chunk").mapInArrow(add, kind).collect()      # one set of weights

@@ -65,13 +65,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 #: executor keeps what it once took outside its heap: 8 MB made over 100 MB of it with two tasks at once.
 BATCH_BYTES = 2 << 20
 _BATCH_CONF, _SPARKS_OWN = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+_OURS = "caliper.maxBytesPerBatch"          # what we set last
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Hold Arrow batches to ``BATCH_BYTES``, unless the session has its own bound."""
+def bounded_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Hold Arrow batches to ``most`` bytes, unless the session has its own bound."""
     now = spark.conf.get(_BATCH_CONF, str(_SPARKS_OWN)).lower().rstrip("b")
-    if now in ("-1", str(_SPARKS_OWN)):
-        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+    if now in ("-1", str(_SPARKS_OWN), spark.conf.get(_OURS, None)):
+        spark.conf.set(_BATCH_CONF, str(most))
+        spark.conf.set(_OURS, str(most))
 
 
 def working_dir(spark: SparkSession) -> str:

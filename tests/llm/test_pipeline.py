@@ -7,7 +7,7 @@ import pytest
 
 import corpus_pipeline
 from caliper.llm import registry
-from caliper.llm.common import map_text
+from caliper.llm.common import bounded_batches, map_text
 from caliper.plans.tables import table
 from tests.llm import brute
 
@@ -158,6 +158,15 @@ def test_batches_of_texts_are_small(spark):
     got = map_text(docs, size, "n long, size long", most=1 << 40).collect()
     assert sum(r.n for r in got) == 400 and sum(r.size for r in got) > 7 << 20
     assert max(r.size for r in got) <= (2 << 20) + (1 << 16)
+    key, before = "spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        bounded_batches(spark, 8 << 20)
+        assert spark.conf.get(key) == str(8 << 20)
+        spark.conf.set(key, "5000000")                       # the session's own
+        bounded_batches(spark)
+        assert spark.conf.get(key) == "5000000"
+    finally:
+        spark.conf.set(key, before)
 
 
 def test_registered():
